@@ -15,8 +15,11 @@ from pyspark.sql import types as T
 from matforge.functions.cleaning import col_or_null, empty_to_null, first_truthy, link_qty, master_item_int
 from matforge.operators.scan import running_id_fold, sequential_ids
 
+# JSON keys read from a request; keys that differ from another only by case get a distinct
+# column name (Spark resolves column names case-insensitively).
 REQUEST_FIELDS = ("id", "item", "Item", "item_description", "qty", "quantity", "QtyShipped", "needed_by", "NeededBy",
                   "notes", "status", "created_at", "linked_to_procurement", "linked_at")
+_COLNAME = {"Item": "item_alt"}
 TASK_COLUMNS = ("MasterItemNo", "ItemDescription", "QtyShipped", "needed_by_date")
 
 
@@ -46,14 +49,9 @@ def parse_requests(lines: DataFrame, col: str = "value") -> DataFrame:
     is_obj = F.schema_of_variant("_r").startswith("OBJECT")
     out = e.select(
         "_line", "_pos",
-        *[F.when(is_obj, _variant_text(F.col("_r"), f"$.{f}")).alias(f) for f in REQUEST_FIELDS if f != "id"],
+        *[F.when(is_obj, _variant_text(F.col("_r"), f"$.{f}")).alias(_COLNAME.get(f, f)) for f in REQUEST_FIELDS if f != "id"],
         F.when(is_obj, _variant_text(F.col("_r"), "$.id")).otherwise(_variant_text(F.col("_r"), "$")).alias("id"))
-    out = out.withColumn("status", F.when(is_obj_status_missing(out), F.lit("Pending")).otherwise(F.col("status")))
-    return out
-
-
-def is_obj_status_missing(df: DataFrame) -> Column:
-    return F.col("status").isNull()
+    return out.withColumn("status", F.coalesce(F.col("status"), F.lit("Pending")))
 
 
 def normalize_requests(raw: DataFrame, order: list[str]) -> DataFrame:
@@ -63,7 +61,7 @@ def normalize_requests(raw: DataFrame, order: list[str]) -> DataFrame:
     r = raw.withColumn("_raw_id", F.when(rid.rlike(r"^[+-]?\d+$"), rid.try_cast("bigint"))
                        .when(rid.rlike(r"^[+-]?\d+\.0*$"), rid.try_cast("double").cast("bigint")))
     r = running_id_fold(r.drop("id"), order, "_raw_id", "id").drop("_raw_id")
-    return r.withColumn("status", F.coalesce(F.col("status"), F.lit("Pending")))
+    return r.withColumn("status", F.coalesce(col_or_null(r, "status"), F.lit("Pending")))
 
 
 def new_request_ids(existing: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
@@ -103,7 +101,8 @@ def approved_unlinked(requests: DataFrame, linked_ids: DataFrame | None = None)
 
 def request_task_rows(requests: DataFrame) -> DataFrame:
     """Request -> task row (item text, integer item key or '', integer qty, needed-by text)."""
-    itm = F.coalesce(first_truthy(col_or_null(requests, "item"), col_or_null(requests, "Item"),
+    alt = "item_alt" if "item_alt" in requests.columns else "Item"
+    itm = F.coalesce(first_truthy(col_or_null(requests, "item"), col_or_null(requests, alt),
                                   col_or_null(requests, "item_description")), F.lit(""))
     master = master_item_int(itm)
     qty = link_qty(col_or_null(requests, "qty"), col_or_null(requests, "quantity"), col_or_null(requests, "QtyShipped"))

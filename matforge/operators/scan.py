@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
@@ -75,17 +76,18 @@ def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name:
     """
     base = df.withColumn("_x", F.col(raw_id).cast("bigint"))
     s = _range_sorted(base, order, num_partitions)
-    schema = base.schema.add("_pid", "int").add("_e", "bigint").add("_m", "double")
+    schema = T.StructType(base.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_e", T.LongType()),
+                                                T.StructField("_m", T.DoubleType())])
     s = s.mapInPandas(_local_fold, schema)
     tot = s.groupBy("_pid").agg(F.max("_e").alias("_ce"), F.max("_m").alias("_cm"))
     pw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    tot = tot.select("_pid", "_cm", F.coalesce(F.sum("_ce").over(pw), F.lit(0)).alias("_E"))
+    tot = tot.select("_pid", "_cm", F.coalesce(F.sum("_ce").over(pw), F.lit(0)).alias("_pe"))
     # G_p = max over earlier partitions q of (cm_q - E_q)
-    tot = tot.select("_pid", "_E", F.max(F.col("_cm") - F.col("_E")).over(pw).alias("_G"))
+    tot = tot.select("_pid", "_pe", F.max(F.col("_cm") - F.col("_pe")).over(pw).alias("_pg"))
     out = s.join(F.broadcast(tot), "_pid")
-    e_glob = F.col("_E") + F.col("_e")
-    m_glob = F.greatest(F.lit(0.0), F.coalesce(F.col("_G"), F.lit(0.0)),
-                        F.coalesce(F.col("_m") - F.col("_E"), F.lit(0.0)))
+    e_glob = F.col("_pe") + F.col("_e")
+    m_glob = F.greatest(F.lit(0.0), F.coalesce(F.col("_pg"), F.lit(0.0)),
+                        F.coalesce(F.col("_m") - F.col("_pe"), F.lit(0.0)))
     out = out.withColumn(name, F.when(F.col("_x").isNotNull(), F.col("_x"))
                          .otherwise((e_glob + m_glob).cast("bigint")).cast("bigint"))
-    return out.drop("_x", "_pid", "_e", "_m", "_E", "_G")
+    return out.drop("_x", "_pid", "_e", "_m", "_pe", "_pg")

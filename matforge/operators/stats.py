@@ -74,7 +74,8 @@ def most_frequent_item(train: DataFrame, item: str = "MasterItemNo") -> DataFram
     k = canonical_item_key(F.col(item))
     counted = train.select(k.alias("item_key")).where(F.col("item_key").isNotNull()).groupBy("item_key").count()
     return counted.agg(F.min_by("item_key", F.struct(
-        (-F.col("count")).alias("n"), F.col("item_key").try_cast("double").alias("num"),
+        (-F.col("count")).alias("n"), F.col("item_key").try_cast("double").isNull().alias("text"),
+        F.col("item_key").try_cast("double").alias("num"),
         F.col("item_key").alias("k"))).alias("item_key"))
 
 

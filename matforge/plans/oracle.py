@@ -113,3 +113,67 @@ def with_ctes(needs: list[str], body: str, extra: list[str] | None = None) -> st
         add(n)
     parts = [CTE[n] for n in _ORDER if n in want] + list(extra or [])
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+NUMBER_RE = "^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"
+
+
+def STRIP_NUM(x: str) -> str:
+    """Keep digits, '.', '-' and parse a plain decimal."""
+    s = f"regexp_replace(CAST({x} AS VARCHAR), '[^0-9.\\-]', '', 'g')"
+    return f"(CASE WHEN regexp_matches({s}, '^-?(\\d+\\.?\\d*|\\.\\d+)$') THEN TRY_CAST({s} AS DOUBLE) END)"
+
+
+def NUMTXT(x: str) -> str:
+    """Strict float() parse of text."""
+    t = f"trim(CAST({x} AS VARCHAR))"
+    return f"(CASE WHEN regexp_matches({t}, '{NUMBER_RE}') THEN TRY_CAST({t} AS DOUBLE) END)"
+
+
+def MASTER_INT(x: str) -> str:
+    """C6 integer form."""
+    s = f"regexp_replace(CAST({x} AS VARCHAR), '[,\\s]', '', 'g')"
+    num = f"TRY_CAST(CASE WHEN regexp_matches({s}, '{NUMBER_RE}') THEN {s} END AS DOUBLE)"
+    return (f"coalesce(CASE WHEN regexp_matches({s}, '^\\d+$') THEN TRY_CAST({s} AS BIGINT) END, "
+            f"CASE WHEN {num} = floor({num}) THEN CAST({num} AS BIGINT) END)")
+
+
+DATE_FMTS = ("%m/%d/%Y", "%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y %H:%M:%S", "%m-%d-%Y")
+
+
+def PDATE(x: str) -> str:
+    """Month-first date text -> DATE."""
+    t = f"trim(CAST({x} AS VARCHAR))"
+    return "CAST(coalesce(" + ", ".join(f"try_strptime({t}, '{f}')" for f in DATE_FMTS) + ") AS DATE)"
+
+
+def TRUTHY(x: str) -> str:
+    """First-truthy test of one value: not null, not '', not numeric zero."""
+    return (f"(CASE WHEN {x} IS NOT NULL AND CAST({x} AS VARCHAR) <> '' AND "
+            f"coalesce(TRY_CAST(CAST({x} AS VARCHAR) AS DOUBLE), 1.0) <> 0 THEN {x} END)")
+
+
+def LINKQTY(x: str) -> str:
+    n = NUMTXT(f"replace(CAST({TRUTHY(x)} AS VARCHAR), ',', '')")
+    return f"coalesce(CASE WHEN abs({n}) < 9.2e18 THEN CAST(trunc({n}) AS BIGINT) END, CAST(1 AS BIGINT))"
+
+
+def PLANQTY(x: str) -> str:
+    q = f"coalesce({NUMTXT(x)}, {NUMTXT(f'replace(CAST({x} AS VARCHAR), {CHR_COMMA}, {EMPTY})')}, 1.0)"
+    return f"CAST(greatest(1.0, round_even({q}, 0)) AS BIGINT)"
+
+
+CHR_COMMA = "','"
+EMPTY = "''"
+
+TEST_PHASES = (("Electrical & HVAC", ("bolt", "rod")), ("IT Infrastructure", ("gear", "gizmo")),
+               ("Foundation & Civil Works", ("plate", "anvil")), ("Design & Planning", ("ring",)))
+
+
+def PHASE(text: str, default: str = "Electrical & HVAC") -> str:
+    s = f"lower(coalesce({text}, ''))"
+    parts = []
+    for ph, kws in TEST_PHASES:
+        cond = " OR ".join(f"contains({s}, '{k}')" for k in kws)
+        parts.append(f"WHEN {cond} THEN '{ph}'")
+    return "(CASE " + " ".join(parts) + f" ELSE '{default}' END)"

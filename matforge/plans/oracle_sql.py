@@ -21,3 +21,376 @@ ORACLE["a1_demand_per_item"] = with_ctes(["line_items"], f"""
 SELECT {KEY('MasterItemNo')} AS item_key,
   sum(TRY_CAST(regexp_replace(QtyShipped, '[^0-9.]', '', 'g') AS DOUBLE)) AS Qty
 FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1""")
+
+from matforge.plans.oracle import (LINKQTY, MASTER_INT, NUMTXT, PDATE, PHASE, PLANQTY, STRIP_NUM,  # noqa: E402
+                                   TRUTHY)
+
+# ---------------------------------------------------------------------------
+# C
+# ---------------------------------------------------------------------------
+ORACLE["c1_clean_currency"] = with_ctes(["line_items"], "SELECT " + ", ".join(
+    f"{STRIP_NUM(c)} AS {c}_clean" for c in ("invoiceTotal", "UnitPrice", "ExtendedPrice", "REVISED_ESTIMATE"))
+    + " FROM line_items")
+
+ORACLE["c2_safe_to_numeric"] = with_ctes(["line_items"], "SELECT " + ", ".join(
+    f"{STRIP_NUM(c)} AS {c}_clean" for c in ("QtyShipped", "ExtendedQuantity", "NUMFLOORS", "SIZE_BUILDINGSIZE"))
+    + " FROM line_items")
+
+ORACLE["c3_to_numeric"] = with_ctes(["line_items"], f"""
+SELECT {NUMTXT('SIZE_BUILDINGSIZE')} AS size_num, {NUMTXT('QtyShipped')} AS qty_num,
+       {NUMTXT('ExtendedQuantity')} AS ext_qty_num FROM line_items""")
+
+ORACLE["c4_plan_qty"] = with_ctes(["requests"], f"""
+SELECT id, {PLANQTY('qty')} AS qty_plan, {PLANQTY("CAST(id AS VARCHAR) || '.5'")} AS half_even FROM requests""")
+
+ORACLE["c5_link_qty"] = with_ctes(["requests"], f"SELECT id, {LINKQTY('qty')} AS qty_int FROM requests")
+
+ORACLE["c6_item_key"] = with_ctes(["requests"], f"""
+SELECT id, item, {KEY('item')} AS item_key, {MASTER_INT('item')} AS master_item FROM requests""")
+
+ORACLE["c7_parse_dates"] = with_ctes(["line_items"], "SELECT " + ", ".join(
+    f"{PDATE(c)} AS {c}_dt" for c in ("invoiceDate", "CONSTRUCTION_START_DATE", "SUBSTANTIAL_COMPLETION_DATE"))
+    + " FROM line_items")
+
+_CLEAN = f"""
+, cleaned AS (SELECT *, {PDATE('invoiceDate')} AS inv_dt, {PDATE('CONSTRUCTION_START_DATE')} AS start_dt,
+   {PDATE('SUBSTANTIAL_COMPLETION_DATE')} AS end_dt,
+   {STRIP_NUM('SIZE_BUILDINGSIZE')} AS SIZE_BUILDINGSIZE_clean, {STRIP_NUM('NUMFLOORS')} AS NUMFLOORS_clean,
+   {STRIP_NUM('ExtendedPrice')} AS ExtendedPrice_clean, {STRIP_NUM('ExtendedQuantity')} AS ExtendedQuantity_clean,
+   {STRIP_NUM('QtyShipped')} AS QtyShipped_clean
+   FROM line_items)"""
+
+ORACLE["c8_calendar_features"] = with_ctes(["line_items"], _CLEAN + """
+SELECT CAST(month(inv_dt) AS INTEGER) AS invoiceDate_month, CAST(isodow(inv_dt) - 1 AS INTEGER) AS invoiceDate_dow,
+       CAST(week(inv_dt) AS INTEGER) AS invoiceDate_week, CAST(quarter(inv_dt) AS INTEGER) AS invoiceDate_quarter
+FROM cleaned""")
+
+ORACLE["c9_project_days"] = with_ctes(["line_items"], _CLEAN + """
+SELECT CAST(date_diff('day', start_dt, end_dt) AS INTEGER) AS project_duration_days,
+       CAST(date_diff('day', start_dt, inv_dt) AS INTEGER) AS project_age_days FROM cleaned""")
+
+ORACLE["c10_size_per_floor"] = with_ctes(["line_items"], _CLEAN + """
+SELECT SIZE_BUILDINGSIZE_clean, NUMFLOORS_clean, SIZE_BUILDINGSIZE_clean / nullif(NUMFLOORS_clean, 0) AS size_per_floor
+FROM cleaned""")
+
+ORACLE["c11_cost_per_unit"] = with_ctes(["line_items"], _CLEAN + """
+SELECT ExtendedPrice_clean, coalesce(ExtendedPrice_clean / nullif(ExtendedQuantity_clean, 0),
+                                     ExtendedPrice_clean / nullif(QtyShipped_clean, 0)) AS material_cost_per_unit
+FROM cleaned""")
+
+ORACLE["c12_clean_text"] = with_ctes(["line_items"], """
+SELECT ItemDescription, trim(regexp_replace(regexp_replace(lower(coalesce(ItemDescription, '')), '[^a-z0-9 ]', ' ', 'g'),
+                                            '\\s+', ' ', 'g')) AS ItemDescription_clean FROM line_items""")
+
+ORACLE["c13_basic_features"] = with_ctes(["line_items"], f"""
+SELECT coalesce(PROJECT_CITY, 'missing') AS PROJECT_CITY, coalesce(PROJECT_TYPE, 'missing') AS PROJECT_TYPE,
+       coalesce(CORE_MARKET, 'missing') AS CORE_MARKET, coalesce(UOM, 'missing') AS UOM,
+       coalesce({NUMTXT('SIZE_BUILDINGSIZE')}, 0.0) AS SIZE_BUILDINGSIZE_num,
+       count(*) OVER (PARTITION BY coalesce(PROJECTNUMBER, 'NA')) AS PROJECT_FREQ
+FROM line_items""")
+
+ORACLE["c14_labelled_rows"] = with_ctes(["line_items"], """
+SELECT trim(MasterItemNo) AS label_raw FROM line_items WHERE MasterItemNo IS NOT NULL""")
+
+_MODE_BLANK = f"""
+, dcount AS (SELECT {KEY('MasterItemNo')} AS item_key, coalesce(ItemDescription, '') AS d, count(*) AS n
+             FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1, 2)
+, dmode AS (SELECT item_key, d AS ItemDescription FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY n DESC, d ASC) AS rn FROM dcount) WHERE rn = 1)"""
+
+_MODE = f"""
+, mcount AS (SELECT {KEY('MasterItemNo')} AS item_key, ItemDescription AS d, count(*) AS n
+             FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL AND ItemDescription IS NOT NULL GROUP BY 1, 2)
+, mmode AS (SELECT item_key, d AS ItemDescription FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY n DESC, d ASC) AS rn FROM mcount) WHERE rn = 1)"""
+
+_ITEMS = f"""
+, items AS (SELECT DISTINCT {KEY('MasterItemNo')} AS item_key FROM predictions WHERE {KEY('MasterItemNo')} IS NOT NULL)"""
+
+ORACLE["c15_short_label"] = with_ctes(["line_items", "predictions"], _MODE_BLANK + _ITEMS + """
+SELECT i.item_key, array_to_string(list_slice(list_filter(string_split_regex(
+    trim(coalesce(m.ItemDescription, 'Item ' || i.item_key)), '\\s+'), lambda x: x <> ''), 1, 5), ' ') AS label
+FROM items i LEFT JOIN dmode m ON i.item_key = m.item_key""")
+
+ORACLE["c16_timeline_task_name"] = with_ctes(["line_items"], """
+SELECT 'Procure: ' || coalesce(nullif(substr(ItemDescription, 1, 40), ''), nullif(substr(MasterItemNo, 1, 40), ''),
+                               'row_' || NULL) AS Task FROM line_items""")
+
+ORACLE["c17_finalize_predictions"] = with_ctes(["requests"], f"""
+SELECT CAST(id AS BIGINT) AS id, coalesce({MASTER_INT('item')}, CAST(0 AS BIGINT)) AS MasterItemNo,
+       coalesce({NUMTXT('qty')}, 0.0) AS QtyShipped FROM requests""")
+
+_LI_COLS = ["PROJECTNUMBER", "PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM", "MasterItemNo", "ItemDescription",
+            "QtyShipped", "ExtendedQuantity", "ExtendedPrice", "UnitPrice", "invoiceTotal", "REVISED_ESTIMATE",
+            "NUMFLOORS", "SIZE_BUILDINGSIZE", "invoiceDate", "CONSTRUCTION_START_DATE", "SUBSTANTIAL_COMPLETION_DATE"]
+
+ORACLE["c18_sequential_ids"] = with_ctes(["line_items"], "SELECT *, row_number() OVER (ORDER BY "
+                                         + ", ".join(f"{c} ASC NULLS FIRST" for c in _LI_COLS)
+                                         + ") AS id FROM line_items")
+
+# ---------------------------------------------------------------------------
+# A
+# ---------------------------------------------------------------------------
+ORACLE["a2_median_per_item"] = with_ctes(["line_items"], f"""
+SELECT {KEY('MasterItemNo')} AS item_key, median({STRIP_NUM('QtyShipped')}) AS median_qty
+FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1""")
+
+ORACLE["a3_global_median"] = with_ctes(["line_items"], f"""
+SELECT coalesce(median({STRIP_NUM('QtyShipped')}), 1.0) AS global_median FROM line_items""")
+
+ORACLE["a4_mode_description"] = with_ctes(["line_items"], _MODE + " SELECT item_key, ItemDescription FROM mmode")
+
+ORACLE["a5_most_frequent_item"] = with_ctes(["line_items"], f"""
+SELECT item_key FROM (SELECT {KEY('MasterItemNo')} AS item_key, count(*) AS n FROM line_items
+                      WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)
+ORDER BY n DESC, TRY_CAST(item_key AS DOUBLE) IS NULL, TRY_CAST(item_key AS DOUBLE), item_key LIMIT 1""")
+
+ORACLE["a6_large_project_flag"] = with_ctes(["line_items"], _CLEAN + """
+SELECT SIZE_BUILDINGSIZE_clean,
+       coalesce(CAST(SIZE_BUILDINGSIZE_clean > quantile_cont(SIZE_BUILDINGSIZE_clean, 0.75) OVER () AS INTEGER), 0)
+         AS is_large_project
+FROM cleaned""")
+
+_A7_COLS = {"invoiceTotal": "c", "UnitPrice": "c", "ExtendedPrice": "c", "REVISED_ESTIMATE": "c",
+            "QtyShipped": "q", "ExtendedQuantity": "q", "NUMFLOORS": "q", "SIZE_BUILDINGSIZE": "q"}
+ORACLE["a7_median_imputation"] = with_ctes(["line_items"], "\n, a7 AS (SELECT " + ", ".join(
+    f"{STRIP_NUM(c)} AS {c}_clean" for c in _A7_COLS) + " FROM line_items)\nSELECT " + ", ".join(
+    f"coalesce({c}_clean, median({c}_clean) OVER ()) AS {c}_clean" for c in _A7_COLS)
+    + ", coalesce(CAST(SIZE_BUILDINGSIZE_clean > quantile_cont(SIZE_BUILDINGSIZE_clean, 0.75) OVER () AS INTEGER), 0)"
+      " AS is_large_project FROM a7")
+
+ORACLE["a8_project_frequency"] = with_ctes(["line_items"], """
+SELECT PROJECTNUMBER, count(*) OVER (PARTITION BY coalesce(PROJECTNUMBER, 'NA')) AS PROJECT_FREQ FROM line_items""")
+
+ORACLE["a9_top_items"] = with_ctes(["predictions"], """
+SELECT CAST(MasterItemNo AS VARCHAR) AS MasterItemNo, count(*) AS count FROM predictions
+GROUP BY 1 ORDER BY count DESC, MasterItemNo ASC LIMIT 20""")
+
+ORACLE["a10_distinct_vendors"] = with_ctes(["vendor_rows"], "SELECT count(DISTINCT company) AS unique_vendors FROM vendor_rows")
+
+ORACLE["a14_label_codes"] = with_ctes(["line_items"], """
+SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS code,
+       CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS code1
+FROM (SELECT DISTINCT trim(MasterItemNo) AS label FROM line_items WHERE MasterItemNo IS NOT NULL)""")
+
+# ---------------------------------------------------------------------------
+# J / W
+# ---------------------------------------------------------------------------
+ORACLE["j1_join_truth_prediction"] = with_ctes(["truth", "pred"], """
+SELECT t.id, t.MasterItemNo AS MasterItemNo_true, t.QtyShipped AS QtyShipped_true,
+       p.MasterItemNo AS MasterItemNo_pred, p.QtyShipped AS QtyShipped_pred
+FROM truth t JOIN pred p ON t.id = p.id""")
+
+_PLANV = """
+, planv AS (SELECT item_key, coalesce(CASE WHEN company <> '' THEN company END, 'Vendor') AS Vendor,
+      coalesce(CASE WHEN contact <> '' THEN contact END, CASE WHEN url <> '' THEN url END) AS VendorContact,
+      CAST(coalesce(nullif(lead_time_days, 0), 21) AS INTEGER) AS VendorLeadDays, source
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY coalesce(lead_time_days, 21), pos) AS rn
+          FROM vendor_rows) WHERE rn = 1)"""
+
+ORACLE["j2_item_vendor_lookup"] = with_ctes(["predictions", "vendor_rows"], _ITEMS + _PLANV + """
+SELECT i.item_key, v.Vendor, v.VendorContact, v.VendorLeadDays FROM items i LEFT JOIN planv v ON i.item_key = v.item_key""")
+
+ORACLE["j3_item_description_lookup"] = with_ctes(["predictions", "line_items"], _ITEMS + _MODE + """
+SELECT i.item_key, m.ItemDescription FROM items i LEFT JOIN mmode m ON i.item_key = m.item_key""")
+
+ORACLE["j4_item_median_lookup"] = with_ctes(["predictions", "line_items"], _ITEMS + f"""
+, med AS (SELECT {KEY('MasterItemNo')} AS item_key, median({STRIP_NUM('QtyShipped')}) AS median_qty
+          FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)
+SELECT i.item_key, m.median_qty FROM items i LEFT JOIN med m ON i.item_key = m.item_key""")
+
+ORACLE["j5_phase_window_lookup"] = with_ctes(["line_items", "schedule"], f"""
+, lines AS (SELECT {KEY('MasterItemNo')} AS item_key, {PHASE('ItemDescription')} AS Phase FROM line_items)
+SELECT l.item_key, l.Phase, s."Start" AS PhaseStart, s.Finish AS PhaseFinish
+FROM lines l LEFT JOIN schedule s ON l.Phase = s.Task""")
+
+ORACLE["j6_keyword_phase"] = with_ctes(["line_items"], f"""
+SELECT {KEY('MasterItemNo')} AS item_key, ItemDescription, {PHASE('ItemDescription')} AS Phase FROM line_items""")
+
+ORACLE["j7_category_codes"] = with_ctes(["line_items"], """
+, tr AS (SELECT DISTINCT PROJECT_CITY AS label FROM line_items WHERE CORE_MARKET <> 'ASIA')
+, codes AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM tr)
+, te AS (SELECT DISTINCT PROJECT_CITY FROM line_items)
+SELECT te.PROJECT_CITY, CAST(coalesce(c.code, (SELECT count(*) FROM tr)) AS BIGINT) AS code
+FROM te LEFT JOIN codes c ON te.PROJECT_CITY = c.label""")
+
+ORACLE["j8_vendors_for_top_items"] = with_ctes(["predictions", "vendor_rows"], f"""
+, top5 AS (SELECT {KEY('MasterItemNo')} AS item_key, count(*) AS n FROM predictions GROUP BY 1
+           ORDER BY n DESC, item_key ASC LIMIT 5)
+SELECT item_key, pos, company, url, contact, lead_time_days, source FROM vendor_rows
+WHERE item_key IN (SELECT item_key FROM top5)""")
+
+ORACLE["j9_unlinked_anti_join"] = with_ctes(["requests"], """
+SELECT id FROM requests WHERE lower(trim(status)) = 'approved'
+AND id NOT IN (SELECT id FROM requests WHERE linked_to_procurement)""")
+
+ORACLE["w1_first_vendor"] = with_ctes(["vendor_rows"], "SELECT item_key, pos, company, lead_time_days FROM vendor_rows WHERE pos = 0")
+
+ORACLE["w2_min_lead_vendor"] = with_ctes(["vendor_rows"], """
+SELECT item_key, pos, company, lead_time_days FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY coalesce(lead_time_days, 21), pos) AS rn FROM vendor_rows)
+WHERE rn = 1""")
+
+# ---------------------------------------------------------------------------
+# V
+# ---------------------------------------------------------------------------
+ORACLE["v3_tasks_vendor_policy"] = with_ctes(["vendor_rows"], """
+SELECT item_key, company AS vendor_name, coalesce(lead_time_days, 14) AS lead_days FROM vendor_rows WHERE pos = 0""")
+
+_SCHEDV = """
+, firstv AS (SELECT * FROM vendor_rows WHERE pos = 0)"""
+
+ORACLE["v4_schedule_vendor_policy"] = with_ctes(["predictions", "vendor_rows"], _ITEMS + _SCHEDV + """
+SELECT i.item_key,
+  CASE WHEN f.item_key IS NOT NULL THEN f.company ELSE 'Placeholder Vendor' END AS VendorCompany,
+  CASE WHEN f.item_key IS NOT NULL THEN f.source ELSE 'placeholder' END AS VendorSource,
+  f.contact AS VendorContact, f.url AS VendorURL,
+  CAST(coalesce(nullif(f.lead_time_days, 0),
+       CASE WHEN (CASE WHEN f.item_key IS NOT NULL THEN f.source ELSE 'placeholder' END) = 'placeholder' THEN 14 ELSE 21 END)
+       AS INTEGER) AS VendorLeadDays
+FROM items i LEFT JOIN firstv f ON i.item_key = f.item_key""")
+
+ORACLE["v5_plan_vendor_policy"] = with_ctes(["vendor_rows"], _PLANV + " SELECT item_key, Vendor, VendorContact, VendorLeadDays FROM planv")
+
+# V1 tasks + modal description + linked request rows
+_TASKS = f"""
+, agg AS (SELECT {KEY('MasterItemNo')} AS item_key, sum(CAST(QtyShipped AS DOUBLE)) AS Qty
+          FROM predictions WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)
+, tfirst AS (SELECT item_key, company, lead_time_days FROM vendor_rows WHERE pos = 0)
+, tasks AS (SELECT a.item_key AS MasterItemNo, a.Qty,
+    coalesce(CASE WHEN f.company <> '' THEN f.company END, 'TBD') AS preferred_vendor,
+    CAST(coalesce(f.lead_time_days, 14) AS INTEGER) AS lead_time_days,
+    CAST(DATE '1998-03-31' - CAST(greatest(coalesce(f.lead_time_days, 14), 7) AS INTEGER) AS DATE) AS procurement_start,
+    DATE '1998-03-31' AS procurement_end, DATE '1998-04-01' AS expected_delivery
+  FROM agg a LEFT JOIN tfirst f ON a.item_key = f.item_key)
+, newreq AS (SELECT * FROM requests WHERE lower(trim(status)) = 'approved'
+             AND id NOT IN (SELECT id FROM requests WHERE linked_to_procurement))
+, reqrows AS (SELECT id, coalesce(CAST({MASTER_INT(f"coalesce({TRUTHY('item')}, '')")} AS VARCHAR), '') AS MasterItemNo,
+    CAST(coalesce({TRUTHY('item')}, '') AS VARCHAR) AS ItemDescription, {LINKQTY('qty')} AS QtyShipped,
+    coalesce(nullif(needed_by, ''), '') AS needed_by_date FROM newreq)"""
+
+ORACLE["r7_link_requests"] = with_ctes(["predictions", "vendor_rows", "requests"], _TASKS + """
+SELECT MasterItemNo, Qty, preferred_vendor, lead_time_days, procurement_start, procurement_end, expected_delivery,
+       NULL::VARCHAR AS ItemDescription, NULL::BIGINT AS QtyShipped, NULL::VARCHAR AS needed_by_date FROM tasks
+UNION ALL
+SELECT MasterItemNo, NULL, NULL, NULL, NULL, NULL, NULL, ItemDescription, QtyShipped, needed_by_date FROM reqrows""")
+
+ORACLE["v12_needed_by_resolution"] = with_ctes(["predictions", "vendor_rows", "requests"], _TASKS + f"""
+SELECT MasterItemNo, CAST(NULL AS DATE) AS NeededBy FROM tasks
+UNION ALL SELECT MasterItemNo, {PDATE('needed_by_date')} AS NeededBy FROM reqrows""")
+
+_ENRICHED = _TASKS + _MODE + f"""
+, alltasks AS (
+  SELECT t.MasterItemNo, t.Qty, m.ItemDescription, NULL::BIGINT AS QtyShipped, NULL::VARCHAR AS needed_by_date
+  FROM tasks t LEFT JOIN mmode m ON t.MasterItemNo = m.item_key
+  UNION ALL SELECT MasterItemNo, NULL, ItemDescription, QtyShipped, needed_by_date FROM reqrows)
+, base AS (SELECT coalesce(nullif(ItemDescription, ''), '') AS ItemDescription, MasterItemNo,
+    {KEY('MasterItemNo')} AS item_key,
+    coalesce(nullif(TRY_CAST(QtyShipped AS DOUBLE), 0), nullif(TRY_CAST(Qty AS DOUBLE), 0)) AS Qty,
+    {PDATE('needed_by_date')} AS req_needed FROM alltasks)
+, phased AS (SELECT *, {PHASE("ItemDescription || ' ' || coalesce(MasterItemNo, '')")} AS Phase FROM base)
+, sfirst AS (SELECT * FROM vendor_rows WHERE pos = 0)
+, enriched AS (
+  SELECT p.Phase, s."Start" AS PhaseStart, s.Finish AS PhaseFinish, p.ItemDescription, p.MasterItemNo, p.Qty,
+    CASE WHEN f.item_key IS NOT NULL THEN f.company ELSE 'Placeholder Vendor' END AS VendorCompany,
+    CASE WHEN f.item_key IS NOT NULL THEN f.source ELSE 'placeholder' END AS VendorSource,
+    f.contact AS VendorContact, f.url AS VendorURL,
+    CAST(coalesce(nullif(f.lead_time_days, 0),
+      CASE WHEN (CASE WHEN f.item_key IS NOT NULL THEN f.source ELSE 'placeholder' END) = 'placeholder' THEN 14 ELSE 21 END)
+      AS INTEGER) AS VendorLeadDays,
+    coalesce(p.req_needed, s.Finish) AS NeededBy
+  FROM phased p LEFT JOIN schedule s ON p.Phase = s.Task LEFT JOIN sfirst f ON p.item_key = f.item_key)
+, enriched2 AS (SELECT *, greatest(CAST(NeededBy - (VendorLeadDays + 3) AS DATE), DATE '1998-01-01') AS ProcurementStart,
+    NeededBy AS ProcurementFinish FROM enriched)"""
+
+ORACLE["v6_schedule_alignment"] = with_ctes(["predictions", "vendor_rows", "requests", "line_items", "schedule"],
+                                            _ENRICHED + """
+SELECT Phase, PhaseStart, PhaseFinish, ItemDescription, MasterItemNo, Qty, VendorCompany, VendorSource, VendorContact,
+       VendorURL, VendorLeadDays, ProcurementStart, ProcurementFinish, NeededBy FROM enriched2""")
+
+ORACLE["v7_timeline"] = with_ctes(["predictions", "vendor_rows", "requests", "line_items", "schedule"], _ENRICHED + """
+SELECT Task, "Start", Finish, 'Project Phase' AS Resource, 'Phase' AS Type FROM schedule
+UNION ALL
+SELECT 'Procure: ' || coalesce(nullif(substr(ItemDescription, 1, 40), ''), nullif(substr(MasterItemNo, 1, 40), ''),
+                               'row_' || NULL) AS Task,
+  coalesce(ProcurementStart, CAST(ProcurementFinish - 1 AS DATE)) AS "Start",
+  coalesce(ProcurementFinish, CAST(ProcurementStart + 1 AS DATE)) AS Finish,
+  coalesce(nullif(VendorCompany, ''), 'Unknown Vendor') AS Resource, 'Procurement' AS Type
+FROM enriched2 WHERE ProcurementStart IS NOT NULL OR ProcurementFinish IS NOT NULL""")
+
+_PLAN = _MODE + _PLANV + f"""
+, pbase AS (SELECT {KEY('MasterItemNo')} AS item_key, {PLANQTY('QtyShipped')} AS PredictedQty FROM predictions)
+, pdesc AS (SELECT b.*, coalesce(nullif(m.ItemDescription, ''), '') AS ItemDescription
+            FROM pbase b LEFT JOIN mmode m ON b.item_key = m.item_key)
+, pphase AS (SELECT *, {PHASE('ItemDescription')} AS ProjectPhase FROM pdesc)
+, pj AS (SELECT p.*, coalesce(s.Finish, DATE '1998-04-21') AS NeededBy, v.Vendor, v.VendorContact,
+           v.item_key IS NOT NULL AS has_vendor, v.source AS vsource,
+           CAST(CASE WHEN v.item_key IS NOT NULL THEN v.VendorLeadDays ELSE 21 END AS INTEGER) AS VendorLeadDays
+         FROM pphase p LEFT JOIN schedule s ON p.ProjectPhase = s.Task LEFT JOIN planv v ON p.item_key = v.item_key)
+, pk AS (SELECT *, CAST(greatest(1, ceil(CAST(PredictedQty AS DOUBLE) * CAST(0.1 AS DOUBLE))) AS BIGINT) AS SafetyStock FROM pj)
+, plan AS (SELECT item_key AS MasterItemNo, ItemDescription, PredictedQty, SafetyStock,
+    greatest(CAST(1 AS BIGINT), PredictedQty + SafetyStock) AS RecommendedOrderQty, Vendor, VendorContact, VendorLeadDays,
+    greatest(CAST(NeededBy - (VendorLeadDays + 3) AS DATE), DATE '1998-01-01') AS ProcurementStart,
+    NeededBy AS ProcurementFinish, NeededBy, ProjectPhase,
+    CASE WHEN PredictedQty + SafetyStock > 1000 THEN 'Multiple orders (staged deliveries)'
+         WHEN PredictedQty + SafetyStock > 100 THEN 'Consider 2-stage procurement' ELSE 'Single order' END AS ProcurementCycle,
+    concat_ws('; ', CASE WHEN NOT has_vendor THEN 'No vendor in DB — sourcing risk' END,
+                    CASE WHEN VendorLeadDays >= 30 THEN 'Long supplier lead time' END,
+                    CASE WHEN has_vendor AND contains(lower(coalesce(vsource, '')), 'import') THEN 'Import dependency' END)
+      AS RiskNotes,
+    concat_ws('; ', CASE WHEN NOT has_vendor THEN 'Identify alternate vendors; consider higher safety stock; allow longer lead time' END,
+                    CASE WHEN VendorLeadDays >= 30 THEN 'Pre-book orders; negotiate faster lead time or local stocking' END,
+                    CASE WHEN has_vendor AND contains(lower(coalesce(vsource, '')), 'import')
+                         THEN 'Account for customs and transport delays; increase safety stock' END) AS Mitigations
+  FROM pk)"""
+
+_PLAN_NEEDS = ["predictions", "vendor_rows", "line_items", "schedule"]
+ORACLE["v8_procurement_plan"] = with_ctes(_PLAN_NEEDS, _PLAN + " SELECT * FROM plan")
+ORACLE["v9_order_cycle"] = with_ctes(_PLAN_NEEDS, _PLAN + """
+SELECT ProcurementCycle, count(*) AS n, min(RecommendedOrderQty) AS min_order, max(RecommendedOrderQty) AS max_order
+FROM plan GROUP BY 1""")
+ORACLE["v10_risk_notes"] = with_ctes(_PLAN_NEEDS, _PLAN + " SELECT RiskNotes, Mitigations, count(*) AS n FROM plan GROUP BY 1, 2")
+ORACLE["v11_plan_summary"] = with_ctes(_PLAN_NEEDS, _PLAN + """
+SELECT count(*) AS total_items, count(DISTINCT Vendor) AS unique_vendors, CAST(sum(PredictedQty) AS BIGINT) AS total_qty
+FROM plan""")
+ORACLE["a12_top_risks"] = with_ctes(_PLAN_NEEDS, _PLAN + """
+SELECT * FROM (SELECT RiskNotes, count(*) AS count FROM plan GROUP BY 1 ORDER BY count DESC, RiskNotes ASC LIMIT 10)
+WHERE RiskNotes <> ''""")
+ORACLE["w4_plan_sample"] = with_ctes(_PLAN_NEEDS, _PLAN + " SELECT * FROM plan ORDER BY " + ", ".join(
+    f"{c} ASC NULLS LAST" for c in ("MasterItemNo", "ItemDescription", "PredictedQty", "SafetyStock",
+                                    "RecommendedOrderQty", "Vendor", "VendorContact", "VendorLeadDays",
+                                    "ProcurementStart", "ProcurementFinish", "NeededBy", "ProjectPhase",
+                                    "ProcurementCycle", "RiskNotes", "Mitigations")) + " LIMIT 20")
+
+# ---------------------------------------------------------------------------
+# R
+# ---------------------------------------------------------------------------
+ORACLE["r1_parse_requests"] = with_ctes(["requests"], """
+SELECT CAST(id AS VARCHAR) AS id, item, qty, needed_by, notes, coalesce(status, 'Pending') AS status, created_at,
+       CAST(linked_to_procurement AS VARCHAR) AS linked_to_procurement FROM requests""")
+
+ORACLE["r2_new_request_ids"] = """
+SELECT CAST((SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS id,
+       event_id, 'Item ' || CAST(user_id AS VARCHAR) AS item, 'Pending' AS status
+FROM events WHERE event_type = 'purchase'"""
+
+ORACLE["r3_running_id_fold"] = """
+WITH r AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey END AS x
+           FROM orders),
+s AS (SELECT pos, x, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM r),
+t AS (SELECT pos, x, e, max(x - e) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS m FROM s)
+SELECT pos, CAST(CASE WHEN x IS NOT NULL THEN x ELSE e + greatest(0, coalesce(m, 0)) END AS BIGINT) AS id,
+       'Pending' AS status FROM t"""
+
+ORACLE["r4_latest_status"] = with_ctes(["request_feed"], """
+SELECT id, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS rn FROM request_feed)
+WHERE rn = 1""")
+
+ORACLE["r5_approved_unlinked"] = with_ctes(["requests"], """
+SELECT id, item, qty, status FROM requests WHERE lower(trim(status)) = 'approved' AND NOT coalesce(linked_to_procurement, false)""")
+
+ORACLE["r6_request_task_rows"] = with_ctes(["requests"], f"""
+SELECT id, coalesce(CAST({MASTER_INT(f"coalesce({TRUTHY('item')}, '')")} AS VARCHAR), '') AS MasterItemNo,
+       CAST(coalesce({TRUTHY('item')}, '') AS VARCHAR) AS ItemDescription, {LINKQTY('qty')} AS QtyShipped,
+       coalesce(nullif(needed_by, ''), '') AS needed_by_date
+FROM requests WHERE lower(trim(status)) = 'approved' AND NOT coalesce(linked_to_procurement, false)""")

@@ -43,3 +43,443 @@ def v1_procurement_tasks(spark: SparkSession, sf: str) -> DataFrame:
 def a1_demand_per_item(spark: SparkSession, sf: str) -> DataFrame:
     return stats.demand_per_item(fx.line_items(spark, sf).select(
         "MasterItemNo", F.regexp_replace("QtyShipped", "[^0-9.]", "").alias("QtyShipped")))
+
+
+# ---------------------------------------------------------------------------
+# Shared inputs
+# ---------------------------------------------------------------------------
+
+# Keyword dimension for the test tables (part names are adjective + one of eight nouns).
+TEST_KEYWORDS = (
+    ("Electrical & HVAC", ("bolt", "rod")),
+    ("IT Infrastructure", ("gear", "gizmo")),
+    ("Foundation & Civil Works", ("plate", "anvil")),
+    ("Design & Planning", ("ring",)),
+)
+TEST_CFG = PlanConfig(schedule_keywords=TEST_KEYWORDS, plan_keywords=TEST_KEYWORDS)
+
+from matforge.functions import cleaning as C  # noqa: E402
+from matforge.operators import evaluate as ev  # noqa: E402
+from matforge.operators import plan as pl  # noqa: E402
+from matforge.operators import preprocess as pp  # noqa: E402
+from matforge.operators import requests as rq  # noqa: E402
+from matforge.operators.scan import sequential_ids  # noqa: E402
+
+
+def _li(spark, sf):
+    return fx.line_items(spark, sf)
+
+
+def _clean(spark, sf):
+    return pp.clean_columns(_li(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# C: scalar cleaning
+# ---------------------------------------------------------------------------
+
+@register("c1_clean_currency")
+def c1(spark, sf):
+    d = _li(spark, sf)
+    return d.select(*[C.clean_currency(F.col(c)).alias(f"{c}_clean") for c in
+                      ("invoiceTotal", "UnitPrice", "ExtendedPrice", "REVISED_ESTIMATE")])
+
+
+@register("c2_safe_to_numeric")
+def c2(spark, sf):
+    d = _li(spark, sf)
+    return d.select(*[C.safe_to_numeric(F.col(c)).alias(f"{c}_clean") for c in
+                      ("QtyShipped", "ExtendedQuantity", "NUMFLOORS", "SIZE_BUILDINGSIZE")])
+
+
+@register("c3_to_numeric")
+def c3(spark, sf):
+    d = _li(spark, sf)
+    return d.select(C.to_numeric(F.col("SIZE_BUILDINGSIZE")).alias("size_num"),
+                    C.to_numeric(F.col("QtyShipped")).alias("qty_num"),
+                    C.to_numeric(F.col("ExtendedQuantity")).alias("ext_qty_num"))
+
+
+@register("c4_plan_qty")
+def c4(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select("id", C.plan_qty(F.col("qty")).alias("qty_plan"),
+                    C.plan_qty(F.concat(F.col("id").cast("string"), F.lit(".5"))).alias("half_even"))
+
+
+@register("c5_link_qty")
+def c5(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select("id", C.link_qty(F.col("qty")).alias("qty_int"))
+
+
+@register("c6_item_key")
+def c6(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select("id", "item", C.canonical_item_key(F.col("item")).alias("item_key"),
+                    C.master_item_int(F.col("item")).alias("master_item"))
+
+
+@register("c7_parse_dates")
+def c7(spark, sf):
+    d = _li(spark, sf)
+    return d.select(*[C.parse_date(F.col(c)).alias(f"{c}_dt") for c in
+                      ("invoiceDate", "CONSTRUCTION_START_DATE", "SUBSTANTIAL_COMPLETION_DATE")])
+
+
+@register("c8_calendar_features")
+def c8(spark, sf):
+    return _clean(spark, sf).select("invoiceDate_month", "invoiceDate_dow", "invoiceDate_week", "invoiceDate_quarter")
+
+
+@register("c9_project_days")
+def c9(spark, sf):
+    return _clean(spark, sf).select("project_duration_days", "project_age_days")
+
+
+@register("c10_size_per_floor")
+def c10(spark, sf):
+    return _clean(spark, sf).select("SIZE_BUILDINGSIZE_clean", "NUMFLOORS_clean", "size_per_floor")
+
+
+@register("c11_cost_per_unit")
+def c11(spark, sf):
+    return _clean(spark, sf).select("ExtendedPrice_clean", "material_cost_per_unit")
+
+
+@register("c12_clean_text")
+def c12(spark, sf):
+    return _clean(spark, sf).select("ItemDescription", "ItemDescription_clean")
+
+
+@register("c13_basic_features")
+def c13(spark, sf):
+    return pp.basic_features(_li(spark, sf)).select(
+        "PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM", "SIZE_BUILDINGSIZE_num", "PROJECT_FREQ")
+
+
+@register("c14_labelled_rows")
+def c14(spark, sf):
+    return pp.drop_unlabelled(_li(spark, sf)).select("label_raw")
+
+
+@register("c15_short_label")
+def c15(spark, sf):
+    items = stats.demand_per_item(fx.predictions(spark, sf)).select("item_key")
+    desc = stats.mode_description(_li(spark, sf), blank_as_value=True)
+    j = items.join(desc, "item_key", "left")
+    return j.select("item_key", C.short_label(F.col("ItemDescription"), F.col("item_key")).alias("label"))
+
+
+@register("c16_timeline_task_name")
+def c16(spark, sf):
+    d = _li(spark, sf)
+    return d.select(C.timeline_task_name(F.col("ItemDescription"), F.col("MasterItemNo"), F.lit(None)).alias("Task"))
+
+
+@register("c17_finalize_predictions")
+def c17(spark, sf):
+    r = fx.requests(spark, sf)
+    return r.select(F.col("id").cast("bigint").alias("id"),
+                    F.coalesce(C.master_item_int(F.col("item")), F.lit(0).cast("bigint")).alias("MasterItemNo"),
+                    F.coalesce(C.to_numeric(F.col("qty")), F.lit(0.0)).alias("QtyShipped"))
+
+
+@register("c18_sequential_ids")
+def c18(spark, sf):
+    d = _li(spark, sf)
+    return sequential_ids(d, [F.col(c).asc_nulls_first() for c in d.columns], name="id", start=1)
+
+
+# ---------------------------------------------------------------------------
+# A: aggregations
+# ---------------------------------------------------------------------------
+
+def _train_qty(spark, sf):
+    """Line items with the quantity cleaned to plain number text."""
+    d = _li(spark, sf)
+    return d.withColumn("QtyShipped", C.safe_to_numeric(F.col("QtyShipped")).cast("string"))
+
+
+@register("a2_median_per_item")
+def a2(spark, sf):
+    return stats.median_per_item(_train_qty(spark, sf))
+
+
+@register("a3_global_median")
+def a3(spark, sf):
+    return stats.global_median(_train_qty(spark, sf))
+
+
+@register("a4_mode_description")
+def a4(spark, sf):
+    return stats.mode_description(_li(spark, sf))
+
+
+@register("a5_most_frequent_item")
+def a5(spark, sf):
+    return stats.most_frequent_item(_li(spark, sf))
+
+
+@register("a6_large_project_flag")
+def a6(spark, sf):
+    d = _clean(spark, sf)
+    return stats.large_project_flag(d, "SIZE_BUILDINGSIZE_clean").select("SIZE_BUILDINGSIZE_clean", "is_large_project")
+
+
+@register("a7_median_imputation")
+def a7(spark, sf):
+    out = pp.preprocess(_li(spark, sf), CFG)
+    return out.select(*[c for c in out.columns if c.endswith("_clean") and c != "ItemDescription_clean"],
+                      "is_large_project")
+
+
+@register("a8_project_frequency")
+def a8(spark, sf):
+    return stats.project_frequency(_li(spark, sf)).select("PROJECTNUMBER", "PROJECT_FREQ")
+
+
+@register("a9_top_items")
+def a9(spark, sf):
+    return stats.top_k_values(fx.predictions(spark, sf), F.col("MasterItemNo").cast("string"), 20, "MasterItemNo")
+
+
+@register("a10_distinct_vendors")
+def a10(spark, sf):
+    return stats.count_distinct(_vendors(spark, sf), "company", name="unique_vendors")
+
+
+@register("a14_label_codes")
+def a14(spark, sf):
+    return stats.label_codes(_li(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# J / W: joins, lookups, vendor choice
+# ---------------------------------------------------------------------------
+
+def _items(spark, sf):
+    return stats.demand_per_item(fx.predictions(spark, sf)).select("item_key")
+
+
+@register("j1_join_truth_prediction")
+def j1(spark, sf):
+    t, p = fx.score_pairs(spark, sf)
+    return ev.join_truth_prediction(t, p)
+
+
+@register("j2_item_vendor_lookup")
+def j2(spark, sf):
+    pol = vendors.plan_policy(_vendors(spark, sf))
+    return _items(spark, sf).join(pol, "item_key", "left").select("item_key", "Vendor", "VendorContact", "VendorLeadDays")
+
+
+@register("j3_item_description_lookup")
+def j3(spark, sf):
+    return _items(spark, sf).join(stats.mode_description(_li(spark, sf)), "item_key", "left")
+
+
+@register("j4_item_median_lookup")
+def j4(spark, sf):
+    return _items(spark, sf).join(stats.median_per_item(_train_qty(spark, sf)), "item_key", "left")
+
+
+def _phased_lines(spark, sf):
+    d = _li(spark, sf)
+    return d.select(C.canonical_item_key(F.col("MasterItemNo")).alias("item_key"), "ItemDescription",
+                    sch.phase_expr(F.col("ItemDescription"), TEST_KEYWORDS, "Electrical & HVAC").alias("Phase"))
+
+
+@register("j5_phase_window_lookup")
+def j5(spark, sf):
+    s = sch.default_schedule(spark, CFG)
+    lines = _phased_lines(spark, sf)
+    ph = s.select(F.col("Task").alias("Phase"), F.col("Start").alias("PhaseStart"), F.col("Finish").alias("PhaseFinish"))
+    return lines.join(F.broadcast(ph), "Phase", "left").select("item_key", "Phase", "PhaseStart", "PhaseFinish")
+
+
+@register("j6_keyword_phase")
+def j6(spark, sf):
+    return _phased_lines(spark, sf).select("item_key", "ItemDescription", "Phase")
+
+
+@register("j7_category_codes")
+def j7(spark, sf):
+    d = _li(spark, sf)
+    train = d.where(F.col("CORE_MARKET") != "ASIA").select(F.col("PROJECT_CITY").alias("label")).distinct()
+    codes = sequential_ids(train, ["label"], name="code", start=0)
+    n = train.agg(F.count(F.lit(1)).alias("_n"))
+    test = d.select("PROJECT_CITY").distinct()
+    j = test.join(codes, test.PROJECT_CITY == codes.label, "left").crossJoin(F.broadcast(n))
+    return j.select("PROJECT_CITY", F.coalesce(F.col("code"), F.col("_n")).cast("bigint").alias("code"))
+
+
+@register("j8_vendors_for_top_items")
+def j8(spark, sf):
+    top = stats.top_k_values(fx.predictions(spark, sf), C.canonical_item_key(F.col("MasterItemNo")), 5, "item_key")
+    return vendors.vendors_for_item(_vendors(spark, sf), top).select(
+        "item_key", "pos", "company", "url", "contact", "lead_time_days", "source")
+
+
+@register("j9_unlinked_anti_join")
+def j9(spark, sf):
+    r = fx.requests(spark, sf)
+    linked = r.where("linked_to_procurement").select("id")
+    return rq.approved_unlinked(r.drop("linked_to_procurement"), linked).select("id")
+
+
+@register("w1_first_vendor")
+def w1(spark, sf):
+    return vendors.first_vendor(_vendors(spark, sf)).select("item_key", "pos", "company", "lead_time_days")
+
+
+@register("w2_min_lead_vendor")
+def w2(spark, sf):
+    return vendors.min_lead_vendor(_vendors(spark, sf)).select("item_key", "pos", "company", "lead_time_days")
+
+
+# ---------------------------------------------------------------------------
+# V: composite procurement jobs
+# ---------------------------------------------------------------------------
+
+@register("v3_tasks_vendor_policy")
+def v3(spark, sf):
+    return vendors.tasks_policy(_vendors(spark, sf))
+
+
+@register("v4_schedule_vendor_policy")
+def v4(spark, sf):
+    pol = vendors.schedule_policy(_vendors(spark, sf))
+    j = vendors.with_schedule_vendor(_items(spark, sf), pol)
+    return j.select("item_key", "VendorCompany", "VendorSource", "VendorContact", "VendorURL", "VendorLeadDays")
+
+
+@register("v5_plan_vendor_policy")
+def v5(spark, sf):
+    return vendors.plan_policy(_vendors(spark, sf)).select("item_key", "Vendor", "VendorContact", "VendorLeadDays")
+
+
+def _linked_tasks(spark, sf):
+    tasks = sch.procurement_tasks(fx.predictions(spark, sf), _vendors(spark, sf), TEST_CFG)
+    r = fx.requests(spark, sf)
+    linked = r.where("linked_to_procurement").select("id")
+    out, _ = rq.link_requests(tasks, r.drop("linked_to_procurement"), linked, F.lit(None).cast("timestamp"))
+    return out
+
+
+def _descr_tasks(spark, sf):
+    """Tasks (V1) with the modal description per item (J3), then the linked request rows."""
+    tasks = sch.procurement_tasks(fx.predictions(spark, sf), _vendors(spark, sf), TEST_CFG)
+    tasks = tasks.join(stats.mode_description(_li(spark, sf)).withColumnRenamed("item_key", "MasterItemNo"),
+                       "MasterItemNo", "left")
+    r = fx.requests(spark, sf)
+    linked = r.where("linked_to_procurement").select("id")
+    out, _ = rq.link_requests(tasks, r.drop("linked_to_procurement"), linked, F.lit(None).cast("timestamp"))
+    return out
+
+
+@register("v6_schedule_alignment")
+def v6(spark, sf):
+    s = sch.default_schedule(spark, TEST_CFG)
+    return sch.align_schedule(_descr_tasks(spark, sf), s, _vendors(spark, sf), TEST_CFG)
+
+
+@register("v7_timeline")
+def v7(spark, sf):
+    s = sch.default_schedule(spark, TEST_CFG)
+    enriched = sch.align_schedule(_descr_tasks(spark, sf), s, _vendors(spark, sf), TEST_CFG)
+    return sch.timeline(s, enriched).orderBy("Start")  # W3, W6
+
+
+def _plan(spark, sf):
+    s = sch.default_schedule(spark, TEST_CFG)
+    return pl.procurement_plan(fx.predictions(spark, sf), s, _vendors(spark, sf), _li(spark, sf), TEST_CFG)
+
+
+@register("v8_procurement_plan")
+def v8(spark, sf):
+    return _plan(spark, sf)
+
+
+@register("v9_order_cycle")
+def v9(spark, sf):
+    return _plan(spark, sf).groupBy("ProcurementCycle").agg(F.count(F.lit(1)).alias("n"),
+                                                              F.min("RecommendedOrderQty").alias("min_order"),
+                                                              F.max("RecommendedOrderQty").alias("max_order"))
+
+
+@register("v10_risk_notes")
+def v10(spark, sf):
+    return _plan(spark, sf).groupBy("RiskNotes", "Mitigations").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("v11_plan_summary")
+def v11(spark, sf):
+    return pl.plan_summary(_plan(spark, sf))
+
+
+@register("a12_top_risks")
+def a12(spark, sf):
+    return pl.top_risks(_plan(spark, sf))
+
+
+@register("w4_plan_sample")
+def w4(spark, sf):
+    return pl.plan_sample(_plan(spark, sf), 20)
+
+
+@register("v12_needed_by_resolution")
+def v12(spark, sf):
+    t = _linked_tasks(spark, sf)
+    return t.select("MasterItemNo", sch.needed_by_expr(t).alias("NeededBy"))
+
+
+# ---------------------------------------------------------------------------
+# R: request workflow
+# ---------------------------------------------------------------------------
+
+@register("r1_parse_requests")
+def r1(spark, sf):
+    raw = rq.parse_requests(fx.requests_json(spark, sf))
+    return raw.select("id", "item", "qty", "needed_by", "notes", "status", "created_at", "linked_to_procurement")
+
+
+@register("r2_new_request_ids")
+def r2(spark, sf):
+    existing = fx.requests(spark, sf)
+    e = fx.table(spark, sf, "events")
+    ev_ = e.where(F.col("event_type") == "purchase").select(
+        "event_id", "ts", F.concat(F.lit("Item "), F.col("user_id").cast("string")).alias("item"))
+    out = rq.new_request_ids(existing, ev_, ["ts", "event_id"])
+    return out.select("id", "event_id", "item", "status")
+
+
+@register("r3_running_id_fold")
+def r3(spark, sf):
+    o = fx.table(spark, sf, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    raw = o.select(k.alias("pos"), F.when(k % 5 == 0, F.lit(None).cast("string"))
+                   .when(k % 7 == 0, F.concat(F.lit("x"), k.cast("string")))
+                   .otherwise(k.cast("string")).alias("id"))
+    return rq.normalize_requests(raw, ["pos"]).select("pos", "id", "status")
+
+
+@register("r4_latest_status")
+def r4(spark, sf):
+    return rq.latest_status(fx.request_feed(spark, sf)).select("id", "status")
+
+
+@register("r5_approved_unlinked")
+def r5(spark, sf):
+    r = fx.requests(spark, sf)
+    return rq.approved_unlinked(r).select("id", "item", "qty", "status")
+
+
+@register("r6_request_task_rows")
+def r6(spark, sf):
+    return rq.request_task_rows(rq.approved_unlinked(fx.requests(spark, sf)))
+
+
+@register("r7_link_requests")
+def r7(spark, sf):
+    return _linked_tasks(spark, sf)
