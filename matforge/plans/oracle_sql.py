@@ -394,3 +394,59 @@ SELECT id, coalesce(CAST({MASTER_INT(f"coalesce({TRUTHY('item')}, '')")} AS VARC
        CAST(coalesce({TRUTHY('item')}, '') AS VARCHAR) AS ItemDescription, {LINKQTY('qty')} AS QtyShipped,
        coalesce(nullif(needed_by, ''), '') AS needed_by_date
 FROM requests WHERE lower(trim(status)) = 'approved' AND NOT coalesce(linked_to_procurement, false)""")
+
+# ---------------------------------------------------------------------------
+# X
+# ---------------------------------------------------------------------------
+_ANCHOR = """(?s)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>"""
+
+
+def _html_text(x: str) -> str:
+    s = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        s = f"replace({s}, '{a}', '{b}')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+_ANCHORS = f"""
+anchors AS (
+  SELECT page_id, url AS page_url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
+         unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href,
+         unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS atext,
+         generate_subscripts(regexp_extract_all(html, '{_ANCHOR}', 1), 1) AS apos
+  FROM pages),
+named AS (SELECT *, {_html_text('atext')} AS company FROM anchors),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id, company || href ORDER BY apos) AS krn
+           FROM named WHERE company <> ''),
+kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY apos) AS rank FROM firsts WHERE krn = 1),
+pv AS (SELECT page_id, CAST(rank AS INTEGER) AS rank, company,
+              CASE WHEN starts_with(href, 'http') THEN href ELSE origin || href END AS url,
+              regexp_extract(page_url, '^https?://([^/?#]+)', 1) AS source
+       FROM kept WHERE rank <= 8)"""
+
+ORACLE["x1_page_vendors"] = "WITH " + _ANCHORS + "\nSELECT * FROM pv"
+ORACLE["v2_page_vendor_dedupe"] = "WITH " + _ANCHORS + """
+SELECT page_id, count(*) AS n_vendors, max(rank) AS max_rank FROM pv GROUP BY 1"""
+
+ORACLE["x2_loose_links"] = "WITH " + _ANCHORS + """
+, loose AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY apos) AS rank FROM named
+            WHERE (contains(href, 'detail') OR contains(href, 'company') OR contains(href, 'supplier')) AND company <> '')
+SELECT page_id, CAST(rank AS INTEGER) AS rank, company,
+       CASE WHEN starts_with(href, 'http') THEN href ELSE origin || href END AS url
+FROM loose WHERE rank <= 8"""
+
+_PHONE = "(\\+?\\p{Nd}{2,4}[-\\t\\n\\f\\r ]?)?(\\p{Nd}{6,12})"
+_EMAIL = "[\\p{L}\\p{N}_.-]+@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]+"
+ORACLE["x3_contact_mining"] = f"""
+SELECT doc_id, CASE WHEN p <> '' AND e <> '' THEN p || '; ' || e WHEN p <> '' THEN p WHEN e <> '' THEN e END AS contact
+FROM (SELECT doc_id, regexp_extract(text, '{_PHONE}', 0) AS p, regexp_extract(text, '{_EMAIL}', 0) AS e FROM documents)"""
+
+ORACLE["x4_company_fallback"] = """
+SELECT doc_id, coalesce(nullif(substr(split_part(text, ' - ', 1), 1, 100), ''), 'Vendor') AS company FROM documents"""
+
+ORACLE["x5_source_preference"] = with_ctes(["vendor_rows"], "", [_ANCHORS.strip()]) + """
+, found AS (SELECT CAST(page_id // 2 AS VARCHAR) AS item_key, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS source_rank,
+                   company, url FROM pv)
+, ranked AS (SELECT * FROM found UNION ALL SELECT item_key, 3, company, url FROM vendor_rows)
+SELECT r.* FROM ranked r JOIN (SELECT item_key, min(source_rank) AS b FROM ranked GROUP BY 1) m
+  ON r.item_key = m.item_key AND r.source_rank = m.b"""

@@ -483,3 +483,46 @@ def r6(spark, sf):
 @register("r7_link_requests")
 def r7(spark, sf):
     return _linked_tasks(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# X: extraction from stored pages and documents
+# ---------------------------------------------------------------------------
+from matforge.operators import pages as pg  # noqa: E402
+
+
+@register("x1_page_vendors")
+def x1(spark, sf):
+    return pg.page_vendors(fx.table(spark, sf, "pages"))
+
+
+@register("x2_loose_links")
+def x2(spark, sf):
+    return pg.loose_links(fx.table(spark, sf, "pages"))
+
+
+@register("x3_contact_mining")
+def x3(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", pg.contact_of(F.col("text")).alias("contact"))
+
+
+@register("x4_company_fallback")
+def x4(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", pg.company_fallback(F.col("text")).alias("company"))
+
+
+@register("x5_source_preference")
+def x5(spark, sf):
+    rp = fx.result_pages(spark, sf)
+    found = pg.page_vendors(rp, keep=("page_id", "item_key", "provider_rank")).select(
+        "item_key", F.col("provider_rank").alias("source_rank"), "company", "url")
+    cat = _vendors(spark, sf).select("item_key", F.lit(3).alias("source_rank"), "company", "url")
+    return vendors.prefer_sources(found.unionByName(cat))
+
+
+@register("v2_page_vendor_dedupe")
+def v2(spark, sf):
+    v = pg.page_vendors(fx.table(spark, sf, "pages"))
+    return v.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_vendors"), F.max("rank").alias("max_rank"))
