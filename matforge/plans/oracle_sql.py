@@ -450,3 +450,22 @@ ORACLE["x5_source_preference"] = with_ctes(["vendor_rows"], "", [_ANCHORS.strip(
 , ranked AS (SELECT * FROM found UNION ALL SELECT item_key, 3, company, url FROM vendor_rows)
 SELECT r.* FROM ranked r JOIN (SELECT item_key, min(source_rank) AS b FROM ranked GROUP BY 1) m
   ON r.item_key = m.item_key AND r.source_rank = m.b"""
+
+# ---------------------------------------------------------------------------
+# S
+# ---------------------------------------------------------------------------
+ORACLE["s1_line_item_csv_scan"] = with_ctes(["line_items"], """
+SELECT NULL::BIGINT AS id, MasterItemNo, ItemDescription, QtyShipped, UOM, PROJECTNUMBER, PROJECT_CITY, PROJECT_TYPE,
+       CORE_MARKET, SIZE_BUILDINGSIZE, NUMFLOORS, NULL::VARCHAR AS NUMROOMS, NULL::VARCHAR AS NUMBEDS, NULL::VARCHAR AS MW,
+       invoiceDate, CONSTRUCTION_START_DATE, SUBSTANTIAL_COMPLETION_DATE, invoiceTotal, UnitPrice, ExtendedPrice,
+       ExtendedQuantity, REVISED_ESTIMATE FROM line_items""")
+
+ORACLE["s2_pruned_item_scan"] = with_ctes(["line_items"], "SELECT MasterItemNo, ItemDescription FROM line_items")
+
+ORACLE["s3_vendor_catalogue_scan"] = with_ctes(["vendor_rows"], """
+SELECT item_key, pos, company, url, location, contact, lead_time_days, min_order_qty, source FROM vendor_rows""")
+
+ORACLE["s9_tasks_sink_roundtrip"] = ORACLE["v1_procurement_tasks"]
+
+ORACLE["s10_vendor_catalogue_write"] = with_ctes(["vendor_rows"], """
+SELECT item_key, count(*) AS n_vendors, string_agg(company, '|' ORDER BY pos) AS companies FROM vendor_rows GROUP BY 1""")

@@ -526,3 +526,55 @@ def x5(spark, sf):
 def v2(spark, sf):
     v = pg.page_vendors(fx.table(spark, sf, "pages"))
     return v.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_vendors"), F.max("rank").alias("max_rank"))
+
+
+# ---------------------------------------------------------------------------
+# S: sources and sinks (written to the shared scratch folder, read back)
+# ---------------------------------------------------------------------------
+from matforge.session import scratch_path  # noqa: E402
+from matforge.sources import readers as rd  # noqa: E402
+from matforge.sources import sinks as sk  # noqa: E402
+
+
+@register("s1_line_item_csv_scan")
+def s1(spark, sf):
+    path = scratch_path(spark, "line_items_csv")
+    sk.write_table(_li(spark, sf), path, fmt="csv")
+    return rd.read_line_items(spark, path)
+
+
+@register("s2_pruned_item_scan")
+def s2(spark, sf):
+    path = scratch_path(spark, "line_items_csv")
+    sk.write_table(_li(spark, sf), path, fmt="csv")
+    return rd.read_line_items(spark, path, columns=["MasterItemNo", "ItemDescription"])
+
+
+@register("s3_vendor_catalogue_scan")
+def s3(spark, sf):
+    path = scratch_path(spark, "vendors_json")
+    fx.vendor_catalogue_json(spark, sf).write.mode("overwrite").text(path)
+    return vendors.read_catalogue(spark, path).select(
+        "item_key", "pos", "company", "url", "location", "contact", "lead_time_days", "min_order_qty", "source")
+
+
+@register("s9_tasks_sink_roundtrip")
+def s9(spark, sf):
+    path = scratch_path(spark, "tasks_csv")
+    tasks = sch.procurement_tasks(fx.predictions(spark, sf), _vendors(spark, sf), CFG)
+    sk.write_table(tasks, path, fmt="csv")
+    back = rd.read_tasks(spark, path, required=True)
+    return back.select(F.col("MasterItemNo"), F.col("Qty").cast("double"), "preferred_vendor",
+                       F.col("lead_time_days").cast("int"),
+                       *[F.to_date(c).alias(c) for c in ("procurement_start", "procurement_end", "expected_delivery")])
+
+
+@register("s10_vendor_catalogue_write")
+def s10(spark, sf):
+    path = scratch_path(spark, "vendors_nested")
+    vendors.write_catalogue(_vendors(spark, sf), path)
+    back = vendors.read_catalogue(spark, path)
+    return back.groupBy("item_key").agg(
+        F.count(F.lit(1)).alias("n_vendors"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "company"))), lambda x: x["company"]),
+                     "|").alias("companies"))
