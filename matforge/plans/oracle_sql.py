@@ -469,3 +469,93 @@ ORACLE["s9_tasks_sink_roundtrip"] = ORACLE["v1_procurement_tasks"]
 
 ORACLE["s10_vendor_catalogue_write"] = with_ctes(["vendor_rows"], """
 SELECT item_key, count(*) AS n_vendors, string_agg(company, '|' ORDER BY pos) AS companies FROM vendor_rows GROUP BY 1""")
+
+# ---------------------------------------------------------------------------
+# M
+# ---------------------------------------------------------------------------
+_TOK = "[\\p{L}\\p{N}_]{2,}"
+
+
+def _tf(src: str, id_col: str) -> str:
+    return f"""
+{src}_tok AS (SELECT {id_col} AS doc_id,
+    unnest(regexp_extract_all(lower(coalesce(text, '')), '{_TOK}')) AS tok,
+    generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '{_TOK}'), 1) AS pos FROM {src}),
+{src}_terms AS (SELECT doc_id, tok AS term FROM {src}_tok
+    UNION ALL SELECT doc_id, bi AS term FROM (
+      SELECT doc_id, tok || ' ' || lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS bi FROM {src}_tok) WHERE bi IS NOT NULL),
+{src}_tf AS (SELECT doc_id, term, count(*) AS tf FROM {src}_terms GROUP BY 1, 2)"""
+
+
+_VOCAB = """
+vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM (
+    SELECT term, sum(tf) AS cf, count(*) AS df FROM documents_tf GROUP BY 1 ORDER BY cf DESC, term ASC LIMIT 15000))"""
+
+
+def _weights(src: str) -> str:
+    return f"""
+{src}_w AS (SELECT t.doc_id, t.term, t.tf * v.idf AS w FROM {src}_tf t JOIN vocab v ON t.term = v.term),
+{src}_n AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM {src}_w GROUP BY 1)"""
+
+
+ORACLE["m1_tfidf"] = "WITH " + _tf("documents", "doc_id") + "," + _VOCAB + "," + _weights("documents") + """
+SELECT w.doc_id, w.term, round(w.w / n.nrm, 9) AS weight FROM documents_w w JOIN documents_n n ON w.doc_id = n.doc_id"""
+
+ORACLE["m3_tfidf_transform"] = ("WITH " + _tf("documents", "doc_id") + "," + _VOCAB + "," + _tf("benchmark", "item_id")
+                                + "," + _weights("benchmark") + """
+SELECT w.doc_id AS item_id, w.term, round(w.w / n.nrm, 9) AS weight FROM benchmark_w w JOIN benchmark_n n ON w.doc_id = n.doc_id""")
+
+ORACLE["m4_target_encoding"] = """
+WITH ld AS (SELECT d.source, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+pr AS (SELECT avg(CAST(quality AS DOUBLE)) AS prior FROM ld),
+st AS (SELECT 'source' AS "column", CAST(source AS VARCHAR) AS value, count(*) AS n, avg(CAST(quality AS DOUBLE)) AS mean
+       FROM ld GROUP BY 2
+       UNION ALL SELECT 'lang', CAST(lang AS VARCHAR), count(*), avg(CAST(quality AS DOUBLE)) FROM ld GROUP BY 2)
+SELECT "column", value, n, round(CASE WHEN n = 1 THEN prior ELSE
+    prior * (1.0 - 1.0 / (1.0 + exp(-(n - 20) / 10.0))) + mean * (1.0 / (1.0 + exp(-(n - 20) / 10.0))) END, 9) AS encoding
+FROM st, pr"""
+
+ORACLE["m5_group_folds"] = with_ctes(["line_items"], """
+SELECT PROJECTNUMBER, CAST(CAST(('0x' || substr(md5(coalesce(PROJECTNUMBER, 'NA')), 1, 8)) AS BIGINT) % 4 AS INTEGER) AS fold
+FROM (SELECT DISTINCT PROJECTNUMBER FROM line_items)""")
+
+ORACLE["m9_quantity_fallback"] = with_ctes(["line_items", "requests"], f"""
+, med AS (SELECT {KEY('MasterItemNo')} AS item_key, median({STRIP_NUM('QtyShipped')}) AS mq
+          FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)
+, gm AS (SELECT coalesce(median({STRIP_NUM('QtyShipped')}), 1.0) AS g FROM line_items)
+SELECT r.id, {KEY('r.item')} AS item_key, greatest(1.0, round_even(coalesce(m.mq, gm.g), 0)) AS QtyShipped
+FROM requests r LEFT JOIN med m ON {KEY('r.item')} = m.item_key CROSS JOIN gm""")
+
+ORACLE["m10_item_decode"] = with_ctes(["line_items"], f"""
+, codes AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code, dense_rank() OVER (ORDER BY label) AS code1
+            FROM (SELECT DISTINCT trim(MasterItemNo) AS label FROM line_items WHERE MasterItemNo IS NOT NULL))
+SELECT o.o_orderkey AS id, o.o_custkey % 4500 AS pred_code,
+       CAST(coalesce(c.code1, {MASTER_INT('CAST(o.o_custkey % 4500 AS VARCHAR)')}, 0) AS BIGINT) AS MasterItemNo
+FROM orders o LEFT JOIN codes c ON o.o_custkey % 4500 = c.code""")
+
+ORACLE["m11_baseline_predictions"] = with_ctes(["line_items"], f"""
+, top AS (SELECT k FROM (SELECT CAST(CAST({NUMTXT('MasterItemNo')} AS BIGINT) AS VARCHAR) AS k, count(*) AS n
+                         FROM line_items WHERE {NUMTXT('MasterItemNo')} IS NOT NULL GROUP BY 1)
+          ORDER BY n DESC, TRY_CAST(k AS DOUBLE), k LIMIT 1)
+, gm AS (SELECT coalesce(median({STRIP_NUM('QtyShipped')}), 1.0) AS g FROM line_items)
+SELECT o.o_orderkey AS id, coalesce((SELECT CAST(k AS BIGINT) FROM top), 101) AS MasterItemNo, (SELECT g FROM gm) AS QtyShipped
+FROM orders o""")
+
+_PAIRS = with_ctes(["truth", "pred"], "", ["""pairs AS (SELECT t.id, t.MasterItemNo AS it, t.QtyShipped AS qt,
+    p.MasterItemNo AS ip, p.QtyShipped AS qp FROM truth t JOIN pred p ON t.id = p.id)""",
+    """lab AS (SELECT it AS label, CASE WHEN it = ip THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE WHEN it <> ip THEN 1 ELSE 0 END AS fn
+             FROM pairs UNION ALL SELECT ip, 0, CASE WHEN it <> ip THEN 1 ELSE 0 END, 0 FROM pairs)""",
+    """perlab AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn
+                FROM lab GROUP BY 1)""",
+    """f1s AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM perlab)""",
+    """sc AS (SELECT avg(CASE WHEN it = ip THEN 1.0 ELSE 0.0 END) AS accuracy, (SELECT avg(f1) FROM f1s) AS f1_macro,
+                   avg(abs(qt - qp)) AS mae, max(qt) - min(qt) AS rng FROM pairs)""",
+    """sc2 AS (SELECT accuracy, f1_macro, mae, CASE WHEN rng IS NULL OR rng = 0 THEN 1.0
+                   ELSE 1.0 - least(1.0, greatest(0.0, mae / rng)) END AS reg_score FROM sc)"""])
+
+ORACLE["m12_accuracy"] = _PAIRS + " SELECT round(CAST(accuracy AS DOUBLE), 9) AS accuracy FROM sc2"
+ORACLE["m13_macro_f1"] = _PAIRS + " SELECT label, tp, fp, fn, round(f1, 9) AS f1 FROM f1s"
+ORACLE["m14_scores"] = _PAIRS + """
+SELECT round(CAST(accuracy AS DOUBLE), 9) AS accuracy, round(f1_macro, 9) AS f1_macro, round(mae, 9) AS mae,
+       round(reg_score, 9) AS reg_score,
+       round(0.25 * CAST(accuracy AS DOUBLE) + 0.25 * f1_macro + 0.5 * reg_score, 9) AS final_score FROM sc2"""

@@ -578,3 +578,82 @@ def s10(spark, sf):
         F.count(F.lit(1)).alias("n_vendors"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "company"))), lambda x: x["company"]),
                      "|").alias("companies"))
+
+
+# ---------------------------------------------------------------------------
+# M: text, models, scoring
+# ---------------------------------------------------------------------------
+from matforge.operators import models as md  # noqa: E402
+from matforge.operators import text as tx  # noqa: E402
+
+
+@register("m1_tfidf")
+def m1(spark, sf):
+    _, w = tx.fit_tfidf(fx.table(spark, sf, "documents"), tx.TRAIN_MAX_FEATURES)
+    return w.select("doc_id", "term", F.round("weight", 9).alias("weight"))
+
+
+@register("m3_tfidf_transform")
+def m3(spark, sf):
+    vocab, _ = tx.fit_tfidf(fx.table(spark, sf, "documents"), tx.TRAIN_MAX_FEATURES)
+    bench = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    w = tx.transform_tfidf(bench, vocab)
+    return w.select(F.col("doc_id").alias("item_id"), "term", F.round("weight", 9).alias("weight"))
+
+
+def _labelled_docs(spark, sf):
+    d = fx.table(spark, sf, "documents")
+    lab = fx.table(spark, sf, "labels")
+    return d.join(lab, "doc_id")
+
+
+@register("m4_target_encoding")
+def m4(spark, sf):
+    enc = md.fit_target_encoding(_labelled_docs(spark, sf), ["source", "lang"], "quality")
+    return enc.select("column", "value", "n", F.round("encoding", 9).alias("encoding"))
+
+
+@register("m5_group_folds")
+def m5(spark, sf):
+    p = _li(spark, sf).select("PROJECTNUMBER").distinct()
+    return p.select("PROJECTNUMBER", md.group_fold(F.col("PROJECTNUMBER")).alias("fold"))
+
+
+@register("m9_quantity_fallback")
+def m9(spark, sf):
+    r = fx.requests(spark, sf).select("id", C.canonical_item_key(F.col("item")).alias("item_key"))
+    return md.quantity_fallback(r, _train_qty(spark, sf)).select("id", "item_key", "QtyShipped")
+
+
+@register("m10_item_decode")
+def m10(spark, sf):
+    codes = stats.label_codes(_li(spark, sf))
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4500).alias("pred_code"))
+    return md.decode_items(o, codes).select("id", "pred_code", "MasterItemNo")
+
+
+@register("m11_baseline_predictions")
+def m11(spark, sf):
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return md.baseline_predictions(o, _train_qty(spark, sf))
+
+
+def _pairs(spark, sf):
+    t, p = fx.score_pairs(spark, sf)
+    return ev.join_truth_prediction(t, p)
+
+
+@register("m12_accuracy")
+def m12(spark, sf):
+    return ev.scores(_pairs(spark, sf)).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+@register("m13_macro_f1")
+def m13(spark, sf):
+    return ev.per_label_f1(_pairs(spark, sf)).select("label", "tp", "fp", "fn", F.round("f1", 9).alias("f1"))
+
+
+@register("m14_scores")
+def m14(spark, sf):
+    s = ev.scores(_pairs(spark, sf))
+    return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
