@@ -102,17 +102,22 @@ def fit_fold_classifiers(df: DataFrame, label: str, fold: str, n_folds: int = N_
 
 
 def predict_fold_average(models, df: DataFrame, keep: list[str]) -> DataFrame:
-    """Average the fold models' class probabilities and take the arg-max (ties -> lowest class)."""
+    """Average the fold models' class probabilities and take the arg-max (ties -> lowest class).
+
+    Each fold model scores the same input; the per-fold probability arrays are joined on the
+    row key (every join is 1:1), then averaged element-wise.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    out = df.select(*keep, "features")
+    base = df.select(*keep, "features")
+    out = None
     probs = []
     for i, m in enumerate(models):
-        p = m.transform(out.select(*keep, "features")).select(*keep, vector_to_array("probability").alias(f"_p{i}"))
-        out = out.join(p, keep) if i else out.join(p, keep)
+        p = m.transform(base).select(*keep, vector_to_array("probability").alias(f"_p{i}"))
+        out = p if out is None else out.join(p, keep)
         probs.append(f"_p{i}")
-    avg = F.zip_with(F.col(probs[0]), F.col(probs[0]), lambda a, b: a * 0.0)
-    for p in probs:
+    avg = F.col(probs[0])
+    for p in probs[1:]:
         avg = F.zip_with(avg, F.col(p), lambda a, b: a + b)
     avg = F.transform(avg, lambda x: x / float(len(probs)))
     best = F.array_position(avg, F.array_max(avg)) - 1

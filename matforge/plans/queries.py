@@ -657,3 +657,75 @@ def m13(spark, sf):
 def m14(spark, sf):
     s = ev.scores(_pairs(spark, sf))
     return s.select(*[F.round(c, 9).alias(c) for c in s.columns])
+
+
+def _doc_svd(spark, sf, k: int = tx.SVD_COMPONENTS):
+    vocab, w = tx.fit_tfidf(fx.table(spark, sf, "documents"), tx.TRAIN_MAX_FEATURES)
+    vsize = vocab.count()
+    k = max(1, min(k, vsize - 1))
+    w = w.persist()  # read by the SVD passes and the projection
+    comps, s = tx.fit_svd(w, vsize, k)
+    return tx.project(w, comps, k).persist(), k
+
+
+@register("m2_truncated_svd")
+def m2(spark, sf):
+    proj, _ = _doc_svd(spark, sf)
+    return proj
+
+
+@register("m6_fold_classifier")
+def m6(spark, sf):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import VectorAssembler
+
+    proj, k = _doc_svd(spark, sf)
+    docs = fx.table(spark, sf, "documents").join(proj, "doc_id", "left")
+    docs = docs.withColumn("svd", F.coalesce("svd", F.array_repeat(F.lit(0.0), k)))
+    docs = docs.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)})
+    lab = docs.join(fx.table(spark, sf, "labels"), "doc_id")
+    enc = md.fit_target_encoding(lab, ["source", "lang"], "quality")
+    cols = ["source_te", "lang_te"] + [f"svd_{i}" for i in range(k)]
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    train = va.transform(md.apply_target_encoding(lab, enc, ["source", "lang"]))
+    train = train.withColumn("fold", md.group_fold(F.col("source"))).withColumn("label", F.col("quality").cast("double"))
+    train = train.persist()  # four fold fits read it
+    models = [NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian").fit(train.where(F.col("fold") != f))
+              for f in range(md.N_FOLDS)]
+    allf = va.transform(md.apply_target_encoding(docs, enc, ["source", "lang"])).persist()
+    return md.predict_fold_average(models, allf, ["doc_id"]).select("doc_id", "prediction")
+
+
+def _reg_features(spark, sf):
+    t = pp.basic_features(pp.preprocess(_li(spark, sf), CFG))
+    t = t.withColumn("item_key", C.canonical_item_key(F.col("MasterItemNo")))
+    return t, ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean"]
+
+
+@register("m7_global_regressor")
+def m7(spark, sf):
+    t, cols = _reg_features(spark, sf)
+    model = md.fit_global_regressor(t, cols, "QtyShipped_clean", max_iter=20)
+    return model.transform(t).select("item_key", "QtyShipped_clean", "prediction")
+
+
+@register("m8_item_regressors")
+def m8(spark, sf):
+    t, cols = _reg_features(spark, sf)
+    return md.fit_item_regressors(t, "item_key", cols, "QtyShipped_clean")
+
+
+@register("j10_item_model_scoring")
+def j10(spark, sf):
+    t, cols = _reg_features(spark, sf)
+    coefs = md.fit_item_regressors(t, "item_key", cols, "QtyShipped_clean")
+    return md.score_linear(t, coefs, "item_key", cols, "q_item").select("item_key", "QtyShipped_clean", "q_item")
+
+
+@register("m15_end_to_end_prediction")
+def m15(spark, sf):
+    from matforge.plans import jobs
+
+    li = _li(spark, sf)
+    m = jobs.train_models(li, CFG, svd_k=tx.SVD_COMPONENTS, gbt_iter=10)
+    return jobs.predict(m, li, CFG)
