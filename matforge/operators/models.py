@@ -104,24 +104,25 @@ def fit_fold_classifiers(df: DataFrame, label: str, fold: str, n_folds: int = N_
 def predict_fold_average(models, df: DataFrame, keep: list[str]) -> DataFrame:
     """Average the fold models' class probabilities and take the arg-max (ties -> lowest class).
 
-    Each fold model scores the same input; the per-fold probability arrays are joined on the
-    row key (every join is 1:1), then averaged element-wise.
+    The fold models are applied one after another to the same rows (each writes its own
+    probability column), so the average is one projection: no joins, no shuffle.
     """
     from pyspark.ml.functions import vector_to_array
 
-    base = df.select(*keep, "features")
-    out = None
+    out = df.select(*keep, "features")
     probs = []
     for i, m in enumerate(models):
-        p = m.transform(base).select(*keep, vector_to_array("probability").alias(f"_p{i}"))
-        out = p if out is None else out.join(p, keep)
+        m = m.copy()
+        m.setProbabilityCol(f"_pv{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
+        out = m.transform(out).withColumn(f"_p{i}", vector_to_array(f"_pv{i}")).drop(f"_pv{i}", f"_raw{i}", f"_pred{i}")
         probs.append(f"_p{i}")
     avg = F.col(probs[0])
     for p in probs[1:]:
         avg = F.zip_with(avg, F.col(p), lambda a, b: a + b)
     avg = F.transform(avg, lambda x: x / float(len(probs)))
-    best = F.array_position(avg, F.array_max(avg)) - 1
-    return out.select(*keep, avg.alias("probability"), best.cast("double").alias("prediction"))
+    out = out.select(*keep, avg.alias("probability"))
+    best = F.array_position(F.col("probability"), F.array_max(F.col("probability"))) - 1
+    return out.select(*keep, "probability", best.cast("double").alias("prediction"))
 
 
 # ---------------------------------------------------------------------------

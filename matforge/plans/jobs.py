@@ -36,11 +36,14 @@ class TrainedModels:
     item_coefs: DataFrame
     train: DataFrame
     feature_cols: list
+    item_cols: list
 
 
-def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
+def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame | None, comps: DataFrame | None, k: int) -> DataFrame:
     base = pp.basic_features(df)
     base = md.apply_target_encoding(base, enc, list(CATEGORICAL_COLUMNS))
+    if vocab is None or k == 0:
+        return base
     w = tx.transform_tfidf(base.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), vocab)
     svd = tx.project(w, comps, k).withColumnRenamed("doc_id", "row_id")
     out = base.join(svd, "row_id", "left")
@@ -49,7 +52,15 @@ def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame, comps: DataFrame,
     return out.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
 
 
-def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = 50, gbt_iter: int = 20) -> TrainedModels:
+def _tick(msg):
+    import os
+    import time
+    if os.environ.get("MATFORGE_TRACE"):
+        print(f"[trace {time.strftime('%H:%M:%S')}] {msg}", flush=True)
+
+
+def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = 50, gbt_iter: int = 20,
+                 use_text: bool = True) -> TrainedModels:
     """Preprocess -> labels -> text pipeline -> features -> fold classifiers -> regressors."""
     from pyspark.ml.feature import VectorAssembler
 
@@ -58,25 +69,36 @@ def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: in
     t = sequential_ids(t, ["item_key", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped",
                            "ExtendedPrice"], name="row_id")
     t = t.persist()
+    _tick('codes = label_codes(')
     codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo")))
     t = t.join(codes.select(F.col("label").alias("item_key"), F.col("code").cast("double").alias("label_code")), "item_key")
+    _tick('enc = md.fit_target_encoding(')
     enc = md.fit_target_encoding(t, list(CATEGORICAL_COLUMNS), "label_code")
-    vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")),
-                            tx.TRAIN_MAX_FEATURES)
-    vsize = vocab.count()
-    k = max(1, min(svd_k, vsize - 1))
-    w = w.persist()
-    comps, _ = tx.fit_svd(w, vsize, k)
+    vocab = comps = None
+    k = 0
+    if use_text:
+        vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")),
+                                tx.TRAIN_MAX_FEATURES)
+        _tick('vsize = vocab.count()')
+        vsize = vocab.count()
+        k = max(1, min(svd_k, vsize - 1))
+        w = w.persist()
+        comps, _ = tx.fit_svd(w, vsize, k)
+    _tick('feats = _features(t, enc')
     feats = _features(t, enc, vocab, comps, k)
     cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES + [f"svd_{i}" for i in range(k)]
     feats = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats)
     feats = feats.withColumn("fold", md.group_fold(F.col("PROJECTNUMBER"))).persist()  # read by every fit
     from pyspark.ml.classification import NaiveBayes
+    _tick('clfs = [')
     clfs = [NaiveBayes(featuresCol="features", labelCol="label_code", modelType="gaussian").fit(feats.where(F.col("fold") != f))
             for f in range(md.N_FOLDS)]
+    _tick('reg = md.fit_global_regressor')
     reg = md.fit_global_regressor(feats, cols, "QtyShipped_clean", max_iter=gbt_iter)
-    coefs = md.fit_item_regressors(feats, "item_key", cols, "QtyShipped_clean")
-    return TrainedModels(enc, vocab, comps, k, codes, clfs, reg, coefs, t, cols)
+    _tick('item_cols = [')
+    item_cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES  # small d: d x d stats per item
+    coefs = md.fit_item_regressors(feats, "item_key", item_cols, "QtyShipped_clean")
+    return TrainedModels(enc, vocab, comps, k, codes, clfs, reg, coefs, t, cols, item_cols)
 
 
 def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
@@ -95,7 +117,7 @@ def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig(
     dec = pred.join(m.codes.select(F.col("code").alias("pred_code"), F.col("label").alias("item_key"), "code1"), "pred_code", "left")
     feats2 = feats.join(dec, "id")
     feats2 = m.regressor.transform(feats2).withColumnRenamed("prediction", "q_global")
-    feats2 = md.score_linear(feats2, m.item_coefs, "item_key", m.feature_cols, "q_item")
+    feats2 = md.score_linear(feats2, m.item_coefs, "item_key", m.item_cols, "q_item")
     q = md.quantity_fallback(feats2, m.train.select("MasterItemNo", F.col("QtyShipped_clean").cast("string").alias("QtyShipped")),
                              "item_key", ("q_item", "q_global"))
     return q.select(F.col("id").cast("bigint").alias("id"),
