@@ -116,13 +116,17 @@ def tasks_policy(flat: DataFrame, default_lead: int = 14) -> DataFrame:
                     F.coalesce(F.col("lead_time_days"), F.lit(default_lead)).alias("lead_days"))
 
 
+def _opt(df: DataFrame, name: str, dtype: str = "string"):
+    return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
+
+
 def schedule_policy(flat: DataFrame) -> DataFrame:
     """V4: first vendor with the fields the schedule shows (a placeholder is added at the join)."""
     v = first_vendor(flat)
-    lead = F.coalesce(F.when(F.col("lead_time_days") != 0, F.col("lead_time_days")),
-                      F.when(F.col("lead_time") != 0, F.col("lead_time")))
-    return v.select("item_key", F.col("company").alias("VendorCompany"), F.col("source").alias("VendorSource"),
-                    F.col("contact").alias("VendorContact"), F.col("url").alias("VendorURL"),
+    lead = F.coalesce(F.when(_opt(v, "lead_time_days", "int") != 0, _opt(v, "lead_time_days", "int")),
+                      F.when(_opt(v, "lead_time", "int") != 0, _opt(v, "lead_time", "int")))
+    return v.select("item_key", _opt(v, "company").alias("VendorCompany"), _opt(v, "source").alias("VendorSource"),
+                    _opt(v, "contact").alias("VendorContact"), _opt(v, "url").alias("VendorURL"),
                     lead.alias("_lead"), F.lit(True).alias("_has_vendor"))
 
 
@@ -142,15 +146,14 @@ def with_schedule_vendor(df: DataFrame, policy: DataFrame, placeholder_lead: int
 def plan_policy(flat: DataFrame, default_lead: int = 21) -> DataFrame:
     """V5: smallest-lead vendor; name company/name/'Vendor', contact or url, lead default 21."""
     v = min_lead_vendor(flat, default_lead)
-    name = F.coalesce(F.when(F.col("company") != "", F.col("company")), F.when(F.col("name") != "", F.col("name")),
-                      F.lit("Vendor")) if "name" in flat.columns else \
-        F.coalesce(F.when(F.col("company") != "", F.col("company")), F.lit("Vendor"))
+    name = F.coalesce(F.when(_opt(v, "company") != "", _opt(v, "company")), F.when(_opt(v, "name") != "", _opt(v, "name")),
+                      F.lit("Vendor"))
     lead_cols = [c for c in ("lead_time_days", "lead_time", "lead") if c in flat.columns]
     lead = F.coalesce(*[F.when(F.col(c) != 0, F.col(c)) for c in lead_cols], F.lit(default_lead))
     return v.select("item_key", name.alias("Vendor"),
-                    F.coalesce(F.when(F.col("contact") != "", F.col("contact")),
-                               F.when(F.col("url") != "", F.col("url"))).alias("VendorContact"),
-                    lead.cast("int").alias("VendorLeadDays"), F.col("source").alias("_source"),
+                    F.coalesce(F.when(_opt(v, "contact") != "", _opt(v, "contact")),
+                               F.when(_opt(v, "url") != "", _opt(v, "url"))).alias("VendorContact"),
+                    lead.cast("int").alias("VendorLeadDays"), _opt(v, "source").alias("_source"),
                     F.lit(True).alias("_has_vendor"))
 
 
