@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from matforge.config import CATEGORICAL_COLUMNS, CURRENCY_COLUMNS, DATE_COLUMNS, QUANTITY_COLUMNS, PlanConfig
 from matforge.functions.cleaning import (calendar_features, clean_currency, clean_text, col_or_null, day_diff,
                                          is_numeric_type, parse_date, safe_ratio, safe_to_numeric, to_numeric)
-from matforge.operators.stats import quantile
+from matforge.operators.stats import quantile_row
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -50,18 +50,19 @@ def clean_columns(df: DataFrame) -> DataFrame:
 def preprocess(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """C1-C12 + A6 + A7: clean, derive, flag large projects, impute ``*_clean`` medians.
 
-    The 75th percentile and every median come from ONE aggregate over the cleaned rows
-    (computed before imputation, as the reference does), joined back as a single row.
+    The 75th percentile and every median come from ONE distributed exact quantile pass over
+    the cleaned rows (computed before imputation, as the reference does), joined back as a
+    single row.
     """
     df = clean_columns(df)
     num_clean = [c for c in df.columns if c.endswith("_clean") and is_numeric_type(df, c)]
-    aggs = [quantile(c, 0.5, cfg.exact_quantiles).alias(f"_med_{i}") for i, c in enumerate(num_clean)]
+    specs = [(f"_med_{i}", F.col(c), 0.5) for i, c in enumerate(num_clean)]
     has_size = "SIZE_BUILDINGSIZE_clean" in df.columns
     if has_size:
-        aggs.append(quantile("SIZE_BUILDINGSIZE_clean", 0.75, cfg.exact_quantiles).alias("_p75"))
-    if not aggs:
+        specs.append(("_p75", F.col("SIZE_BUILDINGSIZE_clean"), 0.75))
+    if not specs:
         return df
-    stats_row = df.agg(*aggs)
+    stats_row = quantile_row(df, specs, cfg.exact_quantiles)
     out = df.crossJoin(F.broadcast(stats_row))  # one row
     if has_size:
         out = out.withColumn("is_large_project",

@@ -8,7 +8,7 @@ single row (a proven size bound).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matforge.functions.cleaning import canonical_item_key, numeric_text
@@ -40,7 +40,8 @@ def median_per_item(train: DataFrame, item: str = "MasterItemNo", qty: str = "Qt
 
 def global_median(train: DataFrame, qty: str = "QtyShipped", default: float = 1.0, exact: bool = True) -> DataFrame:
     """A3: one-row frame with the median numeric quantity (``default`` when none parses)."""
-    return train.agg(F.coalesce(quantile(numeric_text(F.col(qty)), 0.5, exact), F.lit(float(default))).alias("global_median"))
+    med = quantile_row(train, [("_m", numeric_text(F.col(qty)), 0.5)], exact)
+    return med.select(F.coalesce(F.col("_m"), F.lit(float(default))).alias("global_median"))
 
 
 def mode_per_key(df: DataFrame, key: Column, value: Column, key_name: str = "item_key",
@@ -87,7 +88,7 @@ def top_k_values(df: DataFrame, value: Column, k: int, name: str = "value") -> D
 
 def large_project_flag(df: DataFrame, size_col: str, q: float = 0.75, exact: bool = True) -> DataFrame:
     """``is_large_project`` = size above the 75th percentile (missing -> 0)."""
-    th = df.agg(quantile(size_col, q, exact).alias("_th"))
+    th = quantile_row(df, [("_th", F.col(size_col), q)], exact)
     out = df.crossJoin(F.broadcast(th))  # one row
     out = out.withColumn("is_large_project", F.coalesce((F.col(size_col) > F.col("_th")).cast("int"), F.lit(0)))
     return out.drop("_th")
@@ -97,7 +98,7 @@ def impute_medians(df: DataFrame, cols: list[str], exact: bool = True) -> DataFr
     """Fill every listed numeric column with its own median, one global aggregate for all."""
     if not cols:
         return df
-    meds = df.agg(*[quantile(c, 0.5, exact).alias(f"_med_{i}") for i, c in enumerate(cols)])
+    meds = quantile_row(df, [(f"_med_{i}", F.col(c), 0.5) for i, c in enumerate(cols)], exact)
     out = df.crossJoin(F.broadcast(meds))  # one row
     for i, c in enumerate(cols):
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{i}")))
@@ -133,3 +134,44 @@ def label_codes(df: DataFrame, label: str = "MasterItemNo") -> DataFrame:
     labels = df.select(F.trim(F.col(label).cast("string")).alias("label")).where(F.col("label").isNotNull()).distinct()
     out = sequential_ids(labels, ["label"], name="code", start=0)
     return out.withColumn("code1", F.col("code") + 1)
+
+
+def quantile_row(df: DataFrame, specs: list[tuple[str, Column, float]], exact: bool = True,
+                 accuracy: int = 10000) -> DataFrame:
+    """One-row frame of global quantiles, ``specs`` = [(alias, value expression, q), ...].
+
+    Exact and distributed: all values of all columns are stacked as (column, value), sorted
+    once by a range shuffle, ranked with per-partition offsets (``sequential_ids``), and the
+    two neighbouring ranks of each target position are picked and interpolated
+    (lo + (hi - lo) * frac, pandas/DuckDB ``quantile_cont``). No task ever holds more than its
+    own partition; the tables joined back have one row per column or per spec. ``exact=False``
+    uses ``percentile_approx`` sketches instead.
+    """
+    if not exact:
+        return df.agg(*[quantile(e, q, False, accuracy).alias(a) for a, e, q in specs])
+    spark = df.sparkSession
+    exprs, col_of = [], []
+    for _, e, _ in specs:
+        key = str(e)
+        if key not in [str(x) for x in exprs]:
+            exprs.append(e)
+        col_of.append([str(x) for x in exprs].index(key))
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), e.cast("double").alias("v"))
+                                            for i, e in enumerate(exprs)])).alias("x")).select("x.c", "x.v")
+    stacked = stacked.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ranked = sequential_ids(stacked, ["c", "v"], name="_g", start=0)
+    counts = stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    spec_rows = spark.createDataFrame([(k, col_of[k], float(q)) for k, (_, _, q) in enumerate(specs)],
+                                      "k int, c int, q double")
+    w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # one row per column
+    starts = counts.select("c", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("s"))
+    pos = (F.col("n") - 1) * F.col("q")
+    targets = spec_rows.join(starts, "c").select(
+        "k", "c", (F.col("s") + F.floor(pos)).alias("lo"), (F.col("s") + F.ceil(pos)).alias("hi"),
+        (pos - F.floor(pos)).alias("frac"))
+    hits = ranked.join(F.broadcast(targets), "c").where((F.col("_g") == F.col("lo")) | (F.col("_g") == F.col("hi")))
+    per = hits.groupBy("k").agg(F.max(F.when(F.col("_g") == F.col("lo"), F.col("v"))).alias("lv"),
+                                F.max(F.when(F.col("_g") == F.col("hi"), F.col("v"))).alias("hv"),
+                                F.first("frac").alias("frac"))
+    per = per.select("k", (F.col("lv") + (F.col("hv") - F.col("lv")) * F.col("frac")).alias("value"))
+    return per.agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(a) for k, (a, _, _) in enumerate(specs)])
