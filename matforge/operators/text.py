@@ -50,8 +50,9 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int = DEFAULT
 def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term, idx, weight): tf * idf, L2-normalised per document over kept terms."""
     w = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, "doc_id").select("doc_id", "term", "idx", (F.col("w") / F.col("_norm")).alias("weight"))
+    # a document's kept terms are at most the vocabulary cap: one window per document is bounded
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return w.select("doc_id", "term", "idx", (F.col("w") / norm).alias("weight"))
 
 
 def fit_tfidf(docs: DataFrame, max_features: int = DEFAULT_MAX_FEATURES, doc_id: str = "doc_id",
