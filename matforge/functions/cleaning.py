@@ -56,9 +56,9 @@ def numeric_text(c: Column) -> Column:
 
 
 def _strip_to_number(c: Column) -> Column:
-    # keep digits, dots and minus signs only, then parse; '', '.', '-', '-.' and '1-2' -> null
-    s = F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "")
-    return F.when(s.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), s.try_cast("double"))
+    # keep digits, dots and minus signs only, then parse; '', '.', '-', '-.', '1-2', '1.2.3' -> null.
+    # Only [0-9.-] survive the strip, so the cast alone rejects every malformed number.
+    return F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "").try_cast("double")
 
 
 def clean_currency(c: Column, numeric_input: bool = False) -> Column:
