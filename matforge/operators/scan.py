@@ -3,7 +3,9 @@
 ``Window.orderBy`` with no partition key moves every row into one task. Here the
 rows are range-partitioned on the order key, each partition is scanned locally,
 and only one small row per partition (its totals) is combined across partitions;
-that offset table is bounded by the partition count, so broadcasting it is safe.
+that offset table is bounded by the partition count, so broadcasting it is safe. The
+locally numbered rows are checkpointed once (reliable storage, survives executor loss) so
+that partition-dependent positions are computed exactly once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,13 @@ from pyspark.sql import types as T
 _POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    from matforge.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _range_sorted(df: DataFrame, order: list[Column | str], num_partitions: int | None) -> DataFrame:
     n = num_partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -31,6 +40,10 @@ def sequential_ids(df: DataFrame, order: list[Column | str], name: str = "id", s
     s = s.withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", _POS_BITS)).withColumn(
         "_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _POS_BITS))
+    # Positions depend on the physical partition a row was read in. Materialise them once
+    # (reliable checkpoint in spark.checkpoint.dir) so the per-partition counts and the rows
+    # they are added to come from the same copy, whatever plan each branch gets.
+    s = _materialise(s)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -78,7 +91,7 @@ def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name:
     s = _range_sorted(base, order, num_partitions)
     schema = T.StructType(base.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_e", T.LongType()),
                                                 T.StructField("_m", T.DoubleType())])
-    s = s.mapInPandas(_local_fold, schema)
+    s = _materialise(s.mapInPandas(_local_fold, schema))
     tot = s.groupBy("_pid").agg(F.max("_e").alias("_ce"), F.max("_m").alias("_cm"))
     pw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     tot = tot.select("_pid", "_cm", F.coalesce(F.sum("_ce").over(pw), F.lit(0)).alias("_pe"))
