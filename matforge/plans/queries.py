@@ -722,8 +722,9 @@ def j10(spark, sf):
     return md.score_linear(t, coefs, "item_key", cols, "q_item").select("item_key", "QtyShipped_clean", "q_item")
 
 
+@register("m15_end_to_end_prediction")
 def m15(spark, sf):
-    """M15 end-to-end job (not registered yet: too slow on local[8], see README)."""
+    """Train on the line items, predict every line item (id, item code, quantity)."""
     from matforge.plans import jobs
 
     li = _li(spark, sf)
