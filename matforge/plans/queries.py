@@ -531,7 +531,7 @@ def v2(spark, sf):
 # ---------------------------------------------------------------------------
 # S: sources and sinks (written to the shared scratch folder, read back)
 # ---------------------------------------------------------------------------
-from matforge.session import scratch_path  # noqa: E402
+from matforge.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from matforge.sources import readers as rd  # noqa: E402
 from matforge.sources import sinks as sk  # noqa: E402
 
@@ -665,7 +665,8 @@ def _doc_svd(spark, sf, k: int = tx.SVD_COMPONENTS):
     k = max(1, min(k, vsize - 1))
     w = w.persist()  # read by the SVD passes and the projection
     comps, s = tx.fit_svd(w, vsize, k)
-    return tx.project(w, comps, k).persist(), k
+    ensure_checkpoint_dir(spark)
+    return tx.project(w, comps, k).checkpoint(), k  # cut the lineage once for the fits below
 
 
 @register("m2_truncated_svd")
@@ -689,10 +690,10 @@ def m6(spark, sf):
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     train = va.transform(md.apply_target_encoding(lab, enc, ["source", "lang"]))
     train = train.withColumn("fold", md.group_fold(F.col("source"))).withColumn("label", F.col("quality").cast("double"))
-    train = train.persist()  # four fold fits read it
+    train = train.checkpoint()  # four fold fits read it
     models = [NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian").fit(train.where(F.col("fold") != f))
               for f in range(md.N_FOLDS)]
-    allf = va.transform(md.apply_target_encoding(docs, enc, ["source", "lang"])).persist()
+    allf = va.transform(md.apply_target_encoding(docs, enc, ["source", "lang"])).checkpoint()
     return md.predict_fold_average(models, allf, ["doc_id"]).select("doc_id", "prediction")
 
 
