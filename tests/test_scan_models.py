@@ -65,3 +65,29 @@ def test_group_folds_never_split(spark):
     df = spark.createDataFrame([(str(i % 17),) for i in range(200)], "p string")
     folds = df.select("p", md.group_fold(F.col("p")).alias("f")).distinct().groupBy("p").count()
     assert folds.where("count > 1").count() == 0
+
+
+def test_quantile_row_matches_numpy(spark):
+    from matforge.operators.stats import quantile_row
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 50, 777).astype(float)
+    b = rng.random(777) * 1000
+    b[::7] = np.nan  # missing values are skipped
+    df = spark.createDataFrame([(float(x), None if np.isnan(y) else float(y)) for x, y in zip(a, b)], "a double, b double")
+    r = quantile_row(df, [("a50", F.col("a"), 0.5), ("b50", F.col("b"), 0.5), ("b75", F.col("b"), 0.75),
+                          ("a10", F.col("a"), 0.1)]).first()
+    bb = b[~np.isnan(b)]
+    for got, want in ((r["a50"], np.quantile(a, 0.5)), (r["b50"], np.quantile(bb, 0.5)),
+                      (r["b75"], np.quantile(bb, 0.75)), (r["a10"], np.quantile(a, 0.1))):
+        assert abs(got - want) < 1e-9 * max(1.0, abs(want))
+
+
+def test_sequential_ids_unique_under_downstream_joins(spark):
+    # ids feed a join and an aggregate in the same plan: positions must come from one copy
+    df = spark.range(0, 3000).select((F.col("id") % 97).alias("k"), (F.col("id") % 13).alias("g"))
+    ids = sequential_ids(df, ["k"], name="rid")
+    counts = ids.groupBy("g").count()
+    joined = ids.join(counts, "g")
+    assert joined.select("rid").distinct().count() == 3000
+    assert joined.agg(F.min("rid"), F.max("rid")).first() == (1, 3000)
