@@ -9,3 +9,10 @@ from matforge.config import PlanConfig
 
 __all__ = ["PlanConfig"]
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions that tasks run travel with their code, so executors need no copy of this package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

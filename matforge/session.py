@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,39 +11,47 @@ from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, app: str = "matforge", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Session with AQE on, UI off and a UTC clock (dates never shift)."""
-    master = master or os.environ.get("MATFORGE_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("MATFORGE_SHUFFLE_PARTITIONS", "8"))
-    b = (SparkSession.builder.master(master).appName(app)
+    """Session with AQE on, UI off and a UTC clock (dates never shift).
+
+    ``master`` and ``shuffle_partitions`` are set only when given (or named by MATFORGE_MASTER and
+    MATFORGE_SHUFFLE_PARTITIONS), so that ``spark-submit`` and the cluster's defaults decide otherwise.
+    """
+    b = (SparkSession.builder.appName(app)
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("MATFORGE_DRIVER_MEMORY", "16g")))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master := master or os.environ.get("MATFORGE_MASTER"):
+        b = b.master(master)
+    if parts := shuffle_partitions or os.environ.get("MATFORGE_SHUFFLE_PARTITIONS"):
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    if memory := os.environ.get("MATFORGE_DRIVER_MEMORY"):
+        b = b.config("spark.driver.memory", memory)
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only when none is configured."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    On a cluster it must be configured: a machine-local folder would differ on every node, so a missing setting
+    raises. A local master has one machine only, and gets a fresh temporary folder.
+    """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if d:
-        return d
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        # Only for local runs and tests: a cluster names a shared folder itself.
-        conf = os.path.join(os.environ.get("MATFORGE_SCRATCH", "/tmp"), "matforge-checkpoints")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="matforge-", dir=os.environ.get("MATFORGE_SCRATCH"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir() or shared
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
