@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from matforge.llm.repeats import op5_suffix_array_dedup
 from matforge.llm.simhash import op8_simhash_near_dedup
+from matforge.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
