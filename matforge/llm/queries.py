@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from matforge.llm.packing import op6_best_fit_packing
 from matforge.llm.repeats import op5_suffix_array_dedup
 from matforge.llm.simhash import op8_simhash_near_dedup
 from matforge.llm.toxicity import op2_toxicity
@@ -9,6 +10,7 @@ from matforge.llm.toxicity import op2_toxicity
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
