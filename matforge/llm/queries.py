@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from matforge.llm.decontaminate import op1_decontamination
 from matforge.llm.packing import op6_best_fit_packing
 from matforge.llm.repeats import op5_suffix_array_dedup
 from matforge.llm.simhash import op8_simhash_near_dedup
 from matforge.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,

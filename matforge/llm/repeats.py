@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matforge.llm.common import partitions_for, read, written
 
@@ -271,48 +272,49 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     return spans
 
 
-def _results(keep_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for text, spans in zip(batch["text"], batch["spans"]):
-                text = text.as_py()
-                raw = text.encode("utf-8", "replace") if text else b""
-                runs = covered(len(raw), spans.as_py() or [])
-                kept, at = [], 0
-                for lo, hi in runs:
-                    kept.append(raw[at:lo])
-                    at = hi
-                rest = b"".join([*kept, raw[at:]])
-                row = (len(raw), sum(h - l for l, h in runs), len(runs), hashlib.sha256(rest).hexdigest(),
-                       (text if not runs else rest.decode("utf-8", "ignore")) if keep_text else None)
-                for col, v in zip(cols, row):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                                              pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
-                                             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-    return run
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols: list[list] = [[] for _ in range(5)]
+        for text, spans in zip(batch["text"], batch["spans"]):
+            text = text.as_py()
+            raw = text.encode("utf-8", "replace") if text else b""
+            runs = covered(len(raw), spans.as_py() or [])
+            kept, at = [], 0
+            for lo, hi in runs:
+                kept.append(raw[at:lo])
+                at = hi
+            rest = b"".join([*kept, raw[at:]])
+            row = (len(raw), sum(h - l for l, h in runs), len(runs), hashlib.sha256(rest).hexdigest(),
+                   text if not runs else rest.decode("utf-8", "ignore"))
+            for col, v in zip(cols, row):
+                col.append(v)
+        yield pa.RecordBatch.from_arrays([batch["carried"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
+                                          pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
+                                         ["carried", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   crowd: int = CROWD, per_task: int = PER_TASK, keep_text: bool = True) -> DataFrame:
+                   crowd: int = CROWD, per_task: int = PER_TASK, carry: list[str] | None = None) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that starts at two or more places of the collection.
 
-    Returns, for each input row, (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text). Texts are UTF-8 bytes,
-    null is empty (kept_text stays null); matches lie inside one document, may overlap and are judged on the
-    input. A repeated row is another place. kept_text leaves out a character of which only a part remains and is null
-    without ``keep_text``. Ids may be null or repeat; other columns are ignored; an empty input gives no rows.
+    Returns, for each input row, (carried, n_bytes, n_removed, n_spans, kept_sha256, kept_text); carried is a struct of the
+    columns named in ``carry`` (the id if none are), so that clashing names do no harm. Texts are UTF-8 bytes,
+    null is empty (its kept_text is null); matches lie inside one document, may overlap and are judged on the
+    input. A repeated row is another place. kept_text leaves out a character of which only a part remains.
+    Ids may be null or repeat; an empty input gives no rows.
     """
     if length <= gram:
         raise ValueError("length must exceed gram")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carried"))
     own = own.withColumn("k", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(own, length, gram, crowd, per_task).withColumnsRenamed({"k": "sk", "doc_id": "sid"})
-    joined = own.join(spans, (own["k"] == spans["sk"]) & own["doc_id"].eqNullSafe(spans["sid"]), "left").select("doc_id", "text", "spans")
-    kind = dict(own.dtypes)["doc_id"]
-    return joined.mapInArrow(_results(keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    spans = repeated_spans(own.select("k", "doc_id", "text"), length, gram, crowd, per_task).withColumnsRenamed({"k": "sk", "doc_id": "sid"})
+    joined = own.join(spans, (own["k"] == spans["sk"]) & own["doc_id"].eqNullSafe(spans["sid"]), "left").select("text", "spans", "carried")
+    rest = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
+                         T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(_results, T.StructType([own.schema["carried"], *rest]))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, strings of 400 bytes."""
-    return remove_repeats(read(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
+    return remove_repeats(read(spark, sf_dir, "documents")).select("carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -216,14 +216,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     return Lexicon(entries, exceptions + learned, _fit(xy[:, :4], xy[:, 4]))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``toxicity_score`` (0 to 1; null and empty texts get that of a text without hits)."""
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str = "toxicity_score") -> DataFrame:
+    """``docs`` with a column ``out_col`` (0 to 1; null and empty texts get that of a text without hits)."""
     @F.pandas_udf("double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = lexicon.automaton()
         for s in batches:
             yield pd.Series(probability(np.array([features(a, t) for t in s], dtype=float).reshape(-1, 4), lexicon.coef))
-    return docs.withColumn("toxicity_score", udf(F.col(text_col)))
+    return docs.withColumn(out_col, udf(F.col(text_col)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
