@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from matforge.llm.decontaminate import op1_decontamination
+from matforge.llm.lm_score import op7_lm_scoring
 from matforge.llm.packing import op6_best_fit_packing
 from matforge.llm.repeats import op5_suffix_array_dedup
 from matforge.llm.simhash import op8_simhash_near_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
