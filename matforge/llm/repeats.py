@@ -6,8 +6,8 @@ follows, each step a Spark job over the whole table:
 1. Anchors. In every window of ``length`` bytes the leftmost smallest hash of a ``GRAM``-byte gram is an anchor. The rule sees
    the window only, so two equal windows have anchors with equal grams at the same place in them. Anchors whose
    gram occurs once cannot take part; the rest are few.
-2. Segments. The bytes around an anchor that any window over it can hold. Equal segments are kept once, with a count;
-   windows of a segment that occurs twice or more are all repeats.
+2. Segments. The bytes around an anchor that any window over it can hold. Equal segments (gram and segment hash, 64
+   bits each) are kept once, with a count; windows of a segment that occurs twice or more are all repeats.
 3. Columns. The different segments of one gram meet in one partition, aligned at the anchor, as a document collection.
    From the last column to the first, each round inserts one symbol of every segment: the suffix order is
    updated by a stable distribution of the inserted symbols (the Burrows-Wheeler symbols of that round, read through the
@@ -90,12 +90,12 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def _anchor_rows(length: int, gram: int):
-    """Rows (k, doc_id, gram, s1, s2, pos, step, n): n anchors from pos on, step apart, with one gram and segment."""
+    """Rows (k, doc_id, gram, seg, pos, step, n): n anchors from pos on, step apart, with one gram and segment."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for k, doc, text in zip(batch["k"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
                 text = text.as_py()
                 if not text or len(text) * 4 < length:
@@ -107,7 +107,7 @@ def _anchor_rows(length: int, gram: int):
                 runs: dict = {}
                 for a, g in zip(pos.tolist(), h.view(np.int64).tolist()):
                     left = max(0, a - reach)
-                    seg = xxhash.xxh3_128_intdigest(raw[left:a + length], a - left)
+                    seg = xxhash.xxh3_64_intdigest(raw[left:a + length], a - left)
                     last = runs.get((g, seg))
                     if last is None or last[-1][2] > 1 and a - last[-1][0] != last[-1][1] * last[-1][2]:
                         runs.setdefault((g, seg), []).append([a, 0, 1])
@@ -115,30 +115,29 @@ def _anchor_rows(length: int, gram: int):
                         last[-1][1] = last[-1][1] or a - last[-1][0]
                         last[-1][2] += 1
                 for (g, seg), parts in runs.items():
-                    s1, s2 = (seg >> 64) - (1 << 63), (seg & ((1 << 64) - 1)) - (1 << 63)
                     for a, step, n in parts:
-                        for col, v in zip(out, (k, doc, g, s1, s2, a, step, n)):
+                        for col, v in zip(out, (k, doc, g, seg - (1 << 63), a, step, n)):
                             col.append(v)
-            kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["k", "doc_id", "gram", "s1", "s2", "pos", "step", "n"])
+            kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["k", "doc_id", "gram", "seg", "pos", "step", "n"])
     return run
 
 
 def _segment_rows(length: int, gram: int):
-    """Rows (gram, s1, s2, left, body) of the wanted segments of each document."""
+    """Rows (gram, seg, left, body) of the wanted segments of each document."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, s1, s2, left, body = [], [], [], [], []
+            g, seg, left, body = [], [], [], []
             for text, wanted in zip(batch["text"], batch["wanted"]):
                 raw = text.as_py().encode("utf-8", "replace")
                 for w in wanted.as_py():
                     a = w["pos"]
                     lo = max(0, a - reach)
-                    g.append(w["gram"]), s1.append(w["s1"]), s2.append(w["s2"]), left.append(a - lo), body.append(raw[lo:a + length])
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                                              pa.array(left, pa.int32()), pa.array(body, pa.binary())], ["gram", "s1", "s2", "left", "body"])
+                    g.append(w["gram"]), seg.append(w["seg"]), left.append(a - lo), body.append(raw[lo:a + length])
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(seg, pa.int64()), pa.array(left, pa.int32()), pa.array(body, pa.binary())],
+                                             ["gram", "seg", "left", "body"])
     return run
 
 
@@ -176,7 +175,7 @@ def insert_columns(columns: np.ndarray, start: np.ndarray, end: np.ndarray, leng
 
 
 def _repeat_rows(length: int, gram: int):
-    """Rows (gram, s1, s2, lo, hi): byte ranges, relative to the anchor, of repeated windows of each segment."""
+    """Rows (gram, seg, lo, hi): byte ranges, relative to the anchor, of repeated windows of each segment."""
     reach, width = length - gram, 2 * length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +183,9 @@ def _repeat_rows(length: int, gram: int):
         with tempfile.TemporaryFile() as rows, tempfile.TemporaryFile() as cols:
             start, end = [], []
             for batch in batches:
-                for g, s1, s2, left, body in zip(*(batch[c].to_pylist() for c in ("gram", "s1", "s2", "left", "body"))):
-                    if (g, s1, s2) not in keys:
-                        keys[g, s1, s2] = len(keys)
+                for g, seg, left, body in zip(*(batch[c].to_pylist() for c in ("gram", "seg", "left", "body"))):
+                    if (g, seg) not in keys:
+                        keys[g, seg] = len(keys)
                         start.append(reach - left)
                         end.append(reach - left + len(body))
                         rows.write((b"\0" * (reach - left) + body).ljust(width, b"\0"))
@@ -204,14 +203,14 @@ def _repeat_rows(length: int, gram: int):
             row, c0 = np.nonzero(edge.T == 1)
             c1 = np.nonzero(edge.T == -1)[1]
             del by_row, by_col
-        names = np.array(list(keys), dtype=np.int64).reshape(-1, 3)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(names[:, 2]), pa.array((c0 - reach).astype(np.int32)),
-                                          pa.array((c1 - 1 - reach + length).astype(np.int32))], ["gram", "s1", "s2", "lo", "hi"])
+        names = np.array(list(keys), dtype=np.int64).reshape(-1, 2)[row]
+        yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array((c0 - reach).astype(np.int32)),
+                                          pa.array((c1 - 1 - reach + length).astype(np.int32))], ["gram", "seg", "lo", "hi"])
     return run
 
 
 def _window_rows(length: int, gram: int):
-    """Rows (gram, at, w1, w2, s1, s2): every window of a segment by hash and place."""
+    """Rows (gram, at, w1, w2, seg): every window of a segment by hash and place."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +219,9 @@ def _window_rows(length: int, gram: int):
                 body, n = row["body"], len(row["body"]) - length + 1
                 h = np.array([xxhash.xxh3_128_digest(body[i:i + length]) for i in range(n)]).view("V16")
                 h = np.frombuffer(h.tobytes(), dtype=np.int64).reshape(-1, 2)
-                fixed = [pa.array(np.full(n, row[c], dtype=np.int64)) for c in ("gram", "s1", "s2")]
-                yield pa.RecordBatch.from_arrays([fixed[0], pa.array(np.arange(n, dtype=np.int32) - row["left"]), pa.array(h[:, 0]), pa.array(h[:, 1]), *fixed[1:]],
-                                                 ["gram", "at", "w1", "w2", "s1", "s2"])
+                own, seg = (pa.array(np.full(n, row[c], dtype=np.int64)) for c in ("gram", "seg"))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(n, dtype=np.int32) - row["left"]), pa.array(h[:, 0]), pa.array(h[:, 1]), seg],
+                                                 ["gram", "at", "w1", "w2", "seg"])
     return run
 
 
@@ -244,11 +243,11 @@ def covered(n: int, spans: list[dict]) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, per_task: int = PER_TASK) -> DataFrame:
     """docs: (k, doc_id, text), k a key of the row's content. Returns (k, doc_id, spans) for documents with repeats."""
-    found = docs.mapInArrow(_anchor_rows(length, gram), f"k long, doc_id {dict(docs.dtypes)['doc_id']}, gram long, s1 long, s2 long, pos int, step int, n int")
+    found = docs.mapInArrow(_anchor_rows(length, gram), f"k long, doc_id {dict(docs.dtypes)['doc_id']}, gram long, seg long, pos int, step int, n int")
     found = written(found, "repeats-anchors")
     often = found.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram")
     many = written(found.join(often, "gram"), "repeats-shared")
-    segment = ["gram", "s1", "s2"]
+    segment = ["gram", "seg"]
     own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("k", "doc_id", "pos")).alias("rep"))
     own = written(own, "repeats-segments")
     kinds = own.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -256,13 +255,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     wanted = mixed.groupBy("k", "doc_id").agg(F.collect_list(F.struct("pos", *segment)).alias("wanted"))
     same = lambda x, y: (x["k"] == y["k"]) & x["doc_id"].eqNullSafe(y["doc_id"])
     bodies = docs.join(wanted, same(docs, wanted)).select("text", "wanted").mapInArrow(
-        _segment_rows(length, gram), "gram long, s1 long, s2 long, left int, body binary")
+        _segment_rows(length, gram), "gram long, seg long, left int, body binary")
     crowded = kinds.where(F.col("kinds") > crowd).select("gram")
     bodies = written(bodies, "repeats-bodies")
     calm = bodies.join(crowded, "gram", "left_anti").repartition(partitions_for(bodies.count(), per_task), "gram")
-    flags = calm.mapInArrow(_repeat_rows(length, gram), "gram long, s1 long, s2 long, lo int, hi int")
+    flags = calm.mapInArrow(_repeat_rows(length, gram), "gram long, seg long, lo int, hi int")
     busy = bodies.join(crowded, "gram").dropDuplicates(segment).mapInArrow(
-        _window_rows(length, gram), "gram long, at int, w1 long, w2 long, s1 long, s2 long")
+        _window_rows(length, gram), "gram long, at int, w1 long, w2 long, seg long")
     window = ["gram", "at", "w1", "w2"]
     twice = busy.groupBy(*window).agg(F.count("*").alias("c")).where("c > 1").select(*window)
     flags = flags.unionByName(busy.join(twice, window).select(*segment, F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
