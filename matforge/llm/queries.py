@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from matforge.llm.chat import OP10_SQL, op10_chat_format
 from matforge.llm.decontaminate import op1_decontamination
+from matforge.llm.html_text import op3_html_extraction
+from matforge.llm.licenses import op4_license_scan
 from matforge.llm.lm_score import op7_lm_scoring
+from matforge.llm.mtree import OP9_SQL, op9_mtree_topk
 from matforge.llm.packing import op6_best_fit_packing
 from matforge.llm.repeats import op5_suffix_array_dedup
 from matforge.llm.simhash import op8_simhash_near_dedup
@@ -12,10 +16,17 @@ from matforge.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_mtree_topk": op9_mtree_topk,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_mtree_topk": OP9_SQL,
+    "op10_chat_format": OP10_SQL,
+}
