@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from matforge.llm.common import components, read, written
+from matforge.llm.common import components, partitions_for, read, written
 
 BITS = 64
 SHINGLE = 3
 MAX_DISTANCE = 2
 #: A variant shared by more fingerprints than this takes the exact path for crowded variants.
 CROWD = 256
+#: Distinct fingerprints whose variants one task makes, about.
+PER_TASK = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -118,7 +120,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp"))
     own = written(own, "simhash-fingerprints")
-    fps = own.select("fp").distinct()
+    fps = written(own.select("fp").distinct(), "simhash-distinct")
+    fps = fps.repartition(partitions_for(fps.count(), PER_TASK))
     roots = components(links(fps, distance, crowd), "simhash")
     low = own.groupBy("fp").agg(F.min("id").alias("low"))
     root = F.coalesce("root", "fp")
