@@ -245,7 +245,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """docs: (k, doc_id, text), k a key of the row's content. Returns (k, doc_id, spans) for documents with repeats."""
     found = docs.mapInArrow(_anchor_rows(length, gram), f"k long, doc_id {dict(docs.dtypes)['doc_id']}, gram long, seg long, pos int, step int, n int")
     found = written(found, "repeats-anchors")
-    often = found.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram")
+    # Written, so that the join below deals rows of its own that Spark can split where one gram has many.
+    often = written(found.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram"), "repeats-often")
     many = written(found.join(often, "gram"), "repeats-shared")
     segment = ["gram", "seg"]
     own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("k", "doc_id", "pos")).alias("rep"))
