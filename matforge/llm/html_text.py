@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,9 +256,8 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with columns text and n_chars (code points) beside those it has; of these, ones with such names are replaced."""
     @F.pandas_udf("string")
-    def udf(batches: Iterator) -> Iterator:
-        for s in batches:
-            yield s.map(main_text, na_action=None) if len(s) else s
+    def udf(pages: pd.Series) -> pd.Series:
+        return pd.Series([main_text(x) for x in pages], dtype=object)
     return pages.withColumn("text", udf(F.col(html_col).cast("string"))).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -46,7 +46,8 @@ _MAP |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i)
 _MAP |= dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _ODD = re.compile("[­ıɐ-ʯͰ-֏​-‍⁠﻿０-ｚ]")
 _SIGN = re.compile(r"[0134578@$!|9]")
-_STANDIN = re.compile(r"(?<=[^\W\d_])[0-9@$!|](?=[0-9@$!|]*[^\W\d_])|(?<![^\s])[0-9@$!|](?=[0-9@$!|]?[^\W\d_])|(?<=[^\W\d_])[0-9]\b")
+_MIXED = re.compile(r"[^\W_]*(?:[0-9@$!|]+[^\W\d_]|[^\W\d_][0-9])[\w@$!|]*")
+_AS_LETTER = str.maketrans(SUBSTITUTES)
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -61,7 +62,7 @@ def fold(text: str | None) -> str:
     if not text.isascii() and _ODD.search(text):
         text = text.translate(_MAP)
     if _SIGN.search(text):
-        text = _STANDIN.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), text)
+        text = _MIXED.sub(lambda m: m[0].rstrip("@$!|").translate(_AS_LETTER), text)
     return f" {_LETTERS.sub(' ', text.lower()).strip()} ".replace("  ", " ")
 
 
