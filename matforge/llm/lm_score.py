@@ -30,10 +30,10 @@ from matforge.llm.common import id_remainder, partitions_for, read, written
 #: Weight of the lower order: a context seen so often trusts its bigrams and the word frequencies equally.
 CONTEXT_WEIGHT = 400.0
 #: Bytes of text in a lot, and keys that one merging task gets, about.
-LOT_BYTES = 16 << 20
+LOT_BYTES = 6 << 20
 KEYS_PER_TASK = 2_000_000
 #: Distinct words whose hash a task keeps at hand before it starts anew.
-CACHED = 500_000
+CACHED = 200_000
 END = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 WORDS, BIGRAMS, TEXTS = 0, 1, 2
