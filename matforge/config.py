@@ -79,7 +79,10 @@ LINE_ITEM_COLUMNS = (
 )
 
 # Date text formats tried in order (month first).
-DATE_FORMATS = ("MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy")
+DATE_FORMATS = ("MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy",
+                "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ssXXX",
+                "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "M/d/yyyy H:mm",
+                "M/d/yy")
 
 # Score weights: accuracy, macro F1, regression score.
 SCORE_WEIGHTS = (0.25, 0.25, 0.5)
@@ -107,6 +110,4 @@ class PlanConfig:
     schedule_keywords: tuple = SCHEDULE_PHASE_KEYWORDS
     plan_keywords: tuple = PLAN_PHASE_KEYWORDS
     default_phase: str = DEFAULT_PHASE
-    exact_quantiles: bool = True          # False: percentile_approx (bounded memory)
-    quantile_accuracy: int = 10000
     extra: dict = field(default_factory=dict)

@@ -86,9 +86,9 @@ def round_half_even(c: Column) -> Column:
 
 
 def plan_qty(c: Column, min_qty: int = 1) -> Column:
-    """C4: number, else number without thousands commas, else 1; then max(min, round half-even)."""
+    """C4: number, else number without thousands commas, else 1; then max(min, round half-even); beyond bigint: min."""
     q = F.coalesce(numeric_text(c), numeric_text(F.regexp_replace(c.cast("string"), ",", "")), F.lit(1.0))
-    return F.greatest(F.lit(float(min_qty)), round_half_even(q)).cast("bigint")
+    return F.coalesce(F.greatest(F.lit(float(min_qty)), round_half_even(q)).try_cast("bigint"), F.lit(min_qty).cast("bigint"))
 
 
 def first_truthy(*cols: Column) -> Column:
@@ -101,7 +101,7 @@ def link_qty(*candidates: Column) -> Column:
     """First truthy of the candidates, commas stripped, truncated to an integer; failure -> 1."""
     q = first_truthy(*candidates)
     num = numeric_text(F.regexp_replace(q.cast("string"), ",", ""))
-    return F.coalesce(F.when(F.abs(num) < 9.2e18, num.cast("bigint")), F.lit(1).cast("bigint"))
+    return F.coalesce(F.when(F.abs(num) < 9.2e18, num.try_cast("bigint")), F.lit(1).cast("bigint"))
 
 
 def master_item_int(c: Column) -> Column:
@@ -109,24 +109,34 @@ def master_item_int(c: Column) -> Column:
     s = F.regexp_replace(c.cast("string"), r"[,\s]", "")
     d = F.when(s.rlike(_NUMBER_RE), s.try_cast("double"))
     as_int = F.when(s.rlike(r"^\d+$"), s.try_cast("bigint"))
-    integral = F.when((d == F.floor(d)) & (F.abs(d) < 9.2e18), d.cast("bigint"))
+    integral = F.when((d == F.rint(d)) & (F.abs(d) < 9.2e18), d.try_cast("bigint"))
     return F.coalesce(as_int, integral)
 
 
 def canonical_item_key(c: Column) -> Column:
     """C6 (key form): one string key per item on every side of a join.
 
-    Integral numbers lose any '.0' and separators ('258.0', ' 258 ', '12,345' -> '258', '258', '12345');
-    other text is kept trimmed ('COPPER_CAT6A_7FT').
+    Only what a number format adds is taken off: thousands commas, '.0', and the exponent that a double's text has
+    from ten million on ('258.0', ' 258 ', '12,345', '1.2E7' -> '258', '258', '12345', '12000000'). All else is kept
+    trimmed, so that '007', '1E5' and '12 34' stay different from '7', '100000' and '1234'.
     """
     t = F.trim(c.cast("string"))
-    return F.when(t != "", F.coalesce(master_item_int(t).cast("string"), t))
+    bare = F.when(t.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.0*)?$"), F.regexp_replace(t, ",", "")).otherwise(t)
+    bare = F.when(bare.rlike(r"^[+-]?\d+\.0*$"), F.regexp_replace(bare, r"\.0*$", "")).when(
+        bare.rlike(r"^-?\d\.\d+E\d+$") & (bare.try_cast("double") == F.rint(bare.try_cast("double"))),
+        F.coalesce(bare.try_cast("double").try_cast("bigint").cast("string"), bare)).otherwise(bare)
+    return F.when(t != "", bare)
 
 
-def parse_date(c: Column, formats=DATE_FORMATS) -> Column:
-    """Month-first date text (or a timestamp) -> DATE; bad input -> null."""
+def parse_timestamp(c: Column, formats=DATE_FORMATS) -> Column:
+    """Month-first or ISO date text (or a timestamp) with its time of day; bad input -> null."""
     s = F.trim(c.cast("string"))
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]))
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+
+
+def parse_date(c: Column, formats=DATE_FORMATS) -> Column:
+    """The day of ``parse_timestamp``."""
+    return F.to_date(parse_timestamp(c, formats))
 
 
 def calendar_features(d: Column, prefix: str) -> dict[str, Column]:
@@ -140,8 +150,8 @@ def calendar_features(d: Column, prefix: str) -> dict[str, Column]:
 
 
 def day_diff(end: Column, start: Column) -> Column:
-    """Whole days between two dates."""
-    return F.datediff(end, start)
+    """Whole days between two timestamps, rounded down as a time difference's days are."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 86_400_000_000).cast("int")
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -3,8 +3,8 @@
 * Target encoding and per-item linear models are built from grouped sufficient
   statistics (counts, sums, X'X, X'y): map-side combinable, exact, and a hot item only
   contributes one partial row per map task — no group is collected into one task.
-* Only bounded tables are broadcast: per-item coefficients (top-K items), label codes
-  join through a shuffle join that AQE may turn into a broadcast at run time.
+* Per-item coefficients and label codes join through a shuffle join that AQE may turn
+  into a broadcast at run time; only one-row frames are broadcast outright.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from matforge.operators.stats import global_median, median_per_item, most_freque
 DEFAULT_ITEM = 101
 DEFAULT_QTY = 1.0
 N_FOLDS = 4
-TOP_K_ITEMS = 50
 MIN_ITEM_ROWS = 20
 
 
@@ -72,38 +71,14 @@ def group_fold(group: Column, n_folds: int = N_FOLDS) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# M6 classifier (per-fold multinomial naive Bayes on term counts, averaged)
+# M6 classifier (one model per fold, averaged)
 # ---------------------------------------------------------------------------
 
-def text_count_pipeline(text: str = "text", vocab_size: int = 15000):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer
-
-    from matforge.operators.text import TOKEN_RE
-
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_RE, gaps=False, toLowercase=True, minTokenLength=2),
-        NGram(n=2, inputCol="_tok", outputCol="_bi"),
-        SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="features", vocabSize=vocab_size),
-    ])
-
-
-def fit_fold_classifiers(df: DataFrame, label: str, fold: str, n_folds: int = N_FOLDS, smoothing: float = 1.0):
-    """One NaiveBayes per fold, each trained on the other folds (features must exist)."""
-    from pyspark.ml.classification import NaiveBayes
-
-    models = []
-    for f in range(n_folds):
-        train = df.where(F.col(fold) != f)
-        models.append(NaiveBayes(featuresCol="features", labelCol=label, smoothing=smoothing,
-                                 modelType="multinomial").fit(train))
-    return models
-
-
 def predict_fold_average(models, df: DataFrame, keep: list[str]) -> DataFrame:
     """Average the fold models' class probabilities and take the arg-max (ties -> lowest class).
 
+    A fold without the last labels gives a shorter vector; its missing classes have probability 0.
+
     The fold models are applied one after another to the same rows (each writes its own
     probability column), so the average is one projection: no joins, no shuffle.
     """
@@ -118,7 +93,7 @@ def predict_fold_average(models, df: DataFrame, keep: list[str]) -> DataFrame:
         probs.append(f"_p{i}")
     avg = F.col(probs[0])
     for p in probs[1:]:
-        avg = F.zip_with(avg, F.col(p), lambda a, b: a + b)
+        avg = F.zip_with(avg, F.col(p), lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
     avg = F.transform(avg, lambda x: x / float(len(probs)))
     out = out.select(*keep, avg.alias("probability"))
     best = F.array_position(F.col("probability"), F.array_max(F.col("probability"))) - 1
@@ -137,7 +112,7 @@ def fit_global_regressor(df: DataFrame, feature_cols: list[str], target: str, ma
 
     return Pipeline(stages=[
         VectorAssembler(inputCols=feature_cols, outputCol="_x", handleInvalid="keep"),
-        GBTRegressor(featuresCol="_x", labelCol=target, maxIter=max_iter, seed=seed, lossType="absolute"),
+        GBTRegressor(featuresCol="_x", labelCol=target, maxIter=max_iter, seed=seed, lossType="squared"),
     ]).fit(df)
 
 
@@ -145,25 +120,26 @@ def fit_global_regressor(df: DataFrame, feature_cols: list[str], target: str, ma
 # M8 per-item linear models from sufficient statistics; J10 scoring
 # ---------------------------------------------------------------------------
 
-def top_items(df: DataFrame, item: str, k: int = TOP_K_ITEMS, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
-    """The k most frequent items (ties by key) that have at least ``min_rows`` rows."""
-    top = df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(item).asc()).limit(k)
-    return top.where(F.col("n") >= min_rows)
+def top_items(df: DataFrame, item: str, k: int | None = None, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
+    """Items that have at least ``min_rows`` rows; with ``k`` the k most frequent of them (ties by key)."""
+    top = df.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    return top if k is None else top.orderBy(F.col("n").desc(), F.col(item).asc()).limit(k)
 
 
 def fit_item_regressors(df: DataFrame, item: str, feature_cols: list[str], target: str, ridge: float = 1e-3,
-                        k: int = TOP_K_ITEMS, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
-    """(item, coef array) ridge fits for the top-K items.
+                        k: int | None = None, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
+    """(item, coef array) ridge fits for every item with ``min_rows`` rows (with ``k``: the k most frequent).
 
     X'X and X'y are summed per item by Spark (exact, skew-safe); only the d x d solve runs
     in pandas, one small row per item.
     """
     d = len(feature_cols) + 1
     xs = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols]
-    sel = df.join(F.broadcast(top_items(df, item, k, min_rows).select(item)), item)  # <= k rows
     aggs = [F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)]
     aggs += [F.sum(xs[i] * F.col(target).cast("double")).alias(f"xy_{i}") for i in range(d)]
-    stats = sel.groupBy(item).agg(*aggs)
+    stats = df.groupBy(item).agg(F.count(F.lit(1)).alias("_n"), *aggs).where(F.col("_n") >= min_rows)
+    if k is not None:
+        stats = stats.orderBy(F.col("_n").desc(), F.col(item).asc()).limit(k)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -184,7 +160,7 @@ def fit_item_regressors(df: DataFrame, item: str, feature_cols: list[str], targe
 def score_linear(df: DataFrame, coefs: DataFrame, item: str, feature_cols: list[str], name: str = "q_item") -> DataFrame:
     """Dot product with the item's coefficients (null when the item has no model)."""
     xs = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols])
-    j = df.join(F.broadcast(coefs.withColumnRenamed(item, "_ci")), df[item] == F.col("_ci"), "left")  # <= K rows
+    j = df.join(coefs.withColumnRenamed(item, "_ci"), df[item] == F.col("_ci"), "left")
     dot = F.aggregate(F.zip_with(F.col("coef"), xs, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     return j.withColumn(name, F.when(F.col("coef").isNotNull(), dot)).drop("_ci", "coef")
 
@@ -214,13 +190,10 @@ def decode_items(pred: DataFrame, codes: DataFrame, code_col: str = "pred_code")
 
 def baseline_predictions(test: DataFrame, train: DataFrame, id_col: str = "id") -> DataFrame:
     """Every test row gets the modal item (ties -> smallest number) and the median quantity."""
-    top = most_frequent_item(train.withColumn("MasterItemNo", numeric_text(F.col("MasterItemNo")).cast("bigint")))
+    top = most_frequent_item(train.withColumn("MasterItemNo", numeric_text(F.col("MasterItemNo")).try_cast("bigint")))
     med = global_median(train, "QtyShipped", DEFAULT_QTY)
     const = top.crossJoin(med).select(
-        F.coalesce(F.col("item_key").cast("bigint"), F.lit(DEFAULT_ITEM).cast("bigint")).alias("MasterItemNo"),
+        F.coalesce(F.col("item_key").try_cast("bigint"), F.lit(DEFAULT_ITEM).cast("bigint")).alias("MasterItemNo"),
         F.col("global_median").alias("QtyShipped"))
     return test.select(F.col(id_col).cast("bigint").alias("id")).crossJoin(F.broadcast(const))  # one row
 
-
-def item_key_of(c: Column) -> Column:
-    return canonical_item_key(c)

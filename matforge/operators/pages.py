@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 ANCHOR_RE = r'(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 LOOSE_LINK_WORDS = ("detail", "company", "supplier")
+# The JVM's \d and \w are ASCII only, so the classes that they stand for are spelled out; the white space is ASCII.
 PHONE_RE = r"(\+?\p{Nd}{2,4}[-\t\n\f\r ]?)?(\p{Nd}{6,12})"
 EMAIL_RE = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 DEFAULT_COMPANY = "Vendor"
-MAX_PER_PAGE = 8
 
 
 def html_text(c: Column) -> Column:
@@ -41,9 +41,9 @@ def _anchors(html: Column) -> Column:
     return F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
 
 
-def page_vendors(pages: DataFrame, max_per_page: int = MAX_PER_PAGE, base: str | None = None,
+def page_vendors(pages: DataFrame, max_per_page: int | None = None, base: str | None = None,
                  keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """X1 + V2: anchors -> (company, absolute url, source); distinct by company+href, first
+    """X1 + V2: anchors -> (company, absolute url, source); distinct by company+href, all of them or the first
     ``max_per_page`` per page, ``rank`` = position among the kept vendors of the page."""
     origin = F.lit(base) if base else page_origin(F.col("url"))
     a = F.transform(_anchors(F.col("html")), lambda x: F.struct(
@@ -53,7 +53,7 @@ def page_vendors(pages: DataFrame, max_per_page: int = MAX_PER_PAGE, base: str |
     # keep the first occurrence of every key (index-aware filter, all inside the row)
     keys = F.transform(a, lambda x: x["key"])
     firsts = F.filter(a, lambda x, i: ~F.array_contains(F.slice(keys, 1, i), x["key"]))
-    capped = F.slice(firsts, 1, max_per_page)
+    capped = firsts if max_per_page is None else F.slice(firsts, 1, max_per_page)
     out = pages.select(*keep, F.col("url").alias("page_url"), origin.alias("_origin"),
                        F.posexplode(capped).alias("rank", "v"))
     href = F.col("v.href")
@@ -62,7 +62,7 @@ def page_vendors(pages: DataFrame, max_per_page: int = MAX_PER_PAGE, base: str |
                       F.regexp_extract(F.col("page_url"), r"^https?://([^/?#]+)", 1).alias("source"))
 
 
-def loose_links(pages: DataFrame, words=LOOSE_LINK_WORDS, max_per_page: int = MAX_PER_PAGE,
+def loose_links(pages: DataFrame, words=LOOSE_LINK_WORDS, max_per_page: int | None = None,
                 base: str | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Anchors whose href names a detail/company/supplier page and whose text is not empty."""
     origin = F.lit(base) if base else page_origin(F.col("url"))
@@ -73,7 +73,8 @@ def loose_links(pages: DataFrame, words=LOOSE_LINK_WORDS, max_per_page: int = MA
             cond = cond | x["href"].contains(w)
         return cond & (html_text(x["text"]) != "")
 
-    a = F.slice(F.filter(_anchors(F.col("html")), wanted), 1, max_per_page)
+    a = F.filter(_anchors(F.col("html")), wanted)
+    a = a if max_per_page is None else F.slice(a, 1, max_per_page)
     out = pages.select(*keep, origin.alias("_origin"), F.posexplode(a).alias("rank", "v"))
     href = F.col("v.href")
     return out.select(*keep, (F.col("rank") + 1).alias("rank"), html_text(F.col("v.text")).alias("company"),

@@ -27,7 +27,7 @@ def plan_input(items: DataFrame) -> DataFrame:
     if "QtyShipped" not in items.columns and "Qty" in items.columns:
         items = items.withColumnRenamed("Qty", "QtyShipped")
     if "MasterItemNo" not in items.columns:
-        raise ValueError("Input items missing MasterItemNo column.")  # S8
+        raise ValueError(f"plan input needs a MasterItemNo column, found {items.columns}")  # S8
     return items
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from matforge.config import CATEGORICAL_COLUMNS, CURRENCY_COLUMNS, DATE_COLUMNS, QUANTITY_COLUMNS, PlanConfig
 from matforge.functions.cleaning import (calendar_features, clean_currency, clean_text, col_or_null, day_diff,
-                                         is_numeric_type, parse_date, safe_ratio, safe_to_numeric, to_numeric)
-from matforge.operators.stats import quantile_row
+                                         is_numeric_type, parse_timestamp, safe_ratio, safe_to_numeric, to_numeric)
+from matforge.operators.stats import project_frequency, quantile_row
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def clean_columns(df: DataFrame) -> DataFrame:
             new[f"{c}_clean"] = safe_to_numeric(F.col(c), is_numeric_type(df, c))
     for c in DATE_COLUMNS:
         if c in df.columns:
-            new[f"{c}_dt"] = parse_date(F.col(c))
+            new[f"{c}_dt"] = parse_timestamp(F.col(c))
     df = df.withColumns(new)
     new = {}
     if "invoiceDate_dt" in df.columns:
@@ -62,7 +62,7 @@ def preprocess(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
         specs.append(("_p75", F.col("SIZE_BUILDINGSIZE_clean"), 0.75))
     if not specs:
         return df
-    stats_row = quantile_row(df, specs, cfg.exact_quantiles)
+    stats_row = quantile_row(df, specs)
     out = df.crossJoin(F.broadcast(stats_row))  # one row
     if has_size:
         out = out.withColumn("is_large_project",
@@ -78,10 +78,7 @@ def basic_features(df: DataFrame) -> DataFrame:
     cols["SIZE_BUILDINGSIZE_num"] = F.coalesce(size, F.lit(0.0))
     out = df.withColumns(cols)
     if "PROJECTNUMBER" in df.columns:
-        key = F.coalesce(F.col("PROJECTNUMBER").cast("string"), F.lit("NA"))
-        keyed = out.withColumn("_proj", key)
-        counts = keyed.groupBy("_proj").agg(F.count(F.lit(1)).alias("PROJECT_FREQ"))
-        out = keyed.join(counts, "_proj").drop("_proj")
+        out = project_frequency(out)
     else:
         out = out.withColumn("PROJECT_FREQ", F.lit(0).cast("bigint"))
     return out

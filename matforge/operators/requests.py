@@ -31,15 +31,21 @@ def _variant_text(v: Column, path: str) -> Column:
 def parse_requests(lines: DataFrame, col: str = "value") -> DataFrame:
     """JSON documents in any accepted shape -> one row per request (text fields).
 
-    Shapes: ``{"requests": [..]}``, ``{"data": [..]}``, ``[..]``, a single object, a JSON
-    string holding an object, or a bare scalar (-> ``{"id": value, "status": "Pending"}``).
+    Shapes: ``{"requests": [..]}``, ``{"data": [..]}``, ``[..]``, an object of requests by any keys, a single
+    object, a JSON string holding an object, or a bare scalar (-> ``{"id": value, "status": "Pending"}``).
     ``seq`` keeps document order: (line position, element position).
     """
     doc = F.try_parse_json(F.col(col))
     d = lines.select(F.monotonically_increasing_id().alias("_line"), doc.alias("_d")).where(F.col("_d").isNotNull())
+    # an object of objects that look like requests holds one request under each of its keys
+    fields = F.try_variant_get("_d", "$", "map<string, variant>")
+    inner = F.filter(F.map_values(fields), lambda v: F.schema_of_variant(v).startswith("OBJECT")
+                     & F.coalesce(F.try_variant_get(v, "$.item", "string"), F.try_variant_get(v, "$.id", "string")).isNotNull())
+    own = F.coalesce(*[F.try_variant_get("_d", f"$.{f}", "string") for f in REQUEST_FIELDS]).isNotNull()
     arr = F.coalesce(F.try_variant_get("_d", "$.requests", "array<variant>"),
                      F.try_variant_get("_d", "$.data", "array<variant>"),
                      F.try_variant_get("_d", "$", "array<variant>"),
+                     F.when(~own & (F.size(inner) > 0), inner),
                      F.array(F.col("_d")))
     e = d.select("_line", F.posexplode(arr).alias("_pos", "_r"))
     # an element that is a JSON string holding a document is parsed once more
@@ -59,7 +65,7 @@ def normalize_requests(raw: DataFrame, order: list[str]) -> DataFrame:
     document ``order``), status default 'Pending'."""
     rid = F.trim(F.col("id").cast("string"))
     r = raw.withColumn("_raw_id", F.when(rid.rlike(r"^[+-]?\d+$"), rid.try_cast("bigint"))
-                       .when(rid.rlike(r"^[+-]?\d+\.0*$"), rid.try_cast("double").cast("bigint")))
+                       .when(rid.rlike(r"^[+-]?\d+\.0*$"), rid.try_cast("double").try_cast("bigint")))
     r = running_id_fold(r.drop("id"), order, "_raw_id", "id").drop("_raw_id")
     return r.withColumn("status", F.coalesce(col_or_null(r, "status"), F.lit("Pending")))
 

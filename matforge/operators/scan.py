@@ -53,28 +53,24 @@ def sequential_ids(df: DataFrame, order: list[Column | str], name: str = "id", s
 
 
 def _local_fold(batches):
-    """Per-partition prefix scan (runs in one task over that partition's Arrow batches)."""
+    """Per-partition prefix scan (runs in one task over that partition's Arrow batches), in 64-bit integers."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
     from pyspark import TaskContext
 
     pid = TaskContext.get().partitionId()
-    e_carry, m_carry = 0, None
-    for pdf in batches:
-        x = pdf["_x"]
-        missing = x.isna().to_numpy()
+    none = np.iinfo(np.int64).min  # no id row yet
+    e_carry, m_carry = 0, none
+    for batch in batches:
+        x = batch["_x"]
+        missing = np.asarray(x.is_null())
         e = np.cumsum(missing) + e_carry
-        diff = (x - e).to_numpy(dtype="float64", na_value=np.nan)
-        diff = np.where(missing, -np.inf, diff)
-        m = np.maximum.accumulate(diff) if len(diff) else diff
-        if m_carry is not None:
-            m = np.maximum(m, m_carry)
-        if len(pdf):
-            e_carry, m_carry = int(e[-1]), float(m[-1])
-        # -inf (no id row yet) leaves as null, not NaN: Spark orders NaN above every number
-        m_out = pd.arrays.FloatingArray(np.where(np.isneginf(m), 0.0, m), mask=np.isneginf(m))
-        pdf = pdf.assign(_pid=pid, _e=e.astype("int64"), _m=m_out)
-        yield pdf
+        m = np.where(missing, none, np.asarray(x.fill_null(0), dtype=np.int64) - e)
+        m = np.maximum(np.maximum.accumulate(m), m_carry) if len(m) else m
+        if len(m):
+            e_carry, m_carry = int(e[-1]), int(m[-1])
+        cols = [pa.array(np.full(len(m), pid, dtype=np.int32)), pa.array(e.astype(np.int64)), pa.array(m, mask=m == none)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_pid", "_e", "_m"])
 
 
 def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name: str = "id",
@@ -90,8 +86,8 @@ def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name:
     base = df.withColumn("_x", F.col(raw_id).cast("bigint"))
     s = _range_sorted(base, order, num_partitions)
     schema = T.StructType(base.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_e", T.LongType()),
-                                                T.StructField("_m", T.DoubleType())])
-    s = _materialise(s.mapInPandas(_local_fold, schema))
+                                                T.StructField("_m", T.LongType())])
+    s = _materialise(s.mapInArrow(_local_fold, schema))
     tot = s.groupBy("_pid").agg(F.max("_e").alias("_ce"), F.max("_m").alias("_cm"))
     pw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     tot = tot.select("_pid", "_cm", F.coalesce(F.sum("_ce").over(pw), F.lit(0)).alias("_pe"))
@@ -99,8 +95,7 @@ def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name:
     tot = tot.select("_pid", "_pe", F.max(F.col("_cm") - F.col("_pe")).over(pw).alias("_pg"))
     out = s.join(F.broadcast(tot), "_pid")
     e_glob = F.col("_pe") + F.col("_e")
-    m_glob = F.greatest(F.lit(0.0), F.coalesce(F.col("_pg"), F.lit(0.0)),
-                        F.coalesce(F.col("_m") - F.col("_pe"), F.lit(0.0)))
+    m_glob = F.greatest(F.lit(0), F.coalesce(F.col("_pg"), F.lit(0)), F.coalesce(F.col("_m") - F.col("_pe"), F.lit(0)))
     out = out.withColumn(name, F.when(F.col("_x").isNotNull(), F.col("_x"))
                          .otherwise((e_glob + m_glob).cast("bigint")).cast("bigint"))
     return out.drop("_x", "_pid", "_e", "_m", "_pe", "_pg")

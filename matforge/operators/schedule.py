@@ -18,6 +18,7 @@ from matforge.config import (DEFAULT_PHASE, PHASE_RESOURCE, PHASE_TYPE, PROCUREM
 from matforge.functions.cleaning import (canonical_item_key, col_or_null, empty_to_null, parse_date,
                                          timeline_task_name, zero_to_null)
 from matforge.operators.stats import demand_per_item
+from matforge.sources.readers import csv_reader
 from matforge.operators.vendors import schedule_policy, tasks_policy, with_schedule_vendor
 
 MAX_SCHEDULE_ROWS = 10_000  # size bound checked before a schedule is broadcast
@@ -53,7 +54,7 @@ def read_schedule(spark: SparkSession, path: str | None, cfg: PlanConfig = PlanC
     """Schedule CSV if it exists and has the needed columns, else the default schedule."""
     if path:
         try:
-            raw = spark.read.option("header", True).csv(path)
+            raw = csv_reader(spark).csv(path)
             norm = normalize_schedule(raw)
             if norm is not None:
                 return norm.orderBy("ord")

@@ -15,14 +15,6 @@ from matforge.functions.cleaning import canonical_item_key, numeric_text
 from matforge.operators.scan import sequential_ids
 
 
-def quantile(c: Column | str, q: float, exact: bool = True, accuracy: int = 10000) -> Column:
-    """Interpolated quantile (pandas ``quantile``); ``exact=False`` uses a bounded-memory sketch."""
-    c = F.col(c) if isinstance(c, str) else c
-    if exact:
-        return F.percentile(c, F.lit(q))
-    return F.percentile_approx(c, F.lit(q), F.lit(accuracy)).cast("double")
-
-
 def demand_per_item(pred: DataFrame, item: str = "MasterItemNo", qty: str = "QtyShipped") -> DataFrame:
     """A1: total predicted quantity per item (rows without an item are dropped, as groupby does)."""
     return (pred.select(canonical_item_key(F.col(item)).alias("item_key"), F.col(qty).cast("double").alias("_q"))
@@ -30,17 +22,16 @@ def demand_per_item(pred: DataFrame, item: str = "MasterItemNo", qty: str = "Qty
             .groupBy("item_key").agg(F.sum("_q").alias("Qty")))
 
 
-def median_per_item(train: DataFrame, item: str = "MasterItemNo", qty: str = "QtyShipped",
-                    exact: bool = True) -> DataFrame:
+def median_per_item(train: DataFrame, item: str = "MasterItemNo", qty: str = "QtyShipped") -> DataFrame:
     """A2: median numeric quantity per item; unparsable quantities ignored."""
     return (train.select(canonical_item_key(F.col(item)).alias("item_key"), numeric_text(F.col(qty)).alias("_q"))
             .where(F.col("item_key").isNotNull())
-            .groupBy("item_key").agg(quantile("_q", 0.5, exact).alias("median_qty")))
+            .groupBy("item_key").agg(F.percentile("_q", F.lit(0.5)).alias("median_qty")))
 
 
-def global_median(train: DataFrame, qty: str = "QtyShipped", default: float = 1.0, exact: bool = True) -> DataFrame:
+def global_median(train: DataFrame, qty: str = "QtyShipped", default: float = 1.0) -> DataFrame:
     """A3: one-row frame with the median numeric quantity (``default`` when none parses)."""
-    med = quantile_row(train, [("_m", numeric_text(F.col(qty)), 0.5)], exact)
+    med = quantile_row(train, [("_m", numeric_text(F.col(qty)), 0.5)])
     return med.select(F.coalesce(F.col("_m"), F.lit(float(default))).alias("global_median"))
 
 
@@ -86,25 +77,14 @@ def top_k_values(df: DataFrame, value: Column, k: int, name: str = "value") -> D
             .orderBy(F.col("count").desc(), F.col(name).asc_nulls_last()).limit(k))
 
 
-def large_project_flag(df: DataFrame, size_col: str, q: float = 0.75, exact: bool = True) -> DataFrame:
+def large_project_flag(df: DataFrame, size_col: str, q: float = 0.75) -> DataFrame:
     """``is_large_project`` = size above the 75th percentile (missing -> 0)."""
-    th = quantile_row(df, [("_th", F.col(size_col), q)], exact)
+    th = quantile_row(df, [("_th", F.col(size_col), q)])
     out = df.crossJoin(F.broadcast(th))  # one row
     out = out.withColumn("is_large_project", F.coalesce((F.col(size_col) > F.col("_th")).cast("int"), F.lit(0)))
     return out.drop("_th")
 
 
-def impute_medians(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
-    """Fill every listed numeric column with its own median, one global aggregate for all."""
-    if not cols:
-        return df
-    meds = quantile_row(df, [(f"_med_{i}", F.col(c), 0.5) for i, c in enumerate(cols)], exact)
-    out = df.crossJoin(F.broadcast(meds))  # one row
-    for i, c in enumerate(cols):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{i}")))
-    return out.drop(*[f"_med_{i}" for i in range(len(cols))])
-
-
 def project_frequency(df: DataFrame, project: str = "PROJECTNUMBER", name: str = "PROJECT_FREQ") -> DataFrame:
     """Rows per project on every row (missing project counted as 'NA').
 
@@ -118,10 +98,9 @@ def project_frequency(df: DataFrame, project: str = "PROJECTNUMBER", name: str =
     return keyed.join(counts, "_proj").drop("_proj")
 
 
-def count_distinct(df: DataFrame, col: str, exact: bool = True, name: str = "n_distinct") -> DataFrame:
-    """A10: distinct non-null values (``exact=False``: HyperLogLog++ sketch)."""
-    f = F.countDistinct(col) if exact else F.approx_count_distinct(col)
-    return df.agg(f.alias(name))
+def count_distinct(df: DataFrame, col: str, name: str = "n_distinct") -> DataFrame:
+    """A10: distinct non-null values."""
+    return df.agg(F.countDistinct(col).alias(name))
 
 
 def schedule_bounds(schedule: DataFrame) -> DataFrame:
@@ -136,42 +115,33 @@ def label_codes(df: DataFrame, label: str = "MasterItemNo") -> DataFrame:
     return out.withColumn("code1", F.col("code") + 1)
 
 
-def quantile_row(df: DataFrame, specs: list[tuple[str, Column, float]], exact: bool = True,
-                 accuracy: int = 10000) -> DataFrame:
-    """One-row frame of global quantiles, ``specs`` = [(alias, value expression, q), ...].
+#: Rank error of the sketches that bracket a quantile, as a share of the rows: 1 / BRACKET.
+BRACKET = 10_000
+
+
+def quantile_row(df: DataFrame, specs: list[tuple[str, Column, float]]) -> DataFrame:
+    """One-row frame of exact global quantiles, ``specs`` = [(alias, value expression, q), ...].
 
-    Exact and distributed: all values of all columns are stacked as (column, value), sorted
-    once by a range shuffle, ranked with per-partition offsets (``sequential_ids``), and the
-    two neighbouring ranks of each target position are picked and interpolated
-    (lo + (hi - lo) * frac, pandas/DuckDB ``quantile_cont``). No task ever holds more than its
-    own partition; the tables joined back have one row per column or per spec. ``exact=False``
-    uses ``percentile_approx`` sketches instead.
+    A quantile sketch, combined map-side, brackets each target rank: its error is a known share of the rows, and the
+    bracket is twice as wide. A second aggregate counts the rows below each bracket and those of each value inside it,
+    so only the few values around the target are ordered, and the neighbouring ranks are interpolated
+    (lo + (hi - lo) * frac). Nothing is sorted, collected or checkpointed, and no job runs before the action.
     """
-    if not exact:
-        return df.agg(*[quantile(e, q, False, accuracy).alias(a) for a, e, q in specs])
-    spark = df.sparkSession
-    exprs, col_of = [], []
-    for _, e, _ in specs:
-        key = str(e)
-        if key not in [str(x) for x in exprs]:
-            exprs.append(e)
-        col_of.append([str(x) for x in exprs].index(key))
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), e.cast("double").alias("v"))
-                                            for i, e in enumerate(exprs)])).alias("x")).select("x.c", "x.v")
-    stacked = stacked.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    ranked = sequential_ids(stacked, ["c", "v"], name="_g", start=0)
-    counts = stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    spec_rows = spark.createDataFrame([(k, col_of[k], float(q)) for k, (_, _, q) in enumerate(specs)],
-                                      "k int, c int, q double")
-    w = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # one row per column
-    starts = counts.select("c", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("s"))
-    pos = (F.col("n") - 1) * F.col("q")
-    targets = spec_rows.join(starts, "c").select(
-        "k", "c", (F.col("s") + F.floor(pos)).alias("lo"), (F.col("s") + F.ceil(pos)).alias("hi"),
-        (pos - F.floor(pos)).alias("frac"))
-    hits = ranked.join(F.broadcast(targets), "c").where((F.col("_g") == F.col("lo")) | (F.col("_g") == F.col("hi")))
-    per = hits.groupBy("k").agg(F.max(F.when(F.col("_g") == F.col("lo"), F.col("v"))).alias("lv"),
-                                F.max(F.when(F.col("_g") == F.col("hi"), F.col("v"))).alias("hv"),
-                                F.first("frac").alias("frac"))
-    per = per.select("k", (F.col("lv") + (F.col("hv") - F.col("lv")) * F.col("frac")).alias("value"))
-    return per.agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(a) for k, (a, _, _) in enumerate(specs)])
+    values = [F.when(~F.isnan(e.cast("double")), e.cast("double")) for _, e, _ in specs]
+    held = df.select(*(v.alias(f"v{k}") for k, v in enumerate(values)))
+    near = [F.percentile_approx(f"v{k}", F.array(F.lit(max(0.0, q - 2 / BRACKET)), F.lit(min(1.0, q + 2 / BRACKET))), F.lit(BRACKET)).alias(f"b{k}")
+            for k, (_, _, q) in enumerate(specs)]
+    bounds = held.agg(*near, *(F.count(f"v{k}").alias(f"n{k}") for k in range(len(specs))))
+    rows = held.crossJoin(F.broadcast(bounds))  # one row
+    inside = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v"), F.col(f"b{k}")[0].alias("lo"), F.col(f"b{k}")[1].alias("hi"))
+                       for k in range(len(specs))))
+    part = rows.select(F.explode(F.filter(inside, lambda x: x["v"] <= x["hi"])).alias("x"))
+    counts = part.groupBy(F.col("x.k").alias("k"), F.when(F.col("x.v") >= F.col("x.lo"), F.col("x.v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).crossJoin(F.broadcast(bounds))  # one row
+    out = []
+    for k, (name, _, q) in enumerate(specs):
+        pos = (F.col(f"n{k}") - 1) * F.lit(float(q))
+        lo, hi = (F.min(F.when((F.col("k") == k) & F.col("v").isNotNull() & (F.col("upto") > r), F.col("v"))) for r in (F.floor(pos), F.ceil(pos)))
+        out.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
+    return ranked.agg(*out)

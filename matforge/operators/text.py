@@ -2,8 +2,8 @@
 
 TF-IDF is declared as DataFrame aggregation: tokens are exploded, counted per
 (document, term) — combined map-side because a document's tokens come from one row —
-then per term. The vocabulary is a top-k report (k is the feature's cap), so the
-broadcast of it is bounded by k, not by the corpus.
+then per term. The vocabulary holds every term unless a size is given, so it joins by shuffle;
+AQE broadcasts it where it is small.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Token rule (two or more word characters) and the vocabulary caps.
+# Token rule (two or more word characters) and the vocabulary size of the decomposition.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
-DEFAULT_MAX_FEATURES = 20000
 TRAIN_MAX_FEATURES = 15000
 SVD_COMPONENTS = 50
 
@@ -36,26 +35,29 @@ def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return e.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int = DEFAULT_MAX_FEATURES) -> DataFrame:
-    """(term, idx, idf): top ``max_features`` terms by corpus count (ties by term), smooth idf
-    ln((1 + n) / (1 + df)) + 1; ``idx`` numbers the kept terms alphabetically from 0."""
+def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None = None) -> DataFrame:
+    """(term, df, idf): every term, or the top ``max_features`` by corpus count (ties by term), with smooth idf
+    ln((1 + n) / (1 + df)) + 1. A vocabulary of a given size also has ``idx``, its terms numbered alphabetically from 0."""
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
+    top = stats if max_features is None else stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
     vocab = top.crossJoin(F.broadcast(n_docs)).select(
         "term", "df", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    if max_features is None:
+        return vocab
     # the vocabulary has at most max_features rows, so one ordered window over it is bounded
     return vocab.withColumn("idx", (F.dense_rank().over(Window.orderBy("term")) - 1).cast("int"))
 
 
 def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, term, idx, weight): tf * idf, L2-normalised per document over kept terms."""
-    w = tf.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    # a document's kept terms are at most the vocabulary cap: one window per document is bounded
+    """(doc_id, term, weight, and idx if the vocabulary has it): tf * idf, L2-normalised per document over kept terms."""
+    idx = [c for c in ("idx",) if c in vocab.columns]
+    w = tf.join(vocab.select("term", "idf", *idx), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # a document's terms come from one text: the window is bounded by it
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", "idx", (F.col("w") / norm).alias("weight"))
+    return w.select("doc_id", "term", *idx, (F.col("w") / norm).alias("weight"))
 
 
-def fit_tfidf(docs: DataFrame, max_features: int = DEFAULT_MAX_FEATURES, doc_id: str = "doc_id",
+def fit_tfidf(docs: DataFrame, max_features: int | None = None, doc_id: str = "doc_id",
               text: str = "text") -> tuple[DataFrame, DataFrame]:
     """M1: (vocabulary table, long weight table)."""
     tf = term_counts(docs, doc_id, text)

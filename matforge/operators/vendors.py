@@ -32,7 +32,7 @@ CATALOGUE_ITEM = T.StructType([
 
 
 def _int_text(c):
-    return F.when(F.trim(c).rlike(r"^[+-]?\d+(\.0*)?$"), F.trim(c).try_cast("double").cast("int"))
+    return F.when(F.trim(c).rlike(r"^[+-]?\d+(\.0*)?$"), F.trim(c).try_cast("double").try_cast("int"))
 
 
 def flatten_catalogue(items: DataFrame, key: str = "MasterItemNo", vendors: str = "vendors") -> DataFrame:
@@ -56,17 +56,17 @@ def flatten_catalogue(items: DataFrame, key: str = "MasterItemNo", vendors: str
 
 
 def parse_catalogue_lines(lines: DataFrame, shape: str = "items", col: str = "value") -> DataFrame:
-    """S3 over JSON text: ``items`` = one ``{"MasterItemNo":..,"vendors":[..]}`` per line (or a
-    whole ``{"items":[..]}`` document per line), ``keyed`` = ``{"<item>": [vendors..]}``."""
+    """S3 over JSON text: ``items`` = one ``{"MasterItemNo":..,"vendors":[..]}`` per line, or a whole
+    ``{"items":[..]}`` or ``[..]`` document; ``keyed`` = ``{"<item>": [vendors..]}``."""
     if shape == "keyed":
         m = F.from_json(F.col(col), T.MapType(T.StringType(), T.ArrayType(VENDOR_STRUCT)))
         items = lines.select(F.explode(m).alias("MasterItemNo", "vendors"))
         return flatten_catalogue(items)
     doc = F.from_json(F.col(col), T.StructType(CATALOGUE_ITEM.fields + [T.StructField("items", T.ArrayType(CATALOGUE_ITEM))]))
-    d = lines.select(doc.alias("d"))
-    listed = d.where(F.col("d.items").isNotNull()).select(F.explode("d.items").alias("i")).select("i.*")
-    single = d.where(F.col("d.items").isNull()).select("d.MasterItemNo", "d.vendors")
-    return flatten_catalogue(listed.unionByName(single))
+    is_list = F.ltrim(F.col(col)).startswith("[")
+    d = lines.select(F.when(~is_list, doc).alias("d"), F.when(is_list, F.from_json(F.col(col), T.ArrayType(CATALOGUE_ITEM))).alias("l"))
+    single = F.when(F.col("d").isNotNull(), F.array(F.struct("d.MasterItemNo", "d.vendors")))
+    return flatten_catalogue(d.select(F.explode(F.coalesce("l", "d.items", single)).alias("i")).select("i.*"))
 
 
 def read_catalogue(spark, path: str, shape: str = "items", multiline: bool = False) -> DataFrame:

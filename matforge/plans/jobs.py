@@ -52,18 +52,6 @@ def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame | None, comps: Dat
     return out.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
 
 
-def _trace():
-    import os
-    return bool(os.environ.get("MATFORGE_TRACE"))
-
-
-def _tick(msg):
-    import os
-    import time
-    if os.environ.get("MATFORGE_TRACE"):
-        print(f"[trace {time.strftime('%H:%M:%S')}] {msg}", flush=True)
-
-
 def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = 50, gbt_iter: int = 20,
                  use_text: bool = True) -> TrainedModels:
     """Preprocess -> labels -> text pipeline -> features -> fold classifiers -> regressors."""
@@ -76,33 +64,26 @@ def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: in
     # cut the lineage once (reliable checkpoint in spark.checkpoint.dir): every later fit reads
     # these rows instead of re-planning the whole preprocessing each time
     t = t.checkpoint()
-    _tick('codes = label_codes(')
     codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo")))
     t = t.join(codes.select(F.col("label").alias("item_key"), F.col("code").cast("double").alias("label_code")), "item_key")
-    _tick('enc = md.fit_target_encoding(')
     enc = md.fit_target_encoding(t, list(CATEGORICAL_COLUMNS), "label_code")
     vocab = comps = None
     k = 0
     if use_text:
         vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")),
                                 tx.TRAIN_MAX_FEATURES)
-        _tick('vsize = vocab.count()')
         vsize = vocab.count()
         k = max(1, min(svd_k, vsize - 1))
         w = w.persist()
         comps, _ = tx.fit_svd(w, vsize, k)
-    _tick('feats = _features(t, enc')
     feats = _features(t, enc, vocab, comps, k)
     cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES + [f"svd_{i}" for i in range(k)]
     feats = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats)
     feats = feats.withColumn("fold", md.group_fold(F.col("PROJECTNUMBER"))).checkpoint()  # read by every fit
     from pyspark.ml.classification import NaiveBayes
-    _tick('clfs = [')
     clfs = [NaiveBayes(featuresCol="features", labelCol="label_code", modelType="gaussian").fit(feats.where(F.col("fold") != f))
             for f in range(md.N_FOLDS)]
-    _tick('reg = md.fit_global_regressor')
     reg = md.fit_global_regressor(feats, cols, "QtyShipped_clean", max_iter=gbt_iter)
-    _tick('item_cols = [')
     item_cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES  # small d: d x d stats per item
     coefs = md.fit_item_regressors(feats, "item_key", item_cols, "QtyShipped_clean")
     return TrainedModels(enc, vocab, comps, k, codes, clfs, reg, coefs, t, cols, item_cols)
@@ -119,15 +100,12 @@ def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig(
     t = t.withColumn("row_id", F.col("id"))
     feats = _features(t, m.encoding, m.vocab, m.components, m.k)
     feats = VectorAssembler(inputCols=m.feature_cols, outputCol="features", handleInvalid="keep").transform(feats).checkpoint()
-    _tick(f"feats rows {feats.count()} distinct ids {feats.select('id').distinct().count()}" if _trace() else "")
     pred = md.predict_fold_average(m.classifiers, feats, ["id"])
     pred = pred.select("id", F.col("prediction").cast("bigint").alias("pred_code"))
     dec = pred.join(m.codes.select(F.col("code").alias("pred_code"), F.col("label").alias("item_key"), "code1"), "pred_code", "left")
-    _tick(f"dec rows {dec.count()}" if _trace() else "")
     feats2 = feats.join(dec, "id")
     feats2 = m.regressor.transform(feats2).withColumnRenamed("prediction", "q_global")
     feats2 = md.score_linear(feats2, m.item_coefs, "item_key", m.item_cols, "q_item")
-    _tick(f"feats2 rows {feats2.count()}" if _trace() else "")
     q = md.quantity_fallback(feats2, m.train.select("MasterItemNo", F.col("QtyShipped_clean").cast("string").alias("QtyShipped")),
                              "item_key", ("q_item", "q_global"))
     return q.select(F.col("id").cast("bigint").alias("id"),

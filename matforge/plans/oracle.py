@@ -87,12 +87,9 @@ CTE["schedule"] = """schedule AS (
 
 # canonical item key of a text column (C6, key form)
 def KEY(x: str) -> str:
-    s = f"regexp_replace(CAST({x} AS VARCHAR), '[,\\s]', '', 'g')"
-    num = f"TRY_CAST(CASE WHEN regexp_matches({s}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN {s} END AS DOUBLE)"
-    integral = f"CASE WHEN {num} = floor({num}) THEN CAST(CAST({num} AS BIGINT) AS VARCHAR) END"
-    digits = f"CASE WHEN regexp_matches({s}, '^\\d+$') THEN CAST(TRY_CAST({s} AS BIGINT) AS VARCHAR) END"
     t = f"trim(CAST({x} AS VARCHAR))"
-    return f"(CASE WHEN {t} <> '' THEN coalesce({digits}, {integral}, {t}) END)"
+    bare = f"CASE WHEN regexp_matches({t}, '^[+-]?\\d{{1,3}}(,\\d{{3}})+(\\.0*)?$') THEN replace({t}, ',', '') ELSE {t} END"
+    return f"(CASE WHEN {t} <> '' THEN CASE WHEN regexp_matches({bare}, '^[+-]?\\d+\\.0*$') THEN regexp_replace({bare}, '\\.0*$', '') ELSE {bare} END END)"
 
 
 _ORDER = ["li_end", "line_items", "predictions", "vpairs", "vendor_rows", "requests", "request_feed", "truth",

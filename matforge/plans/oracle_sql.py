@@ -422,7 +422,7 @@ kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY apos) AS ran
 pv AS (SELECT page_id, CAST(rank AS INTEGER) AS rank, company,
               CASE WHEN starts_with(href, 'http') THEN href ELSE origin || href END AS url,
               regexp_extract(page_url, '^https?://([^/?#]+)', 1) AS source
-       FROM kept WHERE rank <= 8)"""
+       FROM kept)"""
 
 ORACLE["x1_page_vendors"] = "WITH " + _ANCHORS + "\nSELECT * FROM pv"
 ORACLE["v2_page_vendor_dedupe"] = "WITH " + _ANCHORS + """
@@ -430,10 +430,10 @@ SELECT page_id, count(*) AS n_vendors, max(rank) AS max_rank FROM pv GROUP BY 1"
 
 ORACLE["x2_loose_links"] = "WITH " + _ANCHORS + """
 , loose AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY apos) AS rank FROM named
-            WHERE (contains(href, 'detail') OR contains(href, 'company') OR contains(href, 'supplier')) AND company <> '')
+            WHERE (contains(href, 'tion') OR contains(href, 'and') OR contains(href, 'the')) AND company <> '')
 SELECT page_id, CAST(rank AS INTEGER) AS rank, company,
        CASE WHEN starts_with(href, 'http') THEN href ELSE origin || href END AS url
-FROM loose WHERE rank <= 8"""
+FROM loose"""
 
 _PHONE = "(\\+?\\p{Nd}{2,4}[-\\t\\n\\f\\r ]?)?(\\p{Nd}{6,12})"
 _EMAIL = "[\\p{L}\\p{N}_.-]+@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]+"
@@ -489,7 +489,7 @@ def _tf(src: str, id_col: str) -> str:
 
 _VOCAB = """
 vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM (
-    SELECT term, sum(tf) AS cf, count(*) AS df FROM documents_tf GROUP BY 1 ORDER BY cf DESC, term ASC LIMIT 15000))"""
+    SELECT term, sum(tf) AS cf, count(*) AS df FROM documents_tf GROUP BY 1  ))"""
 
 
 def _weights(src: str) -> str:

@@ -14,17 +14,26 @@ from pyspark.sql import types as T
 from matforge.config import LINE_ITEM_COLUMNS
 
 
+def csv_reader(spark: SparkSession, multi_line: bool = True):
+    """Header CSV as other programs write it: quotes doubled inside quotes, line ends allowed there.
+
+    A file whose quoted fields may hold line ends cannot be split, so give large feeds as many files (or Parquet), or say
+    ``multi_line=False`` where no field has one.
+    """
+    return spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+
+
 def _strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_line_items(spark: SparkSession, path: str, fmt: str = "csv", columns: list[str] | None = None) -> DataFrame:
+def read_line_items(spark: SparkSession, path: str, fmt: str = "csv", columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Header CSV (or Parquet) of line items, every known column present, raw fields as text.
 
     ``columns`` selects a subset (S2): Catalogue's column pruning reaches the scan.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
+        df = csv_reader(spark, multi_line).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     df = _strip_headers(df)
@@ -43,12 +52,12 @@ def read_tasks(spark: SparkSession, path: str | None, required: bool = False) ->
     """Procurement task table with trimmed headers; absent -> empty 4-column table (or error)."""
     if path:
         try:
-            return _strip_headers(spark.read.option("header", True).csv(path))
+            return _strip_headers(csv_reader(spark).csv(path))
         except Exception:  # noqa: BLE001
             if required:
                 raise
     if required:
-        raise FileNotFoundError(f"procurement tasks not found at {path}")
+        raise FileNotFoundError(f"no task table at {path}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in
                            ("MasterItemNo", "ItemDescription", "QtyShipped", "needed_by_date")])
     return spark.createDataFrame([], schema)
@@ -60,13 +69,13 @@ def read_plan_items(spark: SparkSession, predictions_path: str | None, tasks_pat
         if not p:
             continue
         try:
-            df = _strip_headers(spark.read.option("header", True).csv(p))
+            df = _strip_headers(csv_reader(spark).csv(p))
             if "QtyShipped" not in df.columns and "Qty" in df.columns:
                 df = df.withColumnRenamed("Qty", "QtyShipped")
             return df
         except Exception:  # noqa: BLE001 - fall through to the next source like the reference
             continue
-    raise FileNotFoundError("no predictions or procurement tasks found")
+    raise FileNotFoundError(f"neither source can be read: {predictions_path}, {tasks_path}")
 
 
 def validate_predictions(df: DataFrame, required=("id", "MasterItemNo", "QtyShipped")) -> DataFrame:

@@ -16,7 +16,7 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
     return path
