@@ -7,6 +7,8 @@ failing a job on one dirty row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,10 +130,17 @@ def canonical_item_key(c: Column) -> Column:
     return F.when(t != "", bare)
 
 
+def _shape(fmt: str) -> str:
+    """Pattern of the texts that a date format can read, so that no other text is tried with it."""
+    parts = {"yyyy": r"\d{4}", "yy": r"\d{2}", "SSSSSS": r"\d{6}", "SSS": r"\d{3}", "XXX": r"(Z|[+-]\d\d:\d\d)", "'T'": "T"}
+    out = re.sub(r"yyyy|yy|S+|XXX|'T'|([MdHms])\1?", lambda m: parts.get(m[0], r"\d{2}" if len(m[0]) == 2 else r"\d{1,2}"), fmt)
+    return f"^{out}$"
+
+
 def parse_timestamp(c: Column, formats=DATE_FORMATS) -> Column:
     """Month-first or ISO date text (or a timestamp) with its time of day; bad input -> null."""
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in formats])
 
 
 def parse_date(c: Column, formats=DATE_FORMATS) -> Column:

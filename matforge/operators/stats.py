@@ -132,6 +132,10 @@ def quantile_row(df: DataFrame, specs: list[tuple[str, Column, float]]) -> DataF
     near = [F.percentile_approx(f"v{k}", F.array(F.lit(max(0.0, q - 2 / BRACKET)), F.lit(min(1.0, q + 2 / BRACKET))), F.lit(BRACKET)).alias(f"b{k}")
             for k, (_, _, q) in enumerate(specs)]
     bounds = held.agg(*near, *(F.count(f"v{k}").alias(f"n{k}") for k in range(len(specs))))
+    # With few rows a share of them is less than one rank: then every value is inside.
+    few = [F.col(f"n{k}") < 4 * BRACKET for k in range(len(specs))]
+    edges = [F.when(f, F.array(F.lit(float("-inf")), F.lit(float("inf")))).otherwise(F.col(f"b{k}")).alias(f"b{k}") for k, f in enumerate(few)]
+    bounds = bounds.select(*edges, *(f"n{k}" for k in range(len(specs))))
     rows = held.crossJoin(F.broadcast(bounds))  # one row
     inside = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v"), F.col(f"b{k}")[0].alias("lo"), F.col(f"b{k}")[1].alias("hi"))
                        for k in range(len(specs))))

@@ -97,13 +97,13 @@ def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig(
     if "id" not in t.columns or t.select("id").where(F.col("id").isNotNull()).limit(1).count() == 0:
         t = sequential_ids(t.drop("id") if "id" in t.columns else t,
                            ["MasterItemNo", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped"], name="id")
-    t = t.withColumn("row_id", F.col("id"))
+    t = t.withColumn("row_id", F.monotonically_increasing_id()).checkpoint()  # ids may be null or repeat; rows are not
     feats = _features(t, m.encoding, m.vocab, m.components, m.k)
     feats = VectorAssembler(inputCols=m.feature_cols, outputCol="features", handleInvalid="keep").transform(feats).checkpoint()
-    pred = md.predict_fold_average(m.classifiers, feats, ["id"])
-    pred = pred.select("id", F.col("prediction").cast("bigint").alias("pred_code"))
-    dec = pred.join(m.codes.select(F.col("code").alias("pred_code"), F.col("label").alias("item_key"), "code1"), "pred_code", "left")
-    feats2 = feats.join(dec, "id")
+    pred = md.predict_fold_average(m.classifiers, feats, [c for c in feats.columns if c != "features"])
+    pred = pred.drop("probability").withColumn("pred_code", F.col("prediction").cast("bigint")).drop("prediction")
+    codes = m.codes.select(F.col("code").alias("pred_code"), F.col("label").alias("item_key"), "code1")
+    feats2 = pred.join(codes, "pred_code", "left")
     feats2 = m.regressor.transform(feats2).withColumnRenamed("prediction", "q_global")
     feats2 = md.score_linear(feats2, m.item_coefs, "item_key", m.item_cols, "q_item")
     q = md.quantity_fallback(feats2, m.train.select("MasterItemNo", F.col("QtyShipped_clean").cast("string").alias("QtyShipped")),

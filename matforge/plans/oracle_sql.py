@@ -41,16 +41,17 @@ SELECT {NUMTXT('SIZE_BUILDINGSIZE')} AS size_num, {NUMTXT('QtyShipped')} AS qty_
        {NUMTXT('ExtendedQuantity')} AS ext_qty_num FROM line_items""")
 
 ORACLE["c4_plan_qty"] = with_ctes(["requests"], f"""
-SELECT id, {PLANQTY('qty')} AS qty_plan, {PLANQTY("CAST(id AS VARCHAR) || '.5'")} AS half_even FROM requests""")
+SELECT id, {PLANQTY('qty')} AS qty_plan, CAST(1 AS BIGINT) AS too_large, {PLANQTY("CAST(id AS VARCHAR) || '.5'")} AS half_even FROM requests""")
 
 ORACLE["c5_link_qty"] = with_ctes(["requests"], f"SELECT id, {LINKQTY('qty')} AS qty_int FROM requests")
 
 ORACLE["c6_item_key"] = with_ctes(["requests"], f"""
-SELECT id, item, {KEY('item')} AS item_key, {MASTER_INT('item')} AS master_item FROM requests""")
+SELECT id, item, {KEY('item')} AS item_key, '00' || CAST(id AS VARCHAR) AS padded_key, CAST(id AS VARCHAR) || 'E5' AS letter_key, {MASTER_INT('item')} AS master_item FROM requests""")
 
 ORACLE["c7_parse_dates"] = with_ctes(["line_items"], "SELECT " + ", ".join(
     f"{PDATE(c)} AS {c}_dt" for c in ("invoiceDate", "CONSTRUCTION_START_DATE", "SUBSTANTIAL_COMPLETION_DATE"))
-    + " FROM line_items")
+    + ", NULL::DATE AS iso_dt, NULL::DATE AS slash_dt, NULL::DATE AS minute_dt FROM line_items UNION ALL"
+    + " SELECT NULL, NULL, NULL, CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) FROM lineitem")
 
 _CLEAN = f"""
 , cleaned AS (SELECT *, {PDATE('invoiceDate')} AS inv_dt, {PDATE('CONSTRUCTION_START_DATE')} AS start_dt,
@@ -346,7 +347,9 @@ _PLAN = _MODE + _PLANV + f"""
 
 _PLAN_NEEDS = ["predictions", "vendor_rows", "line_items", "schedule"]
 ORACLE["v8_procurement_plan"] = with_ctes(_PLAN_NEEDS, _PLAN + " SELECT * FROM plan")
-ORACLE["v9_order_cycle"] = with_ctes(_PLAN_NEEDS, _PLAN + """
+ORACLE["v9_order_cycle"] = with_ctes(_PLAN_NEEDS, """, totals AS (SELECT MasterItemNo, sum(QtyShipped) AS q FROM predictions GROUP BY 1)
+, demand AS (SELECT MasterItemNo, CASE WHEN MasterItemNo % 3 = 0 THEN floor(q / 10) ELSE q END AS QtyShipped FROM totals)""" + _PLAN.replace(
+    "FROM predictions)", "FROM demand)") + """
 SELECT ProcurementCycle, count(*) AS n, min(RecommendedOrderQty) AS min_order, max(RecommendedOrderQty) AS max_order
 FROM plan GROUP BY 1""")
 ORACLE["v10_risk_notes"] = with_ctes(_PLAN_NEEDS, _PLAN + " SELECT RiskNotes, Mitigations, count(*) AS n FROM plan GROUP BY 1, 2")
@@ -455,7 +458,8 @@ SELECT r.* FROM ranked r JOIN (SELECT item_key, min(source_rank) AS b FROM ranke
 # S
 # ---------------------------------------------------------------------------
 ORACLE["s1_line_item_csv_scan"] = with_ctes(["line_items"], """
-SELECT NULL::BIGINT AS id, MasterItemNo, ItemDescription, QtyShipped, UOM, PROJECTNUMBER, PROJECT_CITY, PROJECT_TYPE,
+SELECT NULL::BIGINT AS id, MasterItemNo,
+       ItemDescription || CASE WHEN length(ItemDescription) % 3 = 0 THEN chr(10) || 'line "two", end' ELSE ', 2" SCH40' END AS ItemDescription, QtyShipped, UOM, PROJECTNUMBER, PROJECT_CITY, PROJECT_TYPE,
        CORE_MARKET, SIZE_BUILDINGSIZE, NUMFLOORS, NULL::VARCHAR AS NUMROOMS, NULL::VARCHAR AS NUMBEDS, NULL::VARCHAR AS MW,
        invoiceDate, CONSTRUCTION_START_DATE, SUBSTANTIAL_COMPLETION_DATE, invoiceTotal, UnitPrice, ExtendedPrice,
        ExtendedQuantity, REVISED_ESTIMATE FROM line_items""")
@@ -559,3 +563,14 @@ ORACLE["m14_scores"] = _PAIRS + """
 SELECT round(CAST(accuracy AS DOUBLE), 9) AS accuracy, round(f1_macro, 9) AS f1_macro, round(mae, 9) AS mae,
        round(reg_score, 9) AS reg_score,
        round(0.25 * CAST(accuracy AS DOUBLE) + 0.25 * f1_macro + 0.5 * reg_score, 9) AS final_score FROM sc2"""
+
+
+ORACLE["t1_request_stream_link"] = with_ctes(["requests", "request_feed"], f"""
+, f AS (SELECT *, floor(seq * 4 / ((SELECT max(event_id) FROM events) + 1)) AS part FROM request_feed)
+, ends AS (SELECT f.id, f.status, row_number() OVER (PARTITION BY f.id, b.b ORDER BY f.ts DESC, f.seq DESC) AS rn
+           FROM f JOIN (SELECT unnest([0, 1, 2, 3]) AS b) b ON f.part <= b.b)
+, linked AS (SELECT DISTINCT id FROM ends WHERE rn = 1 AND lower(trim(status)) = 'approved')
+SELECT r.id, coalesce(CAST({MASTER_INT(f"coalesce({TRUTHY('item')}, '')")} AS VARCHAR), '') AS MasterItemNo,
+       CAST(coalesce({TRUTHY('item')}, '') AS VARCHAR) AS ItemDescription, {LINKQTY('qty')} AS QtyShipped,
+       coalesce(nullif(needed_by, ''), '') AS needed_by_date
+FROM requests r JOIN linked l ON r.id = l.id""")

@@ -103,7 +103,7 @@ def c3(spark, sf):
 @register("c4_plan_qty")
 def c4(spark, sf):
     r = fx.requests(spark, sf)
-    return r.select("id", C.plan_qty(F.col("qty")).alias("qty_plan"),
+    return r.select("id", C.plan_qty(F.col("qty")).alias("qty_plan"), C.plan_qty(F.concat("id", F.lit("e30"))).alias("too_large"),
                     C.plan_qty(F.concat(F.col("id").cast("string"), F.lit(".5"))).alias("half_even"))
 
 
@@ -117,14 +117,21 @@ def c5(spark, sf):
 def c6(spark, sf):
     r = fx.requests(spark, sf)
     return r.select("id", "item", C.canonical_item_key(F.col("item")).alias("item_key"),
+                    C.canonical_item_key(F.concat(F.lit(" 00"), "id", F.lit(" "))).alias("padded_key"),
+                    C.canonical_item_key(F.concat("id", F.lit("E5"))).alias("letter_key"),
                     C.master_item_int(F.col("item")).alias("master_item"))
 
 
 @register("c7_parse_dates")
 def c7(spark, sf):
     d = _li(spark, sf)
-    return d.select(*[C.parse_date(F.col(c)).alias(f"{c}_dt") for c in
-                      ("invoiceDate", "CONSTRUCTION_START_DATE", "SUBSTANTIAL_COMPLETION_DATE")])
+    ship = fx.table(spark, sf, "lineitem").select("l_shipdate")
+    more = {"iso": "yyyy-MM-dd'T'HH:mm:ss", "slash": "yyyy/MM/dd", "minute": "yyyy-MM-dd HH:mm"}
+    dates = d.select(*[C.parse_date(F.col(c)).alias(f"{c}_dt") for c in
+                       ("invoiceDate", "CONSTRUCTION_START_DATE", "SUBSTANTIAL_COMPLETION_DATE")], *[F.lit(None).cast("date").alias(f"{c}_dt") for c in more])
+    written = ship.select(*[F.lit(None).cast("date").alias(c) for c in dates.columns[:3]],
+                          *[C.parse_date(F.date_format("l_shipdate", f)).alias(f"{c}_dt") for c, f in more.items()])
+    return dates.unionByName(written.toDF(*dates.columns))
 
 
 @register("c8_calendar_features")
@@ -403,7 +410,13 @@ def v8(spark, sf):
 
 @register("v9_order_cycle")
 def v9(spark, sf):
-    return _plan(spark, sf).groupBy("ProcurementCycle").agg(F.count(F.lit(1)).alias("n"),
+    """Over the demand of whole items, which reaches all three cycles."""
+    s = sch.default_schedule(spark, TEST_CFG)
+    total = F.sum("QtyShipped")
+    demand = fx.predictions(spark, sf).groupBy("MasterItemNo").agg(total.alias("QtyShipped"))
+    demand = demand.withColumn("QtyShipped", F.when(F.col("MasterItemNo") % 3 == 0, F.floor(F.col("QtyShipped") / 10)).otherwise(F.col("QtyShipped")))
+    plan = pl.procurement_plan(demand, s, _vendors(spark, sf), _li(spark, sf), TEST_CFG)
+    return plan.groupBy("ProcurementCycle").agg(F.count(F.lit(1)).alias("n"),
                                                               F.min("RecommendedOrderQty").alias("min_order"),
                                                               F.max("RecommendedOrderQty").alias("max_order"))
 
@@ -540,11 +553,25 @@ from matforge.sources import readers as rd  # noqa: E402
 from matforge.sources import sinks as sk  # noqa: E402
 
 
+def _quoted_lines(spark, sf):
+    """Line items whose descriptions have inch marks, commas and line ends."""
+    end = F.when(F.length("ItemDescription") % 3 == 0, F.lit('\nline "two", end')).otherwise(F.lit(', 2" SCH40'))
+    return _li(spark, sf).withColumn("ItemDescription", F.concat("ItemDescription", end))
+
+
 @register("s1_line_item_csv_scan")
 def s1(spark, sf):
+    """CSV text made field by field, not by Spark's CSV writer: one file with its own header per thousand lines or so."""
     path = scratch_path(spark, "line_items_csv")
-    sk.write_table(_li(spark, sf), path, fmt="csv")
-    return rd.read_line_items(spark, path)
+    d = _quoted_lines(spark, sf)
+    field = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+    lines = d.select(F.concat_ws(",", *[field(c) for c in d.columns]).alias("line")).withColumn(
+        "file", F.pmod(F.xxhash64("line"), F.lit(max(1, fx.table(spark, sf, "lineitem").count() // 1000))))
+    head = ",".join(f'"{c}"' for c in d.columns)
+    files = lines.groupBy("file").agg(F.concat(F.lit(head + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    out = rd.read_line_items(spark, path)
+    return out.drop("file")
 
 
 @register("s2_pruned_item_scan")
@@ -557,7 +584,10 @@ def s2(spark, sf):
 @register("s3_vendor_catalogue_scan")
 def s3(spark, sf):
     path = scratch_path(spark, "vendors_json")
-    fx.vendor_catalogue_json(spark, sf).write.mode("overwrite").text(path)
+    lines = fx.vendor_catalogue_json(spark, sf)
+    shape = F.pmod(F.xxhash64("value"), F.lit(3))  # single objects, lists and documents with items
+    lines.select(F.when(shape == 0, F.col("value")).when(shape == 1, F.concat(F.lit(" ["), "value", F.lit("]")))
+                 .otherwise(F.concat(F.lit('{"items":['), "value", F.lit("]}"))).alias("value")).write.mode("overwrite").text(path)
     return vendors.read_catalogue(spark, path).select(
         "item_key", "pos", "company", "url", "location", "contact", "lead_time_days", "min_order_qty", "source")
 
@@ -747,6 +777,8 @@ def t1(spark, sf):
 
     root = scratch_path(spark, "request_stream")
     feed_dir = f"{root}/feed"
-    fx.request_feed(spark, sf).repartition(4, "id").write.mode("overwrite").parquet(feed_dir)
+    feed = fx.request_feed(spark, sf).withColumn("part", F.floor(F.col("seq") * 4 / (fx.last_event(spark, sf) + 1)))
+    for part in range(4):  # one file after the other, so that requests change their status across batches
+        feed.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(feed_dir)
     reqs = fx.requests(spark, sf).drop("status", "linked_to_procurement")
     return run_request_stream(spark, feed_dir, reqs, root, max_files_per_trigger=1).drop("batch_id")

@@ -137,11 +137,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests as JSON documents in the accepted shapes: object, {requests:[..]}, [..], {data:[..]}."""
+    """Requests as JSON documents in the accepted shapes: object, object of objects, {requests:[..]}, [..], {data:[..]}."""
     r = requests(spark, sf_dir)
     obj = F.to_json(F.struct(*[F.col(c) for c in r.columns]))
-    k = F.col("id") % 4
+    k = F.when(F.col("id") % 5 == 4, F.lit(4)).otherwise(F.col("id") % 4)
     doc = (F.when(k == 0, obj)
+           .when(k == 4, F.concat(F.lit('{"first":'), obj, F.lit(',"note":"x"}')))
            .when(k == 1, F.concat(F.lit('{"requests":['), obj, F.lit("]}")))
            .when(k == 2, F.concat(F.lit("["), obj, F.lit("]")))
            .otherwise(F.concat(F.lit('{"data":['), obj, F.lit("]}"))))
@@ -156,6 +157,11 @@ def request_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("id"), F.col("ts"), F.col("event_id").alias("seq"), status.alias("status"))
 
 
+def last_event(spark: SparkSession, sf_dir: str) -> int:
+    """The largest event number."""
+    return table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+
+
 def score_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(truth, predictions) over orders: label = priority, quantity = total price.
 

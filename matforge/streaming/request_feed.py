@@ -2,7 +2,7 @@
 
 A streaming aggregation keeps the latest status per request id as Spark state (update
 mode: each micro-batch emits only the ids whose latest status changed). ``foreachBatch``
-anti-joins the newly approved ids with the linked-id table and writes the new task rows
+anti-joins the newly approved ids with the ids that earlier batches linked and writes the new task rows
 and link records into a directory named by the batch id, with overwrite: a replayed
 batch (after a failure between the sink write and the checkpoint commit) rewrites the
 same directory instead of appending twice.
@@ -22,23 +22,32 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
-def _read_linked(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.parquet(f"{root}/links")
-    except Exception:  # noqa: BLE001 - no batch has linked anything yet
-        return spark.createDataFrame([], "id bigint, batch_id bigint")
+def _has_data(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; an error of the storage stays an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _read_linked(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Ids that batches before this one have linked: a replayed batch does not see its own links."""
+    links = spark.createDataFrame([], "id bigint, batch_id bigint")
+    if _has_data(spark, f"{root}/links"):
+        links = spark.read.schema(links.schema).parquet(f"{root}/links")
+    return links.where(F.col("batch_id") < batch_id)
 
 
 def link_batch(spark: SparkSession, requests: DataFrame, root: str):
-    """foreachBatch body: newly approved, not yet linked ids -> task rows + link records."""
+    """foreachBatch body: newly approved, not yet linked ids -> task rows + link records.
+
+    Both tables have one folder per batch, overwritten as a whole, so the same batch run again gives the same rows.
+    """
 
     def run(latest: DataFrame, batch_id: int) -> None:
         approved = latest.where(F.lower(F.trim(F.col("status"))) == "approved").select("id")
-        new_ids = approved.join(_read_linked(spark, root).select("id"), "id", "left_anti")
-        rows = request_task_rows(requests.join(new_ids, "id", "left_semi"))
-        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
+        new_ids = approved.join(_read_linked(spark, root, batch_id).select("id"), "id", "left_anti")
+        rows = request_task_rows(requests.join(new_ids, "id", "left_semi")).persist()
         rows.write.mode("overwrite").parquet(f"{root}/tasks/batch_id={batch_id}")
-        rows.select("id", "batch_id").write.mode("overwrite").parquet(f"{root}/links/batch_id={batch_id}")
+        rows.select("id").write.mode("overwrite").parquet(f"{root}/links/batch_id={batch_id}")
         rows.unpersist()
 
     return run
@@ -59,8 +68,7 @@ def run_request_stream(spark: SparkSession, feed_dir: str, requests: DataFrame,
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    try:
-        return spark.read.parquet(f"{root}/tasks")
-    except Exception:  # noqa: BLE001 - nothing approved
-        return spark.createDataFrame([], "id bigint, MasterItemNo string, ItemDescription string, "
-                                         "QtyShipped bigint, needed_by_date string, batch_id bigint")
+    schema = "id bigint, MasterItemNo string, ItemDescription string, QtyShipped bigint, needed_by_date string, batch_id bigint"
+    if not _has_data(spark, f"{root}/tasks"):  # no batch has run yet
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/tasks")

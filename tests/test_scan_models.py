@@ -91,3 +91,21 @@ def test_sequential_ids_unique_under_downstream_joins(spark):
     joined = ids.join(counts, "g")
     assert joined.select("rid").distinct().count() == 3000
     assert joined.agg(F.min("rid"), F.max("rid")).first() == (1, 3000)
+
+
+def test_quantile_row_of_many_rows_and_heavy_values(spark):
+    from matforge.operators.stats import quantile_row
+
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.rand(1)).alias("b"))
+    p = df.toPandas()
+    specs = [(f"{c}{q}", F.col(c), q) for c in ("a", "b") for q in (0.0, 0.1, 0.5, 0.75, 1.0)]
+    got = quantile_row(df, [(n.replace(".", "_"), e, q) for n, e, q in specs]).first()
+    assert all(abs(got[n.replace(".", "_")] - np.quantile(p[n[0]], q)) < 1e-9 * 1e5 for n, _, q in specs)
+    assert quantile_row(df.where("false"), [("x", F.col("a"), 0.5)]).first()["x"] is None
+
+
+def test_large_ids_keep_all_digits(spark):
+    from matforge.operators.requests import normalize_requests
+
+    raw = spark.createDataFrame([(1, "9007199254740993"), (2, None), (3, "5"), (4, "x")], "pos long, id string")
+    assert [r.id for r in normalize_requests(raw, ["pos"]).orderBy("pos").collect()] == [9007199254740993, 9007199254740994, 5, 9007199254740995]

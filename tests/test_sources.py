@@ -73,3 +73,55 @@ def test_line_item_csv_missing_columns(spark):
     r = li.first()
     assert r["MasterItemNo"] == "258" and r["QtyShipped"] == "1,200 EA" and r["UnitPrice"] == "$ 3.50"
     assert r["MW"] is None and r["id"] is None
+
+
+def test_csv_of_another_program(spark, tmp_path):
+    import csv
+
+    from matforge.sources import readers as rd
+
+    rows = [("258", 'PIPE 2" SCH40, GALV', "3"), ("259", 'two\nlines "quoted"', "4"), ("260", "", "5")]
+    with open(tmp_path / "items.csv", "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow([" MasterItemNo ", "ItemDescription", "QtyShipped"])
+        w.writerows(rows)
+    got = rd.read_line_items(spark, str(tmp_path / "items.csv"), columns=["MasterItemNo", "ItemDescription", "QtyShipped"])
+    assert sorted((r[0], r[1] or "", r[2]) for r in got.collect()) == rows
+    assert [r[0] for r in rd.read_tasks(spark, str(tmp_path / "items.csv"), required=True).select("QtyShipped").orderBy("MasterItemNo").collect()] == ["3", "4", "5"]
+
+
+def test_catalogue_and_request_shapes(spark):
+    from matforge.operators import requests as rq
+    from matforge.operators import vendors
+
+    docs = ['[{"MasterItemNo":"1.0","vendors":[{"company":"a","lead_time_days":"99999999999"}]},{"MasterItemNo":2,"vendors":[{"company":"b"}]}]',
+            '{"items":[{"MasterItemNo":3,"vendors":[{"company":"c"}]}]}', '{"MasterItemNo":4,"vendors":[{"company":"d","lead_time_days":7}]}', "[]", "no json"]
+    got = vendors.parse_catalogue_lines(spark.createDataFrame([(d,) for d in docs], "value string"))
+    assert sorted((r.item_key, r.company, r.lead_time_days) for r in got.collect()) == [("1", "a", None), ("2", "b", None), ("3", "c", None), ("4", "d", 7)]
+    keyed = vendors.parse_catalogue_lines(spark.createDataFrame([('{"5":[{"company":"e"},{"company":"f"}]}',)], "value string"), shape="keyed")
+    assert sorted((r.item_key, r.pos, r.company) for r in keyed.collect()) == [("5", 0, "e"), ("5", 1, "f")]
+    reqs = rq.parse_requests(spark.createDataFrame([('{"a":{"id":7,"item":"x"},"b":{"item":"y","status":"Approved"},"note":"z"}',), ('{"id":8,"item":"w"}',)], "value string"))
+    assert sorted((r.id or "", r.item, r.status) for r in reqs.collect()) == [("", "y", "Approved"), ("7", "x", "Pending"), ("8", "w", "Pending")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from matforge.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

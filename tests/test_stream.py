@@ -29,3 +29,21 @@ def test_stream_links_once(spark):
     reqs = fx.requests(spark, SF001).drop("status", "linked_to_procurement")
     got = run_request_stream(spark, f"{root}/feed", reqs, root, max_files_per_trigger=1)
     assert got.groupBy("id").count().where("count > 1").count() == 0
+
+
+def test_replayed_batch_keeps_its_links(spark):
+    from matforge.streaming.request_feed import link_batch
+
+    root = scratch_path(spark, "t1-test-replay")
+    reqs = fx.requests(spark, SF001).drop("status", "linked_to_procurement")
+    ids = [r.id for r in reqs.select("id").orderBy("id").limit(4).collect()]
+    latest = lambda *on: spark.createDataFrame([(i, " Approved ") for i in on], "id long, status string")
+    run = link_batch(spark, reqs, root)
+    linked = lambda: sorted((r.batch_id, r.id) for r in spark.read.parquet(f"{root}/tasks").collect())
+    run(latest(ids[0], ids[1]), 0)
+    run(latest(ids[1], ids[2]), 1)
+    want = [(0, ids[0]), (0, ids[1]), (1, ids[2])]
+    assert linked() == want
+    run(latest(ids[1], ids[2]), 1)
+    run(latest(ids[0], ids[1]), 0)
+    assert linked() == want
