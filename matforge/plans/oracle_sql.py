@@ -574,3 +574,9 @@ SELECT r.id, coalesce(CAST({MASTER_INT(f"coalesce({TRUTHY('item')}, '')")} AS VA
        CAST(coalesce({TRUTHY('item')}, '') AS VARCHAR) AS ItemDescription, {LINKQTY('qty')} AS QtyShipped,
        coalesce(nullif(needed_by, ''), '') AS needed_by_date
 FROM requests r JOIN linked l ON r.id = l.id""")
+
+_SCHED = "SELECT o_orderpriority AS Task, CAST(min(o_orderdate) AS DATE) AS \"Start\", CAST(max(o_orderdate) AS DATE) AS Finish FROM orders GROUP BY 1"
+ORACLE["s5_schedule_scan"] = _SCHED
+ORACLE["a13_schedule_bounds"] = f'SELECT min("Start") AS project_start, max(Finish) AS project_finish FROM ({_SCHED})'
+ORACLE["s7_plan_source"] = f"SELECT MasterItemNo, CAST(Qty AS DOUBLE) AS QtyShipped FROM ({ORACLE['v1_procurement_tasks']})"
+ORACLE["s8_validated_predictions"] = "SELECT l_orderkey AS id, l_partkey AS MasterItemNo, l_quantity AS QtyShipped FROM lineitem"

@@ -576,9 +576,43 @@ def s1(spark, sf):
 
 @register("s2_pruned_item_scan")
 def s2(spark, sf):
-    path = scratch_path(spark, "line_items_csv")
-    sk.write_table(_li(spark, sf), path, fmt="csv")
-    return rd.read_line_items(spark, path, columns=["MasterItemNo", "ItemDescription"])
+    """Over Parquet, of which only the two columns are read."""
+    path = scratch_path(spark, "line_items")
+    sk.write_table(_li(spark, sf), path)
+    return rd.read_line_items(spark, path, fmt="parquet", columns=["MasterItemNo", "ItemDescription"])
+
+
+def _order_schedule(spark, sf):
+    """A schedule file from the orders: one phase per priority, under the other accepted headers."""
+    path = scratch_path(spark, "schedule_csv")
+    o = fx.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias(" task_name ")).agg(
+        F.date_format(F.min("o_orderdate"), "MM/dd/yyyy").alias("start_date"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("end_date "))
+    sk.write_table(o.orderBy(" task_name "), path, fmt="csv")
+    return sch.read_schedule(spark, path, CFG)
+
+
+@register("s5_schedule_scan")
+def s5(spark, sf):
+    return _order_schedule(spark, sf).select("Task", "Start", "Finish")
+
+
+@register("a13_schedule_bounds")
+def a13(spark, sf):
+    return stats.schedule_bounds(_order_schedule(spark, sf))
+
+
+@register("s7_plan_source")
+def s7(spark, sf):
+    """No predictions file: the task table stands in, its Qty as QtyShipped."""
+    path = scratch_path(spark, "plan_tasks_csv")
+    sk.write_table(sch.procurement_tasks(fx.predictions(spark, sf), _vendors(spark, sf), CFG), path, fmt="csv")
+    return rd.read_plan_items(spark, path + "-missing", path).select("MasterItemNo", F.col("QtyShipped").cast("double").alias("QtyShipped"))
+
+
+@register("s8_validated_predictions")
+def s8(spark, sf):
+    o = fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("MasterItemNo"), F.col("l_quantity").alias("QtyShipped"))
+    return rd.validate_predictions(o)
 
 
 @register("s3_vendor_catalogue_scan")
