@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matforge.config import (CYCLE_SINGLE, CYCLE_STAGED, CYCLE_TWO_STAGE, MITIGATION_IMPORT, MITIGATION_LONG_LEAD,
                              MITIGATION_NO_VENDOR, RISK_IMPORT, RISK_LONG_LEAD, RISK_NO_VENDOR, PlanConfig)
 from matforge.functions.cleaning import canonical_item_key, col_or_null, empty_to_null, plan_qty
-from matforge.operators.schedule import check_schedule_size, phase_expr, resolve_default_phase
+from matforge.operators.schedule import default_phase_row, known_phases, phase_expr
 from matforge.operators.stats import mode_description, top_k_values
 from matforge.operators.vendors import plan_policy
 
@@ -46,8 +46,7 @@ def procurement_plan(items: DataFrame, schedule: DataFrame, vendors_flat: DataFr
                      cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """One plan row per input line (quantity, phase, vendor, dates, safety stock, cycle, risks)."""
     items = plan_input(items)
-    check_schedule_size(schedule)
-    default = resolve_default_phase(schedule, cfg.default_phase)
+    default = default_phase_row(schedule, cfg.default_phase)
     qty_src = col_or_null(items, "QtyShipped") if "QtyShipped" in items.columns else F.lit(1.0)
     base = items.select(col_or_null(items, "MasterItemNo").alias("MasterItemNo"),
                         canonical_item_key(F.col("MasterItemNo")).alias("item_key"),
@@ -62,10 +61,12 @@ def procurement_plan(items: DataFrame, schedule: DataFrame, vendors_flat: DataFr
                       empty_to_null(F.col("_item_text")), F.lit(""))
     base = base.withColumn("ItemDescription", desc)
     # Q4: a missing description takes the default phase (documented divergence)
-    base = base.withColumn("ProjectPhase", phase_expr(F.col("ItemDescription"), cfg.plan_keywords, default))
+    base = base.crossJoin(F.broadcast(default)).withColumn(
+        "ProjectPhase", phase_expr(F.col("ItemDescription"), cfg.plan_keywords, F.col("_default"))).drop("_default")
     # First schedule row of the phase, else the latest finish
     phases = schedule.groupBy("Task").agg(F.min_by("Finish", "ord").alias("_pf")).withColumnRenamed("Task", "ProjectPhase")
     bounds = schedule.agg(F.min("Start").alias("_p0"), F.max("Finish").alias("_p1"))
+    phases = known_phases(phases, default, cfg.plan_keywords, "ProjectPhase")
     j = base.join(F.broadcast(phases), "ProjectPhase", "left").crossJoin(F.broadcast(bounds))
     j = j.withColumn("NeededBy", F.coalesce("_pf", "_p1"))
     # J2 + V5

@@ -21,8 +21,6 @@ from matforge.operators.stats import demand_per_item
 from matforge.sources.readers import csv_reader
 from matforge.operators.vendors import schedule_policy, tasks_policy, with_schedule_vendor
 
-MAX_SCHEDULE_ROWS = 10_000  # size bound checked before a schedule is broadcast
-
 SCHEDULE_SCHEMA = T.StructType([
     T.StructField("Task", T.StringType()), T.StructField("Start", T.DateType()),
     T.StructField("Finish", T.DateType()), T.StructField("ord", T.IntegerType()),
@@ -63,23 +61,18 @@ def read_schedule(spark: SparkSession, path: str | None, cfg: PlanConfig = PlanC
     return default_schedule(spark, cfg)
 
 
-def check_schedule_size(schedule: DataFrame) -> None:
-    """The schedule is broadcast below; prove first that it is a small dimension."""
-    n = schedule.limit(MAX_SCHEDULE_ROWS + 1).count()
-    if n > MAX_SCHEDULE_ROWS:
-        raise ValueError(f"schedule has more than {MAX_SCHEDULE_ROWS} rows; it is a dimension table")
+def default_phase_row(schedule: DataFrame, preferred: str = DEFAULT_PHASE) -> DataFrame:
+    """One row with the phase used when no keyword matches: ``preferred`` if scheduled or nothing is, else the first task."""
+    return schedule.agg(F.coalesce(F.max(F.when(F.col("Task") == preferred, F.col("Task"))), F.min_by("Task", "ord"), F.lit(preferred)).alias("_default"))
 
 
-def resolve_default_phase(schedule: DataFrame, preferred: str = DEFAULT_PHASE) -> str:
-    """The phase used when no keyword matches: ``preferred`` if scheduled, else the first task."""
-    rows = schedule.select("Task", "ord").orderBy("ord").limit(MAX_SCHEDULE_ROWS).collect()  # bounded dimension
-    names = [r["Task"] for r in rows]
-    if preferred in names or not names:
-        return preferred
-    return names[0]
+def known_phases(phases: DataFrame, default_row: DataFrame, keywords, name: str = "Phase") -> DataFrame:
+    """The rows of ``phases`` that a lookup can ask for: those of a keyword list and the default, whatever the schedule's size."""
+    names = [p for p, _ in keywords]
+    return phases.join(F.broadcast(default_row), F.col(name).isin(names) | (F.col(name) == F.col("_default"))).drop("_default")
 
 
-def phase_expr(text: Column, keywords, default: str) -> Column:
+def phase_expr(text: Column, keywords, default: str | Column) -> Column:
     """First phase (in priority order) whose keyword occurs in ``text`` (lower-cased)."""
     s = F.lower(F.coalesce(text, F.lit("")))
     out = None
@@ -91,7 +84,8 @@ def phase_expr(text: Column, keywords, default: str) -> Column:
         if cond is None:
             continue
         out = F.when(cond, F.lit(phase)) if out is None else out.when(cond, F.lit(phase))
-    return F.lit(default) if out is None else out.otherwise(F.lit(default))
+    default = default if isinstance(default, Column) else F.lit(default)
+    return default if out is None else out.otherwise(default)
 
 
 def needed_by_expr(df: DataFrame, candidates=("needed_by_date", "needed_by", "needed_by_dt", "NeededBy")) -> Column:
@@ -126,8 +120,7 @@ def align_schedule(tasks: DataFrame, schedule: DataFrame, vendors_flat: DataFram
                    cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """V6: phase by keyword, needed-by = request date else phase finish, vendor lead + buffer
     back from it, never before the project start. Returns the 14 enriched-schedule columns."""
-    check_schedule_size(schedule)
-    default = resolve_default_phase(schedule, cfg.default_phase)
+    default = default_phase_row(schedule, cfg.default_phase)
     desc = F.coalesce(empty_to_null(col_or_null(tasks, "ItemDescription")), empty_to_null(col_or_null(tasks, "Item")), F.lit(""))
     key_raw = col_or_null(tasks, "MasterItemNo")
     qty = F.coalesce(*[zero_to_null(col_or_null(tasks, c).try_cast("double"))
@@ -136,11 +129,12 @@ def align_schedule(tasks: DataFrame, schedule: DataFrame, vendors_flat: DataFram
                         canonical_item_key(key_raw).alias("item_key"), qty.alias("Qty"),
                         needed_by_expr(tasks).alias("_req_needed"))
     text = F.concat(F.col("ItemDescription"), F.lit(" "), F.coalesce(F.col("MasterItemNo"), F.lit("")))
-    base = base.withColumn("Phase", phase_expr(text, cfg.schedule_keywords, default))
+    base = base.crossJoin(F.broadcast(default)).withColumn("Phase", phase_expr(text, cfg.schedule_keywords, F.col("_default"))).drop("_default")
     bounds = schedule.agg(F.min("Start").alias("_p0"), F.max("Finish").alias("_p1"))
     # Q14: a duplicated Task keeps its last row (dict semantics of the lookup)
     phases = schedule.groupBy("Task").agg(F.max_by(F.struct("Start", "Finish"), "ord").alias("_s")) \
         .select(F.col("Task").alias("Phase"), F.col("_s.Start").alias("PhaseStart"), F.col("_s.Finish").alias("PhaseFinish"))
+    phases = known_phases(phases, default, cfg.schedule_keywords)
     j = base.join(F.broadcast(phases), "Phase", "left").crossJoin(F.broadcast(bounds))
     j = j.withColumn("PhaseStart", F.coalesce("PhaseStart", "_p0")).withColumn("PhaseFinish", F.coalesce("PhaseFinish", "_p1"))
     j = j.withColumn("NeededBy", F.coalesce(F.col("_req_needed"), F.col("PhaseFinish")))
