@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     segment = ["gram", "seg"]
     own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("k", "doc_id", "pos")).alias("rep"))
     own = written(own, "repeats-segments")
-    kinds = own.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = written(own.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-kinds")
     mixed = own.join(kinds, "gram").select(*segment, "rep.*", "kinds")
     wanted = mixed.groupBy("k", "doc_id").agg(F.collect_list(F.struct("pos", *segment)).alias("wanted"))
     same = lambda x, y: (x["k"] == y["k"]) & x["doc_id"].eqNullSafe(y["doc_id"])
