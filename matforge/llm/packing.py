@@ -203,7 +203,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     lots = written(lots, "packing-lots")
     slots = places(plan({r["length"]: r["n"] for r in lots.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(lots.select("lot", "length", before.alias("before")), ["lot", "length"])
+    # Lots times lengths grow with the input: merged, not broadcast.
+    ranked = pieces.join(lots.select("lot", "length", before.alias("before")).hint("merge"), ["lot", "length"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
