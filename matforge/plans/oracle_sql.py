@@ -169,10 +169,10 @@ GROUP BY 1 ORDER BY count DESC, MasterItemNo ASC LIMIT 20""")
 
 ORACLE["a10_distinct_vendors"] = with_ctes(["vendor_rows"], "SELECT count(DISTINCT company) AS unique_vendors FROM vendor_rows")
 
-ORACLE["a14_label_codes"] = with_ctes(["line_items"], """
+ORACLE["a14_label_codes"] = with_ctes(["line_items"], f"""
 SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS code,
        CAST(dense_rank() OVER (ORDER BY label) AS BIGINT) AS code1
-FROM (SELECT DISTINCT trim(MasterItemNo) AS label FROM line_items WHERE MasterItemNo IS NOT NULL)""")
+FROM (SELECT DISTINCT {KEY('MasterItemNo')} AS label FROM line_items WHERE MasterItemNo IS NOT NULL)""")
 
 # ---------------------------------------------------------------------------
 # J / W
@@ -216,10 +216,9 @@ SELECT te.PROJECT_CITY, CAST(coalesce(c.code, (SELECT count(*) FROM tr)) AS BIGI
 FROM te LEFT JOIN codes c ON te.PROJECT_CITY = c.label""")
 
 ORACLE["j8_vendors_for_top_items"] = with_ctes(["predictions", "vendor_rows"], f"""
-, top5 AS (SELECT {KEY('MasterItemNo')} AS item_key, count(*) AS n FROM predictions GROUP BY 1
-           ORDER BY n DESC, item_key ASC LIMIT 5)
+, asked AS (SELECT DISTINCT {KEY('MasterItemNo')} AS item_key FROM predictions WHERE QtyShipped >= 49)
 SELECT item_key, pos, company, url, contact, lead_time_days, source FROM vendor_rows
-WHERE item_key IN (SELECT item_key FROM top5)""")
+WHERE item_key IN (SELECT item_key FROM asked)""")
 
 ORACLE["j9_unlinked_anti_join"] = with_ctes(["requests"], """
 SELECT id FROM requests WHERE lower(trim(status)) = 'approved'

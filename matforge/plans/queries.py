@@ -258,7 +258,7 @@ def a10(spark, sf):
 
 @register("a14_label_codes")
 def a14(spark, sf):
-    return stats.label_codes(_li(spark, sf))
+    return stats.label_codes(_li(spark, sf).select(C.canonical_item_key(F.col("MasterItemNo")).alias("MasterItemNo")))
 
 
 # ---------------------------------------------------------------------------
@@ -323,8 +323,9 @@ def j7(spark, sf):
 
 @register("j8_vendors_for_top_items")
 def j8(spark, sf):
-    top = stats.top_k_values(fx.predictions(spark, sf), C.canonical_item_key(F.col("MasterItemNo")), 5, "item_key")
-    return vendors.vendors_for_item(_vendors(spark, sf), top).select(
+    """The vendors of every item that has one of the largest predicted lines."""
+    asked = fx.predictions(spark, sf).where(F.col("QtyShipped") >= 49).select(C.canonical_item_key(F.col("MasterItemNo")).alias("item_key"))
+    return vendors.vendors_for_item(_vendors(spark, sf), asked).select(
         "item_key", "pos", "company", "url", "contact", "lead_time_days", "source")
 
 
