@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values.
 # ---------------------------------------------------------------------------
-ANCHOR_RE = r'(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+ANCHOR_RE = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a>"""
 LOOSE_LINK_WORDS = ("detail", "company", "supplier")
 # The JVM's \d and \w are ASCII only, so the classes that they stand for are spelled out; the white space is ASCII.
 PHONE_RE = r"(\+?\p{Nd}{2,4}[-\t\n\f\r ]?)?(\p{Nd}{6,12})"
@@ -35,8 +35,8 @@ def page_origin(url: Column) -> Column:
 
 
 def _anchors(html: Column) -> Column:
-    """array<struct<href, text>> of every anchor of the page, in page order."""
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 1)
+    """array<struct<href, text>> of every anchor of the page, in page order, in any case and quoting."""
+    hrefs = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR_RE), 1), lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
     texts = F.regexp_extract_all(html, F.lit(ANCHOR_RE), 2)
     return F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
 
@@ -46,14 +46,12 @@ def page_vendors(pages: DataFrame, max_per_page: int | None = None, base: str |
     """X1 + V2: anchors -> (company, absolute url, source); distinct by company+href, all of them or the first
     ``max_per_page`` per page, ``rank`` = position among the kept vendors of the page."""
     origin = F.lit(base) if base else page_origin(F.col("url"))
-    a = F.transform(_anchors(F.col("html")), lambda x: F.struct(
-        html_text(x["text"]).alias("company"), x["href"].alias("href"),
-        F.concat(html_text(x["text"]), x["href"]).alias("key")))
-    a = F.filter(a, lambda x: x["company"] != "")
-    # keep the first occurrence of every key (index-aware filter, all inside the row)
-    keys = F.transform(a, lambda x: x["key"])
-    firsts = F.filter(a, lambda x, i: ~F.array_contains(F.slice(keys, 1, i), x["key"]))
+    # company and href as one text, so that the distinct ones are found by hash, first occurrence first
+    keys = F.transform(_anchors(F.col("html")), lambda x: F.concat(html_text(x["text"]), F.lit("\u0001"), x["href"]))
+    firsts = F.array_distinct(F.filter(keys, lambda k: ~k.startswith("\u0001")))
     capped = firsts if max_per_page is None else F.slice(firsts, 1, max_per_page)
+    capped = F.transform(capped, lambda k: F.struct(F.split_part(k, F.lit("\u0001"), F.lit(1)).alias("company"),
+                                                    F.split_part(k, F.lit("\u0001"), F.lit(2)).alias("href")))
     out = pages.select(*keep, F.col("url").alias("page_url"), origin.alias("_origin"),
                        F.posexplode(capped).alias("rank", "v"))
     href = F.col("v.href")

@@ -400,7 +400,7 @@ FROM requests WHERE lower(trim(status)) = 'approved' AND NOT coalesce(linked_to_
 # ---------------------------------------------------------------------------
 # X
 # ---------------------------------------------------------------------------
-_ANCHOR = """(?s)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>"""
+_ANCHOR = """(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)[^>]*>(.*?)</a>"""
 
 
 def _html_text(x: str) -> str:
@@ -413,7 +413,7 @@ def _html_text(x: str) -> str:
 _ANCHORS = f"""
 anchors AS (
   SELECT page_id, url AS page_url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
-         unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href,
+         regexp_replace(unnest(regexp_extract_all(html, '{_ANCHOR}', 1)), '^["'']|["'']$', '', 'g') AS href,
          unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS atext,
          generate_subscripts(regexp_extract_all(html, '{_ANCHOR}', 1), 1) AS apos
   FROM pages),

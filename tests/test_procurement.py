@@ -116,3 +116,13 @@ def test_parse_request_shapes(spark):
     rows = rq.parse_requests(lines).orderBy("_line", "_pos").collect()
     assert [r["id"] for r in rows] == ["1", None, "7", "3", "4", "5", "42"]
     assert [r["status"] for r in rows] == ["Pending", "Pending", "Approved", "Pending", "Pending", "Pending", "Pending"]
+
+
+def test_anchors_in_any_case_and_quoting(spark):
+    from matforge.operators.pages import page_vendors
+
+    html = """<A class=x HREF='/one'>One &amp; Co</A> <a href="/two" id=2>Two</a><a href=/three>Three</a><a href="/two">Two</a><a name=z>no link</a><a href="/empty"> </a>""" + "".join(
+        f'<a href="/m{i}">M{i}</a>' for i in range(40))
+    got = page_vendors(spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string")).orderBy("rank").collect()
+    assert [(r.company, r.url) for r in got[:3]] == [("One & Co", "https://a.example/one"), ("Two", "https://a.example/two"), ("Three", "https://a.example/three")]
+    assert len(got) == 43 and [r.rank for r in got] == list(range(1, 44))
