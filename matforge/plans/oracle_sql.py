@@ -579,3 +579,11 @@ ORACLE["s5_schedule_scan"] = _SCHED
 ORACLE["a13_schedule_bounds"] = f'SELECT min("Start") AS project_start, max(Finish) AS project_finish FROM ({_SCHED})'
 ORACLE["s7_plan_source"] = f"SELECT MasterItemNo, CAST(Qty AS DOUBLE) AS QtyShipped FROM ({ORACLE['v1_procurement_tasks']})"
 ORACLE["s8_validated_predictions"] = "SELECT l_orderkey AS id, l_partkey AS MasterItemNo, l_quantity AS QtyShipped FROM lineitem"
+
+_ONE = f""", t AS (SELECT {KEY('MasterItemNo')} AS item_key, CAST(NUMFLOORS AS DOUBLE) AS x, {STRIP_NUM('QtyShipped')} AS q FROM line_items)
+, s AS (SELECT item_key, count(*) + 0.001 AS a, sum(coalesce(x, 0)) AS b, sum(coalesce(x, 0) * coalesce(x, 0)) + 0.001 AS c, sum(q) AS sy, sum(coalesce(x, 0) * q) AS sxy
+        FROM t GROUP BY 1 HAVING count(*) >= 20)
+, fit AS (SELECT item_key, (c * sy - b * sxy) / (a * c - b * b) AS b0, (a * sxy - b * sy) / (a * c - b * b) AS b1 FROM s)"""
+ORACLE["m8_one_feature_regressors"] = with_ctes(["line_items"], _ONE + " SELECT item_key, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM fit")
+ORACLE["j10_one_feature_scoring"] = with_ctes(["line_items"], _ONE + """
+SELECT t.item_key, t.x, round(b0 + b1 * t.x, 6) AS q_item FROM t LEFT JOIN fit ON t.item_key = fit.item_key""")

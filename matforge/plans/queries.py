@@ -792,6 +792,25 @@ def j10(spark, sf):
     return md.score_linear(t, coefs, "item_key", cols, "q_item").select("item_key", "QtyShipped_clean", "q_item")
 
 
+def _floor_rows(spark, sf):
+    return _li(spark, sf).select(C.canonical_item_key(F.col("MasterItemNo")).alias("item_key"), C.to_numeric(F.col("NUMFLOORS")).alias("x"),
+                                 C.safe_to_numeric(F.col("QtyShipped")).alias("q"))
+
+
+@register("m8_one_feature_regressors")
+def m8_one(spark, sf):
+    """M8 with one feature, for which the fit has a closed form."""
+    coefs = md.fit_item_regressors(_floor_rows(spark, sf), "item_key", ["x"], "q")
+    return coefs.select("item_key", *[F.round(F.col("coef")[i], 6).alias(f"b{i}") for i in (0, 1)])
+
+
+@register("j10_one_feature_scoring")
+def j10_one(spark, sf):
+    t = _floor_rows(spark, sf)
+    coefs = md.fit_item_regressors(t, "item_key", ["x"], "q")
+    return md.score_linear(t, coefs, "item_key", ["x"], "q_item").select("item_key", "x", F.round("q_item", 6).alias("q_item"))
+
+
 @register("m15_end_to_end_prediction")
 def m15(spark, sf):
     """Train on the line items, predict every line item (id, item code, quantity)."""
