@@ -39,11 +39,9 @@ class TrainedModels:
     item_cols: list
 
 
-def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame | None, comps: DataFrame | None, k: int) -> DataFrame:
+def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
     base = pp.basic_features(df)
     base = md.apply_target_encoding(base, enc, list(CATEGORICAL_COLUMNS))
-    if vocab is None or k == 0:
-        return base
     w = tx.transform_tfidf(base.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), vocab)
     svd = tx.project(w, comps, k).withColumnRenamed("doc_id", "row_id")
     out = base.join(svd, "row_id", "left")
@@ -52,8 +50,7 @@ def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame | None, comps: Dat
     return out.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
 
 
-def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = 50, gbt_iter: int = 20,
-                 use_text: bool = True) -> TrainedModels:
+def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = 50, gbt_iter: int = 20) -> TrainedModels:
     """Preprocess -> labels -> text pipeline -> features -> fold classifiers -> regressors."""
     from pyspark.ml.feature import VectorAssembler
 
@@ -67,15 +64,12 @@ def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: in
     codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo")))
     t = t.join(codes.select(F.col("label").alias("item_key"), F.col("code").cast("double").alias("label_code")), "item_key")
     enc = md.fit_target_encoding(t, list(CATEGORICAL_COLUMNS), "label_code")
-    vocab = comps = None
-    k = 0
-    if use_text:
-        vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")),
-                                tx.TRAIN_MAX_FEATURES)
-        vsize = vocab.count()
-        k = max(1, min(svd_k, vsize - 1))
-        w = w.persist()
-        comps, _ = tx.fit_svd(w, vsize, k)
+    vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), tx.TRAIN_MAX_FEATURES)
+    vsize = vocab.count()
+    k = max(1, min(svd_k, vsize - 1))
+    w = w.persist()  # read by the passes of the decomposition
+    comps, _ = tx.fit_svd(w, vsize, k)
+    w.unpersist()
     feats = _features(t, enc, vocab, comps, k)
     cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES + [f"svd_{i}" for i in range(k)]
     feats = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats)

@@ -817,7 +817,7 @@ def m15(spark, sf):
     from matforge.plans import jobs
 
     li = _li(spark, sf)
-    m = jobs.train_models(li, CFG, gbt_iter=10, use_text=False)
+    m = jobs.train_models(li, CFG, gbt_iter=10)
     return jobs.predict(m, li, CFG)
 
 
