@@ -245,14 +245,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """docs: (k, doc_id, text), k a key of the row's content. Returns (k, doc_id, spans) for documents with repeats."""
     found = docs.mapInArrow(_anchor_rows(length, gram), f"k long, doc_id {dict(docs.dtypes)['doc_id']}, gram long, seg long, pos int, step int, n int")
     found = written(found, "repeats-anchors")
-    # Written, so that the join below deals rows of its own that Spark can split where one gram has many.
+    # Written, so that the join below deals rows of its own that Spark can split where one gram has many; merged at
+    # every size, as these tables grow with the input.
     often = written(found.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram"), "repeats-often")
-    many = written(found.join(often, "gram"), "repeats-shared")
+    many = written(found.join(often.hint("merge"), "gram"), "repeats-shared")
     segment = ["gram", "seg"]
     own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("k", "doc_id", "pos")).alias("rep"))
     own = written(own, "repeats-segments")
     kinds = written(own.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-kinds")
-    mixed = own.join(kinds, "gram").select(*segment, "rep.*", "kinds")
+    mixed = own.join(kinds.hint("merge"), "gram").select(*segment, "rep.*", "kinds")
     wanted = mixed.groupBy("k", "doc_id").agg(F.collect_list(F.struct("pos", *segment)).alias("wanted"))
     same = lambda x, y: (x["k"] == y["k"]) & x["doc_id"].eqNullSafe(y["doc_id"])
     bodies = docs.join(wanted, same(docs, wanted)).select("text", "wanted").mapInArrow(
