@@ -32,6 +32,7 @@ sponsors widget widgets toolbar skip skyscraper outbrain taboola""".split())
 READER_WORD = frozenset("disqus respond replies reply remark remarks shoutbox".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table html body article section div main".split())
+PARTS = frozenset("tr td th tbody thead tfoot table ul ol dl li dt dd p".split())
 TAG_POINTS = {"article": 10, "main": 10, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3}
 LEVELS = 6
 
@@ -78,16 +79,15 @@ def parse(source: str) -> Node:
                     top = node.parent
                     break
                 node = node.parent
-        for ends in (CLOSES.get(tag) or (),):
-            node = top
-            while node is not None and ends:
-                if node.tag in ends:
-                    top = node.parent
-                    if tag != "tr" or node.tag == "tr":
-                        break
-                elif node.tag in SCOPE:
+        ends = CLOSES.get(tag, ())
+        node = top if ends else None
+        while node is not None and node.tag not in SCOPE:
+            up = node.parent
+            if node.tag in ends:
+                top = up
+                if node.tag == tag or tag != "tr":
                     break
-                node = node.parent
+            node = up
         if tag == "html":
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(rest)} if "=" in rest or "hidden" in rest.lower() else {}
@@ -195,6 +195,9 @@ def best_container(root: Node) -> list[Node]:
         return [root]
     value = {k: v.points * (1 - density(v)) for k, v in scored.items()}
     best = max(scored.values(), key=lambda v: value[id(v)])
+    while best.tag in PARTS and best.parent is not None:  # a table or list is part of what holds it
+        best = best.parent
+    value.setdefault(id(best), 0.0)
     node = best
     while node is not None:  # the whole article around the best part of it
         if node.tag in ("article", "main") or node.attrs.get("role", "").lower() in ("main", "article"):
