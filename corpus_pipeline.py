@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     fingerprint. Repeated rows count as copies."""
     groups = simhash.near_duplicates(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint")
-    first = groups.groupBy("component_id").agg(F.min(order).alias("first")).select("first.*")
+    first = groups.groupBy("root_fingerprint").agg(F.min(order).alias("first")).select("first.*")
     key = lambda c: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), c)
     keep = first.select(key(F.col("fingerprint")).alias("__key"))
     own = docs.withColumn("__key", key(F.lpad(F.lower(F.hex(simhash.fingerprints(F.col("text")))), 16, "0")))

@@ -114,8 +114,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     distance: int = MAX_DISTANCE, crowd: int = CROWD) -> DataFrame:
     """Group documents whose fingerprints are connected by links of at most ``distance`` bits.
 
-    Returns (id_col, fingerprint, component_id), one row per input row, repeated rows included. component_id is the
-    smallest non-null id of the group, null if the group has none. Null, empty and blank texts have fingerprint zero
+    Returns (id_col, fingerprint, component_id, root_fingerprint), one row per input row, repeated rows included. component_id
+    is the smallest non-null id of the group, null if the group has none; groups share it where ids are null or repeat, so
+    only root_fingerprint, one fingerprint of the group, names a group. Null, empty and blank texts have fingerprint zero
     and link like any other. Other columns of the input are ignored; an empty input gives an empty result.
     """
     own = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp"))
@@ -127,11 +128,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = F.coalesce("root", "fp")
     low = low.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", root.alias("root"), "low")
     least = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = low.join(least, "root").select("fp", "component_id")
+    named = low.join(least, "root").select("fp", "component_id", "root")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return own.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        F.col("id").alias(id_col), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("root_fingerprint"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three-word shingles, links at two or fewer differing bits."""
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

@@ -334,6 +334,17 @@ def test_pipeline_stages(spark):
     assert n["toxicity"] < 404 and n["simhash_near_dedup"] < n["toxicity"]
 
 
+def test_pipeline_keeps_unrelated_texts_without_or_with_one_id(spark):
+    import corpus_pipeline as P
+
+    rows = [(None, "the harbour lies still under a pale morning sky"), (None, "seven engineers measured pressure in every pipe of the plant"),
+            (7, "bread is baked twice a week in the old village oven"), (7, "quarterly figures rose because exports to the north grew"),
+            (8, "bread is baked twice a week in the old village oven"), (None, "the harbour lies still under a pale morning sky")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted(rows[:4], key=str)
+
+
 def test_pipeline_run_and_empty(spark):
     import corpus_pipeline as P
 
