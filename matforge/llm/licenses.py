@@ -1,13 +1,15 @@
 """Licence scans by sentence rules (operator 4).
 
-Texts are cut into fragments at line ends and sentence punctuation and normalised to words. A word trie maps runs of
-whole fragments to the identifiers of known licence sentences, so wrapped lines are read as one sentence; the sequence
-of identifiers is then matched against ordered rules, each naming a licence, the longest and most specific first.
+Texts are normalised to words. A word trie maps runs of words, wherever they stand, to the identifiers of known licence
+sentences, so wrapped lines are read as one sentence and one may stand inside a longer sentence; the sequence
+of identifiers is then matched against ordered rules, each naming a licence, the longest and most specific first. Distances
+between sentences are counted in fragments, cut at line ends and sentence punctuation.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +47,17 @@ NOTICES = (
     "Published under the {}", "This work is licensed under the {}", "This work is licensed under a {}", "This work is licensed under {}",
     "This project is licensed under the {}", "This project is licensed under the terms of the {}", "This software is licensed under the {}",
     "This software is released under the {}", "This program is licensed under the {}", "This file is licensed under the {}", "SPDX-License-Identifier: {}", "License: {}",
+    "licenses this file to you under the {}",
 )
+# A notice that fills whole fragments or is none, as its words also meet by chance.
+WHOLE = "License: {}"
+# Names that are also words of other things; inside a fragment, only punctuation or one of these words may follow.
+BARE = ("MIT", "ISC")
+AFTER = frozenset("license licence licenses licences and or by see with unless".split())
+# How notices allow later versions, for the licences that speak of them.
+LATER = ("or later", "or any later version", "or at your option any later version", "or newer")
+# Words before a notice that deny it.
+DENIED = frozenset("not never longer t".split())
 # Sentences of licence texts, as published.
 SENTENCES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
@@ -56,9 +68,11 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-named": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "apache-notice": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at",
+    "apache-url": "www.apache.org/licenses/LICENSE-2.0",
     "apache-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
@@ -72,9 +86,14 @@ RULES = (
     (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT", "text"),
     (("mit-grant", "mit-notice"), "MIT", "text"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause", "text"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-named"), "BSD-3-Clause", "text"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause", "text"),
     (("isc-grant",), "ISC", "text"),
+    (("notice:Apache-2.0", "apache-notice", "apache-copy", "apache-url", "apache-warranty"), "Apache-2.0", "header"),
     (("notice:Apache-2.0", "apache-notice", "apache-copy", "apache-warranty"), "Apache-2.0", "header"),
+    (("apache-notice", "apache-copy", "apache-url", "apache-warranty"), "Apache-2.0", "header"),
+    (("apache-notice", "apache-copy", "apache-url"), "Apache-2.0", "part"),
+    (("apache-notice", "apache-copy", "apache-warranty"), "Apache-2.0", "part"),
     (("gpl-free", "gpl-warranty"), "GPL-3.0-or-later", "header"),
     (("gpl2-free", "gpl-warranty"), "GPL-2.0-or-later", "header"),
     (("gpl-free",), "GPL-3.0-or-later", "header"),
@@ -100,20 +119,32 @@ class Scanner:
     """Trie of known sentences and ordered rules; notices of the named licences are generated."""
 
     def __init__(self, names: dict = NAMES, notices: tuple = NOTICES, sentences: dict = SENTENCES, rules: tuple = RULES, gap: int = GAP):
-        known = dict.fromkeys(())
+        known: dict[tuple, tuple] = {}
+        later = []
         for spdx, aliases in names.items():
             for alias in aliases:
                 for notice in notices:
-                    known.setdefault(tuple(_words(notice.format(alias))), f"notice:{spdx}")
+                    ws = tuple(_words(notice.format(alias)))
+                    known.setdefault(ws, (f"notice:{spdx}", notice == WHOLE, alias in BARE))
+                    if "GPL" in spdx:
+                        for more in LATER:
+                            known.setdefault((*ws, *more.split()), (f"notice:{spdx}-or-later", notice == WHOLE, False))
+            if "GPL" in spdx:
+                later.append(f"{spdx}-or-later")
         for name, text in sentences.items():
-            known[tuple(_words(text))] = name
+            known[tuple(_words(text))] = name, False, False
         self.trie: dict = {}
-        for ws, name in known.items():
+        for ws, use in known.items():
             node = self.trie
             for w in ws:
                 node = node.setdefault(w, {})
-            node[_ID] = name
-        self.rules = [*rules, *(((f"notice:{spdx}",), spdx, "notice") for spdx in names)]
+            node[_ID] = use
+        # Where a known sentence can start: its first two words.
+        sep, heads = r"[\W_]+", {}
+        for ws in known:
+            heads.setdefault(ws[0], set()).add(ws[1])
+        self.start = re.compile(r"(?<![^\W_])(?=(?:%s)(?![^\W_]))" % "|".join(f"{a}{sep}(?:{'|'.join(sorted(b))})" for a, b in sorted(heads.items())))
+        self.rules = [*rules, *(((f"notice:{spdx}",), spdx, "notice") for spdx in (*names, *later))]
         self.gap = gap
         # Rare words of which every known sentence has one: a text without any of them holds no sentence.
         must = ("licensed", "license", "released", "distributed", "available", "published", "permission", "redistribut", "reserved", "warrant", "liable",
@@ -122,26 +153,38 @@ class Scanner:
         assert all(self.hint.search(" ".join(ws)) for ws in known)
 
     def sentences(self, text: str) -> list[tuple[str, int, int, int, int]]:
-        """(identifier, first fragment, last fragment, start, end) of known sentences; each fills whole fragments."""
-        parts = [(ws, m.start(), m.end()) for m in _FRAGMENT.finditer(text) if (ws := _words(m[0]))]
-        out, i = [], 0
-        while i < len(parts):
-            node, j, best = self.trie, i, None
-            while j < len(parts):
-                for w in parts[j][0]:
-                    node = node.get(w)
-                    if node is None:
-                        break
+        """(identifier, first fragment, last fragment, start, end) of known sentences, left to right, the longest from each start."""
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+        out, done, parts, starts = [], 0, None, []
+        for m in self.start.finditer(low):
+            if m.start() < done:
+                continue
+            node, best = self.trie, None
+            for w in _WORD.finditer(low, m.start()):
+                node = node.get(w[0])
                 if node is None:
                     break
-                if _ID in node:
-                    best = node[_ID], i, j, parts[i][1] + len(text[parts[i][1]:]) - len(text[parts[i][1]:].lstrip()), parts[j][2]
-                j += 1
+                if _ID not in node:
+                    continue
+                if parts is None:
+                    parts = [(f.start(), f.end()) for f in _FRAGMENT.finditer(text) if _WORD.search(f[0])]
+                    starts = [p[0] for p in parts]
+                name, whole, bare = node[_ID]
+                i, j = bisect_right(starts, m.start()) - 1, bisect_right(starts, w.start()) - 1
+                before = _WORD.search(low, parts[i][0], m.start())
+                denied = before and _WORD.findall(low, max(parts[i][0], m.start() - 32), m.start())[-1:]
+                after = _WORD.search(low, w.end(), parts[j][1])
+                if whole and (before or after) or denied and denied[0] in DENIED and name.startswith("notice:"):
+                    continue
+                if bare and after and after[0] not in AFTER and not low[w.end():after.start()].strip(" \t-"):
+                    continue
+                start = m.start() if before else parts[i][0] + len(text[parts[i][0]:m.start()]) - len(text[parts[i][0]:m.start()].lstrip())
+                best = name, i, j, start, w.end() if after else parts[j][1]
             if best:
                 out.append(best)
-                i = best[2] + 1
-            else:
-                i += 1
+                done = best[4]
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, str, int, int, int]]:

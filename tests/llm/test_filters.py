@@ -135,6 +135,76 @@ def test_license_rules():
     assert s.scan("a text on how to be licensed under the sea") == [] and s.scan(None) == s.scan("") == []
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+""" + APACHE.split("Version 2.0 ")[1]
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of %s nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("text, found", [
+    (APACHE, ("Apache-2.0", "header")), (ASF, ("Apache-2.0", "header")), (APACHE.split("\n", 1)[1], ("Apache-2.0", "header")),
+    (BSD, ("BSD-2-Clause", "text")), (BSD + ENDORSE % "the copyright holder", ("BSD-3-Clause", "text")), (BSD + ENDORSE % "Example Inc.", ("BSD-3-Clause", "text")),
+    (GPL, ("GPL-3.0-or-later", "header")), (GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), ("GPL-2.0-or-later", "header")),
+    (MPL, ("MPL-2.0", "header"))])
+def test_published_headers(text, found):
+    s = L.Scanner()
+    for mark in ("", "# ", " * ", "// "):
+        lines = "intro\n" + "\n".join(mark + line for line in text.split("\n")) + "\nend"
+        assert [m[:2] for m in s.scan(lines)] == [found]
+
+
+@pytest.mark.parametrize("text, found, span", [
+    ("This file is part of X and is licensed under the MIT License.", "MIT", "licensed under the MIT License"),
+    ("Copyright 2020 X, all rights reserved.", "proprietary", "all rights reserved"),
+    ("Our code, released under MIT, is on the web.", "MIT", "released under MIT"),
+    ("It is licensed under the GNU General Public License, version 3 or later, as are all parts.", "GPL-3.0-or-later", "licensed under the GNU General Public License, version 3 or later"),
+    ("Code licensed under MIT 2 times.", None, None), ("Tapes released under the MIT program.", None, None), ("He lost his license. MIT helped.", None, None),
+    ("X is not licensed under the MIT License.", None, None)])
+def test_sentences_inside_a_fragment(text, found, span):
+    got = L.Scanner().scan(text)
+    assert [(m[0], text[m[3]:m[4]]) for m in got] == ([(found, span)] if found else [])
+
+
 def test_license_scan_covers_all_lines(spark, edge):
     got = L.scan_licenses(read(spark, SF, "documents"))
     line = r"(?m)^(Licensed under the Apache License, Version 2\.0|Released under the MIT License|Licensed under CC BY-NC 4\.0|This work is licensed under the GNU General Public License, version 3)\.$"
