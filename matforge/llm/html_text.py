@@ -24,12 +24,19 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption""".split())
 DROP = frozenset("""head nav footer header aside form button select option input textarea label fieldset menu dialog script style iframe noscript template svg math
 object applet canvas audio video map title xmp noembed noframes""".split())
+#: Of these, the ones that pages also put around the whole article, and those whose text never is the article's.
+AROUND = frozenset("form fieldset label".split())
+CONTROLS = DROP - AROUND - {"header"}
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form tablist status".split())
 #: Words of a class or an id that mark what is not the article.
 DROP_WORD = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login footer foot header masthead topbar menu menubar nav navbar
 navigation navi pager pagination paginate promo promoted promotion related recommend recommended recommendations share sharing social sidebar sidebars sponsor sponsored
 sponsors widget widgets toolbar skip skyscraper outbrain taboola""".split())
 READER_WORD = frozenset("disqus respond replies reply remark remarks shoutbox".split())
+#: Beside a comment word, words that tell a state of the article ("comments-open", "has-comments").
+STATE_WORD = frozenset("open opened closed has have no with without enabled disabled allow allowed status".split())
+#: Length of text beside a large block of reader comments from which that text is the article.
+BESIDE = 100
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table html body article section div main".split())
 PARTS = frozenset("tr td th tbody thead tfoot table ul ol dl li dt dd p".split())
@@ -42,7 +49,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked", "commas", "article")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked", "commas", "article", "words", "reader", "prose", "clean", "own")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.children, self.points = tag, attrs, parent, [], 0.0
@@ -105,45 +112,90 @@ def parse(source: str) -> Node:
     return root
 
 
-def unwanted(node: Node, inside: bool, wraps: bool) -> bool:
+def judge(nodes: list[Node]) -> None:
+    """What ``unwanted`` asks of every node (parents first): words of class and id; reader, 2 if they mark reader comments and 1 if
+    only a state of them; prose, the length of text outside links and controls; clean, prose without marked parts; own, the
+    number of articles inside that are no comments."""
+    for node in reversed(nodes):
+        node.words, node.reader = frozenset(), 0
+        for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split() if node.attrs else ():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & READER_WORD or any(w.startswith("comment") for w in words):
+                node.reader = max(node.reader, 1 if words & STATE_WORD else 2)
+            node.words |= words
+        node.prose = node.clean = node.own = 0
+        for c in node.children:
+            if isinstance(c, str):
+                node.prose += len(c.strip())
+                node.clean += len(c.strip())
+            elif c.tag not in CONTROLS:
+                node.prose += c.prose
+                node.clean += counted(c)
+                node.own += articles(c)
+        if node.tag == "a":
+            node.prose = node.clean = 0
+
+
+def counted(node: Node) -> int:
+    """Clean text that a node gives to its parent."""
+    return 0 if node.tag in CONTROLS or node.reader == 2 or node.words & DROP_WORD else node.clean
+
+
+def articles(node: Node) -> int:
+    """Articles that are no comments, the node itself included."""
+    return 0 if node.tag in CONTROLS or node.reader == 2 else node.own + (node.tag in ("article", "main"))
+
+
+def unwanted(node: Node, inside: bool, wraps: bool, most: bool, beside: tuple[int, int]) -> bool:
     """Whether a subtree is no part of the article; inside: an article or main element is around it; wraps: it holds one, or
-    most of the page's text."""
+    most of the page's text; most: it holds most of the prose; beside: clean text and articles outside of it."""
     a, tag = node.attrs, node.tag
-    if tag in DROP:
+    around = most or node.own > 0
+    if tag in AROUND:
+        if not around:
+            return True
+    elif tag in DROP:
         return not (tag == "header" and inside)
     if not a:
         return False
     style = a.get("style", "").replace(" ", "").lower()
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if a.get("role", "").lower() in DROP_ROLE:
+    role = a.get("role", "").lower()
+    if role in DROP_ROLE and not (role == "form" and around):
         return True
     if tag in ("body", "main"):
         return False
-    words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    if any(w.startswith("comment") for w in words) or words & READER_WORD:
+    if node.reader == 1 and not (around or tag == "article"):
+        return True
+    # A wrapper named for the comments it also holds is around the article; reader comments are beside it, however long.
+    if node.reader == 2 and not (node.own and not beside[1] or most and beside[0] < BESIDE):
         return True
     if tag == "article":
-        return bool(words & {"ad", "advert", "promo", "related"})
+        return bool(node.words & {"ad", "advert", "promo", "related"})
     # A wrapper named for what stands beside the article ("has-sidebar") is not that.
-    return bool(words & DROP_WORD) and not wraps
+    return bool(node.words & DROP_WORD) and not wraps
 
 
 def prune(root: Node) -> None:
     """Cut off what is no part of the article; of a header inside it the headings stay."""
-    total = measure(root) and root.length
-    stack = [(root, False)]
+    nodes = measure(root)
+    judge(nodes)
+    total, prose = root.length, root.prose
+    stack = [(root, False, 0, 0)]
     while stack:
-        node, inside = stack.pop()
+        node, inside, clean, own = stack.pop()
         inside = inside or node.tag in ("article", "main") or node.attrs.get("role", "").lower() in ("main", "article")
         kept = []
         for c in node.children:
             if isinstance(c, str):
                 if node.tag != "header":
                     kept.append(c)
-            elif not unwanted(c, inside, c.article or 2 * c.length > total) and (node.tag != "header" or c.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "hgroup")):
+                continue
+            beside = clean + node.clean - counted(c), own + node.own - articles(c) + (node.tag in ("article", "main"))
+            if not unwanted(c, inside, c.article or 2 * c.length > total, 2 * c.prose > prose, beside) and (node.tag != "header" or c.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "hgroup")):
                 kept.append(c)
-                stack.append((c, inside))
+                stack.append((c, inside, *beside))
         node.children = kept
 
 

@@ -241,6 +241,25 @@ def test_html_without_article_element():
                                              "Second paragraph link here, more words follow."]
 
 
+PROSE = "A first paragraph, with commas, and words that are long enough to count, as the text of an article does, line by line."
+READERS = "".join(f"<li class='comment'><article class='comment-body'><p>I am reader {i}, and, I comment, a lot, at great length, as readers do.</p></article></li>" for i in range(9))
+NAV = "<nav>" + "<a href=/>A long entry of the menu</a> " * 20 + "</nav>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<form id=aspnetForm method=post action=x><input type=hidden name=__VIEWSTATE value=x>{NAV}<div id=content><p>%s</p></div><input type=submit></form>",
+    f"{NAV}<form role=form><div><p>%s</p></div><select>{'<option>Some country' * 90}</select></form>",
+    "<form><article><p>%s</p></article></form>", "<fieldset><legend></legend><div><p>%s</p></div></fieldset>", "<label><div><p>%s</p></div></label>",
+    "<article class='post comments-open'><p>%s</p></article>", f"{NAV}<article class='post comments-open'><p>%s</p></article><div id=comments><ol>{READERS}</ol></div>",
+    f"<div class='wrap has-comments'><div class=entry><p>%s</p></div></div>", f"<div class=page-with-comments><article><p>%s</p></article><div class=comments><ol>{READERS}</ol></div></div>",
+    "<div class='comments'><div class=entry><p>%s</p></div></div>", "<div class=commentable><article><p>%s</p></article></div>",
+    # Forms and reader comments beside the article go as before, long ones too.
+    f"<div class=entry><p>%s</p></div><form><p>Your mail?</p><select>{'<option>Some country' * 90}</select></form><p class=no-comments>Comments are closed.</p>",
+    f"<div class=entry><p>%s</p></div><div id=comments><ol>{READERS}</ol></div>", f"<article><p>%s</p></article><div id=comments><ol>{READERS.replace(' class=', ' title=')}</ol></div>"])
+def test_html_forms_and_comment_words_around_the_article(page):
+    assert H.main_text(f"<html><body>{page % PROSE}</body></html>") == PROSE
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), (" ", ""), ("<p>a<p>b", "a\nb"), ("plain", "plain"), ("<div>" * 20_000 + "deep", "deep"), ("<!-- open", ""),
                                         ("<p>&lt;b&gt; &#65; &amp", "<b> A &"), ("<p>x</p><script>alert(1)", "x"), ("<article><header><h1>T</h1><p>by me</p></header><p>x</article>", "T\nx")])
 def test_html_edges(page, text):
