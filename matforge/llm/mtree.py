@@ -26,38 +26,43 @@ CELL, LEAF, FAN = 20_000, 256, 16
 QUERIES = 4_096
 #: Vectors sampled as seeds of the cells at most; they only decide which rows share a tree.
 SEEDS = 128
-#: Largest component after scaling: inner products of such vectors fit a long.
-LARGEST = 2.0 ** 24
+#: Sums of products below this are exact in doubles, and those below the next in longs; larger ones are summed as Python integers.
+EXACT, LONG = 2.0 ** 53, 2.0 ** 62
 
 
 def quantise(vectors: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(row numbers, integer vectors): floor(scale * x) of rows without null, NaN, infinite or oversized components."""
+    """(row numbers, integer vectors): floor(scale * x) of rows without null, NaN or infinite components."""
     rows, out = [], []
     for i, v in enumerate(vectors):
         v = v.as_py()
         if v is None or any(x is None for x in v):
             continue
         x = np.floor(scale * np.asarray(v, dtype=np.float64))
-        if np.isfinite(x).all() and (np.abs(x) <= LARGEST).all():
+        if np.isfinite(x).all():
             rows.append(i)
             out.append(x)
     return np.array(rows, dtype=np.int64), out
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Integral doubles as bytes: four each if all fit, eight otherwise."""
+    return x.astype("<i4" if (np.abs(x) < 2.0 ** 31).all() else "<f8").tobytes()
+
+
 def _integers(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, vs = quantise(batch["embedding"], scale)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(pa.array(rows)), pa.array([v.astype("<i4").tobytes() for v in vs], pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(pa.array(rows)), pa.array([_packed(v) for v in vs], pa.binary()),
                                               pa.array([float(v @ v) for v in vs], pa.float64()), pa.array([len(v) for v in vs], pa.int32())], ["vec_id", "v", "norm", "dim"])
     return run
 
 
-def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
-    """Rows of integer vectors as doubles; shorter ones are filled with zeros."""
+def _matrix(blobs: list[tuple[bytes, int]], dim: int) -> np.ndarray:
+    """Rows of packed vectors (bytes, length) as doubles; shorter ones are filled with zeros."""
     out = np.zeros((len(blobs), dim))
-    for i, b in enumerate(blobs):
-        v = np.frombuffer(b, dtype="<i4")
+    for i, (b, n) in enumerate(blobs):
+        v = np.frombuffer(b, dtype="<f8" if len(b) > 4 * n else "<i4")
         out[i, :len(v)] = v
     return out
 
@@ -109,20 +114,20 @@ def _page_rows(dim: int, longest: float, leaf: int, fan: int):
                 pa.array([p["radius"] for p in pages], pa.float64()), pa.array([p["parent_distance"] for p in pages], pa.float64()),
                 pa.array([p["center"].tobytes() for p in pages], pa.binary()),
                 pa.array([p["ids"].tobytes() if f else None for p, f in zip(pages, is_leaf)], pa.binary()),
-                pa.array([p["vectors"][:, :-1].astype("<i4").tobytes() if f else None for p, f in zip(pages, is_leaf)], pa.binary()),
+                pa.array([_packed(p["vectors"][:, :-1]) if f else None for p, f in zip(pages, is_leaf)], pa.binary()),
                 pa.array([p["distance"].tobytes() if f else None for p, f in zip(pages, is_leaf)], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["tree", "page", "parent", "radius", "parent_distance", "center", "ids", "vectors", "distances"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, ids, blobs = None, [], []
         for batch in batches:
-            for t, i, b in zip(batch["tree"].to_pylist(), batch["vec_id"].to_pylist(), batch["v"]):
+            for t, i, b, n in zip(batch["tree"].to_pylist(), batch["vec_id"].to_pylist(), batch["v"], batch["dim"].to_pylist()):
                 if ids and t != tree:
                     yield out(tree, ids, blobs)
                     ids, blobs = [], []
                 tree = t
                 ids.append(i)
-                blobs.append(b.as_py())
+                blobs.append((b.as_py(), n))
         if ids:
             yield out(tree, ids, blobs)
     return run
@@ -140,7 +145,9 @@ class Tree:
                 self.children.setdefault(r["parent"], []).append(i)
             if r["ids"] is not None:
                 r["ids"] = np.frombuffer(r["ids"], dtype=np.int64)
-                r["vectors"] = np.frombuffer(r["vectors"], dtype="<i4").reshape(-1, dim).astype(np.float64)
+                wide = len(r["vectors"]) > 4 * dim * len(r["ids"])
+                r["vectors"] = np.frombuffer(r["vectors"], dtype="<f8" if wide else "<i4").reshape(len(r["ids"]), dim).astype(np.float64)
+                r["most"] = float(np.sqrt((r["vectors"] ** 2).sum(axis=1).max(initial=0.0)))
                 r["distances"] = np.frombuffer(r["distances"])
         self.inner = {p: (np.array(c), np.array([rows[i]["center"] for i in c]), np.array([rows[i]["radius"] for i in c]),
                           np.array([rows[i]["parent_distance"] for i in c])) for p, c in self.children.items()}
@@ -152,6 +159,7 @@ class Tree:
         least possible distance exceeds that of the k-th best by more than rounding can explain.
         """
         full = np.append(q, 0.0)
+        own_length = float(np.sqrt(q @ q))
         far = float(q @ q) + longest
         slack = 1e-6 * np.sqrt(far) + 1e-6
         best: list[tuple[int, int]] = []
@@ -174,15 +182,22 @@ class Tree:
             if p["ids"] is not None:
                 near = np.abs(d - p["distances"]) <= limit
                 near &= p["ids"] != own
-                scores = p["vectors"][near] @ q
+                bound = own_length * p["most"]
+                if bound < EXACT:
+                    scores = p["vectors"][near] @ q
+                elif bound < LONG:
+                    scores = p["vectors"][near].astype(np.int64) @ q.astype(np.int64)
+                else:
+                    whole = [int(x) for x in q]
+                    scores = np.array([sum(int(x) * y for x, y in zip(v, whole)) for v in p["vectors"][near]], dtype=object)
                 ids = p["ids"][near]
                 if len(best) == k:
-                    hit = scores >= best[0][0]
+                    hit = (scores >= best[0][0]).astype(bool)
                     scores, ids = scores[hit], ids[hit]
                 if len(scores) > k:
-                    top = np.lexsort((ids, -scores))[:k]
+                    top = np.lexsort((ids, -scores))[:k] if scores.dtype != object else sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k]
                     scores, ids = scores[top], ids[top]
-                for s, i in zip(scores.astype(np.int64).tolist(), ids.tolist()):
+                for s, i in zip(map(int, scores.tolist()), ids.tolist()):
                     if s >= cut:
                         (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (s, -i))
             else:
@@ -195,9 +210,9 @@ class Tree:
         return best
 
 
-def _answers(queries: list[tuple[int, bytes]], dim: int, longest: float, k: int):
+def _answers(queries: list[tuple[int, bytes, int]], dim: int, longest: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs = [(i, v) for (i, _), v in zip(queries, _matrix([b for _, b in queries], dim))]
+        qs = [(i, v) for (i, *_), v in zip(queries, _matrix([q[1:] for q in queries], dim))]
         best: dict[int, list] = {}
 
         def search(rows: list[dict]) -> None:
@@ -225,9 +240,9 @@ def _answers(queries: list[tuple[int, bytes]], dim: int, longest: float, k: int)
 def _nearest(seeds: np.ndarray, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch["v"].to_pylist(), dim)
+            x = _matrix(list(zip(batch["v"].to_pylist(), batch["dim"].to_pylist())), dim)
             cell = ((seeds ** 2).sum(axis=1)[None, :] - 2 * x @ seeds.T).argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(cell, pa.int64())], ["vec_id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], batch["dim"], pa.array(cell, pa.int64())], ["vec_id", "v", "dim", "cell"])
     return run
 
 
@@ -236,8 +251,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     """The k largest integer inner products of every query row with all other rows, ties to the smaller id.
 
     is_query: a boolean column. Components are floor(scale * x). Returns (query_id, rank from 1, vec_id, score); fewer rows
-    if there are fewer candidates. Rows whose vector is null, holds null or non-finite components, or components too large for
-    scores in a long, and rows without an id, take no part; shorter vectors are filled with zeros; a candidate
+    if there are fewer candidates. Rows whose vector is null, holds null or non-finite components, and rows without
+    an id, take no part; a score of the result that no long holds is an error, as in SQL; shorter vectors are filled with zeros; a candidate
     with the query's own id is left out; a repeated row is a candidate of its own. Rows go to trees of at most about ``cell`` by nearest seed and,
     where many share a seed, by hash. Queries are searched ``block`` at a time, each tree by one task. An empty input gives no rows.
     """
@@ -245,9 +260,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     ints = written(own.select("vec_id", "embedding").mapInArrow(_integers(scale), "vec_id long, v binary, norm double, dim int"), "mtree-integers")
     count, longest, dim = ints.agg(F.count("*"), F.max("norm"), F.max("dim")).first()
     dim, longest = dim or 0, longest or 0.0
-    some = [r[0] for r in ints.where("dim > 0").orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(seeds).collect()]
+    some = [tuple(r) for r in ints.where("dim > 0").orderBy(F.xxhash64("vec_id"), "vec_id").select("v", "dim").limit(seeds).collect()]
     centers = _matrix(some, dim) if some else np.zeros((1, dim))
-    placed = written(ints.mapInArrow(_nearest(centers, dim), "vec_id long, v binary, cell long"), "mtree-cells")
+    placed = written(ints.mapInArrow(_nearest(centers, dim), "vec_id long, v binary, dim int, cell long"), "mtree-cells")
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     splits = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, partitions_for(n, cell)))), F.col("cell")), F.lit(1)) if sizes else F.lit(1)
     trees = placed.withColumn("tree", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id", "v"), splits))
@@ -259,7 +274,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     out = None
     for b in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        qs = [(r["vec_id"], bytes(r["v"])) for r in mine.select("vec_id", "v").collect()]
+        qs = [(r["vec_id"], bytes(r["v"]), r["dim"]) for r in mine.select("vec_id", "v", "dim").collect()]
         found = pages.mapInArrow(_answers(qs, dim, longest, k), "query_id long, vec_id long, score long")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -277,6 +277,19 @@ def test_search_edges(spark):
     assert mtree.top_k(vecs.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0 ** 17, 2.0 ** 20, 5452595.0])
+def test_search_keeps_large_vectors_exactly(spark, size):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-99, 99) + (size if i % 3 == 0 else 0)) * rng.choice((1, 1, -1)) for _ in range(4)]) for i in range(200)]
+    want = []
+    for q, x in rows:
+        if q % 10 == 0:
+            scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(x, y)), i) for i, y in rows if i != q)
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)]
+    vecs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, mtree.top_k(vecs, F.col("vec_id") % 10 == 0, leaf=16, cell=70).collect())) == sorted(want)
+
+
 # ---- chats
 
 def test_chats_equal_sql(spark):
