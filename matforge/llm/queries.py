@@ -10,6 +10,8 @@ from matforge.llm.lm_score import op7_lm_scoring
 from matforge.llm.mtree import OP9_SQL, op9_mtree_topk
 from matforge.llm.packing import op6_best_fit_packing
 from matforge.llm.repeats import op5_suffix_array_dedup
+from matforge.llm.runs import op12_periodic_runs
+from matforge.llm.secrets import op11_secret_scan
 from matforge.llm.simhash import op8_simhash_near_dedup
 from matforge.llm.toxicity import op2_toxicity
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_mtree_topk": op9_mtree_topk,
     "op10_chat_format": op10_chat_format,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
