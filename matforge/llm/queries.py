@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from matforge.llm.chat import OP10_SQL, op10_chat_format
+from matforge.llm.collocations import OP13_SQL, op13_collocations
 from matforge.llm.decontaminate import op1_decontamination
 from matforge.llm.html_text import op3_html_extraction
 from matforge.llm.licenses import op4_license_scan
@@ -28,9 +29,11 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_secret_scan": op11_secret_scan,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE = {
     "op9_mtree_topk": OP9_SQL,
     "op10_chat_format": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }
