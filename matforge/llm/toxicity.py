@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -32,7 +34,13 @@ HOMOGLYPHS = {
 # Digits and signs written for a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 #: Phrases in which a lexicon word is harmless; callers may give their own.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown")
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "rodeo clown", "class clown", "kill time", "kill switch", "kill two birds",
+    "painkiller", "killer whale", "dead end", "dead line", "dead sea", "dead battery", "drop dead date", "die cast", "die hard", "dumb bell", "dumb waiter",
+    "dummy variable", "dummy data", "crash test dummy", "idiot proof", "idiot light", "stupid simple", "moron mountain", "loser bracket", "sore loser",
+    "pig iron", "guinea pig", "piggy bank", "rat race", "lab rat", "scum line", "pond scum", "garbage collector", "garbage collection", "garbage truck",
+    "rubbish bin", "ugly duckling", "hate crime law", "pest control", "parasite host", "toxic waste", "toxic asset", "shut up and take my money",
+    "trampa de basura", "cubo de basura", "poubelle de tri", "mülleimer", "papierkorb")
 #: Labelled documents that the lexicon and the logistic model are fitted on at most (smallest hashes of the id).
 SAMPLE = 20_000
 #: Lexicon entries at most, the strongest first, and the documents that must hold an entry.
@@ -46,11 +54,32 @@ _MAP |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i)
 _MAP |= dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _ODD = re.compile("[­ıɐ-ʯͰ-֏​-‍⁠﻿０-ｚ]")
 _SIGN = re.compile(r"[0134578@$!|9]")
-_MIXED = re.compile(r"[^\W_]*(?:[0-9@$!|]+[^\W\d_]|[^\W\d_][0-9])[\w@$!|]*")
+#: A sign before a letter, or a digit after one: the word around it is read as letters.
+_BESIDE = re.compile(r"[0-9@$!|][^\W\d_]|[^\W\d_][0-9]")
+_REST = re.compile(r"[\w@$!|]*")
 _AS_LETTER = str.maketrans(SUBSTITUTES)
+SUBSTITUTES_AND_DIGITS = frozenset(SUBSTITUTES) | frozenset("0123456789")
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
+def _as_letters(text: str) -> str:
+    """Words that hold a sign beside a letter, read as letters. One pass: a word is looked at once, however long it is."""
+    out, done = [], 0
+    m = _BESIDE.search(text)
+    while m:
+        start = m.start()
+        while start > done and text[start - 1] in SUBSTITUTES_AND_DIGITS:
+            start -= 1
+        while start > done and text[start - 1].isalnum():
+            start -= 1
+        end = _REST.match(text, m.start()).end()
+        word = text[start:end].rstrip("@$!|")
+        out += [text[done:start], word.translate(_AS_LETTER)]
+        done = end
+        m = _BESIDE.search(text, end)
+    return "".join([*out, text[done:]])
+
+
 def fold(text: str | None) -> str:
     """Words of the folded text, lower case, one space around each; ' ' for null or no words.
 
@@ -62,7 +91,7 @@ def fold(text: str | None) -> str:
     if not text.isascii() and _ODD.search(text):
         text = text.translate(_MAP)
     if _SIGN.search(text):
-        text = _MIXED.sub(lambda m: m[0].rstrip("@$!|").translate(_AS_LETTER), text)
+        text = _as_letters(text)
     return f" {_LETTERS.sub(' ', text.lower()).strip()} ".replace("  ", " ")
 
 
@@ -92,9 +121,10 @@ def features(a: ahocorasick.Automaton, text: str | None) -> tuple[float, float,
     t = fold(text)
     words, hits, total, free = t.count(" ") - 1, 0, 0.0, -1
     found = [(end - n + 1, end, w) for end, (n, w) in a.iter(t)] if len(a) and words > 0 else []
-    spans = [(s, e) for s, e, w in found if w is None]
+    spans = sorted((s, e) for s, e, w in found if w is None)
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
     for s, e, w in found:
-        if w is not None and not any(x <= s and e <= y for x, y in spans):
+        if w is not None and not ((k := bisect_right(starts, s)) and reach[k - 1] >= e):
             hits, total = hits + 1, total + w
     return 10 * total / (words + 10), math.log1p(total), math.log1p(hits), math.log1p(max(words, 0))
 
@@ -118,7 +148,8 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Occurrences of words and word beginnings by (entry, fold, label), at most 3 a document; partial sums."""
+    """Occurrences of words and word beginnings by (entry, fold, label); partial sums. A document vouches for an entry with at most three
+    occurrences, so that no single text makes a lexicon."""
     seen: Counter = Counter()
 
     def out():
@@ -173,9 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
           id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Fit a lexicon and its logistic model on labelled documents (0 / 1; null labels are left out).
 
-    At most ``sample`` labelled ids, those with the smallest hash, are read; occurrences are counted by Spark and
-    only entries that pass ``support`` and ``ratio`` reach the driver, the strongest first, at most 20 x ``size``. The
-    logistic model is fitted on features of the half of the sample that did not choose the entries, and the other way
+    At most ``sample`` labelled ids, those with the smallest hash, are read. Occurrences are counted by Spark, which also weighs the
+    evidence: every entry that passes ``support``, ``ratio`` and the evidence test reaches the driver, bounded by the
+    sample, and ``size`` of them are kept by strength. The logistic model is fitted on features of the half of the sample that did not choose the entries, and the other way
     round. Without a toxic or a clean example the lexicon is empty and scores are the share of toxic labels.
     """
     ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
@@ -194,11 +225,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
         share = train.agg(F.avg("toxic")).first()[0]
         share = min(max(share if share is not None else 0.0, 1e-3), 1 - 1e-3)
         return Lexicon({}, exceptions, [math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0])
-    more = (toxic + 0.5) / (total[1] + total[3] + 1) >= 0.7 * ratio * (clean + 0.5) / (total[0] + total[2] + 1)
-    best = counted.where((F.col("entry") != "") & (toxic >= support) & more).orderBy(F.desc(toxic), "entry").limit(20 * size).collect()
+    def strong(i: tuple[int, ...], j: tuple[int, ...]):
+        """The tests of ``choose`` as a column, a little wider, so that rounding loses nothing."""
+        c, t = (sum((F.col(cols[k]) for k in ks[1:]), F.col(cols[ks[0]])).cast("double") for ks in (i, j))
+        nc, nt = sum(total[k] for k in i), sum(total[k] for k in j)
+        expect = (c + t) * nt / max(nc + nt, 1)
+        evidence = t * F.log(t / expect) - (t - expect) + 0.001 * F.length("entry")
+        return (t >= support) & ((t + 0.5) / (nt + 1) >= 0.999 * ratio * (c + 0.5) / (nc + 1)) & (evidence >= 5.999)
+
+    folds = [((0, 2), (1, 3)), ((2,), (3,)), ((0,), (1,))]
+    best = counted.where((F.col("entry") != "") & (strong(*folds[0]) | strong(*folds[1]) | strong(*folds[2]))).collect()
     pick = lambda i, j: choose({r["entry"]: (sum(r[cols[k]] for k in i), sum(r[cols[k]] for k in j)) for r in best},
                                (sum(total[k] for k in i), sum(total[k] for k in j)), size, ratio, support)
-    entries = pick((0, 2), (1, 3))
+    entries = pick(*folds[0])
     beginnings = [p[1:] for p in entries if not p.endswith(" ")]
     learned: tuple[str, ...] = ()
     if beginnings:
@@ -206,7 +245,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
         innocent = counted.where(F.col("entry").endswith(" ") & word.rlike("^(?:" + "|".join(map(re.escape, beginnings)) + ")") & (clean >= 5)
                                  & ((toxic + 0.5) / (total[1] + total[3] + 1) < (clean + 0.5) / (total[0] + total[2] + 1)))
         learned = tuple(r[0] for r in innocent.select(word).orderBy(F.desc(clean), word).limit(size).collect())
-    halves = [pick((2,), (3,)), pick((0,), (1,))]  # by half: the entries that the other half chose
+    halves = [pick(*folds[1]), pick(*folds[2])]  # by half: the entries that the other half chose
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         autos = [Lexicon(h, exceptions + learned).automaton() for h in halves]

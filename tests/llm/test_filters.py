@@ -1,7 +1,9 @@
 """Toxicity, decontamination, licence scans and HTML extraction against brute force, and their edge cases."""
 
 import math
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,29 @@ def test_exception_phrases_cancel_hits_and_length_normalises():
     assert X.features(a, "1oser")[1] == 0 and X.features(X.Lexicon({" loser ": 1.0}).automaton(), "1oser")[2] == math.log1p(1)
 
 
+def test_features_equal_a_search_by_hand():
+    """Every entry at every place of the folded text, without an automaton."""
+    rng = random.Random(3)
+    lexicon = X.Lexicon({" trash ": 2.0, " id": 1.0, " loser ": 3.0, " b": 0.5}, ("trash can", "b c d", "can trash"))
+    auto = lexicon.automaton()
+    words = ["trash", "can", "idiot", "l0ser", "b", "c", "d", "id", "tr@sh", "x"]
+    for _ in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+        t = X.fold(text)
+        spans = [(i, i + len(X.fold(p))) for p in lexicon.exceptions for i in range(len(t)) if t.startswith(X.fold(p), i)]
+        hits = [w for k, w in lexicon.entries.items() for v in {k, k.replace("l", "i")} for i in range(len(t))
+                if t.startswith(v, i) and not any(a <= i and i + len(v) <= b for a, b in spans)]
+        assert X.features(auto, text)[1:3] == pytest.approx((math.log1p(sum(hits)), math.log1p(len(hits)))), text
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "$", "a1", "1_", "a!", "_a", "é", "1a ", "!!a", "trash can ", "trash "])
+def test_long_texts_fold_in_linear_time(unit):
+    auto = X.Lexicon({" trash ": 2.0}).automaton()
+    start = time.perf_counter()
+    X.features(auto, unit * (200_000 // len(unit)) + "!x")
+    assert time.perf_counter() - start < 1
+
+
 def test_held_out_accuracy_and_no_label_leak(spark):
     from matforge.llm.toxicity import op2_toxicity
 
