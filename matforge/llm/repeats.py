@@ -3,9 +3,10 @@
 Every byte covered by a string of ``length`` bytes that starts at two or more places of the collection is found as
 follows, each step a Spark job over the whole table:
 
-1. Anchors. In every window of ``length`` bytes the leftmost smallest hash of a ``GRAM``-byte gram is an anchor. The rule sees
-   the window only, so two equal windows have anchors with equal grams at the same place in them. Anchors whose
-   gram occurs once cannot take part; the rest are few.
+1. Lots. Documents are kept in lots of bounded size. In every window of ``length`` bytes the leftmost smallest hash of a
+   ``gram``-byte string is an anchor. The rule sees the window only, so two equal windows have anchors with equal grams at the same place
+   in them. The totals of all grams come to each lot from key ranges (``grams``); anchors whose gram occurs once cannot
+   take part; the rest are few.
 2. Segments. The bytes around an anchor that any window over it can hold. Equal segments (gram and segment hash, 64
    bits each) are kept once, with a count; windows of a segment that occurs twice or more are all repeats.
 3. Columns. The different segments of one gram meet in one partition, aligned at the anchor, as a document collection.
@@ -14,15 +15,19 @@ follows, each step a Spark job over the whole table:
    order of the round before) and the common prefixes by range minima between neighbours with equal symbol. The columns
    are read from a sequential external file. A window is a repeat if the common prefix with a neighbour
    in the order reaches ``length``.
-4. Grams with more than ``crowd`` different segments are not gathered: their windows are hashed one by one and
-   counted with map-side combining, which is exact as well and never collects the group.
+4. A gram with more than ``crowd`` different segments is split by content until each part is small enough: its windows are
+   halved by their distance from the anchor, and the segments of each half meet by the string that all windows of the half
+   share. Segments that agree on all of a half's windows are repeats at once and go on as one; a string
+   of its own goes no further. So a string that is in half of all documents is settled in rounds logarithmic in ``length``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matforge.llm import grams
 from matforge.llm.common import partitions_for, read, written
 
 LENGTH = 400
 GRAM = 48
-#: Different segments of one gram beyond which its windows are counted by hash.
-CROWD = 50_000
-#: Segments that one column-wise task gets, about.
+#: Different segments of one gram beyond which they are split by content.
+CROWD = 5_000
+#: Segments that one column-wise task gets, about; bytes of text in a lot; keys that one range gets, about.
 PER_TASK = 20_000
+LOT_BYTES = 4 << 20
+KEYS_PER_TASK = 2_000_000
 _BLOCK = 1 << 18
 _TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,67 +97,144 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return pos, np.concatenate(hashes)[first]
 
 
-def _anchor_rows(length: int, gram: int):
-    """Rows (k, doc_id, gram, seg, pos, step, n): n anchors from pos on, step apart, with one gram and segment."""
+_LOT = "lot long, docs binary, keys binary, sizes binary, pos binary, gram binary, seg binary"
+ANCHORS, SELF = 0, 1
+
+
+def _lots(length: int, gram: int, lot_bytes: int):
+    """Rows of _LOT: documents (carried, text) as one compressed block, their keys, and their anchors with gram and segment."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        lot, size = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
+        keys: list[int] = []
+        counts: list[int] = []
+        marks: list[list[np.ndarray]] = [[], [], []]
+
+        def out() -> pa.RecordBatch:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            join = lambda parts, kind: grams.pack(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
+            cols = [sink.getvalue(), grams.pack(np.array(keys, "<i8")), grams.pack(np.array(counts, "<i4")), join(marks[0], "<i4"), join(marks[1], "<u8"), join(marks[2], "<i8")]
+            return pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)],
+                                              ["lot", "docs", "keys", "sizes", "pos", "gram", "seg"])
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for k, doc, text in zip(batch["k"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"]):
-                text = text.as_py()
-                if not text or len(text) * 4 < length:
-                    continue
-                raw = text.encode("utf-8", "replace")
-                if len(raw) < length:
-                    continue
+            body, at = batch.select(["carried", "text"]), 0
+            for i, (key, text) in enumerate(zip(batch["key"].to_pylist(), batch["text"])):
+                raw = (text.as_py() or "").encode("utf-8", "replace")
                 pos, h = anchors(np.frombuffer(raw, dtype=np.uint8), length, gram)
-                runs: dict = {}
-                for a, g in zip(pos.tolist(), h.view(np.int64).tolist()):
-                    left = max(0, a - reach)
-                    seg = xxhash.xxh3_64_intdigest(raw[left:a + length], a - left)
-                    last = runs.get((g, seg))
-                    if last is None or last[-1][2] > 1 and a - last[-1][0] != last[-1][1] * last[-1][2]:
-                        runs.setdefault((g, seg), []).append([a, 0, 1])
-                    else:
-                        last[-1][1] = last[-1][1] or a - last[-1][0]
-                        last[-1][2] += 1
-                for (g, seg), parts in runs.items():
-                    for a, step, n in parts:
-                        for col, v in zip(out, (k, doc, g, seg - (1 << 63), a, step, n)):
-                            col.append(v)
-            kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["k", "doc_id", "gram", "seg", "pos", "step", "n"])
+                seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[max(0, a - reach):a + length], min(a, reach)) for a in pos.tolist()), np.uint64, len(pos))
+                keys.append(key), counts.append(len(pos))
+                for col, v in zip(marks, (pos, h, seg.view(np.int64))):
+                    col.append(v)
+                size += len(raw)
+                if size >= lot_bytes:
+                    held.append(body.slice(at, i + 1 - at))
+                    yield out()
+                    lot, size, at = lot + 1, 0, i + 1
+                    held.clear(), keys.clear(), counts.clear(), [m.clear() for m in marks]
+            if at < len(batch):
+                held.append(body.slice(at))
+        if held:
+            yield out()
     return run
 
 
-def _segment_rows(length: int, gram: int):
-    """Rows (gram, seg, left, body) of the wanted segments of each document."""
+def _documents(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def _ask(bits: int):
+    """Rows of grams.ASK: the different grams of each lot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot, gram in zip(batch["lot"].to_pylist(), batch["gram"].to_pylist()):
+                keys, counts = np.unique(grams.unpack(gram, "<u8"), return_counts=True)
+                if len(keys):
+                    yield grams.ask(lot, keys, counts, bits)
+    return run
+
+
+_SHARED = "gram long, seg long, key long, lot long, doc int, pos int, step int, n int"
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _SHARED: n anchors from pos on, step apart, with one gram that occurs more than once, and one segment."""
+    totals: list[bytes] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == ANCHORS:
+                totals.append(row["totals"])
+                continue
+            gram, pos, seg = grams.unpack(row["gram"], "<u8"), grams.unpack(row["pos"], "<i4"), grams.unpack(row["seg"], "<i8")
+            sizes, key = grams.unpack(row["sizes"], "<i4"), grams.unpack(row["keys"], "<i8")
+            _, where = np.unique(gram, return_inverse=True)
+            total = np.concatenate([np.zeros(0, np.int64), *(grams.unpack(t, "<i8") for t in totals)])
+            totals = []
+            take = np.flatnonzero(total[where] > 1)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[take]
+            out: list[list[int]] = [[] for _ in range(6)]
+            runs: dict = {}
+            for d, a, g, s in zip(doc.tolist(), pos[take].tolist(), gram[take].view(np.int64).tolist(), seg[take].tolist()):
+                last = runs.get((d, g, s))
+                if last is None or last[2] > 1 and a - last[0] != last[1] * last[2]:
+                    runs[d, g, s] = last = [a, 0, 0]
+                    for col, v in zip(out, (g, s, d, a, last)):
+                        col.append(v)
+                elif last[2] == 1:
+                    last[1] = a - last[0]
+                last[2] += 1
+            g, s, d, a, last, _ = out
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(key[np.array(d, np.int64)]), pa.array([row["lot"]] * len(g), pa.int64()), pa.array(d, pa.int32()),
+                 pa.array(a, pa.int32()), pa.array([x[1] for x in last], pa.int32()), pa.array([x[2] for x in last], pa.int32())],
+                ["gram", "seg", "key", "lot", "doc", "pos", "step", "n"])
+
+
+_BODY = "gram long, seg long, key long, lot long, doc int, pos int, left int, body binary"
+
+
+def _body_rows(length: int, gram: int):
+    """Rows of _BODY: the wanted segments of each lot's documents."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: list[dict] = []
         for batch in batches:
-            g, seg, left, body = [], [], [], []
-            for text, wanted in zip(batch["text"], batch["wanted"]):
-                raw = text.as_py().encode("utf-8", "replace")
-                for w in wanted.as_py():
-                    a = w["pos"]
-                    lo = max(0, a - reach)
-                    g.append(w["gram"]), seg.append(w["seg"]), left.append(a - lo), body.append(raw[lo:a + length])
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(seg, pa.int64()), pa.array(left, pa.int32()), pa.array(body, pa.binary())],
-                                             ["gram", "seg", "left", "body"])
+            for row in batch.to_pylist():
+                if row["kind"] == ANCHORS:
+                    wanted.append(row)
+                    continue
+                if wanted:
+                    texts, raw, own = _documents(row["docs"])["text"], {}, []
+                    for w in wanted:
+                        if w["doc"] not in raw:
+                            raw = {w["doc"]: texts[w["doc"]].as_py().encode("utf-8", "replace")}  # they come document by document
+                        own.append((w["gram"], w["seg"], w["key"], w["lot"], w["doc"], w["pos"], min(w["pos"], reach), raw[w["doc"]][max(0, w["pos"] - reach):w["pos"] + length]))
+                    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 3 + (pa.binary(),)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), kinds)], ["gram", "seg", "key", "lot", "doc", "pos", "left", "body"])
+                wanted = []
     return run
 
 
-def insert_columns(columns: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+def insert_columns(columns: np.ndarray, start: np.ndarray, end: np.ndarray, length: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Column-wise construction over aligned strings: which windows equal one of another row at the same column.
 
     columns: (width, rows) symbols, one contiguous row of the file for each column; row i has symbols in
-    [start[i], end[i]). Returns (width - length + 1, rows) booleans.
+    [start[i], end[i]). Returns two (width - length + 1, rows) boolean arrays: repeated windows, and those of them whose row has
+    the smallest ``place`` (default: the row) of the rows with that window.
     """
     width, m = columns.shape
+    place = np.arange(m) if place is None else place
     order, lcp = np.arange(m), np.zeros(m + 1, dtype=np.int32)
     found = np.zeros((width - length + 1, m), dtype=bool)
+    first = np.zeros_like(found)
     for c in range(width - 1, -1, -1):
         sym = columns[c].astype(np.uint16)
         sym[(c < start) | (c >= end)] = 256
@@ -169,25 +254,36 @@ def insert_columns(columns: np.ndarray, start: np.ndarray, end: np.ndarray, leng
         new[j] += 1
         order, lcp = order[perm], new
         if c < len(found):
-            hit = np.maximum(lcp[:-1], lcp[1:]) >= length
-            found[c, order[hit]] = True
-    return found
+            tie = lcp >= length
+            hit = tie[:-1] | tie[1:]
+            if hit.any():
+                found[c, order[hit]] = True
+                head = np.flatnonzero(hit & ~tie[:-1])  # where a class of equal windows begins
+                member = np.flatnonzero(hit)
+                least = np.minimum.reduceat(place[order[member]], np.searchsorted(member, head))
+                first[c, order[member]] = place[order[member]] == np.repeat(least, np.diff(np.append(np.searchsorted(member, head), len(member))))
+    return found, first
+
+
+_FLAG = "gram long, seg long, lo int, hi int, first boolean, lot long, doc int, pos int"
+_FLAG_COLUMNS = ["gram", "seg", "lo", "hi", "first", "lot", "doc", "pos"]
 
 
 def _repeat_rows(length: int, gram: int):
-    """Rows (gram, seg, lo, hi): byte ranges, relative to the anchor, of repeated windows of each segment."""
+    """Rows of _FLAG: byte ranges, relative to the anchor, of repeated windows of each segment; first if no equal window is at an earlier place."""
     reach, width = length - gram, 2 * length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict = {}
         with tempfile.TemporaryFile() as rows, tempfile.TemporaryFile() as cols:
-            start, end = [], []
+            start, end, places = [], [], []
             for batch in batches:
-                for g, seg, left, body in zip(*(batch[c].to_pylist() for c in ("gram", "seg", "left", "body"))):
+                for g, seg, key, lot, doc, pos, left, body in zip(*(batch[c].to_pylist() for c in ("gram", "seg", "key", "lot", "doc", "pos", "left", "body"))):
                     if (g, seg) not in keys:
                         keys[g, seg] = len(keys)
                         start.append(reach - left)
                         end.append(reach - left + len(body))
+                        places.append((key, lot, doc, pos))
                         rows.write((b"\0" * (reach - left) + body).ljust(width, b"\0"))
             m = len(keys)
             if not m:
@@ -198,38 +294,72 @@ def _repeat_rows(length: int, gram: int):
                 cols.write(np.ascontiguousarray(by_row[:, c:c + 64].T).tobytes())
             cols.flush()
             by_col = np.memmap(cols, dtype=np.uint8, mode="r", shape=(width, m))
-            found = insert_columns(by_col, np.array(start), np.array(end), length)
-            edge = np.diff(found.astype(np.int8), axis=0, prepend=0, append=0)
+            place = np.empty(m, np.int64)
+            place[sorted(range(m), key=places.__getitem__)] = np.arange(m)
+            found, first = insert_columns(by_col, np.array(start), np.array(end), length, place)
+            del by_row, by_col
+        names, own = np.array(list(keys), dtype=np.int64).reshape(-1, 2), np.array(places, dtype=np.int64).reshape(-1, 4)
+        for flags, early in ((found & ~first, False), (first, True)):
+            edge = np.diff(flags.astype(np.int8), axis=0, prepend=0, append=0)
             row, c0 = np.nonzero(edge.T == 1)
             c1 = np.nonzero(edge.T == -1)[1]
-            del by_row, by_col
-        names = np.array(list(keys), dtype=np.int64).reshape(-1, 2)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array((c0 - reach).astype(np.int32)),
-                                          pa.array((c1 - 1 - reach + length).astype(np.int32))], ["gram", "seg", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[row, 0]), pa.array(names[row, 1]), pa.array((c0 - reach).astype(np.int32)), pa.array((c1 - 1 - reach + length).astype(np.int32)),
+                 pa.array(np.full(len(row), early)), pa.array(own[row, 1]), pa.array(own[row, 2].astype(np.int32)), pa.array(own[row, 3].astype(np.int32))], _FLAG_COLUMNS)
     return run
 
 
-def _window_rows(length: int, gram: int):
-    """Rows (gram, at, w1, w2, seg): every window of a segment by hash and place."""
-    reach = length - gram
+_NODE = "x0 int, x1 int, core long, whole long, lo int, hi int, " + _BODY
+
+
+def _halves(length: int):
+    """Rows of _NODE: both halves of the windows [x0, x1] (by their distance before the anchor) of each segment, with
+    the hash of the bytes that all of them share, that of all their bytes, and the range that they cover."""
+    names = [c.split()[0] for c in _NODE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                body, n = row["body"], len(row["body"]) - length + 1
-                h = np.array([xxhash.xxh3_128_digest(body[i:i + length]) for i in range(n)]).view("V16")
-                h = np.frombuffer(h.tobytes(), dtype=np.int64).reshape(-1, 2)
-                own, seg = (pa.array(np.full(n, row[c], dtype=np.int64)) for c in ("gram", "seg"))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(n, dtype=np.int32) - row["left"]), pa.array(h[:, 0]), pa.array(h[:, 1]), seg],
-                                                 ["gram", "at", "w1", "w2", "seg"])
+            out = []
+            for r in batch.to_pylist():
+                body, left = r["body"], r["left"]
+                mid = (r["x0"] + r["x1"]) // 2
+                for x0, x1 in ((r["x0"], mid), (mid + 1, r["x1"])):
+                    near, far = max(x0, length - (len(body) - left)), min(x1, left)
+                    if x0 <= x1 and near <= far:
+                        core = xxhash.xxh3_64_intdigest(body[left - x0:left - x1 + length], 1) - (1 << 63)
+                        whole = xxhash.xxh3_64_intdigest(body[left - far:left - near + length], far) - (1 << 63)
+                        out.append({**r, "x0": x0, "x1": x1, "core": core, "whole": whole, "lo": -far, "hi": length - near})
+            if out:
+                kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array([r[c.split()[0]] for r in out], kinds[c.split()[1]]) for c in _NODE.split(", ")], names)
     return run
 
 
-def covered(n: int, spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes of a text of n bytes that the spans cover."""
+def _split(bodies: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(parts, flags) of the crowded grams' segments: parts of at most ``crowd`` segments, with a column part, and the flags of segments
+    that agree on whole parts."""
+    key, place = ["gram", "x0", "x1", "core"], F.struct("key", "lot", "doc", "pos")
+    hot, parts, flags = bodies.withColumn("x0", F.lit(0)).withColumn("x1", F.lit(length - gram)), [], []
+    while True:
+        node = written(hot.select("x0", "x1", *(c.split()[0] for c in _BODY.split(", "))).mapInArrow(_halves(length), _NODE), "repeats-nodes")
+        kinds = written(node.groupBy(*key, "whole").agg(F.count("*").alias("alike"), F.min(F.struct(place.alias("place"), "seg")).alias("head")), "repeats-alike")
+        sizes = kinds.groupBy(*key).agg(F.count("*").alias("size"))
+        alike = kinds.where("alike > 1").select(*key, "whole", F.col("head.seg").alias("early"))
+        flags.append(node.join(alike, [*key, "whole"]).select("gram", "seg", "lo", "hi", (F.col("seg") == F.col("early")).alias("first"), "lot", "doc", "pos"))
+        heads = kinds.join(sizes.where("size > 1"), key).select(*key, F.col("head.seg").alias("seg"), "size")
+        rest = written(node.join(heads, [*key, "seg"]), "repeats-heads")
+        parts.append(rest.where(F.col("size") <= crowd).select(F.xxhash64(*key).alias("part"), *(c.split()[0] for c in _BODY.split(", "))))
+        hot = rest.where(F.col("size") > crowd)
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, flags)
+
+
+def covered(n: int, spans: list[dict], keep_first: bool = False) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes of a text of n bytes that the spans cover; with ``keep_first`` without the windows of a
+    first place."""
     ends = []
     for s in spans:
-        for i in range(s["n"]):
+        for i in range(s["early"] if keep_first else 0, s["n"]):
             a = s["pos"] + i * s["step"]
             ends.append((max(0, a + s["lo"]), min(n, a + s["hi"])))
     runs: list[tuple[int, int]] = []
@@ -241,45 +371,58 @@ def covered(n: int, spans: list[dict]) -> list[tuple[int, int]]:
     return runs
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, per_task: int = PER_TASK) -> DataFrame:
-    """docs: (k, doc_id, text), k a key of the row's content. Returns (k, doc_id, spans) for documents with repeats."""
-    found = docs.mapInArrow(_anchor_rows(length, gram), f"k long, doc_id {dict(docs.dtypes)['doc_id']}, gram long, seg long, pos int, step int, n int")
-    found = written(found, "repeats-anchors")
-    # Written, so that the join below deals rows of its own that Spark can split where one gram has many; merged at
-    # every size, as these tables grow with the input.
-    often = written(found.groupBy("gram").agg(F.sum("n").alias("total")).where("total > 1").select("gram"), "repeats-often")
-    many = written(found.join(often.hint("merge"), "gram"), "repeats-shared")
+def _to_lots(lots: DataFrame, rows: DataFrame, columns: list[str], count: int) -> DataFrame:
+    """The rows of each lot, document by document, and then the lot itself with the given columns."""
+    own = [c for c in rows.columns if c != "lot"]
+    kinds, mine = dict(rows.dtypes), dict(lots.dtypes)
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    left = rows.select("lot", F.lit(ANCHORS).alias("kind"), *own, *(none(mine[c], c) for c in columns))
+    right = lots.select("lot", F.lit(SELF).alias("kind"), *(none(kinds[c], c) for c in own), *columns)
+    order = [c for c in ("range", "doc") if c in own]
+    return left.unionByName(right).repartition(max(1, count), "lot").sortWithinPartitions("lot", "kind", *order)
+
+
+def repeated_spans(lots: DataFrame, count: int, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, per_task: int = PER_TASK,
+                   keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
+    """(lot, doc, pos, step, n, lo, hi, early) of the repeated windows of every document: ranges lo to hi around n anchors from pos on,
+    step apart; early is 1 if those of the first anchor stand at the first place of their strings."""
+    marks = lots.agg(F.coalesce(F.sum(F.length("gram")), F.lit(0))).first()[0] // 8
+    bits = grams.range_bits(marks, keys_per_task)
+    totals = grams.answers(lots.select("lot", "gram").mapInArrow(_ask(bits), grams.ASK), bits, "repeats-totals")
+    many = _to_lots(lots, totals.select("lot", "range", "totals"), ["keys", "sizes", "pos", "gram", "seg"], count).mapInArrow(_shared_rows, _SHARED)
+    many = written(many, "repeats-shared")
     segment = ["gram", "seg"]
-    own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("k", "doc_id", "pos")).alias("rep"))
+    own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("key", "lot", "doc", "pos")).alias("rep"))
     own = written(own, "repeats-segments")
     kinds = written(own.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-kinds")
-    mixed = own.join(kinds.hint("merge"), "gram").select(*segment, "rep.*", "kinds")
-    wanted = mixed.groupBy("k", "doc_id").agg(F.collect_list(F.struct("pos", *segment)).alias("wanted"))
-    same = lambda x, y: (x["k"] == y["k"]) & x["doc_id"].eqNullSafe(y["doc_id"])
-    bodies = docs.join(wanted, same(docs, wanted)).select("text", "wanted").mapInArrow(
-        _segment_rows(length, gram), "gram long, seg long, left int, body binary")
-    crowded = kinds.where(F.col("kinds") > crowd).select("gram")
+    mixed = own.join(kinds.hint("merge"), "gram").select(*segment, "rep.*")
+    bodies = _to_lots(lots, mixed, ["docs"], count).mapInArrow(_body_rows(length, gram), _BODY)
     bodies = written(bodies, "repeats-bodies")
-    calm = bodies.join(crowded, "gram", "left_anti").repartition(partitions_for(bodies.count(), per_task), "gram")
-    flags = calm.mapInArrow(_repeat_rows(length, gram), "gram long, seg long, lo int, hi int")
-    busy = bodies.join(crowded, "gram").dropDuplicates(segment).mapInArrow(
-        _window_rows(length, gram), "gram long, at int, w1 long, w2 long, seg long")
-    window = ["gram", "at", "w1", "w2"]
-    twice = busy.groupBy(*window).agg(F.count("*").alias("c")).where("c > 1").select(*window)
-    flags = flags.unionByName(busy.join(twice, window).select(*segment, F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
-    whole = own.where("count > 1").select(*segment, F.lit(gram - length).alias("lo"), F.lit(length).alias("hi"))
-    flags = flags.join(whole.select(*segment), segment, "left_anti").unionByName(whole)
-    spans = many.join(flags, segment).groupBy("k", "doc_id").agg(F.collect_list(F.struct("pos", "step", "n", "lo", "hi")).alias("spans"))
-    return spans
-
-
-def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for text, spans in zip(batch["text"], batch["spans"]):
+    crowded = kinds.where(F.col("kinds") > crowd).select("gram")
+    calm = bodies.join(crowded, "gram", "left_anti").withColumn("part", F.xxhash64("gram"))
+    flags = own.where("count > 1").select(*segment, F.lit(gram - length).alias("lo"), F.lit(length).alias("hi"), F.lit(True).alias("first"), "rep.lot", "rep.doc", "rep.pos")
+    if not crowded.isEmpty():
+        parts, alike = _split(bodies.join(crowded, "gram", "left_semi"), length, gram, crowd)
+        calm, flags = calm.unionByName(parts.select(*calm.columns)), flags.unionByName(alike)
+    dealt = calm.repartition(partitions_for(bodies.count(), per_task), "part")
+    flags = flags.unionByName(dealt.mapInArrow(_repeat_rows(length, gram), _FLAG))
+    flags = flags.withColumnsRenamed({"lot": "rlot", "doc": "rdoc", "pos": "rpos"})
+    early = F.col("first") & (F.col("lot") == F.col("rlot")) & (F.col("doc") == F.col("rdoc")) & (F.col("pos") == F.col("rpos"))
+    return many.join(flags, segment).select("lot", "doc", "pos", "step", "n", "lo", "hi", early.cast("int").alias("early"))
+
+
+_RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
+
+
+def _results(keep_first: bool, min_words: int):
+    def out(texts: pa.ChunkedArray, spans: dict[int, list[dict]]) -> list[pa.Array]:
+        cols: list[list] = [[] for _ in _RESULT]
+        for doc, text in enumerate(texts):
             text = text.as_py()
             raw = text.encode("utf-8", "replace") if text else b""
-            runs = covered(len(raw), spans.as_py() or [])
+            runs = covered(len(raw), spans.get(doc, ()), keep_first)
+            if min_words:
+                runs = [(lo, hi) for lo, hi in runs if len(raw[lo:hi].split()) >= min_words]
             kept, at = [], 0
             for lo, hi in runs:
                 kept.append(raw[at:lo])
@@ -289,31 +432,45 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                    text if not runs else rest.decode("utf-8", "ignore"))
             for col, v in zip(cols, row):
                 col.append(v)
-        yield pa.RecordBatch.from_arrays([batch["carried"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                                          pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
-                                         ["carried", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        return [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans: dict[int, list[dict]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == ANCHORS:
+                    spans.setdefault(row["doc"], []).append(row)
+                    continue
+                docs = _documents(row["docs"])
+                cols = [docs["carried"].combine_chunks(), *out(docs["text"], spans)]
+                spans = {}
+                yield pa.RecordBatch.from_arrays(cols, ["carried", *(c for c, _ in _RESULT)])
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   crowd: int = CROWD, per_task: int = PER_TASK, carry: list[str] | None = None) -> DataFrame:
+                   crowd: int = CROWD, per_task: int = PER_TASK, carry: list[str] | None = None, keep_first: bool = False, min_words: int = 0,
+                   lot_bytes: int = LOT_BYTES, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that starts at two or more places of the collection.
 
     Returns, for each input row, (carried, n_bytes, n_removed, n_spans, kept_sha256, kept_text); carried is a struct of the
     columns named in ``carry`` (the id if none are), so that clashing names do no harm. Texts are UTF-8 bytes,
     null is empty (its kept_text is null); matches lie inside one document, may overlap and are judged on the
     input. A repeated row is another place. kept_text leaves out a character of which only a part remains.
-    Ids may be null or repeat; an empty input gives no rows.
+    With ``keep_first`` the first place of each string stays (places are ordered by the hash of id and text, then in reading order), and
+    bytes go that a string covers which also starts at an earlier place. Runs that touch fewer than
+    ``min_words`` words stay. Ids may be null or repeat; an empty input gives no rows.
     """
     if length <= gram:
         raise ValueError("length must exceed gram")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                       F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carried"))
-    own = own.withColumn("k", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(own.select("k", "doc_id", "text"), length, gram, crowd, per_task).withColumnsRenamed({"k": "sk", "doc_id": "sid"})
-    joined = own.join(spans, (own["k"] == spans["sk"]) & own["doc_id"].eqNullSafe(spans["sid"]), "left").select("text", "spans", "carried")
-    rest = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
-                         T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_results, T.StructType([own.schema["carried"], *rest]))
+    own = own.select(F.xxhash64("doc_id", "text").alias("key"), "text", "carried")
+    lots = written(own.mapInArrow(_lots(length, gram, lot_bytes), _LOT), "repeats-lots")
+    count = lots.count()
+    spans = repeated_spans(lots, count, length, gram, crowd, per_task, keys_per_task)
+    schema = T.StructType([own.schema["carried"], *(T.StructField(c, k) for c, k in _RESULT)])
+    return _to_lots(lots, spans, ["docs"], count).mapInArrow(_results(keep_first, min_words), schema)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,11 +151,49 @@ def test_column_insertion_equals_sorting():
     cols[:, 40:] = cols[:, :40]
     cols[rng.integers(0, 30, 25), rng.integers(40, 80, 25)] = 120
     start, end = rng.integers(0, 4, 80), 30 - rng.integers(0, 4, 80)
-    got = repeats.insert_columns(cols, start, end, 9)
+    place = rng.permutation(80)
+    got, first = repeats.insert_columns(cols, start, end, 9, place)
     for c in range(22):
         own = [bytes(cols[c:c + 9, i]) if start[i] <= c and c + 9 <= end[i] else None for i in range(80)]
         n = Counter(w for w in own if w)
         assert [bool(w) and n[w] > 1 for w in own] == got[c].tolist()
+        least = {w: min(place[i] for i in range(80) if own[i] == w) for w in n}
+        assert [bool(w) and n[w] > 1 and least[w] == place[i] for i, w in enumerate(own)] == first[c].tolist()
+
+
+@pytest.mark.parametrize("length, gram, crowd, per_task, lot", [(40, 12, 5000, 20_000, 4 << 20), (40, 12, 2, 50, 500), (25, 24, 3, 7, 1), (60, 8, 4, 20_000, 2000)])
+def test_first_places_stay(spark, length, gram, crowd, per_task, lot):
+    """Against windows taken one by one: a byte goes if a string covers it that also starts at an earlier place."""
+    docs = spark.createDataFrame(_repeat_rows(4), "doc_id long, text string")
+    rows = sorted((r.key, r.doc_id is None, r.doc_id or 0, (r.text or "").encode()) for r in docs.withColumn("key", F.xxhash64("doc_id", "text")).collect())
+    seen, want = set(), []
+    for _, none, d, b in rows:
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            if b[p:p + length] in seen:
+                gone[p:p + length] = True
+            seen.add(b[p:p + length])
+        want.append((None if none else d, int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    out = repeats.remove_repeats(docs, length=length, gram=gram, crowd=crowd, per_task=per_task, keep_first=True, lot_bytes=lot, keys_per_task=500).collect()
+    assert sorted(((r.carried.doc_id, r.n_removed, r.kept_sha256) for r in out), key=str) == sorted(want, key=str)
+    assert sum(w[1] for w in want) > 500
+
+
+def test_short_runs_stay_where_words_are_asked_for(spark):
+    a, b = " ".join(f"one{i}" for i in range(60)), "x" * 300 + " short"
+    docs = spark.createDataFrame([(1, f"{a} {b} end"), (2, f"other {a}"), (3, f"more {b}")], "doc_id long, text string")
+    out = {r.carried.doc_id: r.kept_text for r in repeats.remove_repeats(docs, length=100, gram=32, keep_first=True, min_words=50).collect()}
+    assert out[3] == f"more {b}" and sorted(len(t) for t in out.values()) != sorted(len(r.text) for r in docs.collect())
+    assert sum(a in t for t in out.values()) == 1
+
+
+def test_a_hot_gram_is_split(spark):
+    """One string in all documents, followed by different texts: parts stay small, the result whole."""
+    rng = random.Random(9)
+    hot = "".join(rng.choice("abcdef ") for _ in range(50))
+    rows = [(i, "".join(rng.choice("ghij") for _ in range(rng.randint(0, 30))) + hot + "".join(rng.choice("kl") for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=52, gram=16, crowd=5)
+    assert sorted(((r.carried.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=str) == _kept(rows, 52)
 
 
 def test_repeats_edges(spark, edge):
