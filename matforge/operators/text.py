@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matforge.session import written
+
 # Token rule (two or more word characters) and the vocabulary size of the decomposition.
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 TRAIN_MAX_FEATURES = 15000
@@ -51,7 +53,8 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None =
 def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term, weight, and idx if the vocabulary has it): tf * idf, L2-normalised per document over kept terms."""
     idx = [c for c in ("idx",) if c in vocab.columns]
-    w = tf.join(vocab.select("term", "idf", *idx), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # Both sides grow with the texts, and Spark sizes an explode like the file below it: merged, never broadcast.
+    w = tf.hint("merge").join(vocab.select("term", "idf", *idx), "term").withColumn("w", F.col("tf") * F.col("idf"))
     # a document's terms come from one text: the window is bounded by it
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "term", *idx, (F.col("w") / norm).alias("weight"))
@@ -59,8 +62,8 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fit_tfidf(docs: DataFrame, max_features: int | None = None, doc_id: str = "doc_id",
               text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """M1: (vocabulary table, long weight table)."""
-    tf = term_counts(docs, doc_id, text)
+    """M1: (vocabulary table, long weight table). The counts are written once, as both tables read them."""
+    tf = written(term_counts(docs, doc_id, text), "term-counts")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = fit_vocabulary(tf, n_docs, max_features)
     return vocab, tfidf_weights(tf, vocab)

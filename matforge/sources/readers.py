@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matforge.config import LINE_ITEM_COLUMNS
+from matforge.session import path_exists
 
 
 def csv_reader(spark: SparkSession, multi_line: bool = True):
@@ -50,12 +51,8 @@ def read_line_items(spark: SparkSession, path: str, fmt: str = "csv", columns: l
 
 def read_tasks(spark: SparkSession, path: str | None, required: bool = False) -> DataFrame:
     """Procurement task table with trimmed headers; absent -> empty 4-column table (or error)."""
-    if path:
-        try:
-            return _strip_headers(csv_reader(spark).csv(path))
-        except Exception:  # noqa: BLE001
-            if required:
-                raise
+    if path and path_exists(spark, path):
+        return _strip_headers(csv_reader(spark).csv(path))
     if required:
         raise FileNotFoundError(f"no task table at {path}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in
@@ -64,18 +61,13 @@ def read_tasks(spark: SparkSession, path: str | None, required: bool = False) ->
 
 
 def read_plan_items(spark: SparkSession, predictions_path: str | None, tasks_path: str | None) -> DataFrame:
-    """Predictions if readable, else the task table; ``Qty`` renamed to ``QtyShipped``."""
+    """Predictions if they are there, else the task table; ``Qty`` renamed to ``QtyShipped``. A file that is there but
+    cannot be read is an error, not a reason to take the other."""
     for p in (predictions_path, tasks_path):
-        if not p:
-            continue
-        try:
+        if p and path_exists(spark, p):
             df = _strip_headers(csv_reader(spark).csv(p))
-            if "QtyShipped" not in df.columns and "Qty" in df.columns:
-                df = df.withColumnRenamed("Qty", "QtyShipped")
-            return df
-        except Exception:  # noqa: BLE001 - fall through to the next source like the reference
-            continue
-    raise FileNotFoundError(f"neither source can be read: {predictions_path}, {tasks_path}")
+            return df.withColumnRenamed("Qty", "QtyShipped") if "QtyShipped" not in df.columns else df
+    raise FileNotFoundError(f"neither source is there: {predictions_path}, {tasks_path}")
 
 
 def validate_predictions(df: DataFrame, required=("id", "MasterItemNo", "QtyShipped")) -> DataFrame:

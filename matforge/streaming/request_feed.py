@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matforge.operators.requests import request_task_rows
+from matforge.session import path_exists
 
 FEED_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -22,16 +23,10 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    """Whether the folder is there; an error of the storage stays an error."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def _read_linked(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     """Ids that batches before this one have linked: a replayed batch does not see its own links."""
     links = spark.createDataFrame([], "id bigint, batch_id bigint")
-    if _has_data(spark, f"{root}/links"):
+    if path_exists(spark, f"{root}/links"):
         links = spark.read.schema(links.schema).parquet(f"{root}/links")
     return links.where(F.col("batch_id") < batch_id)
 
@@ -69,6 +64,6 @@ def run_request_stream(spark: SparkSession, feed_dir: str, requests: DataFrame,
     if q.exception() is not None:
         raise q.exception()
     schema = "id bigint, MasterItemNo string, ItemDescription string, QtyShipped bigint, needed_by_date string, batch_id bigint"
-    if not _has_data(spark, f"{root}/tasks"):  # no batch has run yet
+    if not path_exists(spark, f"{root}/tasks"):  # no batch has run yet
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/tasks")
