@@ -296,7 +296,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         if open_.isEmpty():
             break
         rank *= WIDER
-    # The best of each share of a language first, so that no task orders a language.
+    # Only what reaches the last score that is wanted, and of that the best of each share of a language first (many may tie).
+    last = _bounds(done.groupBy("lang", "score").agg(F.count("*").alias("pairs")), top)
+    done = done.join(last, "lang").where(F.col("score") >= F.col("bound"))
     by = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     share = Window.partitionBy("lang", "share").orderBy(*by)
     best = done.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(64))).withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
