@@ -385,6 +385,28 @@ def test_pipeline_stages(spark):
     assert n["toxicity"] < 404 and n["simhash_near_dedup"] < n["toxicity"]
 
 
+def test_pipeline_cuts_repeated_passages(spark):
+    """Every stretch of 51 words that stands in several places stands in one afterwards; other documents are untouched."""
+    import corpus_pipeline as P
+
+    def places(rows):
+        seen = Counter()
+        for r in rows:
+            at = [m.span() for m in re.finditer(r"\S+", r.text or "")]
+            seen.update(r.text[at[i][0]:at[i + 50][1]] for i in range(len(at) - 50))
+        return seen
+
+    docs = P.drop_near_copies(spark, read(spark, SF, "documents"), SF).cache()
+    before, rows = places(docs.collect()), {r.doc_id: r.text for r in docs.collect()}
+    out = P.cut_repeats(spark, docs, SF).collect()
+    often = {p for p, n in before.items() if n > 1 and len(p.encode()) >= P.REPEAT_BYTES}
+    after = places(out)
+    assert len(often) > 100 and max(after[p] for p in often) == 1
+    changed = [r.doc_id for r in out if r.text != rows[r.doc_id]]
+    assert 0 < len(changed) < len(rows) / 4
+    assert len(out) >= len(rows) - 5
+
+
 def test_pipeline_keeps_unrelated_texts_without_or_with_one_id(spark):
     import corpus_pipeline as P
 
