@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from matforge.functions.cleaning import canonical_item_key, master_item_int, numeric_text
 from matforge.operators.stats import global_median, median_per_item, most_frequent_item
+from matforge.session import written
 
 # Defaults of the fallbacks.
 DEFAULT_ITEM = 101
@@ -33,7 +34,7 @@ def fit_target_encoding(df: DataFrame, cols: list[str], target: str, min_samples
                         smoothing: float = 10.0) -> DataFrame:
     """(column, value, encoding): mean target blended with the prior by a sigmoid of the count;
     a value seen once gets the prior. One aggregate per column, combined map-side."""
-    prior = df.agg(F.avg(F.col(target).cast("double")).alias("prior"))
+    prior = written(df.agg(F.avg(F.col(target).cast("double")).alias("prior")), "target-prior")  # one row, computed once
     parts = []
     for c in cols:
         s = df.groupBy(F.col(c).cast("string").alias("value")).agg(
@@ -104,16 +105,25 @@ def predict_fold_average(models, df: DataFrame, keep: list[str]) -> DataFrame:
 # M7 global regressor
 # ---------------------------------------------------------------------------
 
-def fit_global_regressor(df: DataFrame, feature_cols: list[str], target: str, max_iter: int = 50, seed: int = 42):
-    """Gradient-boosted trees on assembled numeric features (missing target -> median upstream)."""
+#: Boosting rounds at most, the improvement of the held-out error under which boosting ends, and the depth of a tree.
+MAX_ROUNDS, LEAST_GAIN, DEPTH = 400, 0.01, 5
+
+
+def fit_global_regressor(df: DataFrame, feature_cols: list[str], target: str, held_out: str | None = None, max_iter: int = MAX_ROUNDS,
+                         depth: int = DEPTH, max_bins: int = 32, seed: int = 42):
+    """Gradient-boosted trees on assembled numeric features and category codes (missing target -> median upstream).
+
+    With ``held_out``, a boolean column, those rows only measure the error, and boosting ends when a round no longer lowers it by
+    ``LEAST_GAIN``; without it all ``max_iter`` rounds are run on all rows.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=feature_cols, outputCol="_x", handleInvalid="keep"),
-        GBTRegressor(featuresCol="_x", labelCol=target, maxIter=max_iter, seed=seed, lossType="squared"),
-    ]).fit(df)
+    trees = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=max_iter, maxDepth=depth, maxBins=max_bins, seed=seed, lossType="squared")
+    if held_out:
+        trees = trees.setValidationIndicatorCol(held_out).setParams(validationTol=LEAST_GAIN)
+    return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="_x", handleInvalid="keep"), trees]).fit(df)
 
 
 # ---------------------------------------------------------------------------
@@ -169,17 +179,21 @@ def score_linear(df: DataFrame, coefs: DataFrame, item: str, feature_cols: list[
 # M9-M11 fallbacks and decoding
 # ---------------------------------------------------------------------------
 
-def quantity_fallback(pred: DataFrame, train: DataFrame, item_key: str = "item_key", model_cols=(),
-                      train_item: str = "MasterItemNo", train_qty: str = "QtyShipped") -> DataFrame:
-    """M9: per-item model -> global model -> item median -> global median (default 1), then
+def quantity_chain(pred: DataFrame, medians: DataFrame, typical: DataFrame, item_key: str = "item_key", model_cols=()) -> DataFrame:
+    """M9 over stored tables: the first of ``model_cols`` that is not null, the item's median, the global median; then
     max(1, round half-even)."""
-    med = median_per_item(train, train_item, train_qty).withColumnRenamed("item_key", "_mk")
-    gmed = global_median(train, train_qty, DEFAULT_QTY)
-    j = pred.join(med, pred[item_key] == F.col("_mk"), "left").crossJoin(F.broadcast(gmed))
-    q = F.coalesce(*[F.col(c) for c in model_cols], F.col("median_qty"), F.col("global_median"))
+    med = medians.select(F.col("item_key").alias("_mk"), "median_qty")
+    j = pred.join(med, pred[item_key] == F.col("_mk"), "left").crossJoin(F.broadcast(typical))  # one row
+    q = F.coalesce(*[F.when(~F.isnan(F.col(c)), F.col(c)) for c in model_cols], F.col("median_qty"), F.col("global_median"))
     return j.withColumn("QtyShipped", F.greatest(F.lit(1.0), F.rint(q))).drop("_mk", "median_qty", "global_median")
 
 
+def quantity_fallback(pred: DataFrame, train: DataFrame, item_key: str = "item_key", model_cols=(),
+                      train_item: str = "MasterItemNo", train_qty: str = "QtyShipped") -> DataFrame:
+    """M9: per-item model -> global model -> item median -> global median (default 1), from training rows."""
+    return quantity_chain(pred, median_per_item(train, train_item, train_qty), global_median(train, train_qty, DEFAULT_QTY), item_key, model_cols)
+
+
 def decode_items(pred: DataFrame, codes: DataFrame, code_col: str = "pred_code") -> DataFrame:
     """Class code -> raw label -> 1-based code; else the code parsed as an integer; else 0."""
     c = codes.select(F.col("code").alias("_code"), F.col("code1").alias("_code1"))

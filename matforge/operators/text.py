@@ -74,76 +74,40 @@ def transform_tfidf(docs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", t
     return tfidf_weights(term_counts(docs, doc_id, text), vocab)
 
 
-def _sparse_rows(weights: DataFrame):
-    """RDD of (doc_id, term indices, weights): one sparse row per document (<= vocabulary terms)."""
-    import numpy as np
-
-    g = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
-    return g.rdd.map(lambda r: (r["doc_id"], np.array([x["idx"] for x in r["e"]], dtype=np.int64),
-                                np.array([x["weight"] for x in r["e"]], dtype=np.float64)))
-
-
-def fit_svd(weights: DataFrame, vocab_size: int, k: int = SVD_COMPONENTS, n_iter: int = 5, oversample: int = 10,
-            seed: int = 42):
-    """M2: randomized truncated SVD (power iterations on A'A) of the documents x terms matrix.
+def fit_svd(weights: DataFrame, vocab_size: int, k: int = SVD_COMPONENTS) -> tuple[DataFrame, list[float]]:
+    """M2: truncated SVD of the documents x terms matrix by Spark's distributed ``RowMatrix``.
 
-    Each iteration is ONE pass over the cached sparse rows: every task adds a_i' (a_i Z)
-    into a vocabulary x l accumulator and the partial sums are tree-combined. The driver
-    only ever holds vocabulary x l matrices (bounded by the vocabulary cap), never rows.
-    Returns (V as (idx, comp, value) DataFrame, singular values).
+    Every pass multiplies the rows in parallel; the driver holds vectors of the vocabulary's size and, at the end, its k components,
+    both bounded by ``TRAIN_MAX_FEATURES`` and k. Returns (V as (idx, comp, value), singular values); the sign of a component is that
+    which makes its largest entry positive.
     """
     import numpy as np
     import pandas as pd
     from pyspark import StorageLevel
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
 
-    n = int(vocab_size)
-    k = max(1, min(k, n - 1)) if n > 1 else 1
-    l_ = min(n, k + oversample)
-    rows = _sparse_rows(weights).persist(StorageLevel.MEMORY_AND_DISK)
-    sc = weights.sparkSession.sparkContext
+    n = max(1, int(vocab_size))
+    k = max(1, min(k, n - 1))
+    grouped = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
+    rows = grouped.rdd.map(lambda r: Vectors.sparse(n, [x["idx"] for x in r["e"]], [x["weight"] for x in r["e"]])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        z = np.random.default_rng(seed).standard_normal((n, l_))
-        z, _ = np.linalg.qr(z)
-        depth = 2
-
-        def ata(zb):
-            def seq(acc, r):
-                _, idx, val = r
-                y = val @ zb.value[idx]                      # a_i Z   (l,)
-                np.add.at(acc, idx, np.outer(val, y))        # += a_i' (a_i Z)
-                return acc
-            return rows.treeAggregate(np.zeros((n, l_)), seq, lambda a, b: a + b, depth)
-
-        for _ in range(n_iter):
-            zb = sc.broadcast(z)                             # vocabulary x l: bounded
-            z, _ = np.linalg.qr(ata(zb))
-            zb.destroy()
-        zb = sc.broadcast(z)
-
-        def gram_seq(acc, r):
-            _, idx, val = r
-            y = val @ zb.value[idx]
-            return acc + np.outer(y, y)
-
-        g = rows.treeAggregate(np.zeros((l_, l_)), gram_seq, lambda a, b: a + b, depth)
-        zb.destroy()
+        if rows.isEmpty():
+            v, sing = np.zeros((n, k)), np.zeros(k)
+        else:
+            svd = RowMatrix(rows, 0, n).computeSVD(k)
+            v, sing = svd.V.toArray(), svd.s.toArray()
     finally:
         rows.unpersist()
-    evals, w = np.linalg.eigh(g)
-    order = np.argsort(evals)[::-1][:k]
-    sing = np.sqrt(np.clip(evals[order], 0.0, None))
-    v = z @ w[:, order]
-    # fix signs: largest-magnitude entry of every component positive
     flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
     v = v * np.where(flip == 0, 1.0, flip)
-    ii, jj = np.meshgrid(np.arange(n), np.arange(k), indexing="ij")
+    ii, jj = np.meshgrid(np.arange(n), np.arange(v.shape[1]), indexing="ij")
     pdf = pd.DataFrame({"idx": ii.ravel().astype("int32"), "comp": jj.ravel().astype("int32"), "value": v.ravel()})
-    comps = weights.sparkSession.createDataFrame(pdf, "idx int, comp int, value double")
-    return comps, [float(x) for x in sing]
+    return weights.sparkSession.createDataFrame(pdf, "idx int, comp int, value double"), [float(x) for x in sing]
 
 
 def project(weights: DataFrame, comps: DataFrame, k: int) -> DataFrame:
-    """M3 (second half): document vectors = weights · V (V broadcast: vocabulary x k doubles)."""
+    """M3 (second half): document vectors = weights · V (V broadcast: at most ``TRAIN_MAX_FEATURES`` x k doubles)."""
     j = weights.join(F.broadcast(comps), "idx").groupBy("doc_id", "comp").agg(F.sum(F.col("weight") * F.col("value")).alias("x"))
     arr = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                       lambda c: F.coalesce(F.element_at(F.map_from_entries(F.col("_e")), c), F.lit(0.0)))

@@ -1,107 +1,146 @@
-"""End-to-end jobs: training (E1) and prediction (E2, M15) over line items.
+"""End-to-end jobs: training (E1), saved models, and prediction (E2, M15) over line items.
 
-Features = target-encoded categoricals, numeric size, project frequency, and the SVD
-of the description TF-IDF; the item classifier is one Gaussian naive Bayes per group
-fold (probabilities averaged); quantities follow the fallback chain per-item linear
-model -> global boosted trees -> item median -> global median.
+Items come from the term classifier of the group folds; quantities follow the fallback chain per-item linear model ->
+global boosted trees -> item median -> global median. The regressors see category codes, numeric size, project
+frequency and the description's text components. A model is a set of tables and one fitted pipeline, so what one session trains another
+loads from storage.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matforge.config import CATEGORICAL_COLUMNS, PlanConfig
 from matforge.functions.cleaning import canonical_item_key
+from matforge.operators import classify as cl
+from matforge.operators import encode as en
 from matforge.operators import models as md
 from matforge.operators import preprocess as pp
 from matforge.operators import text as tx
 from matforge.operators.scan import sequential_ids
-from matforge.operators.stats import label_codes
+from matforge.operators.stats import global_median, label_codes, median_per_item
+from matforge.session import path_exists, written
 
 NUMERIC_FEATURES = ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ"]
+ITEM_FEATURES = [f"{c}_code" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES
+TABLES = ("weights", "labels", "terms", "codes", "categories", "vocab", "components", "item_coefs", "medians", "typical")
 
 
 @dataclass
 class TrainedModels:
-    encoding: DataFrame
+    """Tables: classifier (weights, labels, terms), item codes, category codes, text components, per-item coefficients, medians; and the
+    boosted trees."""
+
+    weights: DataFrame
+    labels: DataFrame
+    terms: DataFrame
+    codes: DataFrame
+    categories: DataFrame
     vocab: DataFrame
     components: DataFrame
-    k: int
-    codes: DataFrame
-    classifiers: list
-    regressor: object
     item_coefs: DataFrame
-    train: DataFrame
-    feature_cols: list
-    item_cols: list
+    medians: DataFrame
+    typical: DataFrame
+    regressor: object
+    k: int
+
+    @property
+    def classifier(self) -> cl.TermClassifier:
+        return cl.TermClassifier(self.weights, self.labels, self.terms)
 
+    @property
+    def features(self) -> list[str]:
+        return ITEM_FEATURES + [f"svd_{i}" for i in range(self.k)]
 
-def _features(df: DataFrame, enc: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
-    base = pp.basic_features(df)
-    base = md.apply_target_encoding(base, enc, list(CATEGORICAL_COLUMNS))
+
+def _features(df: DataFrame, categories: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
+    """Category codes, size, project frequency and text components of rows with a unique ``row_id``."""
+    base = en.apply_category_codes(pp.basic_features(df), categories, list(CATEGORICAL_COLUMNS))
     w = tx.transform_tfidf(base.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), vocab)
     svd = tx.project(w, comps, k).withColumnRenamed("doc_id", "row_id")
-    out = base.join(svd, "row_id", "left")
-    zero = F.array_repeat(F.lit(0.0), k)
-    out = out.withColumn("svd", F.coalesce(F.col("svd"), zero))  # no known term -> zero vector
+    out = base.join(svd, "row_id", "left").withColumn("svd", F.coalesce(F.col("svd"), F.array_repeat(F.lit(0.0), k)))  # no known term
     return out.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
 
 
-def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = 50, gbt_iter: int = 20) -> TrainedModels:
-    """Preprocess -> labels -> text pipeline -> features -> fold classifiers -> regressors."""
-    from pyspark.ml.feature import VectorAssembler
+def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = tx.SVD_COMPONENTS, max_rounds: int = md.MAX_ROUNDS) -> TrainedModels:
+    """Preprocess -> item codes -> fold classifier -> category codes and text components -> regressors.
 
+    The projects of fold 0 measure when boosting of the global trees ends.
+    """
     t = pp.preprocess(train_raw, cfg).where(F.col("MasterItemNo").isNotNull())
     t = t.withColumn("item_key", canonical_item_key(F.col("MasterItemNo"))).where(F.col("item_key").isNotNull())
-    t = sequential_ids(t, ["item_key", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped",
-                           "ExtendedPrice"], name="row_id")
-    # cut the lineage once (reliable checkpoint in spark.checkpoint.dir): every later fit reads
-    # these rows instead of re-planning the whole preprocessing each time
-    t = t.checkpoint()
-    codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo")))
-    t = t.join(codes.select(F.col("label").alias("item_key"), F.col("code").cast("double").alias("label_code")), "item_key")
-    enc = md.fit_target_encoding(t, list(CATEGORICAL_COLUMNS), "label_code")
+    t = written(t.withColumn("row_id", F.monotonically_increasing_id()), "train-rows")  # read by every fit
+    codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo"))).select("label", "code", "code1")
+    fold = md.group_fold(F.col("PROJECTNUMBER"))
+    items = cl.fit_term_classifier(t, "item_key", "ItemDescription", fold)
+    categories = en.fit_category_codes(pp.basic_features(t), list(CATEGORICAL_COLUMNS))
     vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), tx.TRAIN_MAX_FEATURES)
-    vsize = vocab.count()
-    k = max(1, min(svd_k, vsize - 1))
-    w = w.persist()  # read by the passes of the decomposition
-    comps, _ = tx.fit_svd(w, vsize, k)
-    w.unpersist()
-    feats = _features(t, enc, vocab, comps, k)
-    cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES + [f"svd_{i}" for i in range(k)]
-    feats = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(feats)
-    feats = feats.withColumn("fold", md.group_fold(F.col("PROJECTNUMBER"))).checkpoint()  # read by every fit
-    from pyspark.ml.classification import NaiveBayes
-    clfs = [NaiveBayes(featuresCol="features", labelCol="label_code", modelType="gaussian").fit(feats.where(F.col("fold") != f))
-            for f in range(md.N_FOLDS)]
-    reg = md.fit_global_regressor(feats, cols, "QtyShipped_clean", max_iter=gbt_iter)
-    item_cols = [f"{c}_te" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES  # small d: d x d stats per item
-    coefs = md.fit_item_regressors(feats, "item_key", item_cols, "QtyShipped_clean")
-    return TrainedModels(enc, vocab, comps, k, codes, clfs, reg, coefs, t, cols, item_cols)
+    vocab = written(vocab, "train-vocabulary")
+    size = vocab.count()
+    k = max(1, min(svd_k, size - 1))
+    comps, _ = tx.fit_svd(w, size, k)
+    feats = written(_features(t, categories, vocab, comps, k).withColumn("held_out", fold == 0), "train-features")
+    cols = ITEM_FEATURES + [f"svd_{i}" for i in range(k)]
+    reg = md.fit_global_regressor(feats.where(F.col("QtyShipped_clean").isNotNull()), cols, "QtyShipped_clean", "held_out", max_rounds)
+    coefs = md.fit_item_regressors(feats, "item_key", ITEM_FEATURES, "QtyShipped_clean")
+    qty = t.select("MasterItemNo", F.col("QtyShipped_clean").cast("string").alias("QtyShipped"))
+    return TrainedModels(items.weights, items.labels, items.terms, codes, categories, vocab, comps, coefs,
+                         median_per_item(qty), global_median(qty, "QtyShipped", md.DEFAULT_QTY), reg, k)
+
+
+def save_models(m: TrainedModels, root: str) -> str:
+    """Write a new version below ``root``: one Parquet folder for each table, the pipeline, and last the description that makes
+    the version valid. Returns its folder; an interrupted save leaves no version behind that ``load_models`` would take."""
+    spark = m.labels.sparkSession
+    number = 1 + max(_versions(spark, root), default=0)
+    path = f"{root.rstrip('/')}/version={number}"
+    for name in TABLES:
+        getattr(m, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    m.regressor.write().overwrite().save(f"{path}/regressor")
+    spark.createDataFrame([(json.dumps({"k": m.k, "tables": list(TABLES)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return path
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the version folders below ``root``, finished or not."""
+    if not path_exists(spark, root):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+
+
+def load_models(spark: SparkSession, root: str, version: int | None = None) -> TrainedModels:
+    """A saved version, the last finished one if none is named."""
+    from pyspark.ml import PipelineModel
+
+    done = [v for v in _versions(spark, root) if path_exists(spark, f"{root.rstrip('/')}/version={v}/meta/_SUCCESS")]
+    if not done or version is not None and version not in done:
+        raise FileNotFoundError(f"no finished model version {version or ''} below {root}")
+    path = f"{root.rstrip('/')}/version={version or max(done)}"
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+    return TrainedModels(**tables, regressor=PipelineModel.load(f"{path}/regressor"), k=meta["k"])
 
 
 def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
-    """(id, MasterItemNo, QtyShipped) for every test row."""
-    from pyspark.ml.feature import VectorAssembler
-
+    """(id, MasterItemNo, QtyShipped) for every test row; the item is its 1-based code."""
     t = pp.preprocess(test_raw, cfg)
     if "id" not in t.columns or t.select("id").where(F.col("id").isNotNull()).limit(1).count() == 0:
         t = sequential_ids(t.drop("id") if "id" in t.columns else t,
                            ["MasterItemNo", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped"], name="id")
-    t = t.withColumn("row_id", F.monotonically_increasing_id()).checkpoint()  # ids may be null or repeat; rows are not
-    feats = _features(t, m.encoding, m.vocab, m.components, m.k)
-    feats = VectorAssembler(inputCols=m.feature_cols, outputCol="features", handleInvalid="keep").transform(feats).checkpoint()
-    pred = md.predict_fold_average(m.classifiers, feats, [c for c in feats.columns if c != "features"])
-    pred = pred.drop("probability").withColumn("pred_code", F.col("prediction").cast("bigint")).drop("prediction")
-    codes = m.codes.select(F.col("code").alias("pred_code"), F.col("label").alias("item_key"), "code1")
-    feats2 = pred.join(codes, "pred_code", "left")
-    feats2 = m.regressor.transform(feats2).withColumnRenamed("prediction", "q_global")
-    feats2 = md.score_linear(feats2, m.item_coefs, "item_key", m.item_cols, "q_item")
-    q = md.quantity_fallback(feats2, m.train.select("MasterItemNo", F.col("QtyShipped_clean").cast("string").alias("QtyShipped")),
-                             "item_key", ("q_item", "q_global"))
+    t = written(t.withColumn("row_id", F.monotonically_increasing_id()), "test-rows")  # ids may be null or repeat; rows are not
+    best = cl.classify_texts(m.classifier, t, "ItemDescription").select(F.col("text").alias("_text"), F.col("label").alias("item_key"))
+    feats = _features(t, m.categories, m.vocab, m.components, m.k)
+    feats = feats.join(best, F.coalesce("ItemDescription", F.lit("")) == F.col("_text"), "left").drop("_text")
+    feats = feats.join(m.codes.select(F.col("label").alias("item_key"), "code1"), "item_key", "left")
+    feats = m.regressor.transform(feats).withColumnRenamed("prediction", "q_global")
+    feats = md.score_linear(feats, m.item_coefs, "item_key", ITEM_FEATURES, "q_item")
+    q = md.quantity_chain(feats, m.medians, m.typical, "item_key", ("q_item", "q_global"))
     return q.select(F.col("id").cast("bigint").alias("id"),
                     F.coalesce(F.col("code1"), F.lit(0)).cast("bigint").alias("MasterItemNo"),
                     F.coalesce(F.col("QtyShipped"), F.lit(0.0)).alias("QtyShipped"))

@@ -208,12 +208,11 @@ FROM lines l LEFT JOIN schedule s ON l.Phase = s.Task""")
 ORACLE["j6_keyword_phase"] = with_ctes(["line_items"], f"""
 SELECT {KEY('MasterItemNo')} AS item_key, ItemDescription, {PHASE('ItemDescription')} AS Phase FROM line_items""")
 
-ORACLE["j7_category_codes"] = with_ctes(["line_items"], """
-, tr AS (SELECT DISTINCT PROJECT_CITY AS label FROM line_items WHERE CORE_MARKET <> 'ASIA')
-, codes AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM tr)
-, te AS (SELECT DISTINCT PROJECT_CITY FROM line_items)
-SELECT te.PROJECT_CITY, CAST(coalesce(c.code, (SELECT count(*) FROM tr)) AS BIGINT) AS code
-FROM te LEFT JOIN codes c ON te.PROJECT_CITY = c.label""")
+_CODED = ("PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM")
+ORACLE["j7_category_codes"] = with_ctes(["line_items"], ", te AS (SELECT DISTINCT CASE WHEN NUMFLOORS = '5' THEN PROJECT_CITY || ' (new)' WHEN NUMFLOORS <> '6' THEN PROJECT_CITY END AS PROJECT_CITY, PROJECT_TYPE, CORE_MARKET, UOM FROM line_items)\n"
+    + "".join(f", {c}_c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce({c}, '__MISSING__') AS v FROM line_items))\n" for c in _CODED)
+    + "SELECT te.*, " + ", ".join(f"CAST(coalesce({c}_c.code, (SELECT count(*) FROM {c}_c)) AS BIGINT) AS {c}_code" for c in _CODED)
+    + " FROM te " + " ".join(f"LEFT JOIN {c}_c ON coalesce(te.{c}, '__MISSING__') = {c}_c.v" for c in _CODED))
 
 ORACLE["j8_vendors_for_top_items"] = with_ctes(["predictions", "vendor_rows"], f"""
 , asked AS (SELECT DISTINCT {KEY('MasterItemNo')} AS item_key FROM predictions WHERE QtyShipped >= 49)
@@ -522,6 +521,37 @@ ORACLE["m5_group_folds"] = with_ctes(["line_items"], """
 SELECT PROJECTNUMBER, CAST(CAST(('0x' || substr(md5(coalesce(PROJECTNUMBER, 'NA')), 1, 8)) AS BIGINT) % 4 AS INTEGER) AS fold
 FROM (SELECT DISTINCT PROJECTNUMBER FROM line_items)""")
 
+_FOLD = "CAST(CAST(('0x' || substr(md5(coalesce(PROJECTNUMBER, 'NA')), 1, 8)) AS BIGINT) % 4 AS INTEGER)"
+ORACLE["m6_item_classifier"] = with_ctes(["line_items"], f"""
+, r AS (SELECT {KEY('MasterItemNo')} AS label, coalesce(ItemDescription, '') AS text, {_FOLD} AS fold FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL)
+, tok AS (SELECT label, fold, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM r)
+, cnt AS (SELECT label, fold, term, count(*) AS c FROM tok GROUP BY ALL)
+, weight AS (SELECT term, label, """ + " + ".join(f"ln(sum(c) - coalesce(sum(c) FILTER (fold = {f}), 0) + 1)" for f in range(4)) + """ AS w FROM cnt GROUP BY ALL)
+, size AS (SELECT count(DISTINCT term) AS v FROM cnt)
+, tot AS (SELECT count(DISTINCT label) AS labels, """ + ", ".join(f"count(*) FILTER (fold <> {f}) AS n{f}" for f in range(4)) + """ FROM r)
+, mass AS (SELECT label, """ + ", ".join(f"sum(c) FILTER (fold <> {f}) AS m{f}" for f in range(4)) + """ FROM cnt GROUP BY label)
+, own AS (SELECT label, """ + ", ".join(f"count(*) FILTER (fold <> {f}) AS o{f}" for f in range(4)) + """ FROM r GROUP BY label)
+, lab AS (SELECT own.label, """ + " + ".join(f"ln((o{f} + 1) / (n{f} + labels))" for f in range(4)) + " AS prior, "
+    + " + ".join(f"ln(coalesce(m{f}, 0) + v)" for f in range(4)) + f""" AS mass FROM own LEFT JOIN mass ON own.label = mass.label CROSS JOIN tot CROSS JOIN size)
+, t AS (SELECT DISTINCT coalesce(ItemDescription, '') AS text FROM line_items)
+, tf AS (SELECT text, term, count(*) AS tf FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM t) GROUP BY ALL)
+, len AS (SELECT text, sum(tf) AS n FROM tf WHERE term IN (SELECT term FROM cnt) GROUP BY text)
+, s AS (SELECT tf.text, w.label, sum(tf.tf * w.w) AS s FROM tf JOIN weight w ON tf.term = w.term GROUP BY ALL)
+, scored AS (SELECT s.text, s.label, round(lab.prior - len.n * lab.mass + s.s, 6) AS score FROM s JOIN lab ON s.label = lab.label JOIN len ON s.text = len.text)
+, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, label) = 1)
+, common AS (SELECT label FROM lab ORDER BY round(prior, 6) DESC, label LIMIT 1)
+SELECT t.text, coalesce(best.label, common.label) AS item_key, best.score FROM t LEFT JOIN best ON t.text = best.text CROSS JOIN common""")
+
+ORACLE["m7_one_round_stump"] = with_ctes(["line_items"], f"""
+, d AS (SELECT {NUMTXT('NUMFLOORS')} AS floors, CORE_MARKET, PROJECT_TYPE, {STRIP_NUM('QtyShipped')} * (1 + {NUMTXT('NUMFLOORS')} % 3) AS q,
+   dense_rank() OVER (ORDER BY CORE_MARKET) - 1 AS mc, dense_rank() OVER (ORDER BY PROJECT_TYPE) - 1 AS tc FROM line_items)
+, v AS (SELECT f, x, count(*) AS n, sum(q) AS s FROM (SELECT 'floors' AS f, floors AS x, q FROM d UNION ALL SELECT 'market', mc, q FROM d UNION ALL SELECT 'type', tc, q FROM d) GROUP BY f, x)
+, cum AS (SELECT f, x, sum(n) OVER up AS nl, sum(s) OVER up AS sl, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s FROM v WINDOW up AS (PARTITION BY f ORDER BY x))
+, best AS (SELECT * FROM cum WHERE nl < n ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC LIMIT 1)
+SELECT DISTINCT d.floors, d.CORE_MARKET, d.PROJECT_TYPE,
+  round(CASE WHEN (CASE best.f WHEN 'floors' THEN d.floors WHEN 'market' THEN d.mc ELSE d.tc END) <= best.x THEN best.sl / best.nl ELSE (best.s - best.sl) / (best.n - best.nl) END, 6) AS prediction
+FROM d CROSS JOIN best""")
+
 ORACLE["m9_quantity_fallback"] = with_ctes(["line_items", "requests"], f"""
 , med AS (SELECT {KEY('MasterItemNo')} AS item_key, median({STRIP_NUM('QtyShipped')}) AS mq
           FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)

@@ -59,6 +59,8 @@ TEST_KEYWORDS = (
 TEST_CFG = PlanConfig(schedule_keywords=TEST_KEYWORDS, plan_keywords=TEST_KEYWORDS)
 
 from matforge.functions import cleaning as C  # noqa: E402
+from matforge.operators import classify as cl  # noqa: E402
+from matforge.operators import encode as en  # noqa: E402
 from matforge.operators import evaluate as ev  # noqa: E402
 from matforge.operators import plan as pl  # noqa: E402
 from matforge.operators import preprocess as pp  # noqa: E402
@@ -312,13 +314,13 @@ def j6(spark, sf):
 
 @register("j7_category_codes")
 def j7(spark, sf):
+    """Codes learned on all line items, applied to rows of which some have a missing or a new city."""
     d = _li(spark, sf)
-    train = d.where(F.col("CORE_MARKET") != "ASIA").select(F.col("PROJECT_CITY").alias("label")).distinct()
-    codes = sequential_ids(train, ["label"], name="code", start=0)
-    n = train.agg(F.count(F.lit(1)).alias("_n"))
-    test = d.select("PROJECT_CITY").distinct()
-    j = test.join(codes, test.PROJECT_CITY == codes.label, "left").crossJoin(F.broadcast(n))
-    return j.select("PROJECT_CITY", F.coalesce(F.col("code"), F.col("_n")).cast("bigint").alias("code"))
+    cols = ["PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM"]
+    codes = en.fit_category_codes(d, cols)
+    city = F.when(F.col("NUMFLOORS") == "5", F.concat("PROJECT_CITY", F.lit(" (new)"))).when(F.col("NUMFLOORS") != "6", F.col("PROJECT_CITY"))
+    out = en.apply_category_codes(d.select(city.alias("PROJECT_CITY"), *cols[1:]).distinct(), codes, cols)
+    return out.select(*cols, *(F.col(f"{c}_code").cast("bigint").alias(f"{c}_code") for c in cols))
 
 
 @register("j8_vendors_for_top_items")
@@ -549,7 +551,7 @@ def v2(spark, sf):
 # ---------------------------------------------------------------------------
 # S: sources and sinks (written to the shared scratch folder, read back)
 # ---------------------------------------------------------------------------
-from matforge.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
+from matforge.session import ensure_checkpoint_dir, scratch_path, written  # noqa: E402
 from matforge.sources import readers as rd  # noqa: E402
 from matforge.sources import sinks as sk  # noqa: E402
 
@@ -730,12 +732,11 @@ def m14(spark, sf):
 
 def _doc_svd(spark, sf, k: int = tx.SVD_COMPONENTS):
     vocab, w = tx.fit_tfidf(fx.table(spark, sf, "documents"), tx.TRAIN_MAX_FEATURES)
+    w = written(w, "document-weights")  # read by the decomposition and the projection
     vsize = vocab.count()
     k = max(1, min(k, vsize - 1))
-    w = w.persist()  # read by the SVD passes and the projection
-    comps, s = tx.fit_svd(w, vsize, k)
-    ensure_checkpoint_dir(spark)
-    return tx.project(w, comps, k).checkpoint(), k  # cut the lineage once for the fits below
+    comps, _ = tx.fit_svd(w, vsize, k)
+    return written(tx.project(w, comps, k), "document-vectors"), k
 
 
 @register("m2_truncated_svd")
@@ -766,19 +767,45 @@ def m6(spark, sf):
     return md.predict_fold_average(models, allf, ["doc_id"]).select("doc_id", "prediction")
 
 
+@register("m6_item_classifier")
+def m6_items(spark, sf):
+    """The item of every distinct description, by the term classifier of four project folds over all line items."""
+    t = _li(spark, sf).withColumn("item_key", C.canonical_item_key(F.col("MasterItemNo")))
+    model = cl.fit_term_classifier(t, "item_key", "ItemDescription", md.group_fold(F.col("PROJECTNUMBER")))
+    return cl.classify_texts(model, t, "ItemDescription").select("text", F.col("label").alias("item_key"), "score")
+
+
+CODED = ("PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM")
+
+
 def _reg_features(spark, sf):
     t = pp.basic_features(pp.preprocess(_li(spark, sf), CFG))
     t = t.withColumn("item_key", C.canonical_item_key(F.col("MasterItemNo")))
-    return t, ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean"]
+    t = en.apply_category_codes(t, en.fit_category_codes(t, list(CODED)), list(CODED))
+    return t, ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean", *(f"{c}_code" for c in CODED)]
 
 
 @register("m7_global_regressor")
 def m7(spark, sf):
+    """Boosting ends when the projects of fold 0 no longer gain."""
     t, cols = _reg_features(spark, sf)
-    model = md.fit_global_regressor(t, cols, "QtyShipped_clean", max_iter=20)
+    t = written(t.select("item_key", "QtyShipped_clean", *cols, (md.group_fold(F.col("PROJECTNUMBER")) == 0).alias("held_out")), "regressor-rows")
+    model = md.fit_global_regressor(t, cols, "QtyShipped_clean", "held_out")
     return model.transform(t).select("item_key", "QtyShipped_clean", "prediction")
 
 
+@register("m7_one_round_stump")
+def m7_stump(spark, sf):
+    """M7 with one round of one split, for which the fit has a closed form: the split of floors, market or type that leaves the least error."""
+    d = _li(spark, sf).select(C.to_numeric(F.col("NUMFLOORS")).alias("floors"), "CORE_MARKET", "PROJECT_TYPE",
+                              (C.safe_to_numeric(F.col("QtyShipped")) * (1 + C.to_numeric(F.col("NUMFLOORS")) % 3)).alias("q"))
+    cols = ["CORE_MARKET", "PROJECT_TYPE"]
+    t = en.apply_category_codes(d, en.fit_category_codes(d, cols), cols)
+    model = md.fit_global_regressor(t, ["floors", "CORE_MARKET_code", "PROJECT_TYPE_code"], "q", max_iter=1, depth=1)
+    keys = t.select("floors", *cols, "CORE_MARKET_code", "PROJECT_TYPE_code").distinct()
+    return model.transform(keys).select("floors", *cols, F.round("prediction", 6).alias("prediction"))
+
+
 @register("m8_item_regressors")
 def m8(spark, sf):
     t, cols = _reg_features(spark, sf)
@@ -817,8 +844,11 @@ def m15(spark, sf):
     from matforge.plans import jobs
 
     li = _li(spark, sf)
-    m = jobs.train_models(li, CFG, gbt_iter=10)
-    return jobs.predict(m, li, CFG)
+    m = jobs.train_models(li, CFG)
+    # As two programs do it: one saves the models, the other reads them.
+    root = scratch_path(spark, "models")
+    jobs.save_models(m, root)
+    return jobs.predict(jobs.load_models(spark, root), li, CFG)
 
 
 # ---------------------------------------------------------------------------
@@ -832,7 +862,8 @@ def t1(spark, sf):
     root = scratch_path(spark, "request_stream")
     feed_dir = f"{root}/feed"
     feed = fx.request_feed(spark, sf).withColumn("part", F.floor(F.col("seq") * 4 / (fx.last_event(spark, sf) + 1)))
-    for part in range(4):  # one file after the other, so that requests change their status across batches
-        feed.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(feed_dir)
     reqs = fx.requests(spark, sf).drop("status", "linked_to_procurement")
-    return run_request_stream(spark, feed_dir, reqs, root, max_files_per_trigger=1).drop("batch_id")
+    for part in range(4):  # the stream stops and goes on, and requests change their status across its runs
+        feed.where(F.col("part") == part).drop("part").write.mode("append").parquet(feed_dir)
+        rows = run_request_stream(spark, feed_dir, reqs, root)
+    return rows.drop("batch_id")

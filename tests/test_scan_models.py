@@ -33,9 +33,13 @@ def test_svd_matches_numpy(spark):
     a = rng.random((40, 30)) * (rng.random((40, 30)) < 0.3)
     rows = [(int(i), int(j), float(a[i, j])) for i in range(40) for j in range(30) if a[i, j] != 0]
     w = spark.createDataFrame(rows, "doc_id long, idx int, weight double")
-    _, s = tx.fit_svd(w, 30, 5, n_iter=7)
+    comps, s = tx.fit_svd(w, 30, 5)
     exact = np.linalg.svd(a, compute_uv=False)[:5]
-    assert np.allclose(s, exact, rtol=1e-3)
+    assert np.allclose(s, exact, rtol=1e-9)
+    v = np.zeros((30, 5))
+    for r in comps.collect():
+        v[r["idx"], r["comp"]] = r["value"]
+    assert np.allclose(v.T @ v, np.eye(5), atol=1e-9) and np.allclose(np.linalg.norm(a @ v, axis=0), exact, rtol=1e-9)
 
 
 def test_tfidf_small_corpus(spark):
