@@ -45,7 +45,7 @@ GRAM = 48
 CROWD = 5_000
 #: Segments that one column-wise task gets, about; bytes of text in a lot; keys that one range gets, about.
 PER_TASK = 20_000
-LOT_BYTES = 4 << 20
+LOT_BYTES = 2 << 20
 KEYS_PER_TASK = 2_000_000
 _BLOCK = 1 << 18
 _TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
