@@ -3,13 +3,14 @@
 A page is read into a tree, with the implied ends of HTML. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are cut off by tag, role and the words of class and id. Every paragraph passes points, for its length and commas, to its ancestors,
 fewer with each level; a container's points are discounted by its share of link text. The best container is kept with
-the siblings that score like it, and its blocks are the text.
+its siblings that are no lists of links, and their blocks are the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,11 @@ DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog
 DROP_WORD = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login footer foot header masthead topbar menu menubar nav navbar
 navigation navi pager pagination paginate promo promoted promotion related recommend recommended recommendations share sharing social sidebar sidebars sponsor sponsored
 sponsors widget widgets toolbar skip skyscraper outbrain taboola""".split())
+#: Words that may stand beside such a word in one name ("site-footer", "ad-slot-2"); beside any other word it says something else
+#: ("related-work", "share-of-market").
+BESIDE_WORD = frozenset("""site main page top bottom left right global primary secondary container wrapper wrap box block inner outer area bar list links link section col row
+button buttons icon icons slot unit item items group holder text mobile desktop fixed sticky widget wp td js mw bs md lg sm xs post entry article content
+form panel region module zone strip inline title label message msg trail posts articles stories reading news more videos products topics fluid large small dark light""".split())
 READER_WORD = frozenset("disqus respond replies reply remark remarks shoutbox".split())
 #: Beside a comment word, words that tell a state of the article ("comments-open", "has-comments").
 STATE_WORD = frozenset("open opened closed has have no with without enabled disabled allow allowed status".split())
@@ -43,72 +49,115 @@ PARTS = frozenset("tr td th tbody thead tfoot table ul ol dl li dt dd p".split()
 TAG_POINTS = {"article": 10, "main": 10, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "dd": -3, "dt": -3}
 LEVELS = 6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked", "commas", "article", "words", "reader", "prose", "clean", "own")
+    __slots__ = ("tag", "attrs", "parent", "children", "points", "length", "linked", "commas", "article", "words", "reader", "prose", "clean", "own", "block", "scope", "cell")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
         self.tag, self.attrs, self.parent, self.children, self.points = tag, attrs, parent, [], 0.0
+        # The nearest block around, or the node itself; the same for the elements that hold lists and tables, and for those that hold paragraphs.
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.scope = self if parent is None or tag in SCOPE else parent.scope
+        self.cell = self if parent is None or tag in SCOPE or tag in ("td", "th", "li") else parent.cell
+
+
+class Opened:
+    """The element that is open, and how many are open around it by where a search for them may look, so that no search goes on in vain: every
+    step up a search makes closes an element, and parsing takes linear time."""
+
+    def __init__(self, root: Node):
+        self.top, self.count = root, Counter()
+
+    def _keys(self, node: Node) -> tuple:
+        up = node.parent
+        return node.tag, (up.block, node.tag), (up.scope, node.tag, "scope"), (up.cell, node.tag, "cell")
+
+    def push(self, node: Node) -> None:
+        self.count.update(self._keys(node))
+        self.top = node
+
+    def close(self, node: Node) -> None:
+        """``node`` and all that is open inside it end."""
+        while True:
+            last, self.top = self.top, self.top.parent
+            self.count.subtract(self._keys(last))
+            if last is node:
+                return
+
+    def end(self, tag: str) -> None:
+        """An end tag. That of an inline element does not end a block around it; one without a start is passed over."""
+        inline = tag not in BLOCK and tag not in ("td", "th")
+        if not self.count[(self.top.block, tag) if inline else tag] > 0:
+            return
+        node = self.top
+        while node.tag != tag:
+            node = node.parent
+        if node.parent is not None:
+            self.close(node)
+
+    def imply(self, tag: str) -> None:
+        """The elements that a start tag ends: an open paragraph, items and cells."""
+        if tag in BLOCK and self.count[(self.top.cell, "p", "cell")] > 0:
+            node = self.top
+            while node.tag != "p":
+                node = node.parent
+            self.close(node)
+        ends = CLOSES.get(tag, ())
+        while any(self.count[(self.top.scope, t, "scope")] > 0 for t in ends):
+            node = self.top
+            while node.tag not in ends:
+                node = node.parent
+            self.close(node)
+            if node.tag == tag or tag != "tr":
+                break
 
 
 def parse(source: str) -> Node:
     """Tree of a page; never fails, and nothing nests deeper than the tags do."""
-    root = top = Node("html", {}, None)
+    root = Node("html", {}, None)
+    opened = Opened(root)
+    ends: dict[str, re.Pattern] = {}
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
-            top.children.append(source[at:])
+            opened.top.children.append(source[at:])
             break
         if m.start() > at:
-            top.children.append(source[at:m.start()])
+            opened.top.children.append(source[at:m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            node = top
-            while node is not None and node.tag != tag:
-                # An end tag of an inline element does not end a block around it.
-                node = None if node.tag in BLOCK and tag not in BLOCK and tag not in ("td", "th") else node.parent
-            if node is not None and node.parent is not None:
-                top = node.parent
+            opened.end(tag)
             continue
         rest = m[3] or m[6] or ""
-        if tag in BLOCK:
-            node = top
-            while node is not None and node.tag not in SCOPE and node.tag not in ("td", "th", "li"):
-                if node.tag == "p":
-                    top = node.parent
-                    break
-                node = node.parent
-        ends = CLOSES.get(tag, ())
-        node = top if ends else None
-        while node is not None and node.tag not in SCOPE:
-            up = node.parent
-            if node.tag in ends:
-                top = up
-                if node.tag == tag or tag != "tr":
-                    break
-            node = up
+        opened.imply(tag)
         if tag == "html":
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(rest)} if "=" in rest or "hidden" in rest.lower() else {}
-        node = Node(tag, attrs, top)
-        top.children.append(node)
+        node = Node(tag, attrs, opened.top)
+        opened.top.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at) if not rest.rstrip().endswith("/") else None
+            if rest.rstrip().endswith("/"):
+                continue
+            # An element of raw text that nothing ends is searched for once.
+            pattern = ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I))
+            end = pattern.search(source, at) if pattern is not None else None
             if end:
                 at = source.find(">", end.end())
                 at = n if at < 0 else at + 1
-            elif not rest.rstrip().endswith("/") and tag in ("script", "style"):
-                at = n
+            else:
+                ends[tag] = None
+                if tag in ("script", "style"):
+                    at = n
         elif tag not in VOID:
-            top = node
+            opened.push(node)
     return root
 
 
@@ -122,7 +171,8 @@ def judge(nodes: list[Node]) -> None:
             words = {w.lower() for w in _WORDS.findall(name)}
             if words & READER_WORD or any(w.startswith("comment") for w in words):
                 node.reader = max(node.reader, 1 if words & STATE_WORD else 2)
-            node.words |= words
+            if words & DROP_WORD and words <= DROP_WORD | BESIDE_WORD:
+                node.words |= words
         node.prose = node.clean = node.own = 0
         for c in node.children:
             if isinstance(c, str):
@@ -258,16 +308,15 @@ def best_container(root: Node) -> list[Node]:
     if best.parent is None or best.tag in ("body", "article", "main"):
         alike = [v for v in scored.values() if v.tag == "article" and best.tag == "article" and v.parent is best.parent]
         return alike if len(alike) > 1 else [best]
-    least = max(10.0, 0.2 * value[id(best)])
-    out = []
-    for c in best.parent.children:
-        if isinstance(c, str):
-            continue
-        heading = c.tag in ("h1", "h2", "h3") and density(c) < 0.5
-        prose = c.tag in ("p", "pre", "blockquote") and c.length and density(c) < 0.25
-        if c is best or heading or prose or id(c) in value and value[id(c)] >= least:
-            out.append(c)
-    return out
+    return [c for c in best.parent.children if not isinstance(c, str) and (c is best or c.length and density(c) < 0.5 and not boilerplate(c))]
+
+
+def boilerplate(node: Node) -> bool:
+    """A short line of rights or terms, which pages put beside the article without a name."""
+    if node.length > 200:
+        return False
+    text = " ".join(blocks([node])).lower()
+    return text.startswith(("©", "(c) ", "copyright ")) or "all rights reserved" in text
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -309,7 +358,11 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` with columns text and n_chars (code points) beside those it has; of these, ones with such names are replaced."""
+    """``pages`` with columns text and n_chars (code points) beside those it has; of these, ones with such names are replaced.
+
+    Null, empty and textless pages have an empty text and 0; repeated rows are each read, ids are not used, an empty table stays empty. A
+    page of any length is read whole, in time linear in it.
+    """
     @F.pandas_udf("string")
     def udf(pages: pd.Series) -> pd.Series:
         return pd.Series([main_text(x) for x in pages], dtype=object)

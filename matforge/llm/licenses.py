@@ -40,10 +40,14 @@ NAMES = {
     "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     "CC0-1.0": ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal"),
     "Unlicense": ("Unlicense",),
+    "BSD": ("BSD License", "BSD-style license", "BSD"),
 }
+# Endings of the identifiers of the licences that tell later versions apart, and exceptions to them.
+VERSIONED, ENDINGS = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"), ("-only", "-or-later", "+")
+EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Linux-syscall-note", "Font-exception-2.0", "Autoconf-exception-3.0", "Bison-exception-2.2")
 # How notices mention a licence.
 NOTICES = (
-    "Licensed under the {}", "Licensed under {}", "Released under the {}", "Released under {}", "Distributed under the {}", "Available under the {}",
+    "Licensed under the {}", "Licensed under {}", "Licensed under a {}", "Licensed under an {}", "Released under a {}", "Distributed under a {}", "Available under a {}", "Released under the {}", "Released under {}", "Distributed under the {}", "Available under the {}",
     "Published under the {}", "This work is licensed under the {}", "This work is licensed under a {}", "This work is licensed under {}",
     "This project is licensed under the {}", "This project is licensed under the terms of the {}", "This software is licensed under the {}",
     "This software is released under the {}", "This program is licensed under the {}", "This file is licensed under the {}", "SPDX-License-Identifier: {}", "License: {}",
@@ -52,7 +56,7 @@ NOTICES = (
 # A notice that fills whole fragments or is none, as its words also meet by chance.
 WHOLE = "License: {}"
 # Names that are also words of other things; inside a fragment, only punctuation or one of these words may follow.
-BARE = ("MIT", "ISC")
+BARE = ("MIT", "ISC", "BSD")
 AFTER = frozenset("license licence licenses licences and or by see with unless".split())
 # How notices allow later versions, for the licences that speak of them.
 LATER = ("or later", "or any later version", "or at your option any later version", "or newer")
@@ -77,6 +81,34 @@ SENTENCES = {
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl3-library": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl2-only": "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2-only-comma": "it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation",
+    "gpl2-only-after": "under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
+    "gpl3-only": "it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "gpl3-only-after": "under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "agpl-only": "it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "epl-notice-v": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+    "epl-notice-v-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    "bsl-copy": "See accompanying file LICENSE_1_0.txt or copy at",
+    "cc0-waiver": "has waived all copyright and related or neighboring rights to this work",
+    "cc0-waiver-plain": "has waived all copyright and related or neighboring rights to",
+    "cc-by-url": "creativecommons.org/licenses/by/4.0",
+    "cc-by-sa-url": "creativecommons.org/licenses/by-sa/4.0",
+    "cc-by-nc-url": "creativecommons.org/licenses/by-nc/4.0",
+    "cc-by-nd-url": "creativecommons.org/licenses/by-nd/4.0",
+    "cc-by-nc-sa-url": "creativecommons.org/licenses/by-nc-sa/4.0",
+    "cc0-url": "creativecommons.org/publicdomain/zero/1.0",
+    "isc-grant-or": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "unlicense-free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "rights": "All rights reserved",
@@ -88,6 +120,7 @@ RULES = (
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause", "text"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-named"), "BSD-3-Clause", "text"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause", "text"),
+    (("isc-grant", "isc-warranty"), "ISC", "text"),
     (("isc-grant",), "ISC", "text"),
     (("notice:Apache-2.0", "apache-notice", "apache-copy", "apache-url", "apache-warranty"), "Apache-2.0", "header"),
     (("notice:Apache-2.0", "apache-notice", "apache-copy", "apache-warranty"), "Apache-2.0", "header"),
@@ -98,17 +131,56 @@ RULES = (
     (("gpl2-free", "gpl-warranty"), "GPL-2.0-or-later", "header"),
     (("gpl-free",), "GPL-3.0-or-later", "header"),
     (("gpl2-free",), "GPL-2.0-or-later", "header"),
+    (("lgpl21-free", "lgpl-warranty"), "LGPL-2.1-or-later", "header"),
+    (("lgpl21-free",), "LGPL-2.1-or-later", "header"),
+    (("lgpl3-free", "gpl-warranty"), "LGPL-3.0-or-later", "header"),
+    (("lgpl3-library", "lgpl-warranty"), "LGPL-3.0-or-later", "header"),
+    (("lgpl3-free",), "LGPL-3.0-or-later", "header"),
+    (("lgpl3-library",), "LGPL-3.0-or-later", "header"),
+    (("agpl-free", "gpl-warranty"), "AGPL-3.0-or-later", "header"),
+    (("agpl-free",), "AGPL-3.0-or-later", "header"),
+    (("gpl2-only", "gpl-warranty"), "GPL-2.0-only", "header"),
+    (("gpl2-only",), "GPL-2.0-only", "header"),
+    (("gpl2-only-comma",), "GPL-2.0-only", "header"),
+    (("gpl2-only-after",), "GPL-2.0-only", "header"),
+    (("gpl3-only",), "GPL-3.0-only", "header"),
+    (("gpl3-only-after",), "GPL-3.0-only", "header"),
+    (("agpl-only",), "AGPL-3.0-only", "header"),
+    (("mpl-notice", "mpl-copy"), "MPL-2.0", "header"),
     (("mpl-notice",), "MPL-2.0", "header"),
+    (("epl-notice",), "EPL-2.0", "header"),
+    (("epl-notice-v",), "EPL-2.0", "header"),
+    (("epl-notice-v-2",), "EPL-2.0", "header"),
+    (("notice:BSL-1.0", "bsl-copy"), "BSL-1.0", "header"),
+    (("bsl-grant",), "BSL-1.0", "text"),
+    (("notice:CC-BY-4.0", "cc-by-url"), "CC-BY-4.0", "header"),
+    (("notice:CC-BY-SA-4.0", "cc-by-sa-url"), "CC-BY-SA-4.0", "header"),
+    (("notice:CC-BY-NC-4.0", "cc-by-nc-url"), "CC-BY-NC-4.0", "header"),
+    (("notice:CC-BY-ND-4.0", "cc-by-nd-url"), "CC-BY-ND-4.0", "header"),
+    (("notice:CC-BY-NC-SA-4.0", "cc-by-nc-sa-url"), "CC-BY-NC-SA-4.0", "header"),
+    (("cc0-waiver", "cc0-url"), "CC0-1.0", "header"),
+    (("cc0-waiver",), "CC0-1.0", "header"),
+    (("cc0-waiver-plain",), "CC0-1.0", "header"),
+    (("isc-grant-or", "isc-warranty"), "ISC", "text"),
+    (("isc-grant-or",), "ISC", "text"),
+    (("unlicense", "unlicense-free"), "Unlicense", "text"),
     (("unlicense",), "Unlicense", "text"),
+    (("unlicense-free",), "Unlicense", "part"),
     (("mit-grant",), "MIT", "part"),
     (("bsd-grant",), "BSD", "part"),
     (("rights",), "proprietary", "notice"),
 )
 #: Fragments without a known sentence that may stand between two sentences of a rule.
 GAP = 3
+#: Fragments around a licence in which reserved rights are part of its copyright line.
+NEAR = 8
 _WORD = re.compile(r"[^\W_]+")
 _FRAGMENT = re.compile(r"(?:[^\n.!?;:]|[.!?;:](?!\s|$))+")
 _ID = "\0"
+#: What joins a second licence to a notice.
+_JOINED = re.compile(r"(?:\s+licen[cs]es?)?\s*(?:,|/)?\s*(?:and/or|or|and|/)\s+(?:under\s+)?(?:either\s+)?(?:the\s+|an?\s+)?", re.I)
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\n]*)", re.I)
+_SPDX_TOKEN = re.compile(r"\s*(?:([()])|(AND|OR|WITH|and|or|with)(?![\w.+-])|([A-Za-z0-9][\w.-]*\+?))")
 
 
 def _words(text: str) -> list[str]:
@@ -129,8 +201,9 @@ class Scanner:
                     if "GPL" in spdx:
                         for more in LATER:
                             known.setdefault((*ws, *more.split()), (f"notice:{spdx}-or-later", notice == WHOLE, False))
+                        known.setdefault((*ws, "only"), (f"notice:{spdx}-only", notice == WHOLE, False))
             if "GPL" in spdx:
-                later.append(f"{spdx}-or-later")
+                later += [f"{spdx}-or-later", f"{spdx}-only"]
         for name, text in sentences.items():
             known[tuple(_words(text))] = name, False, False
         self.trie: dict = {}
@@ -139,6 +212,14 @@ class Scanner:
             for w in ws:
                 node = node.setdefault(w, {})
             node[_ID] = use
+        self.names: dict = {}
+        for spdx, aliases in names.items():
+            for alias in (*aliases, *(["Apache License"] if spdx == "Apache-2.0" else [])):
+                node = self.names
+                for w in _words(alias):
+                    node = node.setdefault(w, {})
+                node[_ID] = spdx
+        self.ids = {**{k.lower(): k for k in names}, **{f"{k}{e}".lower(): f"{k}{e}" for k in VERSIONED for e in ENDINGS}}
         # Where a known sentence can start: its first two words.
         sep, heads = r"[\W_]+", {}
         for ws in known:
@@ -148,7 +229,7 @@ class Scanner:
         self.gap = gap
         # Rare words of which every known sentence has one: a text without any of them holds no sentence.
         must = ("licensed", "license", "released", "distributed", "available", "published", "permission", "redistribut", "reserved", "warrant", "liable",
-                "compliance", "mozilla", "unencumbered", "free software")
+                "compliance", "mozilla", "unencumbered", "free software", "licenses", "publicdomain", "waived", "free to copy")
         self.hint = re.compile("|".join(must), re.IGNORECASE)
         assert all(self.hint.search(" ".join(ws)) for ws in known)
 
@@ -187,27 +268,95 @@ class Scanner:
                 done = best[4]
         return out
 
+    def joined(self, text: str, end: int) -> Iterator[tuple[str, int, int]]:
+        """(licence, start, end) of the names that ``or`` and ``and`` join to a notice that ends at ``end``."""
+        while m := _JOINED.match(text, end):
+            node, best = self.names, None
+            for w in _WORD.finditer(text, m.end()):
+                node = node.get(w[0].lower())
+                if node is None:
+                    break
+                if _ID in node:
+                    best = node[_ID], m.end(), w.end()
+            if best is None:
+                return
+            yield best
+            end = best[2]
+
+    def expressions(self, text: str) -> list[tuple[str, int, int]]:
+        """(expression, start, end) of SPDX identifiers that join licences, written in one way."""
+        out = []
+        for m in _SPDX.finditer(text):
+            at, end, depth, want, parts, licence = m.start(1), m.start(1), 0, True, [], ""
+            while t := _SPDX_TOKEN.match(text, at, m.end()):
+                bracket, joint, name = t.groups()
+                if bracket == "(" and want or bracket == ")" and not want and depth:
+                    depth += 1 if bracket == "(" else -1
+                    parts.append(bracket)
+                elif joint and not want:
+                    parts.append(f" {joint.upper()} ")
+                    want = True
+                elif name and want:
+                    licence = name if parts and parts[-1] == " WITH " and name in EXCEPTIONS else self.ids.get(name.lower())
+                    if licence is None:
+                        break
+                    parts.append(licence)
+                    want = False
+                else:
+                    break
+                at = t.end()
+                if not want and not depth:
+                    end, whole = at, "".join(parts)
+            if end > m.start(1) and (" " in whole or "(" in whole):
+                out.append((whole[1:-1] if whole.startswith("(") and whole.find(")") == len(whole) - 1 else whole, m.start(), end))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, str, int, int, int]]:
         """(licence, kind, sentences, start, end) of the rules that fit, left to right, each sentence used once."""
         if not text or not self.hint.search(text):
             return []
         found, out, i = self.sentences(text), [], 0
+        spdx = self.expressions(text)
+        starts = [a for _, a, _ in spdx]
+        inside = lambda at: (k := bisect_right(starts, at)) > 0 and at < spdx[k - 1][2]
+        found = [f for f in found if not inside(f[3]) and not inside(f[4] - 1)] if spdx else found
+        spots: list[tuple[int, int, bool]] = []  # fragments of the rules that fit, and whether they are of reserved rights
         while i < len(found):
             for ids, licence, kind in self.rules:
                 run = found[i:i + len(ids)]
                 if tuple(f[0] for f in run) == ids and all(b[1] - a[2] - 1 <= self.gap for a, b in zip(run, run[1:])):
                     out.append((licence, kind, len(ids), run[0][3], run[-1][4]))
+                    spots.append((run[0][1], run[-1][2], licence == "proprietary"))
                     i += len(ids)
+                    if kind == "notice":
+                        for other, a, b in self.joined(text, run[-1][4]):
+                            if other != licence:
+                                out.append((other, kind, 1, a, b))
+                                spots.append((run[0][1], run[-1][2], False))
                     break
             else:
                 i += 1
-        return out
+        # Reserved rights beside a licence are its copyright line: the nearest licence before and after each is looked at.
+        keep, before, after = [], -self.gap - NEAR, [0] * len(out)
+        ahead = 1 << 60
+        for k in range(len(out) - 1, -1, -1):
+            after[k] = ahead
+            if not spots[k][2]:
+                ahead = spots[k][0]
+        for k, row in enumerate(out):
+            if not spots[k][2]:
+                before = spots[k][1]
+            elif spots[k][0] - before <= NEAR or after[k] - spots[k][1] <= NEAR:
+                continue
+            keep.append(row)
+        return sorted([*keep, *((e, "expression", 1, a, b) for e, a, b in spdx)], key=lambda r: r[3:])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
     """Licences that whole texts state.
 
-    Returns (doc_id, license, kind, n_sentences, start_char, end_char), one row per rule that fits: kind is text, header, notice or part. Texts without a
+    Returns (doc_id, license, kind, n_sentences, start_char, end_char), one row per rule that fits: kind is text, header, notice, part or expression (an
+    SPDX identifier that joins licences). Reserved rights are no licence of their own beside one. Texts without a
     known sentence, null and empty ones give no row; a repeated row gives its rows again; ids may be null; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -230,6 +230,99 @@ def test_sentences_inside_a_fragment(text, found, span):
     assert [(m[0], text[m[3]:m[4]]) for m in got] == ([(found, span)] if found else [])
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+CC0 = "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+   (See accompanying file LICENSE_1_0.txt or copy at
+         https://www.boost.org/LICENSE_1_0.txt)"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+http://www.eclipse.org/legal/epl-2.0"""
+
+
+@pytest.mark.parametrize("text, found", [
+    (LGPL, "LGPL-2.1-or-later"), (GPL.replace("GNU General Public License as", "GNU Lesser General Public License as"), "LGPL-3.0-or-later"),
+    (GPL.replace("GNU General Public License as", "GNU Affero General Public License as"), "AGPL-3.0-or-later"),
+    ("This file may be distributed and/or modified\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2.0-only"),
+    (CC0, "CC0-1.0"), (ISC, "ISC"), (BOOST, "BSL-1.0"), (EPL, "EPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\n"
+     "binary, for any purpose, commercial or non-commercial, and by any\nmeans.", "Unlicense"),
+    *((f"This work is licensed under a Creative Commons {name} 4.0 International License.\nhttp://creativecommons.org/licenses/{k}/4.0/", f"CC-{k.upper()}-4.0") for k, name in (
+        ("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nc", "Attribution-NonCommercial"), ("by-nd", "Attribution-NoDerivatives"),
+        ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"))),
+    ("Copyright (c) 2020, Foo. All rights reserved.\n\n" + BSD, "BSD-2-Clause"), (BSD + "\nCopyright Foo, all rights reserved.", "BSD-2-Clause"),
+    ("Released under a BSD-style license.", "BSD"), ("Licensed under the GPL-3.0 only.", "GPL-3.0-only"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note"),
+    ("SPDX-License-Identifier: Apache-2.0 AND (MIT or BSD-3-Clause)", "Apache-2.0 AND (MIT OR BSD-3-Clause)"), ("SPDX-License-Identifier: MIT AND", "MIT"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later")])
+def test_more_published_notices(text, found):
+    for mark in ("", "# ", " * "):
+        got = L.Scanner().scan("\n".join(mark + line for line in text.split("\n")))
+        assert [m[0] for m in got] == [found]
+
+
+def test_joined_names_and_rights_far_away():
+    s = L.Scanner()
+    assert [m[0] for m in s.scan("Licensed under the MIT license or the Apache License, Version 2.0.")] == ["MIT", "Apache-2.0"]
+    assert [m[0] for m in s.scan("Licensed under either MIT and/or ISC, as you like. " + "More text. " * 20 + "All rights reserved.")][-1] == "proprietary"
+    assert [m[0] for m in s.scan("Released under the MIT License and enjoyed by many.")] == ["MIT"]
+
+
+def test_every_known_sentence_is_found_by_trying_all_places():
+    """All sentences at all words of made-up texts, without a trie."""
+    s, rng = L.Scanner(), random.Random(11)
+    known = {}
+
+    def collect(node, path):
+        for w, rest in node.items():
+            if w == L._ID:
+                known[tuple(path)] = rest
+            else:
+                collect(rest, [*path, w])
+    collect(s.trie, [])
+    plain = {k: v for k, v in known.items() if not v[1] and not v[2] and len(k) < 40}
+    pool = list(plain)
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 8)):
+            k = rng.choice(pool)
+            words += rng.choice([k, k[:-1], k[1:], ("some", "words"), ()])
+        text, want, i = " ".join(words), [], 0
+        while i < len(words):
+            fits = [k for k in known if tuple(words[i:i + len(k)]) == k and not known[k][1] and not (known[k][2] and i + len(k) < len(words) and words[i + len(k)] not in L.AFTER)]
+            deny = i and words[i - 1] in L.DENIED
+            fits = [k for k in fits if not (deny and known[k][0].startswith("notice:"))]
+            if fits:
+                k = max(fits, key=len)
+                want.append(known[k][0])
+                i += len(k)
+            else:
+                i += 1
+        assert [f[0] for f in s.sentences(text)] == want, text
+
+
+@pytest.mark.parametrize("unit", ["all rights reserved. ", "Licensed under ", "SPDX-License-Identifier: (MIT OR ", "SPDX-License-Identifier: MIT OR ISC\n", "released under MIT and ", "license ", "("])
+def test_long_license_texts_take_linear_time(unit):
+    s = L.Scanner()
+    start = time.perf_counter()
+    s.scan(unit * (100_000 // len(unit)) + " license")
+    assert time.perf_counter() - start < 3
+
+
+@pytest.mark.parametrize("unit", ["what is the ", "a", "1", "é", "w1 "])
+def test_long_texts_against_the_index_take_linear_time(unit):
+    index = D.Index([(1, "what is the capital of france paris"), (2, "how many legs has a spider eight")], 4)
+    start = time.perf_counter()
+    list(index.query(D.words(unit * (200_000 // len(unit))), 0.5))
+    assert time.perf_counter() - start < 5
+
+
 def test_license_scan_covers_all_lines(spark, edge):
     got = L.scan_licenses(read(spark, SF, "documents"))
     line = r"(?m)^(Licensed under the Apache License, Version 2\.0|Released under the MIT License|Licensed under CC BY-NC 4\.0|This work is licensed under the GNU General Public License, version 3)\.$"
@@ -285,6 +378,38 @@ def test_html_forms_and_comment_words_around_the_article(page):
     assert H.main_text(f"<html><body>{page % PROSE}</body></html>") == PROSE
 
 
+def test_html_of_the_given_pages_without_article_elements(spark):
+    """The same text must come out where the article has another element, or none."""
+    for r in read(spark, SF, "pages").select("html").collect():
+        want = H.main_text(r.html)
+        assert H.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == want
+        assert H.main_text(r.html.replace("<article>", "").replace("</article>", "")) == want
+
+
+@pytest.mark.parametrize("extra", ["<div class=sec><p>Short end.</p></div>", "<h4>Head</h4>", "<ul><li>one<li>two</ul>", "<p class='related-work'>Others.</p>", "<div class='share-of-market'>Half.</div>",
+                                   "<div class='elementor-widget'><p>More here.</p></div>", "<table><tr><td>1<td>2</table>", "<blockquote>Quote.</blockquote>"])
+def test_html_parts_beside_the_best_container_stay(extra):
+    import html
+
+    plain = re.sub(r"\s*\n\s*", "\n", re.sub(r"<(?:li|p|/div|h4|div|ul|/ul)[^>]*>", "\n", extra).replace("<td>", " ")).strip()
+    text = " ".join(re.sub(r"<[^>]*>", "", html.unescape(plain)).split(" "))
+    page = f"<html><body>{NAV}<div class=wrap><div class=entry><p>{PROSE}</p><p>{PROSE}</p></div>{extra}<div class=last><p>{PROSE}</p></div></div><div class='site-footer'>Foot.</div></body></html>"
+    got = H.main_text(page).split("\n")
+    assert got == [PROSE, PROSE, *(x.strip() for x in text.split("\n") if x.strip()), PROSE]
+
+
+@pytest.mark.parametrize("name", ["site-footer", "ad-slot-2", "mainNav", "sidebar", "cookie-banner", "related-posts", "social-share-buttons", "newsletter-signup-form"])
+def test_html_names_of_other_parts(name):
+    assert H.main_text(f"<body><div class=x><p>{PROSE}</p></div><div class='{name}'><p>Not this, nor that.</p></div></body>") == PROSE
+
+
+@pytest.mark.parametrize("unit, close", [("<b>", "</i>"), ("<i>", "<p>x"), ("<i>", "<h1>"), ("<b><div>", "</b>"), ("<li>", "</ul>"), ("<tr>", "</td>"), ("<textarea>", ""), ("<div><p>", "</p></div>"), ("<title", "<"), ("<a x='", "'>")])
+def test_long_pages_take_linear_time(unit, close):
+    start = time.perf_counter()
+    H.main_text(unit * 20_000 + "text" + close * 20_000)
+    assert time.perf_counter() - start < 6
+
+
 @pytest.mark.parametrize("page, text", [(None, ""), ("", ""), (" ", ""), ("<p>a<p>b", "a\nb"), ("plain", "plain"), ("<div>" * 20_000 + "deep", "deep"), ("<!-- open", ""),
                                         ("<p>&lt;b&gt; &#65; &amp", "<b> A &"), ("<p>x</p><script>alert(1)", "x"), ("<article><header><h1>T</h1><p>by me</p></header><p>x</article>", "T\nx")])
 def test_html_edges(page, text):
