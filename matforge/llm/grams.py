@@ -18,6 +18,7 @@ from matforge.llm.common import written
 
 ASK = "range long, lot long, keys binary, counts binary"
 ANSWER = "lot long, range long, totals binary, owner binary"
+STATS = "n long, v long, n1 long, n2 long"
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -53,7 +54,7 @@ def ask(lot: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordB
          pa.array([kind[2:].encode() + pack(counts[a:b]) for a, b in zip(cut.tolist(), ends)], pa.binary())], ["range", "lot", "keys", "counts"])
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(stats: bool):
     def out(part: int, rows: list) -> pa.RecordBatch:
         keys = [np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for _, k, _ in rows]
         ends = np.cumsum([len(k) for k in keys])[:-1]
@@ -63,27 +64,38 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(total, where, count)
         owner = np.zeros(len(where), dtype=bool)
         owner[first] = True
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()),
-             pa.array([pack(x) for x in np.split(total[where], ends)], pa.binary()),
-             pa.array([np.packbits(x).tobytes() for x in np.split(owner, ends)], pa.binary())], ["lot", "range", "totals", "owner"])
-
-    own, rows = None, []
-    for batch in batches:
-        for part, lot, k, c in zip(*(batch[x].to_pylist() for x in ("range", "lot", "keys", "counts"))):
-            if rows and own != part:
-                yield out(own, rows)
-                rows = []
-            own = part
-            rows.append((lot, k, c))
-    if rows:
-        yield out(own, rows)
-
-
-def answers(asked: DataFrame, bits: int, name: str) -> DataFrame:
-    """Rows of ANSWER for rows of ASK: 64-bit totals, and which keys the lot owns (each key has one owning lot)."""
+        cols: list[list] = [[r[0] for r in rows], [part] * len(rows), [pack(x) for x in np.split(total[where], ends)], [np.packbits(x).tobytes() for x in np.split(owner, ends)]]
+        if stats:
+            for col in cols:
+                col.append(None)
+            cols[1][-1] = part
+            sums = (int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()))
+            cols += [[None] * len(rows) + [x] for x in sums]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+        names = ["lot", "range", "totals", "owner", "n", "v", "n1", "n2"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names[:len(cols)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = None, []
+        for batch in batches:
+            for part, lot, k, c in zip(*(batch[x].to_pylist() for x in ("range", "lot", "keys", "counts"))):
+                if rows and own != part:
+                    yield out(own, rows)
+                    rows = []
+                own = part
+                rows.append((lot, k, c))
+        if rows:
+            yield out(own, rows)
+    return run
+
+
+def answers(asked: DataFrame, bits: int, name: str, stats: bool = False) -> DataFrame:
+    """Rows of ANSWER for rows of ASK: 64-bit totals, and which keys the lot owns (each key has one owning lot).
+
+    With ``stats`` a row of null lot for each range besides: the sum of its totals, and how many are positive, 1 and 2.
+    """
     dealt = asked.repartitionById(1 << bits, asked["range"].cast("int")).sortWithinPartitions("range", "lot")
-    return written(dealt.mapInArrow(_answers, ANSWER), name)
+    return written(dealt.mapInArrow(_answers(stats), f"{ANSWER}, {STATS}" if stats else ANSWER), name)
 
 
 def range_bits(keys: int, per_task: int) -> int:

@@ -1,22 +1,27 @@
-"""Language-model scores by a weighted backoff automaton over word bigrams (operator 7).
-
-States are the root and one context per training word. The arc of a seen bigram (v, w) weighs
-log((c(vw) + K p(w)) / (c(v) + K)), the failure arc of v back to the root log(K / (c(v) + K)), and the root's arc of w
-log p(w), with absolute discounting for p and one unknown word that gets the discounted mass; so every state's
-probabilities sum to one. A text is read once from left to right: the state is the context just read, and an unseen
-bigram takes the failure arc.
-
-The model is as large as the corpus, so it is never broadcast. Documents are kept in lots of bounded size; a lot sends each
-of its distinct words and bigrams once, as a sorted packed list by range of the key's hash, the ranges add the counts of all lots, and send
-back only the totals, in the order asked. A lot then holds just the part of the automaton that its texts can visit.
-Words and bigrams are told apart by 64-bit hashes.
+"""Language-model scores by a weighted backoff automaton of smoothed word n-grams (operator 7).
+
+States are the root, one for each word and one for each pair of words that training has seen ``min_pair`` times or
+more: the contexts of no, one and two words. An arc of a state reads a word that training has seen after the context, and leads to the
+state of the longest context that the text then ends in; what the context has not seen takes the failure arc, to the state of the
+context without its first word. Weights are log10 probabilities, c being training counts and p1 the word frequencies by absolute discounting, with
+one unknown word that gets the discounted mass:
+
+    p2(w | v) = (c(v w) + K p1(w)) / (c(v) + K)            failure arc of v:    K / (c(v) + K)
+    p3(w | u v) = (c(u v w) + L p2(w | v)) / (c(u v) + L)  failure arc of u v:  L / (c(u v) + L)
+
+so every state's probabilities sum to one. A text is read once from left to right from the state of the closing token: its state is
+carried on, failure arcs are followed until an arc reads the word, and the weights add up.
+
+The model is as large as the corpus, so no task holds it. Documents are kept in lots of bounded size; a lot asks for the training
+totals of its distinct words and pairs by key range (``grams``), then for those of the three-word strings whose first pair is a state, and
+builds the part of the automaton that its texts can visit. Words and n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import io
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,212 +30,268 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.llm.common import id_remainder, partitions_for, read, written
+from matforge.llm import grams
+from matforge.llm.common import id_remainder, read, written
 
-#: Weight of the lower order: a context seen so often trusts its bigrams and the word frequencies equally.
-CONTEXT_WEIGHT = 400.0
-#: Bytes of text in a lot, and keys that one merging task gets, about.
+#: K and L: a context seen so often trusts its own counts and the shorter context equally.
+CONTEXT_WEIGHT, PAIR_WEIGHT = 400.0, 20.0
+#: Training occurrences from which a pair of words is a state.
+MIN_PAIR = 4
+#: Bytes of text in a lot, and keys that one range gets, about.
 LOT_BYTES = 6 << 20
 KEYS_PER_TASK = 2_000_000
-#: Distinct words whose hash a task keeps at hand before it starts anew.
-CACHED = 200_000
-END = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
-WORDS, BIGRAMS, TEXTS = 0, 1, 2
+END = b""
 
 
-class Words(dict):
-    """Hash of a word, remembered."""
+class _Numbers(dict):
+    """Words by number, in the order met; the closing token is 0."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def tokens(text: str | None, seen: Words) -> np.ndarray:
-    """Hashes of a text's words (A-Z lower-cased, cut at ASCII white space) and of the end."""
-    own = text.encode("utf-8", "replace").lower().split() if text else []
-    out = np.full(len(own) + 1, END)
-    out[:-1] = np.fromiter(map(seen.__getitem__, own), dtype=np.uint64, count=len(own))
-    return out
-
-
-def bigrams(t: np.ndarray) -> np.ndarray:
-    """Hashes of each token with the one before it; before the first stands an end."""
-    before = np.concatenate([[END], t[:-1]])
-    h = before * _MIX[0] + t
-    h ^= h >> np.uint64(31)
-    h *= _MIX[1]
-    return h ^ (h >> np.uint64(29))
-
-
-def _pack(a: np.ndarray) -> bytes:
-    """Integers as bytes, planes of equal significance together, compressed."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        self[word] = n = len(self)
+        return n
 
 
-def _unpack(b: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+_LOT = "lot long, docs binary, sizes binary, vocabulary binary, stream binary"
 
 
 def _lots(lot_bytes: int):
-    """Rows (lot, texts): documents (doc_id, held_out, text) as one compressed block."""
+    """Rows of _LOT: documents (doc_id, held_out) as one block, their token counts, the distinct words and the token numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lot, held, size = TaskContext.get().partitionId() << 32, [], 0
+        lot, size = TaskContext.get().partitionId() << 32, 0
+        number, held, ids = _Numbers({END: 0}), [], []
 
         def out() -> pa.RecordBatch:
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
                 for b in held:
                     w.write_batch(b)
-            return pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["lot", "texts"])
+            zip_ = zstandard.ZstdCompressor(level=1).compress
+            cols = [zip_(sink.getvalue()), grams.pack(np.array([len(x) for x in ids], "<i4")), zip_(b"\n".join(list(number)[1:])), grams.pack(np.concatenate(ids))]
+            return pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], ["lot", "docs", "sizes", "vocabulary", "stream"])
 
         for batch in batches:
-            lengths = np.cumsum(np.array(pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0), dtype=np.int64))
-            at = 0
-            while at < len(batch):
-                base = lengths[at - 1] if at else 0
-                n = max(1, int(np.searchsorted(lengths[at:], base + max(lot_bytes - size, 0), side="right")))
-                held.append(batch.slice(at, n))
-                size += int(lengths[at + n - 1] - base)
-                at += n
-                if size >= lot_bytes or at < len(batch):
+            keys, at = batch.select(["doc_id", "held_out"]), 0
+            for i, text in enumerate(batch["text"]):
+                text = text.as_py()
+                words = text.encode("utf-8", "replace").lower().split() if text else []
+                words.append(END)
+                ids.append(np.fromiter(map(number.__getitem__, words), dtype="<i4", count=len(words)))
+                size += 6 * len(words)
+                if size >= lot_bytes:
+                    held.append(keys.slice(at, i + 1 - at))
                     yield out()
-                    lot, held, size = lot + 1, [], 0
+                    lot, size, at = lot + 1, 0, i + 1
+                    number, held, ids = _Numbers({END: 0}), [], []
+            if at < len(batch):
+                held.append(keys.slice(at))
         if held:
             yield out()
     return run
 
 
-def _read_lot(texts: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, their first token, tokens, bigrams) of a lot."""
-    docs = pa.ipc.open_stream(texts).read_all()
-    seen = Words()
-    each = [tokens(t.as_py(), seen) for t in docs["text"]]
-    start = np.concatenate([[0], np.cumsum([len(t) for t in each])]).astype(np.int64)
-    return docs, start, np.concatenate(each), np.concatenate([bigrams(t) for t in each])
-
-
-def _asked(bits: int):
-    """Rows (kind, range, lot, keys, counts): a lot's distinct keys by range of the hash, with their training counts."""
+class Lot:
+    """Tokens of a lot and its distinct words, pairs and three-word strings."""
+
+    def __init__(self, row: dict):
+        unzip = zstandard.ZstdDecompressor().decompress
+        self.docs = pa.ipc.open_stream(unzip(row["docs"])).read_all()
+        self.sizes = grams.unpack(row["sizes"], "<i4").astype(np.int64)
+        raw = unzip(row["vocabulary"])
+        words = [END, *(raw.split(b"\n") if raw else [])]
+        self.v = len(words)
+        self.ids = grams.unpack(row["stream"], "<i4").astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        train = np.repeat(~np.array(self.docs["held_out"], dtype=bool), self.sizes)
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=self.v)
+        before = np.empty_like(self.ids)
+        before[1:] = self.ids[:-1]
+        before[self.start] = 0
+        self.pairs, self.pair = np.unique(before * self.v + self.ids, return_inverse=True)
+        key = lambda a, b: grams.mix(grams.mix(np.full(1, 2, np.uint64), self.hash[a]), self.hash[b])
+        self.pair_keys = key(self.pairs // self.v, self.pairs % self.v)
+        self.train = train
+        # A word's key has the top bit 0, a pair's 1, so that a range holds one kind and its statistics are those of words.
+        low = np.uint64((1 << 63) - 1)
+        keys = np.concatenate([grams.mix(np.full(1, 1, np.uint64), self.hash) & low, self.pair_keys | ~low])
+        counts = np.concatenate([np.bincount(self.ids, weights=train, minlength=self.v), np.bincount(self.pair, weights=train, minlength=len(self.pairs))])
+        self.order = np.argsort(keys, kind="stable")
+        self.keys, self.counts = keys[self.order], counts.astype(np.int64)[self.order]
+
+    def totals(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Training totals of the words and of the pairs."""
+        out = np.empty(len(self.keys), np.int64)
+        out[self.order] = np.concatenate([grams.unpack(t, "<i8") for t in packed])
+        return out[:self.v], out[self.v:]
+
+    def triples(self, pair_totals: np.ndarray, min_pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first pair, last word, key) of the distinct three-word strings whose first pair is a state, by key; and their training counts."""
+        last = np.setdiff1d(np.arange(len(self.ids)), self.start, assume_unique=True)
+        last = last[pair_totals[self.pair[last - 1]] >= min_pair]
+        code, where = np.unique(self.pair[last - 1] * self.v + self.ids[last], return_inverse=True)
+        counts = np.bincount(where, weights=self.train[last], minlength=len(code)).astype(np.int64)
+        key = grams.mix(self.pair_keys[code // self.v], self.hash[code % self.v])
+        order = np.argsort(key, kind="stable")
+        return code[order], key[order], counts[order]
+
+
+@dataclass
+class Automaton:
+    """States 0 (root), 1 + word, 1 + words + pair. arcs: sorted state * words + word; with weights and next states. The root has an arc
+    for every word."""
+
+    words: int
+    root: np.ndarray
+    arcs: np.ndarray
+    weights: np.ndarray
+    targets: np.ndarray
+    fail_weight: np.ndarray
+    fail_state: np.ndarray
+
+    @classmethod
+    def build(cls, words: np.ndarray, pairs: np.ndarray, pair_totals: np.ndarray, triples: np.ndarray, triple_totals: np.ndarray,
+              stats: tuple, context_weight: float, pair_weight: float, min_pair: int) -> Automaton:
+        """words, pairs and triples: totals of each word number, of each pair first * words + last (sorted), and of each
+        string pair number * words + word (sorted)."""
+        n, v, n1, n2 = stats
+        size = len(words)
+        off = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + 2 * n2 else 0.5
+        p1 = np.where(words > 0, (words - off) / max(n, 1), off * v / n if n else 1.0)
+        first, last = pairs // size, pairs % size
+        p2 = (pair_totals + context_weight * p1[last]) / (words[first] + context_weight)
+        # A pair that ends a text is no context.
+        state = np.where((pair_totals >= min_pair) & (last > 0), 1 + size + np.arange(len(pairs)), 1 + last)
+        known = np.flatnonzero(pair_totals > 0)
+        seen = np.flatnonzero(triple_totals > 0)
+        pair, word = triples[seen] // size, triples[seen] % size
+        tail = np.searchsorted(pairs, last[pair] * size + word)  # the pair of the last two words
+        p3 = (triple_totals[seen] + pair_weight * p2[tail]) / (pair_totals[pair] + pair_weight)
+        arcs = np.concatenate([(1 + first[known]) * size + last[known], (1 + size + pair) * size + word])
+        fail_weight = np.concatenate([[1.0], context_weight / (words + context_weight), pair_weight / (pair_totals + pair_weight)])
+        return cls(size, np.log10(p1), arcs, np.log10(np.concatenate([p2[known], p3])), np.concatenate([state[known], state[tail]]),
+                   np.log10(fail_weight), np.concatenate([[0], np.zeros(size, np.int64), 1 + last]))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading one word in each state."""
+        weight, out = np.zeros(len(state)), np.empty(len(state), np.int64)
+        live = np.arange(len(state))
+        while len(live):
+            s, w = state[live], word[live]
+            at = np.searchsorted(self.arcs, s * self.words + w)
+            at[at == len(self.arcs)] = 0
+            hit = self.arcs[at] == s * self.words + w if len(self.arcs) else np.zeros(len(live), bool)
+            top = ~hit & (s == 0)
+            got = live[hit]
+            weight[got] += self.weights[at[hit]]
+            out[got] = self.targets[at[hit]]
+            got = live[top]
+            weight[got] += self.root[w[top]]
+            out[got] = 1 + w[top]
+            down = ~hit & ~top
+            live, s = live[down], s[down]
+            weight[live] += self.fail_weight[s]
+            state[live] = self.fail_state[s]
+        return weight, out
+
+    def walk(self, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Log10 probability of every text: all texts of the lot are read side by side, one word of each at a time."""
+        by = np.argsort(-sizes, kind="stable")
+        begin, score = start[by], np.zeros(len(sizes))
+        state = np.ones(len(sizes), np.int64)  # the closing token's
+        live = np.searchsorted(-sizes[by], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+        for t, k in enumerate(live.tolist()):
+            weight, state[:k] = self.step(state[:k].copy(), ids[begin[:k] + t])
+            score[:k] += weight
+        out = np.empty(len(sizes))
+        out[by] = score
+        return out
+
+
+def _ask(bits: int):
+    """Rows of grams.ASK: words and pairs of each lot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lot, texts in zip(batch["lot"].to_pylist(), batch["texts"]):
-                docs, start, words, pairs = _read_lot(texts.as_py())
-                train = np.repeat(~np.array(docs["held_out"], dtype=bool), np.diff(start))
-                for kind, stream in ((WORDS, words), (BIGRAMS, pairs)):
-                    keys, where = np.unique(stream, return_inverse=True)
-                    counts = np.bincount(where, weights=train, minlength=len(keys)).astype(np.uint32)
-                    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    cut = np.flatnonzero(np.diff(part, prepend=-1))
-                    rows = [(int(part[a]), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(counts[a:b])) for a, b in zip(cut, [*cut[1:], len(keys)])]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([lot] * len(rows), pa.int64()),
-                                                      pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                                                     ["kind", "range", "lot", "keys", "counts"])
+            for row in batch.to_pylist():
+                lot = Lot(row)
+                yield grams.ask(row["lot"], lot.keys, lot.counts, bits)
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lot, kind, range, totals, n, v, n1, n2): totals in the order asked; or lot null and a range's statistics."""
-    def out(kind: int, part: int, rows: list) -> pa.RecordBatch:
-        keys = [np.cumsum(_unpack(k, "u8")) for _, k, _ in rows]
-        ends = np.cumsum([len(k) for k in keys])
-        key = np.concatenate(keys)
-        count = np.concatenate([_unpack(c, "u4") for _, _, c in rows]).astype(np.int64)
-        _, where = np.unique(key, return_inverse=True)
-        total = np.bincount(where, weights=count).astype(np.int64)
-        back = np.minimum(total, (1 << 32) - 1).astype(np.uint32)[where]
-        stats = (int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()))
-        n = len(rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([*(r[0] for r in rows), None], pa.int64()), pa.array([kind] * (n + 1), pa.int32()), pa.array([part] * (n + 1), pa.int64()),
-             pa.array([*(_pack(x) for x in np.split(back, ends[:-1])), None], pa.binary()), *(pa.array([None] * n + [s], pa.int64()) for s in stats)],
-            ["lot", "kind", "range", "totals", "n", "v", "n1", "n2"])
-
-    own, rows = None, []
+PAIRS, TRIPLES, SELF = 0, 1, 2
+
+
+def _lots_with_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int, list[bytes]]]]:
+    held: dict[int, list[bytes]] = {PAIRS: [], TRIPLES: []}
     for batch in batches:
-        for kind, part, lot, k, c in zip(*(batch[x].to_pylist() for x in ("kind", "range", "lot", "keys", "counts"))):
-            if rows and own != (kind, part):
-                yield out(*own, rows)
-                rows = []
-            own = kind, part
-            rows.append((lot, k, c))
-    if rows:
-        yield out(*own, rows)
+        for row in batch.to_pylist():
+            if row["kind"] == SELF:
+                yield row, held
+                held = {PAIRS: [], TRIPLES: []}
+            else:
+                held[row["kind"]].append(row["totals"])
+
 
+def _ask_triples(bits: int, min_pair: int):
+    """Rows of grams.ASK: three-word strings of each lot whose first pair is a state."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, held in _lots_with_totals(batches):
+            lot = Lot(row)
+            _, keys, counts = lot.triples(lot.totals(held[PAIRS])[1], min_pair)
+            if len(keys):
+                yield grams.ask(row["lot"], keys, counts, bits)
+    return run
 
-def traverse(start: np.ndarray, word: np.ndarray, words: np.ndarray, pairs: np.ndarray, before: np.ndarray, stats: tuple, weight: float) -> tuple[np.ndarray, ...]:
-    """(base score, score, known tokens) of each text by one pass over the automaton.
 
-    words, pairs, before: training counts of each token, of its bigram and of the context before it. The state reached by
-    a token is that token's context, so all steps are looked up at once.
-    """
-    n, v, n1, n2 = stats
-    base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))
-    off = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + 2 * n2 else 0.5
-    root = np.where(words > 0, (words - off) / max(n, 1), off * v / n if n else 1.0)
-    fail = np.log10(weight / (before + weight))
-    arc = np.log10((pairs + weight * root) / (before + weight))
-    step = np.where(pairs > 0, arc, fail + np.log10(root))
-    add = lambda x: np.add.reduceat(x, start[:-1]) if len(start) > 1 else np.zeros(0)
-    return add(base), add(step), add((words > 0).astype(np.int64))
-
-
-def _scores(stats: tuple, weight: float):
+def _scores(stats: tuple, context_weight: float, pair_weight: float, min_pair: int):
+    n, v, _, _ = stats
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {WORDS: [], BIGRAMS: []}
-        for batch in batches:
-            for kind, blob in zip(batch["kind"].to_pylist(), batch["blob"]):
-                if kind != TEXTS:
-                    held[kind].append(_unpack(blob.as_py(), "u4"))
-                    continue
-                docs, start, words, pairs = _read_lot(blob.as_py())
-                keys, where = np.unique(words, return_inverse=True)
-                total = np.concatenate(held[WORDS]).astype(np.float64)
-                seen = total[where]
-                before = np.empty(len(seen))
-                before[1:] = seen[:-1]
-                before[start[:-1]] = total[np.searchsorted(keys, END)]
-                _, where = np.unique(pairs, return_inverse=True)
-                both = np.concatenate(held[BIGRAMS]).astype(np.float64)[where]
-                held = {WORDS: [], BIGRAMS: []}
-                base, score, known = traverse(start, words, seen, both, before, stats, weight)
-                ids = docs["doc_id"].combine_chunks()
-                cols = [ids, docs["held_out"].combine_chunks(), pa.array(np.diff(start)), pa.array(known.astype(np.int64)),
-                        pa.array(np.full(len(ids), stats[0], np.int64)), pa.array(base.astype(np.float64)), pa.array(score.astype(np.float64))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row, held in _lots_with_totals(batches):
+            lot = Lot(row)
+            words, pairs = lot.totals(held[PAIRS])
+            code, _, _ = lot.triples(pairs, min_pair)
+            total = np.concatenate([np.zeros(0, np.int64), *(grams.unpack(t, "<i8") for t in held[TRIPLES])])
+            by = np.argsort(code, kind="stable")
+            auto = Automaton.build(words, lot.pairs, pairs, code[by], total[by], stats, context_weight, pair_weight, min_pair)
+            seen = words[lot.ids]
+            base = np.add.reduceat(np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), lot.start)
+            known = np.add.reduceat((seen > 0).astype(np.int64), lot.start)
+            cols = [lot.docs["doc_id"].combine_chunks(), lot.docs["held_out"].combine_chunks(), pa.array(lot.sizes), pa.array(known),
+                    pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(auto.walk(lot.ids, lot.start, lot.sizes))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
 
-def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", weight: float = CONTEXT_WEIGHT,
-              lot_bytes: int = LOT_BYTES, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
-    """Log10 probability of every text under the bigram automaton learned from the rows that are not ``held_out``.
+def lm_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", context_weight: float = CONTEXT_WEIGHT,
+              pair_weight: float = PAIR_WEIGHT, min_pair: int = MIN_PAIR, lot_bytes: int = LOT_BYTES, keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
+    """Log10 probability of every text under the backoff automaton learned from the rows that are not ``held_out``.
 
     held_out: a boolean column. Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input
-    row. Null and empty texts are one end token; without training rows every word has probability one. Ids may be null or
-    repeat; other columns are ignored; an empty input gives no rows. Only four sums reach the driver.
+    row. Null and empty texts are one closing token; without training rows every word has probability one. Ids may be null or
+    repeat; other columns are ignored; an empty input gives no rows. Only six sums reach the driver. A task holds about 200 bytes for each
+    word of a lot, or of the longest document.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["doc_id"]
-    lots = written(own.mapInArrow(_lots(lot_bytes), "lot long, texts binary"), "lm-lots")
+    lots = written(own.mapInArrow(_lots(lot_bytes), _LOT), "lm-lots")
     count = lots.count()
-    tasks = partitions_for(count * lot_bytes // 4, keys_per_task)
-    asked = lots.mapInArrow(_asked(max(0, tasks - 1).bit_length()), "kind int, range long, lot long, keys binary, counts binary")
-    totals = asked.repartition(2 * tasks, "kind", "range").sortWithinPartitions("kind", "range").mapInArrow(
-        _answers, "lot long, kind int, range long, totals binary, n long, v long, n1 long, n2 long")
-    totals = written(totals, "lm-totals")
-    sums = totals.where(f"lot IS NULL AND kind = {WORDS}").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2"))).first()
-    visits = totals.where("lot IS NOT NULL").select("lot", "kind", "range", F.col("totals").alias("blob")).unionByName(
-        lots.select("lot", F.lit(TEXTS).alias("kind"), F.lit(0).cast("long").alias("range"), F.col("texts").alias("blob")))
-    return visits.repartition(max(1, count), "lot").sortWithinPartitions("lot", "kind", "range").mapInArrow(
-        _scores(tuple(sums), weight), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    bits = 1 + grams.range_bits(count * lot_bytes // 8, keys_per_task)
+    pairs = grams.answers(lots.mapInArrow(_ask(bits), grams.ASK), bits, "lm-pairs", stats=True)
+    sums = pairs.where(f"lot IS NULL AND range < {1 << (bits - 1)}").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2"))).first()
+    cols = lots.columns[1:]
+
+    def visits(*totals: DataFrame) -> DataFrame:
+        """The totals of each lot in the order of the ranges, and then the lot."""
+        none = lambda c: F.lit(None).cast("binary").alias(c)
+        rows = lots.select("lot", F.lit(SELF).alias("kind"), F.lit(0).cast("long").alias("range"), none("totals"), *cols)
+        for k, t in enumerate(totals):
+            rows = rows.unionByName(t.where("lot IS NOT NULL").select("lot", F.lit(k).alias("kind"), "range", "totals", *map(none, cols)))
+        return rows.repartition(max(1, count), "lot").sortWithinPartitions("lot", "kind", "range")
+
+    triples = grams.answers(visits(pairs).mapInArrow(_ask_triples(bits, min_pair), grams.ASK), bits, "lm-triples")
+    return visits(pairs, triples).mapInArrow(_scores(tuple(sums), context_weight, pair_weight, min_pair),
+                                             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,27 +258,61 @@ def test_packing_edges(spark, edge):
 
 # ---- language model
 
-@pytest.mark.parametrize("lot_bytes, keys", [(16 << 20, 2_000_000), (50_000, 3_000)])
-def test_scores_equal_brute_force(spark, lot_bytes, keys):
-    docs = [tuple(r) for r in read(spark, SMALL, "documents").select("doc_id", "text").collect()]
+@pytest.mark.parametrize("lot_bytes, keys, min_pair", [(16 << 20, 2_000_000, 4), (50_000, 3_000, 1), (200_000, 10_000, 20)])
+def test_scores_equal_a_walk_by_hand(spark, lot_bytes, keys, min_pair):
+    """One automaton over all training texts, with arcs in a dictionary, walked word by word."""
+    docs = [tuple(r) for r in read(spark, SMALL, "documents").select("doc_id", "text").collect()] + [(9001, "one\u00a0two \x1cthree"), (9002, "")]
     cut = lambda t: [w for w in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode().lower()) if w] + [None]
-    c, b = Counter(), Counter()
+    c, b, tri = Counter(), Counter(), Counter()
     for d, t in docs:
         if zlib.crc32(str(d).encode()) % 5 != 1:
             ws = cut(t)
             c.update(ws)
             b.update(zip([None, *ws], ws))
+            tri.update(zip([None, *ws], ws, ws[1:]))
     n, v, n1, n2 = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-    off, k = n1 / (n1 + 2 * n2), lm_score.CONTEXT_WEIGHT
-    p = lambda w: (c[w] - off) / n if c[w] else off * v / n
-    assert math.isclose(sum(p(w) for w in c) + p("unknown"), 1)
-    got = {r.doc_id: r for r in lm_score.lm_scores(read(spark, SMALL, "documents"), id_remainder(F.col("doc_id"), 5) == 1, lot_bytes=lot_bytes, keys_per_task=keys).collect()}
+    off, k, m = n1 / (n1 + 2 * n2), lm_score.CONTEXT_WEIGHT, lm_score.PAIR_WEIGHT
+    p1 = lambda w: (c[w] - off) / n if c[w] else off * v / n
+    p2 = lambda x, w: (b[x, w] + k * p1(w)) / (c[x] + k)
+    assert math.isclose(sum(p1(w) for w in c) + p1("unknown"), 1)
+    state = lambda *h: h if len(h) == 1 or b[h] >= min_pair and h[1] is not None else h[1:]
+    arcs, fail = {}, {}
+    for (x, w), f in b.items():
+        arcs[(x,), w] = math.log10(p2(x, w)), state(x, w)
+    for (x, y, w), f in tri.items():
+        if len(state(x, y)) == 2:
+            arcs[(x, y), w] = math.log10((f + m * p2(y, w)) / (b[x, y] + m)), state(y, w)
+    got = {r.doc_id: r for r in lm_score.lm_scores(spark.createDataFrame(docs, "doc_id long, text string"), id_remainder(F.col("doc_id"), 5) == 1,
+                                                   min_pair=min_pair, lot_bytes=lot_bytes, keys_per_task=keys).collect()}
+    fails = 0
     for d, t in docs:
         ws, r = cut(t), got[d]
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        score = sum(math.log10((b[x, w] + k * p(w)) / (c[x] + k)) for x, w in zip([None, *ws], ws))
+        at, score = (None,), 0.0
+        for w in ws:
+            while at and (at, w) not in arcs:
+                score += math.log10(m / (b[at] + m) if len(at) == 2 else k / (c[at[0]] + k))
+                at, fails = at[1:], fails + 1
+            weight, at = arcs[at, w] if at else (math.log10(p1(w)), (w,))
+            score += weight
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(ws), sum(c[w] > 0 for w in ws), n, zlib.crc32(str(d).encode()) % 5 == 1)
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)
+    assert fails > 100
+
+
+def test_every_state_of_the_automaton_sums_to_one():
+    """Over all words and the unknown one, which has number 4 and no count."""
+    words, pairs = np.array([3, 5, 4, 2, 0]), {(0, 1): 2, (0, 2): 1, (1, 2): 3, (1, 3): 1, (1, 1): 1, (2, 1): 2, (2, 3): 1, (2, 0): 1, (3, 0): 2}
+    triples = {(0, 1, 2): 1, (0, 1, 1): 1, (1, 2, 1): 1, (1, 2, 3): 1, (1, 2, 0): 1, (2, 1, 2): 1, (2, 1, 3): 1}
+    every = {(a, b): pairs.get((a, b), 0) for a in range(5) for b in range(5)}
+    code = np.array(sorted(a * 5 + b for a, b in every))
+    auto = lm_score.Automaton.build(words, code, np.array([every[c // 5, c % 5] for c in code]), np.array(sorted((a * 5 + b) * 5 + w for a, b, w in triples)),
+                                    np.array([triples[k] for k in sorted(triples, key=lambda x: (x[0] * 5 + x[1]) * 5 + x[2])]), (14, 4, 0, 1), 7.0, 3.0, 2)
+    # arcs are looked up by bisection
+    assert (np.diff(auto.arcs) > 0).all()
+    for state in (0, 1, 2, 3, 4, 6 + 1, 6 + 7, 6 + 11):
+        weight, _ = auto.step(np.full(5, state), np.arange(5))
+        assert math.isclose((10 ** weight).sum(), 1, rel_tol=1e-9), state
 
 
 def test_held_out_texts_score_better_than_by_single_words(spark):
@@ -355,6 +389,17 @@ def test_long_chat_is_split_and_whole(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_turns_without_or_with_restarting_numbers_are_split(spark):
+    """One conversation of null turns, and one whose numbers start anew: positions follow the order, over ranges of bounded size."""
+    rows = [(None, None, "user", f"{i:05d}") for i in range(3000)] + [(7, i % 3, "user", f"{i:05d}") for i in range(2000)] + [(8, 1, "user", "x" * 200_000), (8, 2, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    hashed = chat.prefix_hashes(frame).collect()
+    of = lambda c: [(r.pos, r.text) for r in sorted(hashed, key=lambda r: r.pos) if r.conv_id == c]
+    assert of(None) == [(i + 1, f"{i:05d}") for i in range(3000)]
+    assert [t for _, t in of(7)] == [f"{i:05d}" for m in range(3) for i in range(2000) if i % 3 == m]
+    assert [t for _, t in of(8)] == ["x" * 200_000, None]
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark):
