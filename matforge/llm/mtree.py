@@ -10,6 +10,7 @@ spare the computation of distances that the triangle inequality already rules ou
 from __future__ import annotations
 
 import heapq
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,30 +211,41 @@ class Tree:
         return best
 
 
-def _answers(queries: list[tuple[int, bytes, int]], dim: int, longest: float, k: int):
+def _query_blocks(block: int):
+    """Rows (block, asked): queries (vec_id, v, dim), at most ``block`` of them in one binary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs = [(i, v) for (i, *_), v in zip(queries, _matrix([q[1:] for q in queries], dim))]
-        best: dict[int, list] = {}
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                sink = io.BytesIO()
+                with pa.ipc.new_stream(sink, batch.schema) as w:
+                    w.write_batch(batch.slice(at, block))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["block", "asked"])
+                number += 1
+    return run
 
-        def search(rows: list[dict]) -> None:
-            tree = Tree(rows, dim)
-            for i, q in qs:
-                held = best.get(i, [])
-                cut = held[-1][0] if len(held) == k else -np.inf
-                best[i] = sorted([*held, *tree.search(i, q, k, longest, cut)], reverse=True)[:k]
 
-        rows: list[dict] = []
+PAGE, QUERY = 0, 1
+
+
+def _answers(dim: int, longest: float, k: int):
+    """The k best of each tree for each query: a tree's pages come first, then the blocks of queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, rows, tree = None, [], None
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and r["tree"] != rows[0]["tree"]:
-                    search(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            search(rows)
-        flat = [(i, -v, s) for i, held in best.items() for s, v in held]
-        cols = list(zip(*flat)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                if r["tree"] != place:
+                    place, rows, tree = r["tree"], [], None
+                if r["kind"] == PAGE:
+                    rows.append(r)
+                    continue
+                tree = tree or Tree(rows, dim)
+                asked = pa.ipc.open_stream(r["asked"]).read_all().to_pydict()
+                found = [(i, -v, s) for i, q in zip(asked["vec_id"], _matrix(list(zip(asked["v"], asked["dim"])), dim)) for s, v in tree.search(i, q, k, longest, -np.inf)]
+                cols = list(zip(*found)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
     return run
 
 
@@ -254,7 +266,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     if there are fewer candidates. Rows whose vector is null, holds null or non-finite components, and rows without
     an id, take no part; a score of the result that no long holds is an error, as in SQL; shorter vectors are filled with zeros; a candidate
     with the query's own id is left out; a repeated row is a candidate of its own. Rows go to trees of at most about ``cell`` by nearest seed and,
-    where many share a seed, by hash. Queries are searched ``block`` at a time, each tree by one task. An empty input gives no rows.
+    where many share a seed, by hash. Queries are a table of blocks of at most ``block``, which visits every tree; none pass the driver. An empty input
+    gives no rows.
     """
     own = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
     ints = written(own.select("vec_id", "embedding").mapInArrow(_integers(scale), "vec_id long, v binary, norm double, dim int"), "mtree-integers")
@@ -268,15 +281,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     trees = placed.withColumn("tree", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id", "v"), splits))
     pages = trees.repartition(partitions_for(count, cell), "tree").sortWithinPartitions("tree").mapInArrow(
         _page_rows(dim, longest, leaf, fan), "tree long, page int, parent int, radius double, parent_distance double, center binary, ids binary, vectors binary, distances binary")
-    pages = written(pages, "mtree-pages").repartition(partitions_for(count, cell // 4), "tree").sortWithinPartitions("tree", "page")
+    pages = written(pages, "mtree-pages")
     asked = ints.join(own.where("q").select("vec_id").distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    blocks = partitions_for(asked.count(), block)
-    out = None
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        qs = [(r["vec_id"], bytes(r["v"]), r["dim"]) for r in mine.select("vec_id", "v", "dim").collect()]
-        found = pages.mapInArrow(_answers(qs, dim, longest, k), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
+    asked = written(asked.select("vec_id", "v", "dim").mapInArrow(_query_blocks(block), "block long, asked binary"), "mtree-queries")
+    # The given query set against all rows: every block of queries goes to every tree.
+    none = lambda frame, c: F.lit(None).cast(dict(frame.dtypes)[c]).alias(c)
+    rest = [c for c in pages.columns if c not in ("tree", "page")]
+    visits = pages.select("tree", F.lit(PAGE).alias("kind"), "page", *rest, none(asked, "block"), none(asked, "asked")).unionByName(
+        pages.select("tree").distinct().crossJoin(asked).select("tree", F.lit(QUERY).alias("kind"), none(pages, "page"), *(none(pages, c) for c in rest), "block", "asked"))
+    visits = visits.repartition(partitions_for(count, cell // 4), "tree").sortWithinPartitions("tree", "kind", "page", "block")
+    out = visits.mapInArrow(_answers(dim, longest, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
