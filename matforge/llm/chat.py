@@ -2,8 +2,9 @@
 
 A log often holds a conversation several times, each time with the turns so far. Every turn gets the hash of the conversation up
 to it; a conversation whose last hash is the hash of a proper prefix of a longer one is a snapshot of it, and an
-anti-join leaves the maximal conversations, which are rendered. Positions and hashes are counted in two levels, within spans
-of turn numbers and over the spans of a conversation, so one conversation with a large part of all rows is split.
+anti-join leaves the maximal conversations, which are rendered. Positions and hashes are counted in two levels, within the ranges
+that all turns are dealt into in their full order and over the ranges of a conversation, so one conversation with a large part
+of all rows is split, whatever its turn numbers are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from matforge.llm.common import read, written
 
-#: Turn numbers of a span, and turns of one rendered part.
+#: Turns of one rendered part.
 SPAN = 64
 OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 
@@ -23,7 +24,7 @@ def _before(agg: Column, order: str = "span") -> Column:
     return agg.over(Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
 
 
-def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows (key, conv_id, pos, n, role, text, h1, h2): turns in order, with the 128-bit hash of the conversation up to each.
 
     Turns are ordered by turn, role, text, nulls first; equal rows are one turn logged twice and count once. Rows of null conversation id
@@ -31,9 +32,9 @@ def prefix_hashes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     """
     own = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"),
                        F.col(text_col).cast("string").alias("text")).distinct()
-    own = own.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))).withColumn(
-        "span", F.coalesce(F.floor(F.col("turn") / span), F.lit(-(1 << 62))))
-    own = written(own, "chat-turns")
+    own = own.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("\0")))
+    # Ranges of the order itself, numbered and written, so that every later step sees the same ones.
+    own = written(own.repartitionByRange("key", "turn", "role", "text").withColumn("span", F.spark_partition_id()), "chat-turns")
     sizes = own.groupBy("key", "span").agg(F.count("*").alias("c"))
     sizes = sizes.select("key", "span", F.coalesce(_before(F.sum("c")), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("key")).alias("n"))
     inside = Window.partitionBy("key", "span").orderBy("turn", "role", "text")
@@ -68,7 +69,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Returns (conv_id, n_turns, part, n_parts, rendered): a conversation of at most ``span`` turns is one row, a longer one several whose
     parts (from 0) follow each other without a gap, so that no task gathers more than ``span`` turns. An empty input gives no rows; other columns are ignored.
     """
-    hashed = written(prefix_hashes(turns, conv_col, turn_col, role_col, text_col, span), "chat-hashes")
+    hashed = written(prefix_hashes(turns, conv_col, turn_col, role_col, text_col), "chat-hashes")
     kept = hashed.join(maximal(hashed), "key", "left_semi").withColumn("part", F.floor((F.col("pos") - 1) / span).cast("int"))
     piece = F.struct("pos", render(F.col("role"), F.col("text"), opening, closing).alias("piece"))
     return kept.groupBy("key", "conv_id", "n", "part").agg(F.sort_array(F.collect_list(piece)).alias("pieces")).select(
