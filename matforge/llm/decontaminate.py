@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -21,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.llm.common import partitions_for, read
+from matforge.llm.common import partitions_for, read, written
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own BM25 score, and least shares of question and answer shingles.
 THRESHOLD, OVERLAP = 0.5, 0.5
 SHINGLE = 3
 BLOCK = 4
-#: Items of one index; a larger benchmark is cut into several, and documents are run against each.
-ITEMS = 2_000
+#: Items of one index; a larger benchmark is cut into shards, and documents are run against each, by tasks of so many documents, about.
+ITEMS, DOCS_PER_TASK = 2_000, 100_000
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -58,32 +59,49 @@ def overlap(part: list[str], passage: list[str], n: int = SHINGLE) -> float:
     return len(own & _shingles(passage, n)) / len(own) if own else 1.0
 
 
+@dataclass(frozen=True)
+class Item:
+    """An item with its terms, their counts in it and the number of items that have them, by term."""
+
+    id: int | None
+    text: str
+    terms: tuple[str, ...]
+    counts: tuple[int, ...]
+    df: tuple[int, ...]
+
+
+def describe(items: list[tuple]) -> tuple[list[Item], int, int, int]:
+    """(items, their number, words in all, words of the longest) of a benchmark that is at hand as (id, text); items without words are left out."""
+    bags = [(i, t, Counter(words(t))) for i, t in items if words(t)]
+    df = Counter(t for *_, b in bags for t in b)
+    out = [Item(i, t, tuple(sorted(b)), tuple(b[k] for k in sorted(b)), tuple(df[k] for k in sorted(b))) for i, t, b in bags]
+    sizes = [sum(x.counts) for x in out]
+    return out, len(out), sum(sizes), max(sizes, default=1)
+
+
 class Index:
-    """Postings by term, in item order, in blocks of item numbers with the largest impact of each."""
-
-    def __init__(self, items: list[tuple], block: int = BLOCK):
-        self.items = [(i, t) for i, t in items if words(t)]
-        bags = [Counter(words(t)) for _, t in self.items]
-        n = len(bags)
-        mean = sum(sum(b.values()) for b in bags) / n if n else 1.0
-        df = Counter(t for b in bags for t in b)
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        self.block, self.width = block, max([1, *(sum(b.values()) for b in bags)])
-        self.term = {t: i for i, t in enumerate(sorted(df))}
+    """Postings by term, in item order, in blocks of item numbers with the largest impact of each. All statistics (number of
+    items, their words, the longest, and the items of a term) are the whole benchmark's, whichever items are indexed."""
+
+    def __init__(self, items: list[Item], n: int, total: int, width: int, block: int = BLOCK):
+        self.items, self.block, self.width = [(x.id, x.text) for x in items], block, max(1, width)
+        mean = total / n if n else 1.0
+        self.term = {t: i for i, t in enumerate(sorted({t for x in items for t in x.terms}))}
         post: dict[int, list] = defaultdict(list)
-        for item, bag in enumerate(bags):
-            size = sum(bag.values())
-            own = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in bag.items()}
-            total = sum(own.values())
-            for t, w in own.items():
-                post[self.term[t]].append((item, w / total))
-        self.ids = [[i for i, _ in post[t]] for t in range(len(df))]
-        self.impacts = [[w for _, w in post[t]] for t in range(len(df))]
-        self.block_max = np.zeros((len(df), -(-n // block)), dtype=np.float32)
-        for t in range(len(df)):
+        for number, x in enumerate(items):
+            size = sum(x.counts)
+            own = [math.log(1 + (n - d + 0.5) / (d + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for f, d in zip(x.counts, x.df)]
+            whole = sum(own)
+            for t, w in zip(x.terms, own):
+                post[self.term[t]].append((number, w / whole))
+        m = len(self.term)
+        self.ids = [[i for i, _ in post[t]] for t in range(m)]
+        self.impacts = [[w for _, w in post[t]] for t in range(m)]
+        self.block_max = np.zeros((m, -(-len(items) // block)), dtype=np.float32)
+        for t in range(m):
             for i, w in post[t]:
                 self.block_max[t, i // block] = max(self.block_max[t, i // block], np.float32(w))
-        self.term_max = self.block_max.max(axis=1) if n else np.zeros(0, np.float32)
+        self.term_max = self.block_max.max(axis=1) if items else np.zeros(0, np.float32)
 
     def search(self, terms: list[int], blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND over the postings of ``terms``: all items of at least ``threshold``, with their scores.
@@ -155,49 +173,108 @@ class Index:
                     yield int(passage[part[j]]), item, score
 
 
-def _matches(items: list[tuple], block: int, threshold: float, least: float):
+_FOUND = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+
+
+def _verified(index: Index, parts: list[tuple], ids: pa.Array, texts: pa.Array, threshold: float, least: float) -> pa.RecordBatch:
+    """Rows of _FOUND: passages of documents and the items that they hold."""
+    cols: list[list] = [[] for _ in range(5)]
+    for row, text in enumerate(texts):
+        ws = words(text.as_py())
+        _, step, size = index.passages(len(ws))
+        for p, item, score in index.query(ws, threshold):
+            passage = ws[p * step:p * step + size]
+            q, a = (overlap(x, passage) for x in parts[item])
+            if q >= least and a >= least:
+                for col, x in zip(cols, (row, item, min(score, 1.0), q, a)):
+                    col.append(x)
+    own = pa.array([index.items[i][0] for i in cols[1]], pa.int64())
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), own, *(pa.array(c, pa.float64()) for c in cols[2:])], _FOUND)
+
+
+def _matches(items: list[Item], stats: tuple, block: int, threshold: float, least: float):
+    """Documents against items that the task was given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, block)
+        index = Index(items, *stats, block)
         parts = [question_and_answer(t) for _, t in index.items]
         for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for row, text in enumerate(batch["text"]):
-                ws = words(text.as_py())
-                _, step, size = index.passages(len(ws))
-                for p, item, score in index.query(ws, threshold):
-                    passage = ws[p * step:p * step + size]
-                    q, a = (overlap(x, passage) for x in parts[item])
-                    if q >= least and a >= least:
-                        for col, x in zip(cols, (row, item, min(score, 1.0), q, a)):
-                            col.append(x)
-            at = pa.array(cols[0], pa.int64())
-            ids = pa.array([index.items[i][0] for i in cols[1]], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), ids, *(pa.array(c, pa.float64()) for c in cols[2:])],
-                                             ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            yield _verified(index, parts, batch["doc_id"], batch["text"], threshold, least)
     return run
 
 
+def _shard_matches(stats: tuple, block: int, threshold: float, least: float):
+    """Documents against the items of their shard, which come before them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, items, index, parts = None, [], None, []
+        for batch in batches:
+            kinds, places = batch["kind"].to_pylist(), list(zip(batch["shard"].to_pylist(), batch["share"].to_pylist()))
+            at = 0
+            while at < len(batch):
+                end = at
+                while end < len(batch) and (kinds[end], places[end]) == (kinds[at], places[at]):
+                    end += 1
+                if places[at] != place:
+                    place, items, index = places[at], [], None
+                rows = batch.slice(at, end - at)
+                if kinds[at] == 0:
+                    items += [Item(r["item_id"], r["text"], tuple(r["terms"]), tuple(r["counts"]), tuple(r["df"])) for r in rows.to_pylist()]
+                elif items:
+                    if index is None:
+                        index = Index(items, *stats, block)
+                        parts = [question_and_answer(t) for _, t in index.items]
+                    yield _verified(index, parts, rows["doc_id"], rows["text"], threshold, least)
+                at = end
+    return run
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, t, k, f) for i, t in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist()) for k, f in sorted(Counter(words(t)).items())]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["item_id", "text", "term", "n"])
+
+
+def described_items(tests: DataFrame) -> DataFrame:
+    """(item_id, text, terms, counts, df) of every different item with words; df counts the items that have a term."""
+    terms = written(tests.dropDuplicates(["item_id", "text"]).mapInArrow(_item_terms, "item_id long, text string, term string, n long"), "benchmark-terms")
+    df = terms.groupBy("term").agg(F.count("*").alias("df"))
+    held = F.sort_array(F.collect_list(F.struct("term", "n", "df")))
+    items = terms.join(df, "term").groupBy("item_id", "text").agg(held.alias("held"))
+    return written(items.select("item_id", "text", F.col("held.term").alias("terms"), F.col("held.n").alias("counts"), F.col("held.df").alias("df")), "benchmark-items")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP, block: int = BLOCK, items: int = ITEMS,
-                 id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", per_task: int = DOCS_PER_TASK) -> DataFrame:
     """Pairs of a document and a test item that one of its passages holds.
 
     Returns (doc_id, item_id, score, question_overlap, answer_overlap, n_passages), one row per pair of ids with the best passage's
-    figures: every pair whose normalised BM25 score and both overlaps reach their thresholds. The items are
-    read ``items`` at a time, so an index has a size that does not grow with the benchmark; statistics are those of one
-    index. Null, empty and wordless texts and items match nothing; ids may be null or repeat; other columns are ignored.
+    figures: every pair whose normalised BM25 score and both overlaps reach their thresholds. Spark counts the statistics over all
+    items once, so the pairs do not depend on ``items``. Up to so many items travel with the tasks; of a larger benchmark each shard of
+    about so many is sent, as a table, to the tasks that read documents against it. Null, empty and wordless texts and items match nothing;
+    repeated rows of an item are one; ids may be null or repeat; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(own.dtypes)["doc_id"]
-    tests = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    cuts = partitions_for(tests.count(), items)
-    out = None
-    for cut in range(cuts):
-        mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == cut) if cuts > 1 else tests
-        shard = sorted((tuple(r) for r in mine.collect()), key=lambda r: (r[0] is None, r))
-        found = own.mapInArrow(_matches(shard, block, threshold, least), f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
+    schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
+    tests = described_items(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL"))
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    stats = tuple(tests.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(1))).first())
+    cuts = partitions_for(stats[0], items)
+    if cuts == 1:
+        held = sorted((Item(r["item_id"], r["text"], tuple(r["terms"]), tuple(r["counts"]), tuple(r["df"])) for r in tests.collect()), key=lambda x: (x.id is None, x.id, x.text))
+        found = own.mapInArrow(_matches(held, stats, block, threshold, least), schema)
+    else:
+        shares = partitions_for(own.count(), per_task)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        none = lambda frame, c: F.lit(None).cast(dict(frame.dtypes)[c]).alias(c)
+        rows = tests.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)).cast("int")).withColumn("share", each(shares)).select(
+            "shard", "share", F.lit(0).alias("kind"), none(own, "doc_id"), "item_id", "text", "terms", "counts", "df")
+        rows = rows.unionByName(own.withColumn("share", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shares)).cast("int")).withColumn("shard", each(cuts)).select(
+            "shard", "share", F.lit(1).alias("kind"), "doc_id", none(tests, "item_id"), "text", *(none(tests, c) for c in ("terms", "counts", "df"))))
+        found = rows.repartition(cuts * shares, "shard", "share").sortWithinPartitions("shard", "share", "kind", "item_id").mapInArrow(
+            _shard_matches(stats, block, threshold, least), schema)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap"))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").cast("int").alias("n_passages")).select("doc_id", "item_id", "best.*", "n_passages")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").cast("int").alias("n_passages")).select("doc_id", "item_id", "best.*", "n_passages")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
