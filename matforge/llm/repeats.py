@@ -42,7 +42,7 @@ from matforge.llm.common import partitions_for, read, written
 LENGTH = 400
 GRAM = 48
 #: Different segments of one gram beyond which they are split by content.
-CROWD = 5_000
+CROWD = 2_000
 #: Segments that one column-wise task gets, about; bytes of text in a lot; keys that one range gets, about.
 PER_TASK = 20_000
 LOT_BYTES = 2 << 20
