@@ -16,9 +16,9 @@ follows, each step a Spark job over the whole table:
    are read from a sequential external file. A window is a repeat if the common prefix with a neighbour
    in the order reaches ``length``.
 4. A gram with more than ``crowd`` different segments is split by content until each part is small enough: its windows are
-   halved by their distance from the anchor, and the segments of each half meet by the string that all windows of the half
-   share. Segments that agree on all of a half's windows are repeats at once and go on as one; a string
-   of its own goes no further. So a string that is in half of all documents is settled in rounds logarithmic in ``length``.
+   cut into ranges by their distance before the anchor, and the segments meet by the string that all windows of a range
+   share. Segments that agree on all of a range's windows are repeats at once and go on as one; a string
+   of its own goes no further. So a string that is in half of all documents is settled in a few rounds.
 """
 
 from __future__ import annotations
@@ -309,49 +309,53 @@ def _repeat_rows(length: int, gram: int):
     return run
 
 
-_NODE = "x0 int, x1 int, core long, whole long, lo int, hi int, " + _BODY
+_NODE = "gram long, x0 int, x1 int, core long, whole long, lo int, hi int, seg long, key long, lot long, doc int, pos int"
+#: Parts that a range of windows is cut into in one round.
+CUTS = 8
 
 
-def _halves(length: int):
-    """Rows of _NODE: both halves of the windows [x0, x1] (by their distance before the anchor) of each segment, with
-    the hash of the bytes that all of them share, that of all their bytes, and the range that they cover."""
-    names = [c.split()[0] for c in _NODE.split(", ")]
+def _cut_ranges(length: int):
+    """Rows of _NODE: the windows [x0, x1] (by their distance before the anchor) of each segment in ``CUTS`` ranges, with the hash of the
+    bytes that all windows of a range share, that of all its bytes, and where they begin and end."""
+    names, kinds = zip(*(c.split() for c in _NODE.split(", ")))
+    types = [pa.int32() if k == "int" else pa.int64() for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                body, left = r["body"], r["left"]
-                mid = (r["x0"] + r["x1"]) // 2
-                for x0, x1 in ((r["x0"], mid), (mid + 1, r["x1"])):
+                body, left, lowest, n = r["body"], r["left"], r["x0"], r["x1"] - r["x0"] + 1
+                for c in range(CUTS):
+                    x0, x1 = lowest + n * c // CUTS, lowest + n * (c + 1) // CUTS - 1
                     near, far = max(x0, length - (len(body) - left)), min(x1, left)
                     if x0 <= x1 and near <= far:
                         core = xxhash.xxh3_64_intdigest(body[left - x0:left - x1 + length], 1) - (1 << 63)
                         whole = xxhash.xxh3_64_intdigest(body[left - far:left - near + length], far) - (1 << 63)
-                        out.append({**r, "x0": x0, "x1": x1, "core": core, "whole": whole, "lo": -far, "hi": length - near})
-            if out:
-                kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array([r[c.split()[0]] for r in out], kinds[c.split()[1]]) for c in _NODE.split(", ")], names)
+                        out.append((r["gram"], x0, x1, core, whole, -far, length - near, r["seg"], r["key"], r["lot"], r["doc"], r["pos"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(types), types)], list(names))
     return run
 
 
 def _split(bodies: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(parts, flags) of the crowded grams' segments: parts of at most ``crowd`` segments, with a column part, and the flags of segments
-    that agree on whole parts."""
-    key, place = ["gram", "x0", "x1", "core"], F.struct("key", "lot", "doc", "pos")
+    that agree on whole ranges. Every round cuts the ranges of crowded parts into ``CUTS``, so there are as many as ``length`` has
+    digits to that base; the bytes of segments do not travel with their ranges."""
+    key, body = ["gram", "x0", "x1", "core"], [c.split()[0] for c in _BODY.split(", ")]
     hot, parts, flags = bodies.withColumn("x0", F.lit(0)).withColumn("x1", F.lit(length - gram)), [], []
     while True:
-        node = written(hot.select("x0", "x1", *(c.split()[0] for c in _BODY.split(", "))).mapInArrow(_halves(length), _NODE), "repeats-nodes")
-        kinds = written(node.groupBy(*key, "whole").agg(F.count("*").alias("alike"), F.min(F.struct(place.alias("place"), "seg")).alias("head")), "repeats-alike")
-        sizes = kinds.groupBy(*key).agg(F.count("*").alias("size"))
-        alike = kinds.where("alike > 1").select(*key, "whole", F.col("head.seg").alias("early"))
+        node = written(hot.select("x0", "x1", *body).mapInArrow(_cut_ranges(length), _NODE), "repeats-ranges")
+        kinds = node.groupBy(*key, "whole").agg(F.count("*").alias("alike"), F.min(F.struct("key", "lot", "doc", "pos", "seg")).alias("head"))
+        kinds = written(kinds.select(*key, "whole", "alike", F.col("head.seg").alias("seg")), "repeats-alike")
+        # Written, so that Spark can split the rows of one key in the joins below.
+        alike = written(kinds.where("alike > 1").select(*key, "whole", F.col("seg").alias("early")), "repeats-same")
         flags.append(node.join(alike, [*key, "whole"]).select("gram", "seg", "lo", "hi", (F.col("seg") == F.col("early")).alias("first"), "lot", "doc", "pos"))
-        heads = kinds.join(sizes.where("size > 1"), key).select(*key, F.col("head.seg").alias("seg"), "size")
-        rest = written(node.join(heads, [*key, "seg"]), "repeats-heads")
-        parts.append(rest.where(F.col("size") <= crowd).select(F.xxhash64(*key).alias("part"), *(c.split()[0] for c in _BODY.split(", "))))
-        hot = rest.where(F.col("size") > crowd)
-        if hot.isEmpty():
-            return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, flags)
+        sizes = written(kinds.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "repeats-sizes")
+        heads = written(kinds.select(*key, "seg").join(sizes, key), "repeats-heads")
+        parts.append(heads.where(F.col("size") <= crowd).select(F.xxhash64(*key).alias("part"), "gram", "seg").distinct())
+        crowded = heads.where(F.col("size") > crowd).select("gram", "seg", "x0", "x1")
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, parts).join(bodies, ["gram", "seg"]), reduce(DataFrame.unionByName, flags)
+        hot = bodies.join(crowded, ["gram", "seg"])
 
 
 def covered(n: int, spans: list[dict], keep_first: bool = False) -> list[tuple[int, int]]:
@@ -402,7 +406,7 @@ def repeated_spans(lots: DataFrame, count: int, length: int = LENGTH, gram: int
     calm = bodies.join(crowded, "gram", "left_anti").withColumn("part", F.xxhash64("gram"))
     flags = own.where("count > 1").select(*segment, F.lit(gram - length).alias("lo"), F.lit(length).alias("hi"), F.lit(True).alias("first"), "rep.lot", "rep.doc", "rep.pos")
     if not crowded.isEmpty():
-        parts, alike = _split(bodies.join(crowded, "gram", "left_semi"), length, gram, crowd)
+        parts, alike = _split(written(bodies.join(crowded, "gram", "left_semi"), "repeats-crowded"), length, gram, crowd)
         calm, flags = calm.unionByName(parts.select(*calm.columns)), flags.unionByName(alike)
     dealt = calm.repartition(partitions_for(bodies.count(), per_task), "part")
     flags = flags.unionByName(dealt.mapInArrow(_repeat_rows(length, gram), _FLAG))
