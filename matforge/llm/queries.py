@@ -10,8 +10,8 @@ from matforge.llm.licenses import op4_license_scan
 from matforge.llm.lm_score import op7_lm_scoring
 from matforge.llm.mtree import OP9_SQL, op9_mtree_topk
 from matforge.llm.packing import op6_best_fit_packing
-from matforge.llm.repeats import op5_suffix_array_dedup
-from matforge.llm.runs import op12_periodic_runs
+from matforge.llm.repeats import OP5_SQL, op5_suffix_array_dedup
+from matforge.llm.runs import OP12_SQL, op12_periodic_runs
 from matforge.llm.secrets import op11_secret_scan
 from matforge.llm.simhash import op8_simhash_near_dedup
 from matforge.llm.toxicity import op2_toxicity
@@ -33,7 +33,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_suffix_array_dedup": OP5_SQL,
     "op9_mtree_topk": OP9_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_periodic_runs": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }

@@ -480,3 +480,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, strings of 400 bytes."""
     return remove_repeats(read(spark, sf_dir, "documents")).select("carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every window of 400 bytes, as hexadecimal text, by its digest.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+twice AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM w WHERE m IN (SELECT m FROM twice)),
+runs AS (SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM s) GROUP BY r, g),
+gone AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+edges AS (SELECT r, lo, hi FROM runs UNION ALL SELECT r, len(h) // 2, len(h) // 2 FROM d),
+parts AS (SELECT r, lo, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo, hi), 0) AS a FROM edges),
+kept AS (SELECT p.r, string_agg(substr(d.h, 2 * p.a + 1, 2 * greatest(p.lo - p.a, 0)), '' ORDER BY p.lo, p.a) AS k FROM parts p JOIN d ON d.r = p.r GROUP BY p.r)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN gone ON gone.r = d.r
+"""

@@ -298,3 +298,26 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "carried.doc_id", "n_runs", top("start").alias("start"), top("length").alias("length"), top("period").alias("period"),
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+#: Equal words at every distance up to a quarter of the text; crc32 bit by bit.
+OP12_SQL = r"""
+WITH w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) AS h FROM documents),
+w1 AS (SELECT *, len(w) AS n, h // 10 AS g FROM w0),
+w2 AS (SELECT *, g % greatest(n, 1) AS a FROM w1),
+w3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w2),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % p + 1])) ELSE w END AS w FROM w3),
+x AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS word FROM d),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM x JOIN x y ON y.r = x.r AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+st AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM e) GROUP BY r, q, k),
+runs AS (SELECT r, start, length, min(q) AS period FROM st WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+lists AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+drops AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN drops ON drops.r = x.r AND drops.i = x.i WHERE drops.i IS NULL GROUP BY x.r)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(lists.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN lists ON lists.r = d.r LEFT JOIN best ON best.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matforge.llm import chat, lm_score, mtree, packing, repeats, simhash
+from matforge.llm import chat, lm_score, mtree, packing, repeats, runs, simhash
 from matforge.llm.common import components, id_remainder, read
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -139,6 +139,15 @@ def test_repeats_equal_brute_force(spark, length, gram, crowd, per_task):
     assert got == _kept(rows, length) and sum(g[2] for g in got) > 1000
 
 
+@pytest.mark.parametrize("query, sql", [(repeats.op5_suffix_array_dedup, repeats.OP5_SQL), (runs.op12_periodic_runs, runs.OP12_SQL)])
+def test_queries_equal_their_sql(spark, query, sql):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    got, want = query(spark, SMALL).toPandas(), con.execute(sql).df()
+    by = lambda d: [tuple(None if x is None or x != x else int(x) if isinstance(x, float) else x for x in r) for r in d.sort_values("doc_id")[got.columns].itertuples(index=False)]
+    assert by(got) == by(want)
+
+
 def test_op5_equals_brute_force(spark):
     docs = [tuple(r) for r in read(spark, SMALL, "documents").select("doc_id", "text").collect()]
     got = sorted(map(tuple, repeats.op5_suffix_array_dedup(spark, SMALL).collect()), key=str)
@@ -213,7 +222,7 @@ def test_encoder_is_the_tokenizer(spark):
     v = packing.public_vocabulary()
     enc, tok = packing.Encoder(**v), Tokenizer.from_file(v["tokenizer"])
     texts = ["a  b", "a   b", " a", "a ", "a \n b", "a\n \nb", "\n \n x", "<|endoftext|> a <|endoftext|>b", "  ", "x  y", "it's  we'll \t \t z", " \n", "a\n ", "é è 日本 語  x", "a\x1c b \x1c", "\x85 a",
-             " " * 6000 + "x"] + [r.text for r in read(spark, SMALL, "documents").select("text").collect()]
+             " " * 6000 + "x"] + [r.text for r in read(spark, SF, "documents").select("text").collect()]
     assert all(list(np.frombuffer(enc(t), "<u4")) == tok.encode(t or "", add_special_tokens=False).ids for t in texts)
 
 
@@ -237,8 +246,8 @@ def test_packing_of_all_documents(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.public_vocabulary()["tokenizer"])
-    got = packing.op6_best_fit_packing(spark, SMALL).toPandas()
-    for doc, text in [tuple(r) for r in read(spark, SMALL, "documents").select("doc_id", "text").collect()]:
+    got = packing.op6_best_fit_packing(spark, SF).toPandas()
+    for doc, text in [tuple(r) for r in read(spark, SF, "documents").select("doc_id", "text").collect()]:
         ids = np.array(tok.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
         own = got[got.doc_id == doc].sort_values("piece")
         assert own.piece.tolist() == list(range(len(own))) and own.length.sum() == len(ids) and (own.length[1:] == 2048).all()
