@@ -311,7 +311,7 @@ def _repeat_rows(length: int, gram: int):
 
 _NODE = "gram long, x0 int, x1 int, core long, whole long, lo int, hi int, seg long, key long, lot long, doc int, pos int"
 #: Parts that a range of windows is cut into in one round.
-CUTS = 8
+CUTS = 4
 
 
 def _cut_ranges(length: int):
@@ -354,7 +354,7 @@ def _split(bodies: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataF
         parts.append(heads.where(F.col("size") <= crowd).select(F.xxhash64(*key).alias("part"), "gram", "seg").distinct())
         crowded = heads.where(F.col("size") > crowd).select("gram", "seg", "x0", "x1")
         if crowded.isEmpty():
-            return reduce(DataFrame.unionByName, parts).join(bodies, ["gram", "seg"]), reduce(DataFrame.unionByName, flags)
+            return reduce(DataFrame.unionByName, parts).join(bodies.hint("merge"), ["gram", "seg"]), reduce(DataFrame.unionByName, flags)
         hot = bodies.join(crowded, ["gram", "seg"])
 
 
@@ -412,7 +412,8 @@ def repeated_spans(lots: DataFrame, count: int, length: int = LENGTH, gram: int
     flags = flags.unionByName(dealt.mapInArrow(_repeat_rows(length, gram), _FLAG))
     flags = flags.withColumnsRenamed({"lot": "rlot", "doc": "rdoc", "pos": "rpos"})
     early = F.col("first") & (F.col("lot") == F.col("rlot")) & (F.col("doc") == F.col("rdoc")) & (F.col("pos") == F.col("rpos"))
-    return many.join(flags, segment).select("lot", "doc", "pos", "step", "n", "lo", "hi", early.cast("int").alias("early"))
+    # Merged at every size, as both tables grow with the input.
+    return many.hint("merge").join(flags, segment).select("lot", "doc", "pos", "step", "n", "lo", "hi", early.cast("int").alias("early"))
 
 
 _RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
