@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matforge.functions.cleaning import canonical_item_key, master_item_int, numeric_text
+from matforge.operators.scan import sequential_ids
 from matforge.operators.stats import global_median, median_per_item, most_frequent_item
 from matforge.session import written
 
@@ -71,6 +72,48 @@ def group_fold(group: Column, n_folds: int = N_FOLDS) -> Column:
     return (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % n_folds).cast("int")
 
 
+def _spread(loads: list[int], size: int, m: int) -> list[int]:
+    """How many of m groups of one size each fold gets when each goes to the fold with the least load (ties: the first)."""
+    count = lambda t: [max(0, (t - x) // size + 1) if t >= x else 0 for x in loads]
+    lo, hi = min(loads) - 1, max(loads) + size * m
+    while hi - lo > 1:  # the largest load at which groups are still placed: all placements below it, then the first folds at it
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if sum(count(mid)) < m else (lo, mid)
+    out = count(lo) if lo >= min(loads) else [0] * len(loads)
+    for f, x in enumerate(loads):
+        if sum(out) < m and hi >= x and (hi - x) % size == 0:
+            out[f] += 1
+    return out
+
+
+def balanced_folds(df: DataFrame, group: str, n_folds: int = N_FOLDS) -> DataFrame:
+    """M5 balanced by rows: (group, n, fold), one row per group; the largest groups first, each to the fold with the fewest rows.
+
+    Groups of one size are alike, so only the histogram of sizes is gone through in order (its length is at most the square root of twice
+    the rows), in one task; which of the groups of a size go to a fold follows from their order by name. A missing group is 'NA'.
+    """
+    key = F.coalesce(F.col(group).cast("string"), F.lit("NA"))
+    sizes = written(df.groupBy(key.alias("group")).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+
+    def shares(batches):
+        loads = [0] * n_folds
+        for pdf in batches:
+            rows = []
+            for n, m in zip(pdf["n"].tolist(), pdf["m"].tolist()):
+                got = _spread(loads, n, m)
+                loads = [x + n * k for x, k in zip(loads, got)]
+                rows.append((n, list(np.cumsum(got).tolist())))
+            yield pd.DataFrame(rows, columns=["n", "ends"])
+
+    histogram = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    ends = histogram.coalesce(1).sortWithinPartitions(F.desc("n")).mapInPandas(shares, "n long, ends array<long>")
+    numbered = sequential_ids(sizes, ["n", "group"], name="_at", start=0)
+    first = numbered.groupBy("n").agg(F.min("_at").alias("_first"))
+    placed = numbered.join(first.join(ends, "n"), "n").withColumn("_rank", F.col("_at") - F.col("_first"))
+    fold = F.size(F.filter("ends", lambda e: e <= F.col("_rank"))).cast("int")
+    return placed.select("group", "n", fold.alias("fold"))
+
+
 # ---------------------------------------------------------------------------
 # M6 classifier (one model per fold, averaged)
 # ---------------------------------------------------------------------------
@@ -136,20 +179,26 @@ def top_items(df: DataFrame, item: str, k: int | None = None, min_rows: int = MI
     return top if k is None else top.orderBy(F.col("n").desc(), F.col(item).asc()).limit(k)
 
 
+def item_statistics(df: DataFrame, item: str, feature_cols: list[str], target: str) -> DataFrame:
+    """(item, n, xx_i_j, xy_i): the sums X'X and X'y of each item over (1, features), a missing feature as 0; exact, and combined
+    map-side, so a hot item is one partial row of each map task."""
+    d = len(feature_cols) + 1
+    xs = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols]
+    aggs = [F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)]
+    aggs += [F.sum(xs[i] * F.col(target).cast("double")).alias(f"xy_{i}") for i in range(d)]
+    return df.groupBy(item).agg(F.count(F.lit(1)).alias("n"), *aggs)
+
+
 def fit_item_regressors(df: DataFrame, item: str, feature_cols: list[str], target: str, ridge: float = 1e-3,
                         k: int | None = None, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
     """(item, coef array) ridge fits for every item with ``min_rows`` rows (with ``k``: the k most frequent).
 
-    X'X and X'y are summed per item by Spark (exact, skew-safe); only the d x d solve runs
-    in pandas, one small row per item.
+    X'X and X'y come from ``item_statistics``; only the d x d solve runs in pandas, one small row per item.
     """
     d = len(feature_cols) + 1
-    xs = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols]
-    aggs = [F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)]
-    aggs += [F.sum(xs[i] * F.col(target).cast("double")).alias(f"xy_{i}") for i in range(d)]
-    stats = df.groupBy(item).agg(F.count(F.lit(1)).alias("_n"), *aggs).where(F.col("_n") >= min_rows)
+    stats = item_statistics(df, item, feature_cols, target).where(F.col("n") >= min_rows)
     if k is not None:
-        stats = stats.orderBy(F.col("_n").desc(), F.col(item).asc()).limit(k)
+        stats = stats.orderBy(F.col("n").desc(), F.col(item).asc()).limit(k)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -7,7 +7,7 @@ only the final explode multiplies rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -79,6 +79,85 @@ def loose_links(pages: DataFrame, words=LOOSE_LINK_WORDS, max_per_page: int | No
                       F.when(href.startswith("http"), href).otherwise(F.concat(F.col("_origin"), href)).alias("url"))
 
 
+# Classes of result blocks, best first ([x]: an attribute), and of a block's place.
+BLOCK_CLASSES = ("srchHdng", "listingBox", "row", "comp_name", "[data-comp]")
+LOCATION_CLASSES = ("loc", "location", "city", "address")
+_CLASSED = r"""(?is)<{tag}\b[^>]*?\sclass\s*=\s*["'][^"']*?\b(?:{names})\b[^"']*["'][^>]*>"""
+
+
+def _clean(html: Column) -> Column:
+    """Without comments, scripts and styles, whose text may look like tags."""
+    return F.translate(F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " "), "\u0001", " ")
+
+
+def element_ranges(pages: DataFrame, tag: str = "div", classes: tuple[str, ...] = BLOCK_CLASSES, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, ranges): where in the cleaned page the elements of the first of ``classes`` that it has begin and end.
+
+    Every start and end tag is one small row without text. The depth is a prefix sum over them (an end tag without a start is passed over, as
+    a parser does), and the end of an element is the next tag at its own depth, so nested elements are told apart in linear time.
+    An element that is never closed reaches to the end of the page. The windows hold one page each; ``key`` names a page.
+    """
+    name = F.col("p")
+    cls = F.regexp_replace(F.regexp_extract(name, rf"(?is)^<{tag}\b[^>]*?\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1), "[\"']", "")
+    words = F.split(cls, r"\s+")
+    has = [F.regexp_like(name, F.lit(rf"(?is)^<{tag}\b[^>]*?\s{c[1:-1]}\b")) if c.startswith("[") else F.array_contains(words, c) for c in classes]
+    kinds = F.filter(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(has))), lambda x: x.isNotNull())
+    cut = F.split(F.regexp_replace(_clean(F.col(html)), rf"(?i)(</?{tag}\b)", "\u0001$1"), "\u0001")
+    tags = pages.select(F.col(key).alias("key"), F.posexplode(cut).alias("i", "p"))
+    delta = F.when(F.col("i") == 0, 0).when(name.startswith("</"), -1).otherwise(1)
+    tags = tags.select("key", "i", F.length("p").alias("size"), delta.alias("delta"), F.when(delta == 1, kinds).otherwise(F.array().cast("array<int>")).alias("kinds"))
+    page = Window.partitionBy("key")
+    upto = page.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    tags = tags.withColumns({"start": F.sum("size").over(upto) - F.col("size"), "sum": F.sum("delta").over(upto), "total": F.sum("size").over(page),
+                             "best": F.min(F.array_min("kinds")).over(page)})
+    tags = tags.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
+    before = F.coalesce(F.lag("depth").over(page.orderBy("i")), F.lit(0))
+    tags = tags.withColumn("level", F.when(F.col("delta") == 1, F.col("depth")).when((F.col("delta") == -1) & (before > 0), before)).where("level IS NOT NULL")
+    tags = tags.withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy("key", "level").orderBy("i")), F.col("total")))
+    blocks = tags.where((F.col("delta") == 1) & F.array_contains("kinds", F.col("best")))
+    return blocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+
+
+def block_text(html: Column) -> Column:
+    """The texts of a block, joined by one space."""
+    s = F.regexp_replace(html, r"<[^>]*>", " ")
+    for a, b in ENTITIES:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def result_blocks(pages: DataFrame, classes: tuple[str, ...] = BLOCK_CLASSES, tag: str = "div", max_per_page: int | None = None,
+                  base: str | None = None, default: str = DEFAULT_COMPANY, key: str = "page_id") -> DataFrame:
+    """X1 by blocks: (key, rank, company, url, contact, location, source), one row per result block of a page.
+
+    The company is the first anchor of a heading (h2, then h3), of class ``compName``, or of the block, or of a ``company-name`` box,
+    whichever first has a text; else the block's text up to `` - `` (X4). Contact by X3 over the block's text; location from an element of
+    ``LOCATION_CLASSES``. Blocks of one company and link count once; pages without blocks, and null pages, give no rows.
+    """
+    ranges = element_ranges(pages, tag, classes, key)
+    own = pages.select(F.col(key).alias("key"), F.col("url").alias("page_url"), _clean(F.col("html")).alias("html")).join(ranges, "key")
+    cut = F.transform("ranges", lambda r: F.substring("html", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))
+    b = own.select("key", "page_url", F.posexplode(cut).alias("at", "b"))
+    inside = lambda pattern, group=1: F.concat_ws(" ", F.regexp_extract_all("b", F.lit(pattern), F.lit(group)))
+    box = _CLASSED.format(tag="div", names="company-name") + "(.*?)</div>"
+    comp = F.filter(F.regexp_extract_all("b", F.lit(ANCHOR_RE), 0), lambda a: F.regexp_like(a, F.lit("^" + _CLASSED.format(tag="a", names="compName"))))
+    spots = [inside(r"(?is)<h2\b[^>]*>(.*?)</h2>"), inside(r"(?is)<h3\b[^>]*>(.*?)</h3>"), F.concat_ws(" ", comp), F.col("b"), inside(box)]
+    firsts = F.filter(F.array(*(F.get(_anchors(s), F.lit(0)) for s in spots)), lambda a: a.isNotNull() & (html_text(a["text"]) != ""))
+    b = b.withColumn("a", F.get(firsts, F.lit(0))).withColumn("text", block_text(F.col("b")))
+    place = F.regexp_extract("b", _CLASSED.format(tag=r"\w+", names="|".join(LOCATION_CLASSES)) + "(.*?)</", 1)
+    short = F.substring(F.split_part(F.col("text"), F.lit(" - "), F.lit(1)), 1, 100)
+    b = b.select("key", "page_url", "at", F.when(F.col("a").isNotNull(), html_text(F.col("a.text"))).otherwise(F.when(short != "", short)).alias("name"), F.col("a.href").alias("href"),
+                 contact_of(F.col("text")).alias("contact"), F.nullif(html_text(place), F.lit("")).alias("location"))
+    named = b.withColumn("same", F.concat(F.coalesce("name", F.lit("")), F.coalesce("href", F.lit("")))).where(F.col("same") != "")
+    first = named.withColumn("n", F.row_number().over(Window.partitionBy("key", "same").orderBy("at"))).where("n = 1")
+    out = first.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at")))
+    out = out if max_per_page is None else out.where(F.col("rank") <= max_per_page)
+    origin = F.lit(base) if base else page_origin(F.col("page_url"))
+    link = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(origin, F.col("href")))
+    return out.select(F.col("key").alias(key), "rank", F.coalesce("name", F.lit(default)).alias("company"), link.alias("url"), "contact", "location",
+                      F.regexp_extract("page_url", r"^https?://([^/?#]+)", 1).alias("source"))
+
+
 def contact_of(text: Column) -> Column:
     """First phone-like and first e-mail-like match, joined by '; ' (null when neither)."""
     phone = F.regexp_extract(text, PHONE_RE, 0)

@@ -4,7 +4,7 @@
 rows are range-partitioned on the order key, each partition is scanned locally,
 and only one small row per partition (its totals) is combined across partitions;
 that offset table is bounded by the partition count, so broadcasting it is safe. The
-locally numbered rows are checkpointed once (reliable storage, survives executor loss) so
+locally numbered rows are written once (shared storage, survives executor loss) so
 that partition-dependent positions are computed exactly once.
 """
 
@@ -12,16 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
+from matforge.session import written
 
-def _materialise(df: DataFrame) -> DataFrame:
-    from matforge.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
 
 def _range_sorted(df: DataFrame, order: list[Column | str], num_partitions: int | None) -> DataFrame:
@@ -29,6 +23,17 @@ def _range_sorted(df: DataFrame, order: list[Column | str], num_partitions: int
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
+def _numbered(df: DataFrame, order: list[Column | str], num_partitions: int | None) -> DataFrame:
+    """Rows in range partitions of ``order``, with the partition (``_pid``) and the place in it (``_pos``), written once.
+
+    Both depend on the physical partition a row was read in, so the per-partition totals and the rows they are added to must come
+    from the same copy, whatever plan each branch gets.
+    """
+    s = _range_sorted(df, order, num_partitions).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_pid", F.shiftright("_mid", _POS_BITS)).withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _POS_BITS))
+    return written(s.drop("_mid"), "numbered-rows")
+
+
 def sequential_ids(df: DataFrame, order: list[Column | str], name: str = "id", start: int = 1,
                    num_partitions: int | None = None) -> DataFrame:
     """Ids start, start+1, ... in ``order`` (ties: any order among equal keys).
@@ -36,41 +41,12 @@ def sequential_ids(df: DataFrame, order: list[Column | str], name: str = "id", s
     Two-level prefix count: rows get their position inside a range partition, partitions
     get an offset from the counts of the partitions before them.
     """
-    s = _range_sorted(df, order, num_partitions)
-    s = s.withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", _POS_BITS)).withColumn(
-        "_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _POS_BITS))
-    # Positions depend on the physical partition a row was read in. Materialise them once
-    # (reliable checkpoint in spark.checkpoint.dir) so the per-partition counts and the rows
-    # they are added to come from the same copy, whatever plan each branch gets.
-    s = _materialise(s)
+    s = _numbered(df, order, num_partitions)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offsets), "_pid")
-    out = out.withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint"))
-    return out.drop("_mid", "_pid", "_pos", "_off")
-
-
-def _local_fold(batches):
-    """Per-partition prefix scan (runs in one task over that partition's Arrow batches), in 64-bit integers."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    pid = TaskContext.get().partitionId()
-    none = np.iinfo(np.int64).min  # no id row yet
-    e_carry, m_carry = 0, none
-    for batch in batches:
-        x = batch["_x"]
-        missing = np.asarray(x.is_null())
-        e = np.cumsum(missing) + e_carry
-        m = np.where(missing, none, np.asarray(x.fill_null(0), dtype=np.int64) - e)
-        m = np.maximum(np.maximum.accumulate(m), m_carry) if len(m) else m
-        if len(m):
-            e_carry, m_carry = int(e[-1]), int(m[-1])
-        cols = [pa.array(np.full(len(m), pid, dtype=np.int32)), pa.array(e.astype(np.int64)), pa.array(m, mask=m == none)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_pid", "_e", "_m"])
+    out = s.join(F.broadcast(offsets), "_pid")  # one row per partition
+    return out.withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint")).drop("_pid", "_pos", "_off")
 
 
 def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name: str = "id",
@@ -79,23 +55,19 @@ def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name:
 
     Sequential rule: keep m = 0; a row with id x sets m = max(m, x); a row without one
     gets m + 1 and sets m to it. Closed form: with e_i = missing rows up to i,
-    m_i = e_i + max(0, max over id rows j <= i of (x_j - e_j)); both are prefix scans,
-    computed inside each range partition (one Arrow pass, no extra shuffle) and combined
-    through a per-partition offset table. ``order`` must be unique per row.
+    m_i = e_i + max(0, max over id rows j <= i of (x_j - e_j)); both are prefix scans, computed by windows
+    inside each range partition and combined through a per-partition offset table. ``order`` must be unique per row.
     """
-    base = df.withColumn("_x", F.col(raw_id).cast("bigint"))
-    s = _range_sorted(base, order, num_partitions)
-    schema = T.StructType(base.schema.fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_e", T.LongType()),
-                                                T.StructField("_m", T.LongType())])
-    s = _materialise(s.mapInArrow(_local_fold, schema))
+    s = _numbered(df.withColumn("_x", F.col(raw_id).cast("bigint")), order, num_partitions)
+    upto = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_e", F.sum(F.col("_x").isNull().cast("bigint")).over(upto))
+    s = s.withColumn("_m", F.max(F.col("_x") - F.col("_e")).over(upto))
     tot = s.groupBy("_pid").agg(F.max("_e").alias("_ce"), F.max("_m").alias("_cm"))
     pw = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     tot = tot.select("_pid", "_cm", F.coalesce(F.sum("_ce").over(pw), F.lit(0)).alias("_pe"))
     # G_p = max over earlier partitions q of (cm_q - E_q)
     tot = tot.select("_pid", "_pe", F.max(F.col("_cm") - F.col("_pe")).over(pw).alias("_pg"))
-    out = s.join(F.broadcast(tot), "_pid")
-    e_glob = F.col("_pe") + F.col("_e")
+    out = s.join(F.broadcast(tot), "_pid")  # one row per partition
     m_glob = F.greatest(F.lit(0), F.coalesce(F.col("_pg"), F.lit(0)), F.coalesce(F.col("_m") - F.col("_pe"), F.lit(0)))
-    out = out.withColumn(name, F.when(F.col("_x").isNotNull(), F.col("_x"))
-                         .otherwise((e_glob + m_glob).cast("bigint")).cast("bigint"))
-    return out.drop("_x", "_pid", "_e", "_m", "_pe", "_pg")
+    out = out.withColumn(name, F.coalesce(F.col("_x"), F.col("_pe") + F.col("_e") + m_glob).cast("bigint"))
+    return out.drop("_x", "_pid", "_pos", "_e", "_m", "_pe", "_pg")

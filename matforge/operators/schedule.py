@@ -88,6 +88,29 @@ def phase_expr(text: Column, keywords, default: str | Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
+def keyword_phases(texts: DataFrame, text: str, keywords: DataFrame, default: str) -> DataFrame:
+    """J6 with the keywords as a table (priority, phase, keyword) of any size: (text, phase) for every distinct text.
+
+    The substrings of a text that have the length of some keyword meet the keywords in an equality join, and the smallest priority wins: the
+    same as ``phase_expr`` over the keywords in that order, without a branch for each. The lengths (a few integers) are read first;
+    a text or keyword counts in lower case, an empty keyword never.
+    """
+    words = keywords.select("priority", "phase", F.lower("keyword").alias("gram")).where(F.length("gram") > 0)
+    lengths = sorted(r[0] for r in words.select(F.length("gram")).distinct().collect())
+    own = texts.select(F.col(text).alias("text")).distinct()
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+
+    def pieces(n: int) -> Column:
+        starts = F.when(F.length(low) >= n, F.sequence(F.lit(1), F.length(low) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
+
+    grams = [pieces(n) for n in lengths]
+    held = own.select("text", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("gram")) if grams else own.select("text", F.lit("").alias("gram"))
+    # Spark sizes an explode like the file below it: merged, never broadcast.
+    found = held.hint("merge").join(words, "gram").groupBy(F.col("text").alias("_text")).agg(F.min_by("phase", F.struct("priority", "phase")).alias("phase"))
+    return own.join(found, F.col("text") == F.col("_text"), "left").select("text", F.coalesce("phase", F.lit(default)).alias("phase"))
+
+
 def needed_by_expr(df: DataFrame, candidates=("needed_by_date", "needed_by", "needed_by_dt", "NeededBy")) -> Column:
     """First present column whose value parses as a date."""
     cols = [parse_date(F.col(c)) for c in candidates if c in df.columns]

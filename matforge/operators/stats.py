@@ -22,11 +22,35 @@ def demand_per_item(pred: DataFrame, item: str = "MasterItemNo", qty: str = "Qty
             .groupBy("item_key").agg(F.sum("_q").alias("Qty")))
 
 
+#: Rank error of a group's sketch, as a share of the group: 1 / GROUP_BRACKET.
+GROUP_BRACKET = 1_000
+
+
+def grouped_median(df: DataFrame, key: str, value: str, name: str = "median") -> DataFrame:
+    """(key, name): exact median of each group; null values do not count, a group without others gets null.
+
+    As ``quantile_row``, for each group: a sketch of bounded size, combined map-side, brackets the middle ranks, and a second aggregate counts
+    the rows below the bracket (one number) and those of each value inside it. No aggregate holds a group's values, and
+    of a hot group only the few values around its middle are ordered by one task.
+    """
+    own = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    edges = F.array(F.lit(0.5 - 4 / GROUP_BRACKET), F.lit(0.5 + 4 / GROUP_BRACKET))
+    bounds = own.groupBy("_k").agg(F.percentile_approx("_v", edges, F.lit(GROUP_BRACKET)).alias("_b"), F.count("_v").alias("_n"))
+    near = own.join(bounds, "_k").where(F.col("_v") <= F.col("_b")[1])
+    counts = near.groupBy("_k", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto)
+    at = [F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v"))) for r in (F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2))]
+    found = ranked.groupBy("_k").agg(at[0].alias("_lo"), at[1].alias("_hi"))
+    # A rank outside its bracket would be a fault of the sketch; it must not pass as a value.
+    sure = F.when(F.col("_n") > 0, F.coalesce(F.col("_lo") + (F.col("_hi") - F.col("_lo")) / 2, F.raise_error(F.lit("a median lies outside its bracket")).cast("double")))
+    return bounds.join(found, "_k", "left").select(F.col("_k").alias(key), sure.alias(name))
+
+
 def median_per_item(train: DataFrame, item: str = "MasterItemNo", qty: str = "QtyShipped") -> DataFrame:
     """A2: median numeric quantity per item; unparsable quantities ignored."""
-    return (train.select(canonical_item_key(F.col(item)).alias("item_key"), numeric_text(F.col(qty)).alias("_q"))
-            .where(F.col("item_key").isNotNull())
-            .groupBy("item_key").agg(F.percentile("_q", F.lit(0.5)).alias("median_qty")))
+    own = train.select(canonical_item_key(F.col(item)).alias("item_key"), numeric_text(F.col(qty)).alias("_q")).where(F.col("item_key").isNotNull())
+    return grouped_median(own, "item_key", "_q", "median_qty")
 
 
 def global_median(train: DataFrame, qty: str = "QtyShipped", default: float = 1.0) -> DataFrame:
@@ -146,6 +170,8 @@ def quantile_row(df: DataFrame, specs: list[tuple[str, Column, float]]) -> DataF
     out = []
     for k, (name, _, q) in enumerate(specs):
         pos = (F.col(f"n{k}") - 1) * F.lit(float(q))
-        lo, hi = (F.min(F.when((F.col("k") == k) & F.col("v").isNotNull() & (F.col("upto") > r), F.col("v"))) for r in (F.floor(pos), F.ceil(pos)))
-        out.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
+        lo, hi = (F.min(F.when((F.col("k") == k) & F.col("v").isNotNull() & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v"))) for r in (F.floor(pos), F.ceil(pos)))
+        value = lo + (hi - lo) * F.max(pos - F.floor(pos))
+        # A rank outside its bracket would be a fault of the sketch; it must not pass as a value.
+        out.append(F.when(F.max(F.col(f"n{k}")) > 0, F.coalesce(value, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))).alias(name))
     return ranked.agg(*out)

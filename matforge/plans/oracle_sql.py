@@ -442,6 +442,28 @@ ORACLE["x3_contact_mining"] = f"""
 SELECT doc_id, CASE WHEN p <> '' AND e <> '' THEN p || '; ' || e WHEN p <> '' THEN p WHEN e <> '' THEN e END AS contact
 FROM (SELECT doc_id, regexp_extract(text, '{_PHONE}', 0) AS p, regexp_extract(text, '{_EMAIL}', 0) AS e FROM documents)"""
 
+def _PLAIN(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+# The blocks of the listing pages are what they were made of: one for each different link of a page.
+ORACLE["x1_result_blocks"] = f"""
+WITH l AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href,
+   unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS t, generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2), 1) AS at FROM pages)
+, b AS (SELECT page_id, page_url, at, CASE WHEN page_id % 4 <> 2 THEN href END AS href, {_PLAIN('t')} AS t, substr(regexp_extract(page_url, '^https?://([^/?#]+)', 1), 1, 12) AS city,
+   ' Tel 80' || lpad(CAST(page_id AS VARCHAR), 7, '0') || ' sales' || CAST(page_id AS VARCHAR) || '@example.com' AS more FROM l)
+, x AS (SELECT *, trim(t || CASE WHEN page_id % 4 = 2 THEN ' - offers ' ELSE ' ' END || city || more) AS text FROM b)
+, n AS (SELECT *, CASE WHEN page_id % 4 <> 2 AND t <> '' THEN t ELSE substr(split_part(text, ' - ', 1), 1, 100) END AS company,
+   regexp_extract(text, '{_PHONE}', 0) AS p, regexp_extract(text, '{_EMAIL}', 0) AS e FROM x)
+, f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, company || coalesce(href, '') ORDER BY at) = 1)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY at) AS INTEGER) AS rank, company,
+  CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href END AS url,
+  CASE WHEN p <> '' AND e <> '' THEN p || '; ' || e WHEN p <> '' THEN p WHEN e <> '' THEN e END AS contact, city AS location,
+  regexp_extract(page_url, '^https?://([^/?#]+)', 1) AS source
+FROM f"""
+
 ORACLE["x4_company_fallback"] = """
 SELECT doc_id, coalesce(nullif(substr(split_part(text, ' - ', 1), 1, 100), ''), 'Vendor') AS company FROM documents"""
 
@@ -617,3 +639,45 @@ _ONE = f""", t AS (SELECT {KEY('MasterItemNo')} AS item_key, CAST(NUMFLOORS AS D
 ORACLE["m8_one_feature_regressors"] = with_ctes(["line_items"], _ONE + " SELECT item_key, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM fit")
 ORACLE["j10_one_feature_scoring"] = with_ctes(["line_items"], _ONE + """
 SELECT t.item_key, t.x, round(b0 + b1 * t.x, 6) AS q_item FROM t LEFT JOIN fit ON t.item_key = fit.item_key""")
+
+for _name, _of in (("s9_predictions_sink", "m11_baseline_predictions"), ("s9_preprocessed_sink", "a7_median_imputation"),
+                   ("s9_schedule_sink", "v6_schedule_alignment"), ("s9_plan_sink", "v8_procurement_plan")):
+    ORACLE[_name] = ORACLE[_of]
+
+ORACLE["w3_timeline_order"] = ('SELECT row_number() OVER (ORDER BY "Start" NULLS FIRST, Task NULLS FIRST, Finish NULLS FIRST, Resource NULLS FIRST, Type NULLS FIRST) AS ordinal, '
+                               '"Start", Task, Finish FROM (' + ORACLE["v7_timeline"] + ")")
+
+_XS = ("1.0", "coalesce(floors, 0)", "coalesce(size, 0)", "coalesce(price, 0)")
+ORACLE["m8_item_statistics"] = with_ctes(["line_items"], f"""
+, d AS (SELECT {KEY('MasterItemNo')} AS item_key, {NUMTXT('NUMFLOORS')} AS floors, {STRIP_NUM('SIZE_BUILDINGSIZE')} AS size, {STRIP_NUM('UnitPrice')} AS price, {STRIP_NUM('QtyShipped')} AS q FROM line_items)
+SELECT item_key, count(*) AS n, """ + ", ".join(f"round(sum({_XS[i]} * {_XS[j]}), 4) AS xx_{i}_{j}" for i in range(4) for j in range(i, 4))
+    + ", " + ", ".join(f"round(sum({x} * q), 4) AS xy_{i}" for i, x in enumerate(_XS)) + " FROM d GROUP BY item_key")
+
+ORACLE["m9_model_chain"] = with_ctes(["line_items", "requests"], _ONE + f"""
+, med AS (SELECT {KEY('MasterItemNo')} AS item_key, median({STRIP_NUM('QtyShipped')}) AS mq FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)
+, gm AS (SELECT coalesce(median({STRIP_NUM('QtyShipped')}), 1.0) AS g FROM line_items)
+, rq AS (SELECT id, {KEY('item')} AS item_key, CAST(id % 7 AS DOUBLE) AS rx FROM requests)
+, sc AS (SELECT rq.*, b0 + b1 * rx AS q_item FROM rq LEFT JOIN fit ON rq.item_key = fit.item_key AND TRY_CAST(fit.item_key AS BIGINT) % 3 = 0)
+SELECT sc.id, sc.item_key, round(q_item, 6) AS q_item, greatest(1.0, round_even(coalesce(q_item, CASE WHEN id % 5 = 0 THEN rx + 0.5 END, med.mq, gm.g), 0)) AS QtyShipped
+FROM sc LEFT JOIN med ON sc.item_key = med.item_key CROSS JOIN gm""")
+
+ORACLE["j6_keyword_table"] = with_ctes(["line_items"], """
+, k AS (SELECT DISTINCT w AS keyword FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE length(w) > 2)
+, t AS (SELECT DISTINCT ItemDescription AS text FROM line_items)
+, f AS (SELECT t.text, 'Phase ' || upper(k.keyword) AS phase, row_number() OVER (PARTITION BY t.text ORDER BY md5(k.keyword)) AS rn FROM t JOIN k ON contains(lower(t.text), lower(k.keyword)))
+SELECT t.text, coalesce(f.phase, 'Other') AS phase FROM t LEFT JOIN f ON t.text = f.text AND f.rn = 1""")
+
+ORACLE["r4_status_table"] = with_ctes(["request_feed"], """
+SELECT id, status, ts AS status_ts FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS rn FROM request_feed)
+WHERE rn = 1""")
+
+_LIGHTEST = "CASE WHEN l0 <= l1 AND l0 <= l2 AND l0 <= l3 THEN 0 WHEN l1 <= l2 AND l1 <= l3 THEN 1 WHEN l2 <= l3 THEN 2 ELSE 3 END"
+ORACLE["m5_balanced_folds"] = with_ctes(["line_items"], """
+, g AS (SELECT n, row_number() OVER (ORDER BY n DESC, p) AS rn FROM (SELECT coalesce(PROJECTNUMBER, 'NA') AS p, count(*) AS n FROM line_items GROUP BY 1))
+, steps AS (SELECT * FROM walk)
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM walk WHERE rn > 0 GROUP BY fold""").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    ", steps AS (SELECT * FROM walk)", f""", walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS n, 0 AS fold, CAST(0 AS BIGINT) AS l0, CAST(0 AS BIGINT) AS l1, CAST(0 AS BIGINT) AS l2, CAST(0 AS BIGINT) AS l3
+  UNION ALL
+  SELECT g.rn, g.n, {_LIGHTEST} AS fold, """ + ", ".join(f"l{f} + CASE WHEN {_LIGHTEST} = {f} THEN g.n ELSE 0 END" for f in range(4)) + """
+  FROM walk JOIN g ON g.rn = walk.rn + 1)""")

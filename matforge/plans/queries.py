@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.config import PlanConfig
+from matforge.config import CURRENCY_COLUMNS, QUANTITY_COLUMNS, PlanConfig
 from matforge.sources import fixtures as fx
 from matforge.operators import schedule as sch
 from matforge.operators import stats, vendors
@@ -65,6 +65,7 @@ from matforge.operators import evaluate as ev  # noqa: E402
 from matforge.operators import plan as pl  # noqa: E402
 from matforge.operators import preprocess as pp  # noqa: E402
 from matforge.operators import requests as rq  # noqa: E402
+from matforge.operators import status_table as st  # noqa: E402
 from matforge.operators.scan import sequential_ids  # noqa: E402
 
 
@@ -197,7 +198,7 @@ def c17(spark, sf):
 @register("c18_sequential_ids")
 def c18(spark, sf):
     d = _li(spark, sf)
-    return sequential_ids(d, [F.col(c).asc_nulls_first() for c in d.columns], name="id", start=1)
+    return sequential_ids(d, d.columns, name="id", start=1)
 
 
 # ---------------------------------------------------------------------------
@@ -238,7 +239,10 @@ def a6(spark, sf):
 
 @register("a7_median_imputation")
 def a7(spark, sf):
-    out = pp.preprocess(_li(spark, sf), CFG)
+    # Line items come as a table; here they are made by joins, so they are written before they are read three times.
+    d = _li(spark, sf)
+    raw = d.select(*(c for c in (*CURRENCY_COLUMNS, *QUANTITY_COLUMNS) if c in d.columns))
+    out = pp.preprocess(written(raw, "line-items"), CFG)
     return out.select(*[c for c in out.columns if c.endswith("_clean") and c != "ItemDescription_clean"],
                       "is_large_project")
 
@@ -312,6 +316,15 @@ def j6(spark, sf):
     return _phased_lines(spark, sf).select("item_key", "ItemDescription", "Phase")
 
 
+@register("j6_keyword_table")
+def j6_table(spark, sf):
+    """Phases by a keyword table made of the words of all part names, by item description."""
+    word = F.explode(F.split("p_name", " "))
+    words = fx.table(spark, sf, "part").select(word.alias("keyword")).where(F.length("keyword") > 2).distinct()
+    keywords = words.select(F.md5(F.col("keyword").cast("binary")).alias("priority"), F.concat(F.lit("Phase "), F.upper("keyword")).alias("phase"), "keyword")
+    return sch.keyword_phases(_li(spark, sf), "ItemDescription", keywords, "Other")
+
+
 @register("j7_category_codes")
 def j7(spark, sf):
     """Codes learned on all line items, applied to rows of which some have a missing or a new city."""
@@ -377,9 +390,9 @@ def _linked_tasks(spark, sf):
     return out
 
 
-def _descr_tasks(spark, sf):
+def _descr_tasks(spark, sf, catalogue):
     """Tasks (V1) with the modal description per item (J3), then the linked request rows."""
-    tasks = sch.procurement_tasks(fx.predictions(spark, sf), _vendors(spark, sf), TEST_CFG)
+    tasks = sch.procurement_tasks(fx.predictions(spark, sf), catalogue, TEST_CFG)
     tasks = tasks.join(stats.mode_description(_li(spark, sf)).withColumnRenamed("item_key", "MasterItemNo"),
                        "MasterItemNo", "left")
     r = fx.requests(spark, sf)
@@ -391,14 +404,20 @@ def _descr_tasks(spark, sf):
 @register("v6_schedule_alignment")
 def v6(spark, sf):
     s = sch.default_schedule(spark, TEST_CFG)
-    return sch.align_schedule(_descr_tasks(spark, sf), s, _vendors(spark, sf), TEST_CFG)
+    catalogue = written(_vendors(spark, sf), "vendors")  # both policies read it
+    return sch.align_schedule(_descr_tasks(spark, sf, catalogue), s, catalogue, TEST_CFG)
 
 
 @register("v7_timeline")
 def v7(spark, sf):
-    s = sch.default_schedule(spark, TEST_CFG)
-    enriched = sch.align_schedule(_descr_tasks(spark, sf), s, _vendors(spark, sf), TEST_CFG)
-    return sch.timeline(s, enriched).orderBy("Start")  # W3, W6
+    return sch.timeline(sch.default_schedule(spark, TEST_CFG), v6(spark, sf)).orderBy("Start")  # W3, W6
+
+
+@register("w3_timeline_order")
+def w3(spark, sf):
+    """The place of every bar in the timeline sorted by start (ties by task, finish and the rest)."""
+    bars = v7(spark, sf)
+    return sequential_ids(bars, ["Start", "Task", "Finish", "Resource", "Type"], name="ordinal").select("ordinal", "Start", "Task", "Finish")
 
 
 def _plan(spark, sf):
@@ -485,6 +504,16 @@ def r4(spark, sf):
     return rq.latest_status(fx.request_feed(spark, sf)).select("id", "status")
 
 
+@register("r4_status_table")
+def r4_table(spark, sf):
+    """R4 kept as a bucketed table: the feed in four deltas, one of them applied again."""
+    root = scratch_path(spark, "status_table")
+    feed = written(fx.request_feed(spark, sf).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(4))), "feed")
+    for part in (0, 1, 2, 3, 1):
+        st.apply_delta(spark, feed.where(F.col("part") == part), root)
+    return st.read_status_table(spark, root).select("id", "status", F.col("ts").alias("status_ts"))
+
+
 @register("r5_approved_unlinked")
 def r5(spark, sf):
     r = fx.requests(spark, sf)
@@ -512,6 +541,11 @@ def x1(spark, sf):
     return pg.page_vendors(fx.table(spark, sf, "pages"))
 
 
+@register("x1_result_blocks")
+def x1_blocks(spark, sf):
+    return pg.result_blocks(fx.listing_pages(spark, sf))
+
+
 # Words that the links of the test pages have.
 TEST_LINK_WORDS = ("tion", "and", "the")
 
@@ -620,15 +654,37 @@ def s8(spark, sf):
 
 @register("s3_vendor_catalogue_scan")
 def s3(spark, sf):
-    path = scratch_path(spark, "vendors_json")
-    lines = fx.vendor_catalogue_json(spark, sf)
-    shape = F.pmod(F.xxhash64("value"), F.lit(3))  # single objects, lists and documents with items
-    lines.select(F.when(shape == 0, F.col("value")).when(shape == 1, F.concat(F.lit(" ["), "value", F.lit("]")))
-                 .otherwise(F.concat(F.lit('{"items":['), "value", F.lit("]}"))).alias("value")).write.mode("overwrite").text(path)
-    return vendors.read_catalogue(spark, path).select(
+    """Single objects, lists, documents with items, and documents keyed by item."""
+    path, keyed = scratch_path(spark, "vendors_json"), scratch_path(spark, "vendors_keyed_json")
+    lines = written(fx.vendor_catalogue_json(spark, sf).withColumn("shape", F.pmod(F.xxhash64("value"), F.lit(4))), "vendor-lines")
+    lines.where("shape < 3").select(F.when(F.col("shape") == 0, F.col("value")).when(F.col("shape") == 1, F.concat(F.lit(" ["), "value", F.lit("]")))
+                                    .otherwise(F.concat(F.lit('{"items":['), "value", F.lit("]}"))).alias("value")).write.mode("overwrite").text(path)
+    item, vendor = F.get_json_object("value", "$.MasterItemNo"), F.get_json_object("value", "$.vendors")
+    lines.where("shape = 3").select(F.concat(F.lit('{"'), item, F.lit('":'), vendor, F.lit("}")).alias("value")).write.mode("overwrite").text(keyed)
+    return vendors.read_catalogue(spark, path).unionByName(vendors.read_catalogue(spark, keyed, shape="keyed")).select(
         "item_key", "pos", "company", "url", "location", "contact", "lead_time_days", "min_order_qty", "source")
 
 
+@register("s9_predictions_sink")
+def s9_predictions(spark, sf):
+    return sk.round_trip(m11(spark, sf), scratch_path(spark, "predictions_csv"))
+
+
+@register("s9_preprocessed_sink")
+def s9_preprocessed(spark, sf):
+    return sk.round_trip(a7(spark, sf), scratch_path(spark, "preprocessed"), fmt="parquet")
+
+
+@register("s9_schedule_sink")
+def s9_schedule(spark, sf):
+    return sk.round_trip(v6(spark, sf), scratch_path(spark, "schedule_csv"))
+
+
+@register("s9_plan_sink")
+def s9_plan(spark, sf):
+    return sk.round_trip(v8(spark, sf), scratch_path(spark, "plan_csv"))
+
+
 @register("s9_tasks_sink_roundtrip")
 def s9(spark, sf):
     path = scratch_path(spark, "tasks_csv")
@@ -767,6 +823,12 @@ def m6(spark, sf):
     return md.predict_fold_average(models, allf, ["doc_id"]).select("doc_id", "prediction")
 
 
+@register("m5_balanced_folds")
+def m5_balanced(spark, sf):
+    """Groups and rows of each fold of the projects, balanced by rows."""
+    return md.balanced_folds(_li(spark, sf), "PROJECTNUMBER").groupBy("fold").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"))
+
+
 @register("m6_item_classifier")
 def m6_items(spark, sf):
     """The item of every distinct description, by the term classifier of four project folds over all line items."""
@@ -831,6 +893,26 @@ def m8_one(spark, sf):
     return coefs.select("item_key", *[F.round(F.col("coef")[i], 6).alias(f"b{i}") for i in (0, 1)])
 
 
+@register("m8_item_statistics")
+def m8_statistics(spark, sf):
+    """X'X and X'y of every item over three features, from which the models are solved."""
+    d = _li(spark, sf).select(C.canonical_item_key(F.col("MasterItemNo")).alias("item_key"), C.to_numeric(F.col("NUMFLOORS")).alias("floors"),
+                              C.safe_to_numeric(F.col("SIZE_BUILDINGSIZE")).alias("size"), C.clean_currency(F.col("UnitPrice")).alias("price"), C.safe_to_numeric(F.col("QtyShipped")).alias("q"))
+    out = md.item_statistics(d, "item_key", ["floors", "size", "price"], "q")
+    return out.select("item_key", "n", *(F.round(F.col(c), 4).alias(c) for c in out.columns[2:]))
+
+
+@register("m9_model_chain")
+def m9_chain(spark, sf):
+    """All four steps of M9: the item's model where it has one and the row a feature, a global model for items of some keys, the item's
+    median, the global median."""
+    t = _floor_rows(spark, sf)
+    coefs = md.fit_item_regressors(t, "item_key", ["x"], "q").where(F.col("item_key").cast("bigint") % 3 == 0)
+    r = fx.requests(spark, sf).select("id", C.canonical_item_key(F.col("item")).alias("item_key"), (F.col("id") % 7).cast("double").alias("x"))
+    r = md.score_linear(r, coefs, "item_key", ["x"], "q_item").withColumn("q_global", F.when(F.col("id") % 5 == 0, F.col("x") + 0.5))
+    return md.quantity_fallback(r, _train_qty(spark, sf), model_cols=("q_item", "q_global")).select("id", "item_key", F.round("q_item", 6).alias("q_item"), "QtyShipped")
+
+
 @register("j10_one_feature_scoring")
 def j10_one(spark, sf):
     t = _floor_rows(spark, sf)
@@ -861,9 +943,11 @@ def t1(spark, sf):
 
     root = scratch_path(spark, "request_stream")
     feed_dir = f"{root}/feed"
-    feed = fx.request_feed(spark, sf).withColumn("part", F.floor(F.col("seq") * 4 / (fx.last_event(spark, sf) + 1)))
+    last = fx.last_event(spark, sf)
+    feed = fx.request_feed(spark, sf).withColumn("part", F.floor(F.col("seq") * 4 / (last + 1)))
+    stores = max(4, last // 100_000)  # by the changes that the state is made of
     reqs = fx.requests(spark, sf).drop("status", "linked_to_procurement")
     for part in range(4):  # the stream stops and goes on, and requests change their status across its runs
         feed.where(F.col("part") == part).drop("part").write.mode("append").parquet(feed_dir)
-        rows = run_request_stream(spark, feed_dir, reqs, root)
+        rows = run_request_stream(spark, feed_dir, reqs, root, state_partitions=stores)
     return rows.drop("batch_id")

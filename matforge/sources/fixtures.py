@@ -186,3 +186,19 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", "html",
                     (F.col("page_id") / 2).cast("bigint").cast("string").alias("item_key"),
                     F.when(F.col("page_id") % 2 == 0, F.lit(1)).otherwise(F.lit(2)).alias("provider_rank"))
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages with blocks, made of the links of each page: nested boxes with a heading, a place and contacts.
+
+    Pages with key % 4 = 1 have another block class, with key % 4 = 2 no link in a block (name and text only), and with key % 4 = 3
+    a block that is never closed; all have boxes that are no blocks.
+    """
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    cls = F.when(k % 4 == 1, F.lit("listingBox wide")).otherwise(F.lit("x row"))
+    name = F.when(k % 4 == 2, F.lit("$2 - offers")).otherwise(F.lit("<h3><a href=\"$1\">$2</a></h3>"))
+    more = F.concat(F.lit("</div><div class='city'>"), F.substring(F.regexp_extract("url", "^https?://([^/?#]+)", 1), 1, 12), F.lit("</div> Tel 80"), F.lpad(k.cast("string"), 7, "0"),
+                    F.lit(" sales"), k.cast("string"), F.lit("@example.com"))
+    block = F.concat(F.lit('<div class="'), cls, F.lit('"><div>'), name, more, F.when(k % 4 != 3, F.lit("</div>")).otherwise(F.lit("")))
+    return p.select("page_id", "url", F.regexp_replace("html", F.lit('<li><a href="([^"]*)">([^<]*)</a></li>'), block).alias("html"))

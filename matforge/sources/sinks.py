@@ -6,7 +6,9 @@ appear atomically per job), so a re-run after an executor loss never leaves half
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt: str = "parquet",
@@ -16,7 +18,25 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.format(fmt).save(path)
     return path
+
+
+def read_back(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """A table that ``write_table`` wrote, with the columns and types of ``schema``. CSV is read as text and cast; an empty field is null, a quoted
+    empty one an empty text."""
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    empty = "\u0001"  # the reader takes an empty text for null unless it has a value of its own
+    df = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", empty).schema(text).csv(path)
+    own = lambda f: F.when(F.col(f"`{f.name}`") == empty, F.lit("")).otherwise(F.col(f"`{f.name}`"))
+    return df.select(*(own(f).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def round_trip(df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
+    """The rows of a table after it was written and read again."""
+    write_table(df, path, fmt=fmt)
+    return read_back(df.sparkSession, path, df.schema, fmt)

@@ -91,15 +91,21 @@ def link_batch(requests: DataFrame, root: str):
 
 
 def run_request_stream(spark: SparkSession, feed_dir: str, requests: DataFrame, root: str, max_files_per_trigger: int | None = None,
-                       retention_days: float = RETENTION_DAYS, lateness: str = LATENESS) -> DataFrame:
-    """Process every file in ``feed_dir`` that earlier runs have not (availableNow) and return all linked task rows."""
+                       retention_days: float = RETENTION_DAYS, lateness: str = LATENESS, state_partitions: int | None = None) -> DataFrame:
+    """Process every file in ``feed_dir`` that earlier runs have not (availableNow) and return all linked task rows.
+
+    The state is dealt to ``state_partitions`` stores (default: the session's shuffle partitions) when the stream first runs; later runs keep it.
+    """
     reader = spark.readStream.schema(FEED_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     ids = newly_approved(reader.parquet(feed_dir), retention_days, lateness)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, STATE_STORE)
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         q = (ids.writeStream.outputMode("update").option("checkpointLocation", f"{root}/_checkpoint")
              .foreachBatch(link_batch(requests, root)).trigger(availableNow=True).start())
@@ -107,7 +113,8 @@ def run_request_stream(spark: SparkSession, feed_dir: str, requests: DataFrame,
         if q.exception() is not None:
             raise q.exception()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     if not path_exists(spark, f"{root}/tasks"):  # no batch has run yet
         return spark.createDataFrame([], TASK_SCHEMA)
     return spark.read.schema(TASK_SCHEMA).parquet(f"{root}/tasks")
