@@ -40,6 +40,8 @@ MIN_PAIR = 4
 #: Bytes of text in a lot, and keys that one range gets, about.
 LOT_BYTES = 6 << 20
 KEYS_PER_TASK = 2_000_000
+#: Words of a text that are read in a row.
+STRETCH = 256
 END = b""
 
 
@@ -148,6 +150,7 @@ class Automaton:
     targets: np.ndarray
     fail_weight: np.ndarray
     fail_state: np.ndarray
+    after: np.ndarray  # the state that a pair of words leads to
 
     @classmethod
     def build(cls, words: np.ndarray, pairs: np.ndarray, pair_totals: np.ndarray, triples: np.ndarray, triple_totals: np.ndarray,
@@ -170,7 +173,7 @@ class Automaton:
         arcs = np.concatenate([(1 + first[known]) * size + last[known], (1 + size + pair) * size + word])
         fail_weight = np.concatenate([[1.0], context_weight / (words + context_weight), pair_weight / (pair_totals + pair_weight)])
         return cls(size, np.log10(p1), arcs, np.log10(np.concatenate([p2[known], p3])), np.concatenate([state[known], state[tail]]),
-                   np.log10(fail_weight), np.concatenate([[0], np.zeros(size, np.int64), 1 + last]))
+                   np.log10(fail_weight), np.concatenate([[0], np.zeros(size, np.int64), 1 + last]), state)
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weight, next state) of reading one word in each state."""
@@ -194,18 +197,24 @@ class Automaton:
             state[live] = self.fail_state[s]
         return weight, out
 
-    def walk(self, ids: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log10 probability of every text: all texts of the lot are read side by side, one word of each at a time."""
-        by = np.argsort(-sizes, kind="stable")
-        begin, score = start[by], np.zeros(len(sizes))
-        state = np.ones(len(sizes), np.int64)  # the closing token's
-        live = np.searchsorted(-sizes[by], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")
+    def walk(self, ids: np.ndarray, pair: np.ndarray, start: np.ndarray, sizes: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of every text (pair: the number of each token's pair with the one before).
+
+        Texts are read from left to right, one word of each at a time. A long one is read in stretches side by side: a stretch begins in the
+        state that the words before it lead to, which their last pair tells.
+        """
+        count = -(-sizes // stretch)
+        text = np.repeat(np.arange(len(sizes)), count)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        begin, length = start[text] + part * stretch, np.minimum(stretch, sizes[text] - part * stretch)
+        state = np.where(part > 0, self.after[pair[np.maximum(begin - 1, 0)]], 1)  # 1: the closing token's
+        by = np.argsort(-length, kind="stable")
+        begin, state, score = begin[by], state[by], np.zeros(len(by))
+        live = np.searchsorted(-length[by], -np.arange(1, int(length.max(initial=0)) + 1), side="right")
         for t, k in enumerate(live.tolist()):
             weight, state[:k] = self.step(state[:k].copy(), ids[begin[:k] + t])
             score[:k] += weight
-        out = np.empty(len(sizes))
-        out[by] = score
-        return out
+        return np.bincount(text[by], weights=score, minlength=len(sizes))
 
 
 def _ask(bits: int):
@@ -258,7 +267,7 @@ def _scores(stats: tuple, context_weight: float, pair_weight: float, min_pair: i
             base = np.add.reduceat(np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), lot.start)
             known = np.add.reduceat((seen > 0).astype(np.int64), lot.start)
             cols = [lot.docs["doc_id"].combine_chunks(), lot.docs["held_out"].combine_chunks(), pa.array(lot.sizes), pa.array(known),
-                    pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(auto.walk(lot.ids, lot.start, lot.sizes))]
+                    pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(auto.walk(lot.ids, lot.pair, lot.start, lot.sizes))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
