@@ -451,14 +451,14 @@ def _PLAIN(x: str) -> str:
 # The blocks of the listing pages are what they were made of: one for each different link of a page.
 ORACLE["x1_result_blocks"] = f"""
 WITH l AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href,
-   unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS t, generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2), 1) AS at FROM pages)
-, b AS (SELECT page_id, page_url, at, CASE WHEN page_id % 4 <> 2 THEN href END AS href, {_PLAIN('t')} AS t, substr(regexp_extract(page_url, '^https?://([^/?#]+)', 1), 1, 12) AS city,
+   unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS t, generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2), 1) AS ord FROM pages)
+, b AS (SELECT page_id, page_url, ord, CASE WHEN page_id % 4 <> 2 THEN href END AS href, {_PLAIN('t')} AS t, substr(regexp_extract(page_url, '^https?://([^/?#]+)', 1), 1, 12) AS city,
    ' Tel 80' || lpad(CAST(page_id AS VARCHAR), 7, '0') || ' sales' || CAST(page_id AS VARCHAR) || '@example.com' AS more FROM l)
 , x AS (SELECT *, trim(t || CASE WHEN page_id % 4 = 2 THEN ' - offers ' ELSE ' ' END || city || more) AS text FROM b)
 , n AS (SELECT *, CASE WHEN page_id % 4 <> 2 AND t <> '' THEN t ELSE substr(split_part(text, ' - ', 1), 1, 100) END AS company,
    regexp_extract(text, '{_PHONE}', 0) AS p, regexp_extract(text, '{_EMAIL}', 0) AS e FROM x)
-, f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, company || coalesce(href, '') ORDER BY at) = 1)
-SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY at) AS INTEGER) AS rank, company,
+, f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, company || coalesce(href, '') ORDER BY ord) = 1)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS INTEGER) AS rank, company,
   CASE WHEN starts_with(href, 'http') THEN href ELSE regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || href END AS url,
   CASE WHEN p <> '' AND e <> '' THEN p || '; ' || e WHEN p <> '' THEN p WHEN e <> '' THEN e END AS contact, city AS location,
   regexp_extract(page_url, '^https?://([^/?#]+)', 1) AS source
