@@ -105,13 +105,14 @@ class Lot:
             n[0] = 0
             single = np.flatnonzero(n)
             at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            pair, where, c = np.unique(ids[at] * len(self.words) + ids[at + 1], return_inverse=True, return_counts=True)
+            pair, where = grams.distinct(ids[at] * len(self.words) + ids[at + 1])
+            c = np.bincount(where, minlength=len(pair))
             first = grams.mix(seed, h)
             keys += [first[single], grams.mix(first[pair // len(self.words)], h[pair % len(self.words)])]
             counts += [n[single], c]
             self.single.append(single), self.pair.append(pair), self.where.append((at, where))
         keys, self.counts = np.concatenate(keys), np.concatenate(counts)
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys)
         self.keys = keys[self.order]
 
     def ask(self, lot: int, bits: int) -> pa.RecordBatch:

@@ -41,6 +41,22 @@ def mix(before: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, the number of each value among them) of integers from 0; places are sorted along with the values where
+    both fit one word, which is several times faster than sorting indirectly."""
+    n = len(code)
+    bits = max(1, n.bit_length())
+    if not n or int(code.max()).bit_length() + bits > 62:
+        return np.unique(code, return_inverse=True)
+    both = np.sort((code.astype(np.int64) << bits) | np.arange(n))
+    value, at = both >> bits, both & ((1 << bits) - 1)
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = value[1:] != value[:-1]
+    where = np.empty(n, dtype=np.int64)
+    where[at] = np.cumsum(fresh) - 1
+    return value[fresh], where
+
+
 def ask(lot: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Rows of ASK: the distinct keys of a lot, sorted, in 2^bits ranges."""
     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -59,11 +75,14 @@ def _answers(stats: bool):
         keys = [np.cumsum(unpack(k, "<u8"), dtype=np.uint64) for _, k, _ in rows]
         ends = np.cumsum([len(k) for k in keys])[:-1]
         count = np.concatenate([unpack(c[1:], f"<u{c[:1].decode()}").astype(np.int64) for _, _, c in rows])
-        _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.zeros(len(first), dtype=np.int64)
-        np.add.at(total, where, count)
-        owner = np.zeros(len(where), dtype=bool)
-        owner[first] = True
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = np.diff(key[order]) != 0
+        total = np.add.reduceat(count[order], np.flatnonzero(fresh))
+        where, owner = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=bool)
+        where[order] = np.cumsum(fresh) - 1
+        owner[order] = fresh
         cols: list[list] = [[r[0] for r in rows], [part] * len(rows), [pack(x) for x in np.split(total[where], ends)], [np.packbits(x).tobytes() for x in np.split(owner, ends)]]
         if stats:
             for col in cols:

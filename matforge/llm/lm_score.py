@@ -110,7 +110,7 @@ class Lot:
         before = np.empty_like(self.ids)
         before[1:] = self.ids[:-1]
         before[self.start] = 0
-        self.pairs, self.pair = np.unique(before * self.v + self.ids, return_inverse=True)
+        self.pairs, self.pair = grams.distinct(before * self.v + self.ids)
         key = lambda a, b: grams.mix(grams.mix(np.full(1, 2, np.uint64), self.hash[a]), self.hash[b])
         self.pair_keys = key(self.pairs // self.v, self.pairs % self.v)
         self.train = train
@@ -118,7 +118,7 @@ class Lot:
         low = np.uint64((1 << 63) - 1)
         keys = np.concatenate([grams.mix(np.full(1, 1, np.uint64), self.hash) & low, self.pair_keys | ~low])
         counts = np.concatenate([np.bincount(self.ids, weights=train, minlength=self.v), np.bincount(self.pair, weights=train, minlength=len(self.pairs))])
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys)
         self.keys, self.counts = keys[self.order], counts.astype(np.int64)[self.order]
 
     def totals(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,30 +127,33 @@ class Lot:
         out[self.order] = np.concatenate([grams.unpack(t, "<i8") for t in packed])
         return out[:self.v], out[self.v:]
 
-    def triples(self, pair_totals: np.ndarray, min_pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first pair, last word, key) of the distinct three-word strings whose first pair is a state, by key; and their training counts."""
-        last = np.setdiff1d(np.arange(len(self.ids)), self.start, assume_unique=True)
+    def triples(self, pair_totals: np.ndarray, min_pair: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct three-word strings whose first pair is a state, as pair * words + word, sorted; the number of each token's
+        string among them, -1 where it has none; their keys and training counts."""
+        last = np.ones(len(self.ids), dtype=bool)
+        last[self.start] = False
+        last = np.flatnonzero(last)
         last = last[pair_totals[self.pair[last - 1]] >= min_pair]
-        code, where = np.unique(self.pair[last - 1] * self.v + self.ids[last], return_inverse=True)
+        code, where = grams.distinct(self.pair[last - 1] * self.v + self.ids[last])
+        number = np.full(len(self.ids), -1, np.int64)
+        number[last] = where
         counts = np.bincount(where, weights=self.train[last], minlength=len(code)).astype(np.int64)
-        key = grams.mix(self.pair_keys[code // self.v], self.hash[code % self.v])
-        order = np.argsort(key, kind="stable")
-        return code[order], key[order], counts[order]
+        return code, number, grams.mix(self.pair_keys[code // self.v], self.hash[code % self.v]), counts
 
 
 @dataclass
 class Automaton:
-    """States 0 (root), 1 + word, 1 + words + pair. arcs: sorted state * words + word; with weights and next states. The root has an arc
-    for every word."""
+    """States 0 (root), 1 + word, 1 + words + pair. The root has an arc for every word; the arcs of a word's state are the pairs that begin with it,
+    those of a pair's state the three-word strings that do, by their numbers; an arc that training has not seen has weight NaN and is none."""
 
     words: int
     root: np.ndarray
-    arcs: np.ndarray
-    weights: np.ndarray
-    targets: np.ndarray
+    pair_weight: np.ndarray
+    pair_target: np.ndarray
+    triple_weight: np.ndarray
+    triple_target: np.ndarray
     fail_weight: np.ndarray
     fail_state: np.ndarray
-    after: np.ndarray  # the state that a pair of words leads to
 
     @classmethod
     def build(cls, words: np.ndarray, pairs: np.ndarray, pair_totals: np.ndarray, triples: np.ndarray, triple_totals: np.ndarray,
@@ -165,40 +168,47 @@ class Automaton:
         p2 = (pair_totals + context_weight * p1[last]) / (words[first] + context_weight)
         # A pair that ends a text is no context.
         state = np.where((pair_totals >= min_pair) & (last > 0), 1 + size + np.arange(len(pairs)), 1 + last)
-        known = np.flatnonzero(pair_totals > 0)
-        seen = np.flatnonzero(triple_totals > 0)
-        pair, word = triples[seen] // size, triples[seen] % size
+        pair, word = triples // size, triples % size
         tail = np.searchsorted(pairs, last[pair] * size + word)  # the pair of the last two words
-        p3 = (triple_totals[seen] + pair_weight * p2[tail]) / (pair_totals[pair] + pair_weight)
-        arcs = np.concatenate([(1 + first[known]) * size + last[known], (1 + size + pair) * size + word])
-        fail_weight = np.concatenate([[1.0], context_weight / (words + context_weight), pair_weight / (pair_totals + pair_weight)])
-        return cls(size, np.log10(p1), arcs, np.log10(np.concatenate([p2[known], p3])), np.concatenate([state[known], state[tail]]),
-                   np.log10(fail_weight), np.concatenate([[0], np.zeros(size, np.int64), 1 + last]), state)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weight, next state) of reading one word in each state."""
-        weight, out = np.zeros(len(state)), np.empty(len(state), np.int64)
-        live = np.arange(len(state))
-        while len(live):
-            s, w = state[live], word[live]
-            at = np.searchsorted(self.arcs, s * self.words + w)
-            at[at == len(self.arcs)] = 0
-            hit = self.arcs[at] == s * self.words + w if len(self.arcs) else np.zeros(len(live), bool)
-            top = ~hit & (s == 0)
-            got = live[hit]
-            weight[got] += self.weights[at[hit]]
-            out[got] = self.targets[at[hit]]
-            got = live[top]
-            weight[got] += self.root[w[top]]
-            out[got] = 1 + w[top]
-            down = ~hit & ~top
-            live, s = live[down], s[down]
-            weight[live] += self.fail_weight[s]
-            state[live] = self.fail_state[s]
+        p3 = (triple_totals + pair_weight * p2[tail]) / (pair_totals[pair] + pair_weight)
+        fail = np.concatenate([[1.0], context_weight / (words + context_weight), pair_weight / (pair_totals + pair_weight)])
+        arc = lambda total, p: np.where(total > 0, np.log10(p), np.nan)
+        return cls(size, np.log10(p1), arc(pair_totals, p2), state, arc(triple_totals, p3), state[tail], np.log10(fail),
+                   np.concatenate([[0], np.zeros(size, np.int64), 1 + last]))
+
+    def step(self, state: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight, next state) of reading one word in each state; pair and triple are the numbers of the strings that the word ends, -1 for none."""
+        state, out = state.copy(), np.empty(len(state), np.int64)
+        weight = np.zeros(len(state))
+        # States of pairs: an arc, or the failure arc to the state of the last word.
+        live = np.flatnonzero(state > self.words)
+        arc = np.full(len(live), np.nan)
+        known = triple[live] >= 0
+        arc[known] = self.triple_weight[triple[live[known]]]
+        hit = arc == arc
+        got, down = live[hit], live[~hit]
+        weight[got], out[got] = arc[hit], self.triple_target[triple[got]]
+        weight[down] += self.fail_weight[state[down]]
+        state[down] = self.fail_state[state[down]]
+        state[got] = -1  # these have read
+        # States of words: an arc, or the failure arc to the root.
+        live = np.flatnonzero(state > 0)
+        arc = np.full(len(live), np.nan)
+        known = pair[live] >= 0
+        arc[known] = self.pair_weight[pair[live[known]]]
+        hit = arc == arc
+        got, down = live[hit], live[~hit]
+        weight[got] += arc[hit]
+        out[got] = self.pair_target[pair[got]]
+        weight[down] += self.fail_weight[state[down]]
+        state[down], state[got] = 0, -1
+        top = np.flatnonzero(state == 0)
+        weight[top] += self.root[word[top]]
+        out[top] = 1 + word[top]
         return weight, out
 
-    def walk(self, ids: np.ndarray, pair: np.ndarray, start: np.ndarray, sizes: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
-        """Log10 probability of every text (pair: the number of each token's pair with the one before).
+    def walk(self, ids: np.ndarray, pair: np.ndarray, triple: np.ndarray, start: np.ndarray, sizes: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+        """Log10 probability of every text (pair, triple: the numbers of the strings that each token ends).
 
         Texts are read from left to right, one word of each at a time. A long one is read in stretches side by side: a stretch begins in the
         state that the words before it lead to, which their last pair tells.
@@ -207,12 +217,13 @@ class Automaton:
         text = np.repeat(np.arange(len(sizes)), count)
         part = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
         begin, length = start[text] + part * stretch, np.minimum(stretch, sizes[text] - part * stretch)
-        state = np.where(part > 0, self.after[pair[np.maximum(begin - 1, 0)]], 1)  # 1: the closing token's
+        state = np.where(part > 0, self.pair_target[pair[np.maximum(begin - 1, 0)]], 1)  # 1: the closing token's
         by = np.argsort(-length, kind="stable")
         begin, state, score = begin[by], state[by], np.zeros(len(by))
         live = np.searchsorted(-length[by], -np.arange(1, int(length.max(initial=0)) + 1), side="right")
         for t, k in enumerate(live.tolist()):
-            weight, state[:k] = self.step(state[:k].copy(), ids[begin[:k] + t])
+            at = begin[:k] + t
+            weight, state[:k] = self.step(state[:k], ids[at], pair[at], triple[at])
             score[:k] += weight
         return np.bincount(text[by], weights=score, minlength=len(sizes))
 
@@ -246,9 +257,10 @@ def _ask_triples(bits: int, min_pair: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, held in _lots_with_totals(batches):
             lot = Lot(row)
-            _, keys, counts = lot.triples(lot.totals(held[PAIRS])[1], min_pair)
+            _, _, keys, counts = lot.triples(lot.totals(held[PAIRS])[1], min_pair)
             if len(keys):
-                yield grams.ask(row["lot"], keys, counts, bits)
+                order = np.argsort(keys)
+                yield grams.ask(row["lot"], keys[order], counts[order], bits)
     return run
 
 
@@ -259,15 +271,15 @@ def _scores(stats: tuple, context_weight: float, pair_weight: float, min_pair: i
         for row, held in _lots_with_totals(batches):
             lot = Lot(row)
             words, pairs = lot.totals(held[PAIRS])
-            code, _, _ = lot.triples(pairs, min_pair)
-            total = np.concatenate([np.zeros(0, np.int64), *(grams.unpack(t, "<i8") for t in held[TRIPLES])])
-            by = np.argsort(code, kind="stable")
-            auto = Automaton.build(words, lot.pairs, pairs, code[by], total[by], stats, context_weight, pair_weight, min_pair)
+            code, triple, keys, _ = lot.triples(pairs, min_pair)
+            total = np.empty(len(code), np.int64)
+            total[np.argsort(keys)] = np.concatenate([np.zeros(0, np.int64), *(grams.unpack(t, "<i8") for t in held[TRIPLES])])
+            auto = Automaton.build(words, lot.pairs, pairs, code, total, stats, context_weight, pair_weight, min_pair)
             seen = words[lot.ids]
             base = np.add.reduceat(np.log10((seen + 0.5) / (n + 0.5 * (v + 1))), lot.start)
             known = np.add.reduceat((seen > 0).astype(np.int64), lot.start)
             cols = [lot.docs["doc_id"].combine_chunks(), lot.docs["held_out"].combine_chunks(), pa.array(lot.sizes), pa.array(known),
-                    pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(auto.walk(lot.ids, lot.pair, lot.start, lot.sizes))]
+                    pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(auto.walk(lot.ids, lot.pair, triple, lot.start, lot.sizes))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 

@@ -317,10 +317,12 @@ def test_every_state_of_the_automaton_sums_to_one():
     code = np.array(sorted(a * 5 + b for a, b in every))
     auto = lm_score.Automaton.build(words, code, np.array([every[c // 5, c % 5] for c in code]), np.array(sorted((a * 5 + b) * 5 + w for a, b, w in triples)),
                                     np.array([triples[k] for k in sorted(triples, key=lambda x: (x[0] * 5 + x[1]) * 5 + x[2])]), (14, 4, 0, 1), 7.0, 3.0, 2)
-    # arcs are looked up by bisection
-    assert (np.diff(auto.arcs) > 0).all()
+    strings = sorted((a * 5 + b) * 5 + w for a, b, w in triples)
     for state in (0, 1, 2, 3, 4, 6 + 1, 6 + 7, 6 + 11):
-        weight, _ = auto.step(np.full(5, state), np.arange(5))
+        last = (state - 6) % 5 if state > 5 else state - 1  # the last word of the context
+        pair = np.array([last * 5 + w if state else -1 for w in range(5)])
+        triple = np.array([strings.index((state - 6) * 5 + w) if state > 5 and (state - 6) * 5 + w in strings else -1 for w in range(5)])
+        weight, _ = auto.step(np.full(5, state), np.arange(5), pair, triple)
         assert math.isclose((10 ** weight).sum(), 1, rel_tol=1e-9), state
 
 
