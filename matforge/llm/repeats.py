@@ -41,10 +41,8 @@ from matforge.llm.common import partitions_for, read, written
 
 LENGTH = 400
 GRAM = 48
-#: Different segments of one gram beyond which they are split by content.
-CROWD = 2_000
-#: Segments that one column-wise task gets, about; bytes of text in a lot; keys that one range gets, about.
-PER_TASK = 20_000
+#: Segments that one column-wise task gets, about, and beyond which one gram's different segments are split by content; bytes of text in a lot; keys that one range gets, about.
+PER_TASK = CROWD = 20_000
 LOT_BYTES = 2 << 20
 KEYS_PER_TASK = 2_000_000
 _BLOCK = 1 << 18
@@ -311,7 +309,7 @@ def _repeat_rows(length: int, gram: int):
 
 _NODE = "gram long, x0 int, x1 int, core long, whole long, lo int, hi int, seg long, key long, lot long, doc int, pos int"
 #: Parts that a range of windows is cut into in one round.
-CUTS = 4
+CUTS = 2
 
 
 def _cut_ranges(length: int):
