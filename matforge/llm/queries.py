@@ -5,7 +5,7 @@ from __future__ import annotations
 from matforge.llm.chat import OP10_SQL, op10_chat_format
 from matforge.llm.collocations import OP13_SQL, op13_collocations
 from matforge.llm.decontaminate import op1_decontamination
-from matforge.llm.html_text import op3_html_extraction
+from matforge.llm.html_text import OP3_SQL, op3_html_extraction
 from matforge.llm.licenses import op4_license_scan
 from matforge.llm.lm_score import op7_lm_scoring
 from matforge.llm.mtree import OP9_SQL, op9_mtree_topk
@@ -33,6 +33,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_html_extraction": OP3_SQL,
     "op5_suffix_array_dedup": OP5_SQL,
     "op9_mtree_topk": OP9_SQL,
     "op10_chat_format": OP10_SQL,
