@@ -681,3 +681,10 @@ SELECT CAST(fold AS INTEGER) AS fold, count(*) AS groups, CAST(sum(n) AS BIGINT)
   UNION ALL
   SELECT g.rn, g.n, {_LIGHTEST} AS fold, """ + ", ".join(f"l{f} + CASE WHEN {_LIGHTEST} = {f} THEN g.n ELSE 0 END" for f in range(4)) + """
   FROM walk JOIN g ON g.rn = walk.rn + 1)""")
+
+ORACLE["j2_bucketed_lookups"] = with_ctes(["predictions", "vendor_rows", "line_items"], _ITEMS + _PLANV + _MODE + f"""
+, med AS (SELECT {KEY('MasterItemNo')} AS item_key, median({STRIP_NUM('QtyShipped')}) AS median_qty
+          FROM line_items WHERE {KEY('MasterItemNo')} IS NOT NULL GROUP BY 1)
+SELECT {KEY('p.MasterItemNo')} AS item_key, p.QtyShipped, v.Vendor, v.VendorContact, v.VendorLeadDays, m.ItemDescription, med.median_qty
+FROM predictions p LEFT JOIN planv v ON {KEY('p.MasterItemNo')} = v.item_key LEFT JOIN mmode m ON {KEY('p.MasterItemNo')} = m.item_key
+LEFT JOIN med ON {KEY('p.MasterItemNo')} = med.item_key""")

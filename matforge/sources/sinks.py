@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matforge.session import scratch_path
+
 
 def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> str:
@@ -24,6 +26,19 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
     return path
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The rows as a table bucketed and sorted by ``key`` in the shared folder, one file a bucket.
+
+    Tables with one number of buckets join on the key without moving either; anything else that joins them is moved once. The name is
+    made unique, as the catalogue is the session's.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_back(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """A table that ``write_table`` wrote, with the columns and types of ``schema``. CSV is read as text and cast; an empty field is null, a quoted
     empty one an empty text."""

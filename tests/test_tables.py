@@ -40,3 +40,12 @@ def test_csv_round_trip_keeps_nulls_quotes_and_types(spark):
     df = spark.createDataFrame(rows, "id long, a string, b string, d date, q double")
     back = sk.round_trip(df, scratch_path(spark, "csv-test"))
     assert back.schema == df.schema and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_bucketed_items_do_not_move(spark):
+    """Three joins on the item key: the only exchange is that of the lines."""
+    from __spark_entry__ import queries
+    from tests.conftest import SF001
+
+    plan = queries()["j2_bucketed_lookups"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("SortMergeJoin") == 3 and plan.count("Bucketed: true") == 3
