@@ -76,7 +76,7 @@ def _answers(stats: bool):
         ends = np.cumsum([len(k) for k in keys])[:-1]
         count = np.concatenate([unpack(c[1:], f"<u{c[:1].decode()}").astype(np.int64) for _, _, c in rows])
         key = np.concatenate(keys)
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")  # merges the lots' sorted keys; the first lot of a key owns it
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = np.diff(key[order]) != 0
         total = np.add.reduceat(count[order], np.flatnonzero(fresh))
@@ -109,7 +109,7 @@ def _answers(stats: bool):
 
 
 def answers(asked: DataFrame, bits: int, name: str, stats: bool = False) -> DataFrame:
-    """Rows of ANSWER for rows of ASK: 64-bit totals, and which keys the lot owns (each key has one owning lot).
+    """Rows of ANSWER for rows of ASK: 64-bit totals, and which keys the lot owns (the first lot of a key).
 
     With ``stats`` a row of null lot for each range besides: the sum of its totals, and how many are positive, 1 and 2.
     """

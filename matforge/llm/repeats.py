@@ -7,8 +7,9 @@ follows, each step a Spark job over the whole table:
    ``gram``-byte string is an anchor. The rule sees the window only, so two equal windows have anchors with equal grams at the same place
    in them. The totals of all grams come to each lot from key ranges (``grams``); anchors whose gram occurs once cannot
    take part; the rest are few.
-2. Segments. The bytes around an anchor that any window over it can hold. Equal segments (gram and segment hash, 64
-   bits each) are kept once, with a count; windows of a segment that occurs twice or more are all repeats.
+2. Segments. The bytes around an anchor that any window over it can hold. The totals of segments (gram and segment hash, 64
+   bits each) come to the lots in the same way. Windows of a segment that occurs twice are all repeats, which the lots see by themselves;
+   a segment whose gram occurs more often than itself may share windows with others, and one lot sends its bytes.
 3. Columns. The different segments of one gram meet in one partition, aligned at the anchor, as a document collection.
    From the last column to the first, each round inserts one symbol of every segment: the suffix order is
    updated by a stable distribution of the inserted symbols (the Burrows-Wheeler symbols of that round, read through the
@@ -95,12 +96,11 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return pos, np.concatenate(hashes)[first]
 
 
-_LOT = "lot long, docs binary, keys binary, sizes binary, pos binary, gram binary, seg binary"
-ANCHORS, SELF = 0, 1
+_LOT = "lot long, docs binary, sizes binary, places binary, gram binary, seg binary"
 
 
 def _lots(length: int, gram: int, lot_bytes: int):
-    """Rows of _LOT: documents (carried, text) as one compressed block, their keys, and their anchors with gram and segment."""
+    """Rows of _LOT: documents (carried, text) as one compressed block, and their anchors with gram and segment."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,6 @@ def _lots(length: int, gram: int, lot_bytes: int):
 
         lot, size = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
-        keys: list[int] = []
         counts: list[int] = []
         marks: list[list[np.ndarray]] = [[], [], []]
 
@@ -118,17 +117,17 @@ def _lots(length: int, gram: int, lot_bytes: int):
                 for b in held:
                     w.write_batch(b)
             join = lambda parts, kind: grams.pack(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
-            cols = [sink.getvalue(), grams.pack(np.array(keys, "<i8")), grams.pack(np.array(counts, "<i4")), join(marks[0], "<i4"), join(marks[1], "<u8"), join(marks[2], "<i8")]
+            cols = [sink.getvalue(), grams.pack(np.array(counts, "<i4")), join(marks[0], "<i4"), join(marks[1], "<u8"), join(marks[2], "<i8")]
             return pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)],
-                                              ["lot", "docs", "keys", "sizes", "pos", "gram", "seg"])
+                                              ["lot", "docs", "sizes", "places", "gram", "seg"])
 
         for batch in batches:
             body, at = batch.select(["carried", "text"]), 0
-            for i, (key, text) in enumerate(zip(batch["key"].to_pylist(), batch["text"])):
+            for i, text in enumerate(batch["text"]):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
                 pos, h = anchors(np.frombuffer(raw, dtype=np.uint8), length, gram)
                 seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[max(0, a - reach):a + length], min(a, reach)) for a in pos.tolist()), np.uint64, len(pos))
-                keys.append(key), counts.append(len(pos))
+                counts.append(len(pos))
                 for col, v in zip(marks, (pos, h, seg.view(np.int64))):
                     col.append(v)
                 size += len(raw)
@@ -136,7 +135,7 @@ def _lots(length: int, gram: int, lot_bytes: int):
                     held.append(body.slice(at, i + 1 - at))
                     yield out()
                     lot, size, at = lot + 1, 0, i + 1
-                    held.clear(), keys.clear(), counts.clear(), [m.clear() for m in marks]
+                    held.clear(), counts.clear(), [m.clear() for m in marks]
             if at < len(batch):
                 held.append(body.slice(at))
         if held:
@@ -148,7 +147,58 @@ def _documents(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _ask(bits: int):
+def _keys(gram: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """One hash of gram and segment."""
+    return grams.mix(gram, seg.view(np.uint64))
+
+
+class Marks:
+    """Anchors of a lot with the totals of their grams and, where these occur more than once, of their segments."""
+
+    def __init__(self, row: dict, totals: dict[int, list[bytes]], owner: list[bytes] | None = None):
+        self.gram, self.pos, self.seg = grams.unpack(row["gram"], "<u8"), grams.unpack(row["places"], "<i4"), grams.unpack(row["seg"], "<i8")
+        self.sizes = grams.unpack(row["sizes"], "<i4")
+        if GRAMS not in totals:
+            return
+        _, where = np.unique(self.gram, return_inverse=True)
+        total = np.concatenate([np.zeros(0, np.int64), *(grams.unpack(t, "<i8") for t in totals[GRAMS])])[where]
+        self.take = np.flatnonzero(total > 1)  # in reading order
+        self.total = total[self.take]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[self.take]
+        self.key = _keys(self.gram[self.take], self.seg[self.take])
+        if SEGMENTS not in totals:
+            return
+        keys, first, where = np.unique(self.key, return_index=True, return_inverse=True)
+        back = [grams.unpack(t, "<i8") for t in totals[SEGMENTS]]
+        self.alike = np.concatenate([np.zeros(0, np.int64), *back])[where]
+        own = [np.unpackbits(np.frombuffer(o, np.uint8))[:len(t)] for o, t in zip(owner, back)]
+        mine = np.concatenate([np.zeros(0, np.uint8), *own]).astype(bool)
+        self.first = np.zeros(len(self.take), dtype=bool)  # the first place of a segment in the whole table
+        self.first[first[mine]] = True
+
+
+GRAMS, SEGMENTS, FLAGS, SELF = 0, 1, 2, 3
+
+
+def _lots_with(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[int, list[bytes]], list[bytes], list[dict]]]:
+    """Each lot with the totals, owner bits and flags that came before it."""
+    totals: dict[int, list[bytes]] = {GRAMS: [], SEGMENTS: []}
+    owner: list[bytes] = []
+    flags: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == SELF:
+                yield row, totals, owner, flags
+                totals, owner, flags = {GRAMS: [], SEGMENTS: []}, [], []
+            elif row["kind"] == FLAGS:
+                flags.append(row)
+            else:
+                totals[row["kind"]].append(row["totals"])
+                if row["kind"] == SEGMENTS:
+                    owner.append(row["owner"])
+
+
+def _ask_grams(bits: int):
     """Rows of grams.ASK: the different grams of each lot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,65 +209,38 @@ def _ask(bits: int):
     return run
 
 
-_SHARED = "gram long, seg long, key long, lot long, doc int, pos int, step int, n int"
+def _ask_segments(bits: int):
+    """Rows of grams.ASK: the different segments of each lot whose gram occurs more than once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, totals, _, _ in _lots_with(batches):
+            keys, counts = np.unique(Marks(row, {GRAMS: totals[GRAMS]}).key, return_counts=True)
+            if len(keys):
+                yield grams.ask(row["lot"], keys, counts, bits)
+    return run
 
 
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _SHARED: n anchors from pos on, step apart, with one gram that occurs more than once, and one segment."""
-    totals: list[bytes] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] == ANCHORS:
-                totals.append(row["totals"])
-                continue
-            gram, pos, seg = grams.unpack(row["gram"], "<u8"), grams.unpack(row["pos"], "<i4"), grams.unpack(row["seg"], "<i8")
-            sizes, key = grams.unpack(row["sizes"], "<i4"), grams.unpack(row["keys"], "<i8")
-            _, where = np.unique(gram, return_inverse=True)
-            total = np.concatenate([np.zeros(0, np.int64), *(grams.unpack(t, "<i8") for t in totals)])
-            totals = []
-            take = np.flatnonzero(total[where] > 1)
-            doc = np.repeat(np.arange(len(sizes)), sizes)[take]
-            out: list[list[int]] = [[] for _ in range(6)]
-            runs: dict = {}
-            for d, a, g, s in zip(doc.tolist(), pos[take].tolist(), gram[take].view(np.int64).tolist(), seg[take].tolist()):
-                last = runs.get((d, g, s))
-                if last is None or last[2] > 1 and a - last[0] != last[1] * last[2]:
-                    runs[d, g, s] = last = [a, 0, 0]
-                    for col, v in zip(out, (g, s, d, a, last)):
-                        col.append(v)
-                elif last[2] == 1:
-                    last[1] = a - last[0]
-                last[2] += 1
-            g, s, d, a, last, _ = out
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g, pa.int64()), pa.array(s, pa.int64()), pa.array(key[np.array(d, np.int64)]), pa.array([row["lot"]] * len(g), pa.int64()), pa.array(d, pa.int32()),
-                 pa.array(a, pa.int32()), pa.array([x[1] for x in last], pa.int32()), pa.array([x[2] for x in last], pa.int32())],
-                ["gram", "seg", "key", "lot", "doc", "pos", "step", "n"])
-
-
-_BODY = "gram long, seg long, key long, lot long, doc int, pos int, left int, body binary"
+_BODY = "gram long, seg long, lot long, doc int, pos int, many boolean, left int, body binary"
+_BODY_NAMES = [c.split()[0] for c in _BODY.split(", ")]
 
 
 def _body_rows(length: int, gram: int):
-    """Rows of _BODY: the wanted segments of each lot's documents."""
+    """Rows of _BODY: the segments whose first place is in a lot and whose gram has others; many: they occur more than once."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == ANCHORS:
-                    wanted.append(row)
-                    continue
-                if wanted:
-                    texts, raw, own = _documents(row["docs"])["text"], {}, []
-                    for w in wanted:
-                        if w["doc"] not in raw:
-                            raw = {w["doc"]: texts[w["doc"]].as_py().encode("utf-8", "replace")}  # they come document by document
-                        own.append((w["gram"], w["seg"], w["key"], w["lot"], w["doc"], w["pos"], min(w["pos"], reach), raw[w["doc"]][max(0, w["pos"] - reach):w["pos"] + length]))
-                    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 3 + (pa.binary(),)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*own), kinds)], ["gram", "seg", "key", "lot", "doc", "pos", "left", "body"])
-                wanted = []
+        for row, totals, owner, _ in _lots_with(batches):
+            m = Marks(row, totals, owner)
+            want = np.flatnonzero(m.first & (m.total > m.alike))
+            if not len(want):
+                continue
+            texts, held, raw, out = _documents(row["docs"])["text"], -1, b"", []
+            at = m.take[want]
+            for doc, pos, g, seg, alike in zip(m.doc[want].tolist(), m.pos[at].tolist(), m.gram[at].view(np.int64).tolist(), m.seg[at].tolist(), m.alike[want].tolist()):
+                if doc != held:  # they come document by document
+                    held, raw = doc, texts[doc].as_py().encode("utf-8", "replace")
+                out.append((g, seg, row["lot"], doc, pos, alike > 1, min(pos, reach), raw[max(0, pos - reach):pos + length]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _BODY_NAMES)
     return run
 
 
@@ -263,27 +286,28 @@ def insert_columns(columns: np.ndarray, start: np.ndarray, end: np.ndarray, leng
     return found, first
 
 
-_FLAG = "gram long, seg long, lo int, hi int, first boolean, lot long, doc int, pos int"
-_FLAG_COLUMNS = ["gram", "seg", "lo", "hi", "first", "lot", "doc", "pos"]
+_FLAG = "lot long, doc int, pos int, lo int, hi int"
 
 
-def _repeat_rows(length: int, gram: int):
-    """Rows of _FLAG: byte ranges, relative to the anchor, of repeated windows of each segment; first if no equal window is at an earlier place."""
+def _repeat_rows(length: int, gram: int, keep_first: bool):
+    """Rows of _FLAG: byte ranges around the anchor at ``pos`` whose windows are repeats; with ``keep_first`` only those that have an equal
+    window at an earlier place. Segments that occur twice are repeats as a whole, and without ``keep_first`` are left out."""
     reach, width = length - gram, 2 * length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict = {}
+        seen: set = set()
         with tempfile.TemporaryFile() as rows, tempfile.TemporaryFile() as cols:
-            start, end, places = [], [], []
+            start, end, places, silent = [], [], [], []
             for batch in batches:
-                for g, seg, key, lot, doc, pos, left, body in zip(*(batch[c].to_pylist() for c in ("gram", "seg", "key", "lot", "doc", "pos", "left", "body"))):
-                    if (g, seg) not in keys:
-                        keys[g, seg] = len(keys)
+                for lot, doc, pos, many, left, body in zip(*(batch[c].to_pylist() for c in ("lot", "doc", "pos", "many", "left", "body"))):
+                    if (lot, doc, pos) not in seen:
+                        seen.add((lot, doc, pos))
                         start.append(reach - left)
                         end.append(reach - left + len(body))
-                        places.append((key, lot, doc, pos))
+                        places.append((lot, doc, pos))
+                        silent.append(many and not keep_first)
                         rows.write((b"\0" * (reach - left) + body).ljust(width, b"\0"))
-            m = len(keys)
+            m = len(places)
             if not m:
                 return
             rows.flush()
@@ -296,18 +320,20 @@ def _repeat_rows(length: int, gram: int):
             place[sorted(range(m), key=places.__getitem__)] = np.arange(m)
             found, first = insert_columns(by_col, np.array(start), np.array(end), length, place)
             del by_row, by_col
-        names, own = np.array(list(keys), dtype=np.int64).reshape(-1, 2), np.array(places, dtype=np.int64).reshape(-1, 4)
-        for flags, early in ((found & ~first, False), (first, True)):
-            edge = np.diff(flags.astype(np.int8), axis=0, prepend=0, append=0)
-            row, c0 = np.nonzero(edge.T == 1)
-            c1 = np.nonzero(edge.T == -1)[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[row, 0]), pa.array(names[row, 1]), pa.array((c0 - reach).astype(np.int32)), pa.array((c1 - 1 - reach + length).astype(np.int32)),
-                 pa.array(np.full(len(row), early)), pa.array(own[row, 1]), pa.array(own[row, 2].astype(np.int32)), pa.array(own[row, 3].astype(np.int32))], _FLAG_COLUMNS)
+        if keep_first:
+            found &= ~first
+        found[:, np.array(silent)] = False
+        own = np.array(places, dtype=np.int64).reshape(-1, 3)
+        edge = np.diff(found.astype(np.int8), axis=0, prepend=0, append=0)
+        row, c0 = np.nonzero(edge.T == 1)
+        c1 = np.nonzero(edge.T == -1)[1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[row, 0]), pa.array(own[row, 1].astype(np.int32)), pa.array(own[row, 2].astype(np.int32)),
+             pa.array((c0 - reach).astype(np.int32)), pa.array((c1 - 1 - reach + length).astype(np.int32))], ["lot", "doc", "pos", "lo", "hi"])
     return run
 
 
-_NODE = "gram long, x0 int, x1 int, core long, whole long, lo int, hi int, seg long, key long, lot long, doc int, pos int"
+_NODE = "gram long, x0 int, x1 int, core long, whole long, lo int, hi int, lot long, doc int, pos int, many boolean"
 #: Parts that a range of windows is cut into in one round.
 CUTS = 2
 
@@ -316,7 +342,7 @@ def _cut_ranges(length: int):
     """Rows of _NODE: the windows [x0, x1] (by their distance before the anchor) of each segment in ``CUTS`` ranges, with the hash of the
     bytes that all windows of a range share, that of all its bytes, and where they begin and end."""
     names, kinds = zip(*(c.split() for c in _NODE.split(", ")))
-    types = [pa.int32() if k == "int" else pa.int64() for k in kinds]
+    types = [{"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[k] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,43 +355,39 @@ def _cut_ranges(length: int):
                     if x0 <= x1 and near <= far:
                         core = xxhash.xxh3_64_intdigest(body[left - x0:left - x1 + length], 1) - (1 << 63)
                         whole = xxhash.xxh3_64_intdigest(body[left - far:left - near + length], far) - (1 << 63)
-                        out.append((r["gram"], x0, x1, core, whole, -far, length - near, r["seg"], r["key"], r["lot"], r["doc"], r["pos"]))
+                        out.append((r["gram"], x0, x1, core, whole, -far, length - near, r["lot"], r["doc"], r["pos"], r["many"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(types), types)], list(names))
     return run
 
 
-def _split(bodies: DataFrame, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _split(bodies: DataFrame, length: int, gram: int, crowd: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """(parts, flags) of the crowded grams' segments: parts of at most ``crowd`` segments, with a column part, and the flags of segments
     that agree on whole ranges. Every round cuts the ranges of crowded parts into ``CUTS``, so there are as many as ``length`` has
     digits to that base; the bytes of segments do not travel with their ranges."""
-    key, body = ["gram", "x0", "x1", "core"], [c.split()[0] for c in _BODY.split(", ")]
+    key, place = ["gram", "x0", "x1", "core"], ["lot", "doc", "pos"]
     hot, parts, flags = bodies.withColumn("x0", F.lit(0)).withColumn("x1", F.lit(length - gram)), [], []
     while True:
-        node = written(hot.select("x0", "x1", *body).mapInArrow(_cut_ranges(length), _NODE), "repeats-ranges")
-        kinds = node.groupBy(*key, "whole").agg(F.count("*").alias("alike"), F.min(F.struct("key", "lot", "doc", "pos", "seg")).alias("head"))
-        kinds = written(kinds.select(*key, "whole", "alike", F.col("head.seg").alias("seg")), "repeats-alike")
+        node = written(hot.select("x0", "x1", *_BODY_NAMES).mapInArrow(_cut_ranges(length), _NODE), "repeats-ranges")
+        kinds = node.groupBy(*key, "whole").agg(F.count("*").alias("alike"), F.min(F.struct(*place)).alias("head"))
+        kinds = written(kinds.select(*key, "whole", "alike", "head"), "repeats-alike")
         # Written, so that Spark can split the rows of one key in the joins below.
-        alike = written(kinds.where("alike > 1").select(*key, "whole", F.col("seg").alias("early")), "repeats-same")
-        flags.append(node.join(alike, [*key, "whole"]).select("gram", "seg", "lo", "hi", (F.col("seg") == F.col("early")).alias("first"), "lot", "doc", "pos"))
+        alike = written(kinds.where("alike > 1").select(*key, "whole", "head"), "repeats-same")
+        same = node.join(alike, [*key, "whole"])
+        same = same.where(F.struct(*place) != F.col("head")) if keep_first else same.where(~F.col("many"))
+        flags.append(same.select(*place, "lo", "hi"))
         sizes = written(kinds.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "repeats-sizes")
-        heads = written(kinds.select(*key, "seg").join(sizes, key), "repeats-heads")
-        parts.append(heads.where(F.col("size") <= crowd).select(F.xxhash64(*key).alias("part"), "gram", "seg").distinct())
-        crowded = heads.where(F.col("size") > crowd).select("gram", "seg", "x0", "x1")
+        heads = written(kinds.select(*key, "head.*").join(sizes, key), "repeats-heads")
+        parts.append(heads.where(F.col("size") <= crowd).select(F.xxhash64(*key).alias("part"), *place).distinct())
+        crowded = heads.where(F.col("size") > crowd).select(*place, "x0", "x1")
         if crowded.isEmpty():
-            return reduce(DataFrame.unionByName, parts).join(bodies.hint("merge"), ["gram", "seg"]), reduce(DataFrame.unionByName, flags)
-        hot = bodies.join(crowded, ["gram", "seg"])
-
-
-def covered(n: int, spans: list[dict], keep_first: bool = False) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes of a text of n bytes that the spans cover; with ``keep_first`` without the windows of a
-    first place."""
-    ends = []
-    for s in spans:
-        for i in range(s["early"] if keep_first else 0, s["n"]):
-            a = s["pos"] + i * s["step"]
-            ends.append((max(0, a + s["lo"]), min(n, a + s["hi"])))
+            return reduce(DataFrame.unionByName, parts).join(bodies.hint("merge"), place), reduce(DataFrame.unionByName, flags)
+        hot = bodies.join(crowded, place)
+
+
+def covered(n: int, ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes of a text of n bytes that the ranges cover."""
     runs: list[tuple[int, int]] = []
-    for lo, hi in sorted(ends):
+    for lo, hi in sorted((max(0, lo), min(n, hi)) for lo, hi in ends):
         if runs and lo <= runs[-1][1]:
             runs[-1] = (runs[-1][0], max(runs[-1][1], hi))
         elif hi > lo:
@@ -373,57 +395,50 @@ def covered(n: int, spans: list[dict], keep_first: bool = False) -> list[tuple[i
     return runs
 
 
-def _to_lots(lots: DataFrame, rows: DataFrame, columns: list[str], count: int) -> DataFrame:
-    """The rows of each lot, document by document, and then the lot itself with the given columns."""
-    own = [c for c in rows.columns if c != "lot"]
-    kinds, mine = dict(rows.dtypes), dict(lots.dtypes)
-    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
-    left = rows.select("lot", F.lit(ANCHORS).alias("kind"), *own, *(none(mine[c], c) for c in columns))
-    right = lots.select("lot", F.lit(SELF).alias("kind"), *(none(kinds[c], c) for c in own), *columns)
-    order = [c for c in ("range", "doc") if c in own]
-    return left.unionByName(right).repartition(max(1, count), "lot").sortWithinPartitions("lot", "kind", *order)
+def _to_lots(lots: DataFrame, columns: list[str], count: int, *before: tuple[int, DataFrame]) -> DataFrame:
+    """The rows that go to each lot, kind by kind, and then the lot itself with the given columns."""
+    frames = [rows.withColumn("kind", F.lit(kind)) for kind, rows in before] + [lots.select("lot", *columns).withColumn("kind", F.lit(SELF))]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    order = [c for c in ("range", "doc") if c in out.columns]
+    return out.repartition(max(1, count), "lot").sortWithinPartitions("lot", "kind", *order)
 
 
-def repeated_spans(lots: DataFrame, count: int, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, per_task: int = PER_TASK,
-                   keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
-    """(lot, doc, pos, step, n, lo, hi, early) of the repeated windows of every document: ranges lo to hi around n anchors from pos on,
-    step apart; early is 1 if those of the first anchor stand at the first place of their strings."""
+def repeated_ranges(lots: DataFrame, count: int, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, per_task: int = PER_TASK,
+                    keys_per_task: int = KEYS_PER_TASK, keep_first: bool = False) -> list[tuple[int, DataFrame]]:
+    """What each lot needs to tell its repeats: totals of its grams and segments, and _FLAG rows of windows that segments share."""
     marks = lots.agg(F.coalesce(F.sum(F.length("gram")), F.lit(0))).first()[0] // 8
     bits = grams.range_bits(marks, keys_per_task)
-    totals = grams.answers(lots.select("lot", "gram").mapInArrow(_ask(bits), grams.ASK), bits, "repeats-totals")
-    many = _to_lots(lots, totals.select("lot", "range", "totals"), ["keys", "sizes", "pos", "gram", "seg"], count).mapInArrow(_shared_rows, _SHARED)
-    many = written(many, "repeats-shared")
-    segment = ["gram", "seg"]
-    own = many.groupBy(*segment).agg(F.sum("n").alias("count"), F.min(F.struct("key", "lot", "doc", "pos")).alias("rep"))
-    own = written(own, "repeats-segments")
-    kinds = written(own.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeats-kinds")
-    mixed = own.join(kinds.hint("merge"), "gram").select(*segment, "rep.*")
-    bodies = _to_lots(lots, mixed, ["docs"], count).mapInArrow(_body_rows(length, gram), _BODY)
+    names = ["sizes", "places", "gram", "seg"]
+    some = grams.answers(lots.select("lot", "gram").mapInArrow(_ask_grams(bits), grams.ASK), bits, "repeats-grams").select("lot", "range", "totals")
+    asked = _to_lots(lots, names, count, (GRAMS, some)).mapInArrow(_ask_segments(bits), grams.ASK)
+    same = grams.answers(asked, bits, "repeats-segments").select("lot", "range", "totals", "owner")
+    bodies = _to_lots(lots, ["docs", *names], count, (GRAMS, some), (SEGMENTS, same)).mapInArrow(_body_rows(length, gram), _BODY)
     bodies = written(bodies, "repeats-bodies")
-    crowded = kinds.where(F.col("kinds") > crowd).select("gram")
-    calm = bodies.join(crowded, "gram", "left_anti").withColumn("part", F.xxhash64("gram"))
-    flags = own.where("count > 1").select(*segment, F.lit(gram - length).alias("lo"), F.lit(length).alias("hi"), F.lit(True).alias("first"), "rep.lot", "rep.doc", "rep.pos")
-    if not crowded.isEmpty():
-        parts, alike = _split(written(bodies.join(crowded, "gram", "left_semi"), "repeats-crowded"), length, gram, crowd)
-        calm, flags = calm.unionByName(parts.select(*calm.columns)), flags.unionByName(alike)
+    crowded = written(bodies.groupBy("gram").agg(F.count("*").alias("kinds")).where(F.col("kinds") > crowd).select("gram"), "repeats-crowded")
+    flags = []
+    if crowded.isEmpty():
+        calm = bodies.withColumn("part", F.xxhash64("gram"))
+    else:
+        calm = bodies.join(crowded, "gram", "left_anti").withColumn("part", F.xxhash64("gram"))
+        parts, alike = _split(written(bodies.join(crowded, "gram", "left_semi"), "repeats-crowded-bodies"), length, gram, crowd, keep_first)
+        calm, flags = calm.unionByName(parts.select(*calm.columns)), [alike]
     dealt = calm.repartition(partitions_for(bodies.count(), per_task), "part")
-    flags = flags.unionByName(dealt.mapInArrow(_repeat_rows(length, gram), _FLAG))
-    flags = flags.withColumnsRenamed({"lot": "rlot", "doc": "rdoc", "pos": "rpos"})
-    early = F.col("first") & (F.col("lot") == F.col("rlot")) & (F.col("doc") == F.col("rdoc")) & (F.col("pos") == F.col("rpos"))
-    # Merged at every size, as both tables grow with the input.
-    return many.hint("merge").join(flags, segment).select("lot", "doc", "pos", "step", "n", "lo", "hi", early.cast("int").alias("early"))
+    flags.append(dealt.mapInArrow(_repeat_rows(length, gram, keep_first), _FLAG))
+    return [(GRAMS, some), (SEGMENTS, same), (FLAGS, reduce(DataFrame.unionByName, flags))]
 
 
 _RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
 
 
-def _results(keep_first: bool, min_words: int):
-    def out(texts: pa.ChunkedArray, spans: dict[int, list[dict]]) -> list[pa.Array]:
+def _results(length: int, gram: int, keep_first: bool, min_words: int):
+    reach = length - gram
+
+    def out(texts: pa.ChunkedArray, ranges: dict[int, list[tuple[int, int]]]) -> list[pa.Array]:
         cols: list[list] = [[] for _ in _RESULT]
         for doc, text in enumerate(texts):
             text = text.as_py()
             raw = text.encode("utf-8", "replace") if text else b""
-            runs = covered(len(raw), spans.get(doc, ()), keep_first)
+            runs = covered(len(raw), ranges.get(doc, []))
             if min_words:
                 runs = [(lo, hi) for lo, hi in runs if len(raw[lo:hi].split()) >= min_words]
             kept, at = [], 0
@@ -438,16 +453,16 @@ def _results(keep_first: bool, min_words: int):
         return [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == ANCHORS:
-                    spans.setdefault(row["doc"], []).append(row)
-                    continue
-                docs = _documents(row["docs"])
-                cols = [docs["carried"].combine_chunks(), *out(docs["text"], spans)]
-                spans = {}
-                yield pa.RecordBatch.from_arrays(cols, ["carried", *(c for c, _ in _RESULT)])
+        for row, totals, owner, flags in _lots_with(batches):
+            m = Marks(row, totals, owner)
+            ranges: dict[int, list[tuple[int, int]]] = {}
+            whole = np.flatnonzero((m.alike > 1) & ~m.first if keep_first else m.alike > 1)
+            for doc, pos in zip(m.doc[whole].tolist(), m.pos[m.take[whole]].tolist()):
+                ranges.setdefault(doc, []).append((pos - reach, pos + length))
+            for f in flags:
+                ranges.setdefault(f["doc"], []).append((f["pos"] + f["lo"], f["pos"] + f["hi"]))
+            docs = _documents(row["docs"])
+            yield pa.RecordBatch.from_arrays([docs["carried"].combine_chunks(), *out(docs["text"], ranges)], ["carried", *(c for c, _ in _RESULT)])
     return run
 
 
@@ -460,20 +475,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns named in ``carry`` (the id if none are), so that clashing names do no harm. Texts are UTF-8 bytes,
     null is empty (its kept_text is null); matches lie inside one document, may overlap and are judged on the
     input. A repeated row is another place. kept_text leaves out a character of which only a part remains.
-    With ``keep_first`` the first place of each string stays (places are ordered by the hash of id and text, then in reading order), and
+    With ``keep_first`` the first place of each string stays, in the order in which the table is read, and
     bytes go that a string covers which also starts at an earlier place. Runs that touch fewer than
     ``min_words`` words stay. Ids may be null or repeat; an empty input gives no rows.
     """
     if length <= gram:
         raise ValueError("length must exceed gram")
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                      F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carried"))
-    own = own.select(F.xxhash64("doc_id", "text").alias("key"), "text", "carried")
+    own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carried"))
     lots = written(own.mapInArrow(_lots(length, gram, lot_bytes), _LOT), "repeats-lots")
     count = lots.count()
-    spans = repeated_spans(lots, count, length, gram, crowd, per_task, keys_per_task)
+    ranges = repeated_ranges(lots, count, length, gram, crowd, per_task, keys_per_task, keep_first)
     schema = T.StructType([own.schema["carried"], *(T.StructField(c, k) for c, k in _RESULT)])
-    return _to_lots(lots, spans, ["docs"], count).mapInArrow(_results(keep_first, min_words), schema)
+    return _to_lots(lots, ["docs", "sizes", "places", "gram", "seg"], count, *ranges).mapInArrow(_results(length, gram, keep_first, min_words), schema)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
