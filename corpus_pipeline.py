@@ -40,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated passages of ``REPEAT_WORDS`` words or more. The first place of a passage stays (in the order of the hash of
-    id and text), so no passage vanishes from the corpus. Null and empty texts stay as they are; of repeated rows the first stays whole. A document of
+    """Documents without repeated passages of ``REPEAT_WORDS`` words or more. The first place of a passage stays (in the order in
+    which the table is read), so no passage vanishes from the corpus. Null and empty texts stay as they are; of repeated rows the first stays whole. A document of
     which no word is left goes, one that had none stays."""
     rest = [c for c in docs.columns if c != "text"]
     out = repeats.remove_repeats(docs, length=REPEAT_BYTES, gram=REPEAT_GRAM, carry=rest, keep_first=True, min_words=REPEAT_WORDS)
