@@ -32,8 +32,12 @@ def uni_bigrams(toks: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf): raw term counts per document."""
-    e = docs.select(F.col(doc_id).alias("doc_id"), F.explode(uni_bigrams(tokens(F.col(text)))).alias("term"))
+    """(doc_id, term, tf): raw term counts per document.
+
+    The whole texts are dealt by document, which spreads the work of a file that Spark cannot split and spares a shuffle of all terms.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
+    e = own.select("doc_id", F.explode(uni_bigrams(tokens(F.col("text")))).alias("term"))
     return e.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -53,8 +57,11 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None =
 def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, term, weight, and idx if the vocabulary has it): tf * idf, L2-normalised per document over kept terms."""
     idx = [c for c in ("idx",) if c in vocab.columns]
-    # Both sides grow with the texts, and Spark sizes an explode like the file below it: merged, never broadcast.
-    w = tf.hint("merge").join(vocab.select("term", "idf", *idx), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # A numbered vocabulary has a bounded size and is sent to the counts. Without a bound both sides grow with the texts, and Spark sizes
+    # an explode like the file below it: merged, never broadcast.
+    known = vocab.select("term", "idf", *idx)
+    joined = tf.join(F.broadcast(known), "term") if idx else tf.hint("merge").join(known, "term")
+    w = joined.withColumn("w", F.col("tf") * F.col("idf"))
     # a document's terms come from one text: the window is bounded by it
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return w.select("doc_id", "term", *idx, (F.col("w") / norm).alias("weight"))
@@ -74,41 +81,148 @@ def transform_tfidf(docs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", t
     return tfidf_weights(term_counts(docs, doc_id, text), vocab)
 
 
+def packed(weights: DataFrame) -> DataFrame:
+    """(doc_id, e): one row per document with its entries (idx, weight) by idx; a frame that is packed already stays as it is."""
+    if "e" in weights.columns:
+        return weights
+    return weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
+
+
+def _blocks(column, docs: int = 128):
+    """(document number, idx, weight) arrays of at most ``docs`` documents of an Arrow column of packed entries, and how many they are."""
+    import numpy as np
+
+    ends = column.offsets.to_numpy()
+    flat = column.values.slice(ends[0], ends[-1] - ends[0])
+    idx, weight, ends = flat.field("idx").to_numpy(), flat.field("weight").to_numpy(), ends - ends[0]
+    for at in range(0, len(ends) - 1, docs):
+        part = ends[at:at + docs + 1]
+        yield np.repeat(np.arange(len(part) - 1), np.diff(part)), idx[part[0]:part[-1]], weight[part[0]:part[-1]], len(part) - 1
+
+
+def _dense(doc, idx, weight, n_docs: int, n: int):
+    """The documents as a dense matrix over the terms that they have, and these terms."""
+    import numpy as np
+
+    seen = np.zeros(n, dtype=bool)
+    seen[idx] = True
+    d = np.zeros((n_docs, int(seen.sum())))
+    d[doc, (np.cumsum(seen) - 1)[idx]] = weight
+    return d, np.flatnonzero(seen)
+
+
+def _gram_product(rows: DataFrame, q, piece: int = 1000):
+    """A'(A q) for the packed rows of A: every task adds up its documents, and the tasks' sums are added by pieces of terms."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    n, b = q.shape
+    sc = rows.sparkSession.sparkContext
+    held = sc.broadcast(q)
+
+    def multiply(batches):
+        out, mine = np.zeros((n, b)), held.value
+        for batch in batches:
+            for doc, idx, weight, n_docs in _blocks(batch.column(0)):
+                d, terms = _dense(doc, idx, weight, n_docs, n)
+                out[terms] += d.T @ (d @ mine[terms])
+        starts = range(0, n, piece)
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([out[i:i + piece].tobytes() for i in starts], pa.binary())], names=["at", "sums"])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"][:1], "sums": [sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()]})
+
+    try:
+        # A task's sums are as large as q, so there are no more tasks than run at once.
+        parts = rows.select("e").coalesce(max(1, sc.defaultParallelism)).mapInArrow(multiply, "at int, sums binary")
+        got = parts.groupBy("at").applyInPandas(total, "at int, sums binary").collect()
+    finally:
+        held.destroy()
+    out = np.zeros((n, b))
+    for r in got:
+        out[r["at"]:r["at"] + piece] = np.frombuffer(r["sums"]).reshape(-1, b)
+    return out
+
+
+#: Residual of a component, as a share of its eigenvalue, at which it counts as found; components asked for besides the k; columns kept at most, in k + MORE.
+SVD_TOL, MORE, HELD_BLOCKS = 1e-8, 14, 10
+
+
 def fit_svd(weights: DataFrame, vocab_size: int, k: int = SVD_COMPONENTS) -> tuple[DataFrame, list[float]]:
-    """M2: truncated SVD of the documents x terms matrix by Spark's distributed ``RowMatrix``.
+    """M2: truncated SVD of the documents x terms matrix A by a block Krylov method on A'A, until every component's residual is within ``SVD_TOL``.
 
-    Every pass multiplies the rows in parallel; the driver holds vectors of the vocabulary's size and, at the end, its k components,
-    both bounded by ``TRAIN_MAX_FEATURES`` and k. Returns (V as (idx, comp, value), singular values); the sign of a component is that
-    which makes its largest entry positive.
+    A round multiplies all rows in parallel by a block of k + ``MORE`` vectors, so a few rounds do. The driver holds at most
+    ``HELD_BLOCKS`` such blocks, and the result, bounded by the vocabulary's size and k. Returns (V as (idx, comp, value), singular values); the sign of
+    a component is that which makes its largest entry positive. Components beyond the matrix's rank are left out.
     """
     import numpy as np
-    import pandas as pd
-    from pyspark import StorageLevel
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    import pyarrow as pa
 
     n = max(1, int(vocab_size))
     k = max(1, min(k, n - 1))
-    grouped = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
-    rows = grouped.rdd.map(lambda r: Vectors.sparse(n, [x["idx"] for x in r["e"]], [x["weight"] for x in r["e"]])).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if rows.isEmpty():
-            v, sing = np.zeros((n, k)), np.zeros(k)
-        else:
-            svd = RowMatrix(rows, 0, n).computeSVD(k)
-            v, sing = svd.V.toArray(), svd.s.toArray()
-    finally:
-        rows.unpersist()
+    b = min(n, k + MORE)
+    rows = packed(weights)
+    rows = rows if "e" in weights.columns else written(rows, "svd-rows")  # read in every round
+    block = np.random.default_rng(0).standard_normal((n, b))
+    q = w = np.zeros((n, 0))  # the orthonormal columns so far, and A'A of them
+    while True:
+        for _ in range(2):  # the second time for the digits that the first one loses
+            block = block - q @ (q.T @ block)
+            u, s, _ = np.linalg.svd(block, full_matrices=False)
+            block = u[:, s > 1e-10]
+        if not block.shape[1]:
+            break  # nothing is left outside
+        q, w = np.hstack([q, block]), np.hstack([w, _gram_product(rows, block)])
+        t = q.T @ w
+        theta, y = np.linalg.eigh((t + t.T) / 2)
+        theta, y = theta[::-1], y[:, ::-1]
+        lead = min(b, len(theta))
+        residual = w @ y[:, :lead] - q @ y[:, :lead] * theta[:lead]
+        size = np.linalg.norm(residual, axis=0)
+        left = size > SVD_TOL * np.abs(theta[:lead]) + 1e-13 * theta[0]
+        if not left[:k].any():
+            break
+        block = residual[:, left] / size[left]
+        if q.shape[1] + block.shape[1] > max(HELD_BLOCKS * b, 2 * b):
+            q, w = q @ y[:, :2 * b], w @ y[:, :2 * b]
+    t = q.T @ w
+    theta, y = np.linalg.eigh((t + t.T) / 2)
+    theta, y = theta[::-1][:k], y[:, ::-1][:, :k]
+    found = theta > n * np.finfo(float).eps * max(theta[0], 0.0)
+    v, sing = q @ y[:, found], np.sqrt(theta[found])
     flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
     v = v * np.where(flip == 0, 1.0, flip)
     ii, jj = np.meshgrid(np.arange(n), np.arange(v.shape[1]), indexing="ij")
-    pdf = pd.DataFrame({"idx": ii.ravel().astype("int32"), "comp": jj.ravel().astype("int32"), "value": v.ravel()})
-    return weights.sparkSession.createDataFrame(pdf, "idx int, comp int, value double"), [float(x) for x in sing]
+    table = pa.table({"idx": ii.ravel().astype("int32"), "comp": jj.ravel().astype("int32"), "value": v.ravel()})
+    return weights.sparkSession.createDataFrame(table, "idx int, comp int, value double"), [float(x) for x in sing]
 
 
 def project(weights: DataFrame, comps: DataFrame, k: int) -> DataFrame:
-    """M3 (second half): document vectors = weights · V (V broadcast: at most ``TRAIN_MAX_FEATURES`` x k doubles)."""
-    j = weights.join(F.broadcast(comps), "idx").groupBy("doc_id", "comp").agg(F.sum(F.col("weight") * F.col("value")).alias("x"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                      lambda c: F.coalesce(F.element_at(F.map_from_entries(F.col("_e")), c), F.lit(0.0)))
-    return j.groupBy("doc_id").agg(F.collect_list(F.struct("comp", "x")).alias("_e")).select("doc_id", arr.alias("svd"))
+    """M3 (second half): document vectors = weights · V, a block of documents at a time (V is held by every task: at most
+    ``TRAIN_MAX_FEATURES`` x k doubles)."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = packed(weights)
+    table = comps.toArrow()
+    idx, comp, value = (table.column(c).to_numpy() for c in ("idx", "comp", "value"))
+    n = int(idx.max()) + 1 if len(idx) else 1
+    v = np.zeros((n, k))
+    v[idx, comp] = value
+    held = comps.sparkSession.sparkContext.broadcast(v)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def vectors(batches):
+        mine = held.value
+        for batch in batches:
+            out = []
+            for doc, at, weight, n_docs in _blocks(batch.column(1)):
+                has = at < n  # a term beyond the components has none
+                d, terms = _dense(doc[has], at[has], weight[has], n_docs, n)
+                out.append(d @ mine[terms])
+            flat = pa.array(np.concatenate(out).ravel() if out else np.zeros(0))
+            svd = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), svd], names=["doc_id", "svd"])
+
+    return rows.select("doc_id", "e").mapInArrow(vectors, f"doc_id {kind}, svd array<double>")

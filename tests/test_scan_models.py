@@ -113,3 +113,37 @@ def test_large_ids_keep_all_digits(spark):
 
     raw = spark.createDataFrame([(1, "9007199254740993"), (2, None), (3, "5"), (4, "x")], "pos long, id string")
     assert [r.id for r in normalize_requests(raw, ["pos"]).orderBy("pos").collect()] == [9007199254740993, 9007199254740994, 5, 9007199254740995]
+
+
+def test_svd_takes_few_passes_and_projection_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    a = rng.random((150, 120)) * (rng.random((150, 120)) < 0.2)  # a slow spectrum: a method of single vectors reads the rows over 60 times
+    a[7] = 0.0  # a document without a known term
+    w = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "doc_id long, idx int, weight double")
+    w = tx.packed(w).cache()
+    sc = spark.sparkContext
+    sc.setJobGroup("svd-passes", "")
+    comps, s = tx.fit_svd(w, 120, 20)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("svd-passes")) <= 40
+    _, exact, vt = np.linalg.svd(a)
+    assert np.allclose(s, exact[:20], rtol=1e-9)
+    v = vt[:20].T * np.sign(vt[:20].T[np.abs(vt[:20]).argmax(axis=1), range(20)])
+    got = {r["doc_id"]: r["svd"] for r in tx.project(w, comps, 20).collect()}
+    assert len(got) == 149 and all(np.allclose(got[i], a[i] @ v, atol=1e-6) for i in got)
+    w.unpersist()
+
+
+def test_svd_of_a_matrix_of_low_rank(spark):
+    rows = [(i, j, float((i % 2 + 1) * (j + 1))) for i in range(6) for j in range(9)]
+    w = spark.createDataFrame(rows, "doc_id long, idx int, weight double")
+    comps, s = tx.fit_svd(w, 9, 4)
+    a = np.array([r[2] for r in rows]).reshape(6, 9)
+    assert len(s) == 1 and np.isclose(s[0], np.linalg.norm(a))
+    assert all(len(r["svd"]) == 4 and np.isclose(r["svd"][0], np.linalg.norm(a[r["doc_id"]])) and not any(r["svd"][1:]) for r in tx.project(w, comps, 4).collect())
+
+
+def test_counts_of_terms_deal_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, None)], "doc_id long, text string")
+    plan = tx.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id#" in plan and "term#" not in plan.split("Exchange")[1].splitlines()[0]
