@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matforge.operators.scan import sequential_ids
+from matforge.session import written
 
 # Fixed value: what a missing category counts as.
 MISSING = "__MISSING__"
@@ -21,7 +22,8 @@ def fit_category_codes(train: DataFrame, cols: list[str]) -> DataFrame:
     values = train.select(F.explode(held).alias("x")).select("x.*").distinct()
     numbered = sequential_ids(values, ["column", "value"], name="at", start=0)
     first = numbered.groupBy("column").agg(F.min("at").alias("first"))  # one row per column
-    return numbered.join(F.broadcast(first), "column").select("column", "value", (F.col("at") - F.col("first")).alias("code"))
+    # Written, so that the joins know its size: Spark takes a join for as large as the product of its sides.
+    return written(numbered.join(F.broadcast(first), "column").select("column", "value", (F.col("at") - F.col("first")).alias("code")), "category-codes")
 
 
 def apply_category_codes(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "_code") -> DataFrame:

@@ -14,6 +14,7 @@ from matforge.config import CATEGORICAL_COLUMNS, CURRENCY_COLUMNS, DATE_COLUMNS,
 from matforge.functions.cleaning import (calendar_features, clean_currency, clean_text, col_or_null, day_diff,
                                          is_numeric_type, parse_timestamp, safe_ratio, safe_to_numeric, to_numeric)
 from matforge.operators.stats import project_frequency, quantile_row
+from matforge.session import written
 
 
 def clean_columns(df: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def preprocess(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
         specs.append(("_p75", F.col("SIZE_BUILDINGSIZE_clean"), 0.75))
     if not specs:
         return df
-    stats_row = quantile_row(df, specs)
+    stats_row = written(quantile_row(df, specs), "medians")  # one row, made once for all that is derived from the result
     out = df.crossJoin(F.broadcast(stats_row))  # one row
     if has_size:
         out = out.withColumn("is_large_project",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from matforge.functions.cleaning import canonical_item_key, numeric_text
 from matforge.operators.scan import sequential_ids
+from matforge.session import written
 
 
 def demand_per_item(pred: DataFrame, item: str = "MasterItemNo", qty: str = "QtyShipped") -> DataFrame:
@@ -112,13 +113,14 @@ def large_project_flag(df: DataFrame, size_col: str, q: float = 0.75) -> DataFra
 def project_frequency(df: DataFrame, project: str = "PROJECTNUMBER", name: str = "PROJECT_FREQ") -> DataFrame:
     """Rows per project on every row (missing project counted as 'NA').
 
-    Aggregate-then-join rather than a window: the count is combined map-side and the
-    join back lets AQE broadcast the per-project table when it is small at run time or
-    split a hot project's partition when it is not.
+    Aggregate-then-join rather than a window: the count is combined map-side, and written,
+    so that its size is known: a small table is broadcast and the rows stay where they are. With a large one
+    AQE splits a hot project's partition (as that of the rows without a project), which it does
+    only if both sides come to the join straight from a shuffle, not from an aggregate.
     """
     key = F.coalesce(F.col(project).cast("string"), F.lit("NA"))
     keyed = df.withColumn("_proj", key)
-    counts = keyed.groupBy("_proj").agg(F.count(F.lit(1)).alias(name))
+    counts = written(keyed.groupBy("_proj").agg(F.count(F.lit(1)).alias(name)), "project-counts")
     return keyed.join(counts, "_proj").drop("_proj")
 
 

@@ -853,10 +853,15 @@ CODED = ("PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM")
 
 
 def _reg_features(spark, sf):
-    t = pp.basic_features(pp.preprocess(_li(spark, sf), CFG))
-    t = t.withColumn("item_key", C.canonical_item_key(F.col("MasterItemNo")))
-    t = en.apply_category_codes(t, en.fit_category_codes(t, list(CODED)), list(CODED))
-    return t, ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean", *(f"{c}_code" for c in CODED)]
+    """The features and their names. The line items are made by joins, so what the features are made of is written once and read by each pass."""
+    raw = _li(spark, sf).select("PROJECTNUMBER", "MasterItemNo", "QtyShipped", "NUMFLOORS", "UnitPrice", "SIZE_BUILDINGSIZE", *CODED)
+    t = pp.basic_features(pp.preprocess(written(raw, "line-items"), CFG))
+    own = ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean"]
+    t = t.select("MasterItemNo", "PROJECTNUMBER", "QtyShipped_clean", *own, *CODED)
+    # Cleaned once for the codes and the features; one generated method of all steps would be too large for the JVM to compile.
+    t = written(t, "cleaned-rows")
+    t = en.apply_category_codes(t, en.fit_category_codes(t, list(CODED)), list(CODED)).withColumn("item_key", C.canonical_item_key(F.col("MasterItemNo")))
+    return t, [*own, *(f"{c}_code" for c in CODED)]
 
 
 @register("m7_global_regressor")

@@ -36,9 +36,9 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))  # 5 rows
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     cust = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(p, li.l_partkey == p.p_partkey)
-         .join(cust, o.o_custkey == cust.c_custkey))
+    # Customers meet the orders, of which there are fewer: the lines are not dealt by customer as well.
+    o = o.join(cust, o.o_custkey == cust.c_custkey)
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     pk = F.col("l_partkey").cast("string")
     ln = F.col("l_linenumber")
     return j.select(
