@@ -180,40 +180,87 @@ def top_items(df: DataFrame, item: str, k: int | None = None, min_rows: int = MI
 
 
 def item_statistics(df: DataFrame, item: str, feature_cols: list[str], target: str) -> DataFrame:
-    """(item, n, xx_i_j, xy_i): the sums X'X and X'y of each item over (1, features), a missing feature as 0; exact, and combined
-    map-side, so a hot item is one partial row of each map task."""
+    """(item, n, xx_i_j, xy_i): the sums X'X and X'y of each item over (1, features), a missing feature as 0; exact.
+
+    The rows are dealt by item with few numbers each (a row of sums is many times as wide), where a partition that one item makes too large is split
+    by AQE, and added up in arrays; the sums of an item's parts are added after a second shuffle of one row for each item and part.
+    """
     d = len(feature_cols) + 1
-    xs = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols]
-    aggs = [F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}") for i in range(d) for j in range(i, d)]
-    aggs += [F.sum(xs[i] * F.col(target).cast("double")).alias(f"xy_{i}") for i in range(d)]
-    return df.groupBy(item).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    own = df.select(F.col(item).alias("_item"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(feature_cols, 1)),
+                    F.col(target).cast("double").alias("_y"))
+    kind = T.StructType([T.StructField("_item", df.schema[item].dataType), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def products(batch):
+        """n, rows with a target, X'X and X'y of single rows."""
+        x = [np.ones(batch.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:-1]]
+        y = batch.columns[-1]
+        has = y.is_valid().to_numpy(zero_copy_only=False)
+        y = np.where(has, y.to_numpy(zero_copy_only=False), 0.0)
+        return np.column_stack([x[0], has, *(x[i] * x[j] for i, j in pairs), *(np.where(has, v, 0.0) * y for v in x)])
+
+    def stored(batch):
+        return batch.columns[1].flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    parts = own.hint("rebalance", "_item").sortWithinPartitions("_item").mapInArrow(_added(products), kind)
+    sums = parts.repartition("_item").sortWithinPartitions("_item").mapInArrow(_added(stored), kind)
+    s = F.col("_sums")
+    xy = [F.when(s[1] > 0, s[2 + len(pairs) + i]).alias(f"xy_{i}") for i in range(d)]
+    return sums.select(F.col("_item").alias(item), s[0].cast("bigint").alias("n"), *(s[2 + k].alias(f"xx_{i}_{j}") for k, (i, j) in enumerate(pairs)), *xy)
+
+
+def _added(numbers):
+    """A task that adds up ``numbers`` (one array row for each row of a batch) of equal neighbours in the first column, across batches too."""
+    import pyarrow as pa
+
+    def rows(keys, sums):
+        ends = pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32())
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))], names=["_item", "_sums"])
+
+    def task(batches):
+        last = None  # the last item of the batches so far and its sums: the next batch may go on with it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, values = batch.column(0), numbers(batch)
+            if last is not None:
+                keys, values = pa.concat_arrays([last[0], keys]), np.vstack([last[1], values])
+            code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            sums = np.add.reduceat(values, first, axis=0)
+            keys = keys.take(pa.array(first))
+            last = keys[-1:], sums[-1:]
+            if len(first) > 1:
+                yield rows(keys[:-1], sums[:-1])
+        if last is not None:
+            yield rows(*last)
+
+    return task
 
 
 def fit_item_regressors(df: DataFrame, item: str, feature_cols: list[str], target: str, ridge: float = 1e-3,
                         k: int | None = None, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
     """(item, coef array) ridge fits for every item with ``min_rows`` rows (with ``k``: the k most frequent).
 
-    X'X and X'y come from ``item_statistics``; only the d x d solve runs in pandas, one small row per item.
+    X'X and X'y come from ``item_statistics``; only the d x d solves run in pandas, those of a batch of items at once. The fits are written: what
+    they are joined with meets a table of known size.
     """
     d = len(feature_cols) + 1
     stats = item_statistics(df, item, feature_cols, target).where(F.col("n") >= min_rows)
     if k is not None:
         stats = stats.orderBy(F.col("n").desc(), F.col(item).asc()).limit(k)
+    upper = np.triu_indices(d)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            a = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    a[i, j] = a[j, i] = r[f"xx_{i}_{j}"]
-            b = np.array([r[f"xy_{i}"] for i in range(d)])
-            coef = np.linalg.solve(a + ridge * np.eye(d), b)
-            out.append((r[item], [float(x) for x in coef]))
-        return pd.DataFrame(out, columns=[item, "coef"])
+        a = np.zeros((len(pdf), d, d))
+        a[:, upper[0], upper[1]] = pdf[[f"xx_{i}_{j}" for i, j in zip(*upper)]].to_numpy(dtype=float)
+        a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
+        b = pdf[[f"xy_{i}" for i in range(d)]].to_numpy(dtype=float)
+        coef = np.linalg.solve(a + ridge * np.eye(d), b[:, :, None])[:, :, 0]
+        return pd.DataFrame({item: pdf[item], "coef": list(coef)})
 
     schema = T.StructType([T.StructField(item, df.schema[item].dataType), T.StructField("coef", T.ArrayType(T.DoubleType()))])
-    return stats.mapInPandas(lambda it: (solve(p) for p in it), schema)
+    return written(stats.mapInPandas(lambda it: (solve(p) for p in it if len(p)), schema), "item-models")
 
 
 def score_linear(df: DataFrame, coefs: DataFrame, item: str, feature_cols: list[str], name: str = "q_item") -> DataFrame:
