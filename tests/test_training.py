@@ -137,3 +137,45 @@ def test_boosting_ends_without_gain(spark):
     df = spark.range(400).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2 * 3.0).alias("y"), (F.col("id") % 5 == 0).alias("held"))
     model = md.fit_global_regressor(df, ["x"], "y", "held")
     assert model.stages[-1].getNumTrees < 10 and model.transform(df).where(F.abs(F.col("prediction") - F.col("y")) > 0.01).count() == 0
+
+
+def test_item_statistics_equal_sums_and_keep_rows_narrow(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if k % 11 == 0 else f"i{k % 7}", None if k % 5 == 0 else float(rng.integers(9)), float(rng.integers(9)), None if k % 7 == 3 or k % 4 == 0 else float(rng.integers(9))) for k in range(30_000)]
+    frame = spark.createDataFrame(rows + [("one", 1.0, 2.0, None)], "item string, a double, b double, q double").repartition(5)
+    out = md.item_statistics(frame, "item", ["a", "b"], "q")
+    xs = [F.lit(1.0), F.coalesce("a", F.lit(0.0)), F.col("b")]
+    want = frame.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *(F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}") for i in range(3) for j in range(i, 3)), *(F.sum(x * F.col("q")).alias(f"xy_{i}") for i, x in enumerate(xs)))
+    assert out.columns == want.columns and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "HashAggregate" not in plan
+    solved = {r.item: r.coef for r in md.fit_item_regressors(frame, "item", ["a", "b"], "q").collect()}
+    s = {r.item: r for r in want.collect()}
+    for k, coef in solved.items():
+        a = np.array([[s[k][f"xx_{min(i, j)}_{max(i, j)}"] for j in range(3)] for i in range(3)]) + 1e-3 * np.eye(3)
+        if s[k].xy_0 is None:
+            assert k == "i3" and all(x is None or np.isnan(x) for x in coef)  # no quantity: no number, so the next step of the chain counts
+        else:
+            assert np.allclose(coef, np.linalg.solve(a, [s[k][f"xy_{i}"] for i in range(3)]))
+    assert len(solved) == 8 and "one" not in solved
+    assert md.item_statistics(frame.limit(0), "item", ["a"], "q").count() == 0
+
+
+def test_features_read_counts_medians_and_codes_from_tables(spark):
+    """The joins meet tables of known size, so a hot project or category is no task of its own, and nothing is derived again for each of them."""
+    from matforge.operators import preprocess as pp
+    from matforge.plans.queries import CFG
+
+    raw = fx.line_items(spark, SF001).select("PROJECTNUMBER", "MasterItemNo", "QtyShipped", "SIZE_BUILDINGSIZE", "UOM")
+    t = pp.basic_features(pp.preprocess(raw, CFG))
+    t = en.apply_category_codes(t, en.fit_category_codes(t, ["UOM"]), ["UOM"])
+    plan = t.select("PROJECT_FREQ", "UOM_code", "QtyShipped_clean")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(any(f"/{name}-" in f for f in t.inputFiles()) for name in ("project-counts", "category-codes", "medians"))
+    assert "percentile_approx" not in plan
+
+
+def test_customers_meet_orders_before_lines(spark):
+    plan = fx.line_items(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda text: next(len(x) - len(x.lstrip(" :+-")) for x in lines if text in x)
+    assert depth("c_custkey") > depth("(l_orderkey#")
