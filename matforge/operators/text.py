@@ -31,20 +31,22 @@ def uni_bigrams(toks: Column) -> Column:
     return F.concat(toks, bi)
 
 
-def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf): raw term counts per document.
+def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: str | None = None) -> DataFrame:
+    """(doc_id, term, tf): raw term counts per document; with ``copies``, a count of equal documents that a row stands for, this too.
 
     The whole texts are dealt by document, which spreads the work of a file that Spark cannot split and spares a shuffle of all terms.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
-    e = own.select("doc_id", F.explode(uni_bigrams(tokens(F.col("text")))).alias("term"))
-    return e.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    more = ["copies"] if copies else []
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(copies).alias(c) for c in more)).repartition("doc_id")
+    e = own.select("doc_id", *more, F.explode(uni_bigrams(tokens(F.col("text")))).alias("term"))
+    return e.groupBy("doc_id", *more, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None = None) -> DataFrame:
     """(term, df, idf): every term, or the top ``max_features`` by corpus count (ties by term), with smooth idf
     ln((1 + n) / (1 + df)) + 1. A vocabulary of a given size also has ``idx``, its terms numbered alphabetically from 0."""
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    copies = F.col("copies") if "copies" in tf.columns else F.lit(1)
+    stats = tf.groupBy("term").agg(F.sum(F.col("tf") * copies).alias("cf"), F.sum(copies).alias("df"))
     top = stats if max_features is None else stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
     vocab = top.crossJoin(F.broadcast(n_docs)).select(
         "term", "df", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
@@ -55,7 +57,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None =
 
 
 def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, term, weight, and idx if the vocabulary has it): tf * idf, L2-normalised per document over kept terms."""
+    """(doc_id, term, weight, idx if the vocabulary has it, and copies if the counts have them): tf * idf, L2-normalised per document over kept terms."""
     idx = [c for c in ("idx",) if c in vocab.columns]
     # A numbered vocabulary has a bounded size and is sent to the counts. Without a bound both sides grow with the texts, and Spark sizes
     # an explode like the file below it: merged, never broadcast.
@@ -64,14 +66,15 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     w = joined.withColumn("w", F.col("tf") * F.col("idf"))
     # a document's terms come from one text: the window is bounded by it
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", *idx, (F.col("w") / norm).alias("weight"))
+    more = [c for c in ("copies",) if c in tf.columns]
+    return w.select("doc_id", "term", *idx, *more, (F.col("w") / norm).alias("weight"))
 
 
 def fit_tfidf(docs: DataFrame, max_features: int | None = None, doc_id: str = "doc_id",
-              text: str = "text") -> tuple[DataFrame, DataFrame]:
+              text: str = "text", copies: str | None = None) -> tuple[DataFrame, DataFrame]:
     """M1: (vocabulary table, long weight table). The counts are written once, as both tables read them."""
-    tf = written(term_counts(docs, doc_id, text), "term-counts")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    tf = written(term_counts(docs, doc_id, text, copies), "term-counts")
+    n_docs = docs.agg((F.coalesce(F.sum(copies), F.lit(0)) if copies else F.count(F.lit(1))).alias("n_docs"))
     vocab = fit_vocabulary(tf, n_docs, max_features)
     return vocab, tfidf_weights(tf, vocab)
 

@@ -57,12 +57,19 @@ class TrainedModels:
         return ITEM_FEATURES + [f"svd_{i}" for i in range(self.k)]
 
 
-def _features(df: DataFrame, categories: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
-    """Category codes, size, project frequency and text components of rows with a unique ``row_id``."""
+def _texts(df: DataFrame) -> DataFrame:
+    """(doc_id, text, n): the distinct descriptions and their rows. Equal texts have equal vectors, which are made once."""
+    own = df.groupBy(F.coalesce("ItemDescription", F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return written(own.withColumn("doc_id", F.monotonically_increasing_id()), "distinct-texts")
+
+
+def _features(df: DataFrame, texts: DataFrame, categories: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
+    """Category codes, size, project frequency and text components of rows, the latter by ``texts``, the distinct descriptions."""
     base = en.apply_category_codes(pp.basic_features(df), categories, list(CATEGORICAL_COLUMNS))
-    w = tx.transform_tfidf(base.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), vocab)
-    svd = tx.project(w, comps, k).withColumnRenamed("doc_id", "row_id")
-    out = base.join(svd, "row_id", "left").withColumn("svd", F.coalesce(F.col("svd"), F.array_repeat(F.lit(0.0), k)))  # no known term
+    vectors = tx.project(tx.transform_tfidf(texts, vocab), comps, k)
+    # Written, so that the join knows its size.
+    vectors = written(vectors.join(texts, "doc_id").select(F.col("text").alias("_text"), "svd"), "text-vectors")
+    out = base.join(vectors, F.coalesce("ItemDescription", F.lit("")) == F.col("_text"), "left").drop("_text").withColumn("svd", F.coalesce(F.col("svd"), F.array_repeat(F.lit(0.0), k)))  # no known term
     return out.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
 
 
@@ -71,19 +78,22 @@ def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: in
 
     The projects of fold 0 measure when boosting of the global trees ends.
     """
-    t = pp.preprocess(train_raw, cfg).where(F.col("MasterItemNo").isNotNull())
+    # Read by every pass of the preprocessing, and line items may come from joins.
+    t = pp.preprocess(written(train_raw, "train-lines"), cfg).where(F.col("MasterItemNo").isNotNull())
     t = t.withColumn("item_key", canonical_item_key(F.col("MasterItemNo"))).where(F.col("item_key").isNotNull())
     t = written(t.withColumn("row_id", F.monotonically_increasing_id()), "train-rows")  # read by every fit
     codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo"))).select("label", "code", "code1")
     fold = md.group_fold(F.col("PROJECTNUMBER"))
     items = cl.fit_term_classifier(t, "item_key", "ItemDescription", fold)
     categories = en.fit_category_codes(pp.basic_features(t), list(CATEGORICAL_COLUMNS))
-    vocab, w = tx.fit_tfidf(t.select(F.col("row_id").alias("doc_id"), F.col("ItemDescription").alias("text")), tx.TRAIN_MAX_FEATURES)
+    texts = _texts(t)
+    vocab, w = tx.fit_tfidf(texts, tx.TRAIN_MAX_FEATURES, copies="n")
+    w = w.withColumn("weight", F.col("weight") * F.sqrt("copies"))  # a row of A'A counts as often as its text occurs
     vocab = written(vocab, "train-vocabulary")
     size = vocab.count()
     k = max(1, min(svd_k, size - 1))
     comps, _ = tx.fit_svd(w, size, k)
-    feats = written(_features(t, categories, vocab, comps, k).withColumn("held_out", fold == 0), "train-features")
+    feats = written(_features(t, texts, categories, vocab, comps, k).withColumn("held_out", fold == 0), "train-features")
     cols = ITEM_FEATURES + [f"svd_{i}" for i in range(k)]
     reg = md.fit_global_regressor(feats.where(F.col("QtyShipped_clean").isNotNull()), cols, "QtyShipped_clean", "held_out", max_rounds)
     coefs = md.fit_item_regressors(feats, "item_key", ITEM_FEATURES, "QtyShipped_clean")
@@ -129,13 +139,14 @@ def load_models(spark: SparkSession, root: str, version: int | None = None) -> T
 
 def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """(id, MasterItemNo, QtyShipped) for every test row; the item is its 1-based code."""
-    t = pp.preprocess(test_raw, cfg)
+    t = pp.preprocess(written(test_raw, "test-lines"), cfg)
     if "id" not in t.columns or t.select("id").where(F.col("id").isNotNull()).limit(1).count() == 0:
         t = sequential_ids(t.drop("id") if "id" in t.columns else t,
                            ["MasterItemNo", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped"], name="id")
     t = written(t.withColumn("row_id", F.monotonically_increasing_id()), "test-rows")  # ids may be null or repeat; rows are not
     best = cl.classify_texts(m.classifier, t, "ItemDescription").select(F.col("text").alias("_text"), F.col("label").alias("item_key"))
-    feats = _features(t, m.categories, m.vocab, m.components, m.k)
+    best = written(best, "text-items")
+    feats = _features(t, _texts(t), m.categories, m.vocab, m.components, m.k)
     feats = feats.join(best, F.coalesce("ItemDescription", F.lit("")) == F.col("_text"), "left").drop("_text")
     feats = feats.join(m.codes.select(F.col("label").alias("item_key"), "code1"), "item_key", "left")
     feats = m.regressor.transform(feats).withColumnRenamed("prediction", "q_global")

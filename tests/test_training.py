@@ -179,3 +179,22 @@ def test_customers_meet_orders_before_lines(spark):
     lines = plan.splitlines()
     depth = lambda text: next(len(x) - len(x.lstrip(" :+-")) for x in lines if text in x)
     assert depth("c_custkey") > depth("(l_orderkey#")
+
+
+def test_copies_of_a_text_count_like_rows(spark):
+    """Components of distinct texts with their counts equal those of all rows, of which the jobs see few."""
+    from matforge.operators import text as tx
+
+    pool = ["red bolt steel", "blue bolt", "red ring large ring", "plate", "steel plate blue", ""]
+    rows = [(i, pool[i * i % 6]) for i in range(90)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    few = whole.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+    vocab, w = tx.fit_tfidf(whole, 100)
+    vocab2, w2 = tx.fit_tfidf(few, 100, copies="n")
+    assert sorted(map(tuple, vocab.select("term", "idx", "idf").collect())) == sorted(map(tuple, vocab2.select("term", "idx", "idf").collect()))
+    n = vocab.count()
+    _, s = tx.fit_svd(w, n, 3)
+    _, s2 = tx.fit_svd(w2.withColumn("weight", F.col("weight") * F.sqrt("copies")), n, 3)
+    assert np.allclose(s, s2, rtol=1e-9)
+    t = whole.withColumnRenamed("text", "ItemDescription")
+    assert jobs._texts(t).count() == len({x for _, x in rows}) and jobs._texts(t).agg(F.sum("n")).first()[0] == 90
