@@ -286,7 +286,9 @@ def quantity_chain(pred: DataFrame, medians: DataFrame, typical: DataFrame, item
 
 def quantity_fallback(pred: DataFrame, train: DataFrame, item_key: str = "item_key", model_cols=(),
                       train_item: str = "MasterItemNo", train_qty: str = "QtyShipped") -> DataFrame:
-    """M9: per-item model -> global model -> item median -> global median (default 1), from training rows."""
+    """M9: per-item model -> global model -> item median -> global median (default 1), from training rows,
+    of which the two columns are written once, as both medians read them."""
+    train = written(train.select(train_item, train_qty), "training-quantities")
     return quantity_chain(pred, median_per_item(train, train_item, train_qty), global_median(train, train_qty, DEFAULT_QTY), item_key, model_cols)
 
 

@@ -23,7 +23,7 @@ def _range_sorted(df: DataFrame, order: list[Column | str], num_partitions: int
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
-def _numbered(df: DataFrame, order: list[Column | str], num_partitions: int | None) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column | str], num_partitions: int | None = None) -> DataFrame:
     """Rows in range partitions of ``order``, with the partition (``_pid``) and the place in it (``_pos``), written once.
 
     Both depend on the physical partition a row was read in, so the per-partition totals and the rows they are added to must come
@@ -41,7 +41,7 @@ def sequential_ids(df: DataFrame, order: list[Column | str], name: str = "id", s
     Two-level prefix count: rows get their position inside a range partition, partitions
     get an offset from the counts of the partitions before them.
     """
-    s = _numbered(df, order, num_partitions)
+    s = numbered(df, order, num_partitions)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -58,7 +58,7 @@ def running_id_fold(df: DataFrame, order: list[Column | str], raw_id: str, name:
     m_i = e_i + max(0, max over id rows j <= i of (x_j - e_j)); both are prefix scans, computed by windows
     inside each range partition and combined through a per-partition offset table. ``order`` must be unique per row.
     """
-    s = _numbered(df.withColumn("_x", F.col(raw_id).cast("bigint")), order, num_partitions)
+    s = numbered(df.withColumn("_x", F.col(raw_id).cast("bigint")), order, num_partitions)
     upto = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_e", F.sum(F.col("_x").isNull().cast("bigint")).over(upto))
     s = s.withColumn("_m", F.max(F.col("_x") - F.col("_e")).over(upto))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matforge.functions.cleaning import canonical_item_key, numeric_text
-from matforge.operators.scan import sequential_ids
+from matforge.operators.scan import numbered, sequential_ids
 from matforge.session import written
 
 
@@ -23,29 +23,55 @@ def demand_per_item(pred: DataFrame, item: str = "MasterItemNo", qty: str = "Qty
             .groupBy("item_key").agg(F.sum("_q").alias("Qty")))
 
 
-#: Rank error of a group's sketch, as a share of the group: 1 / GROUP_BRACKET.
-GROUP_BRACKET = 1_000
+#: Different values of a group that one task orders; those of a larger group are ordered in ranges. Sets of groups counted to find the large ones.
+GROUP_VALUES, GROUP_SETS = 100_000, 65_536
 
 
 def grouped_median(df: DataFrame, key: str, value: str, name: str = "median") -> DataFrame:
     """(key, name): exact median of each group; null values do not count, a group without others gets null.
 
-    As ``quantile_row``, for each group: a sketch of bounded size, combined map-side, brackets the middle ranks, and a second aggregate counts
-    the rows below the bracket (one number) and those of each value inside it. No aggregate holds a group's values, and
-    of a hot group only the few values around its middle are ordered by one task.
+    The rows are counted by group and value, combined map-side, in one pass over ``df``; the counts are written and added up in the order of the
+    values. A group with more than ``GROUP_VALUES`` different values is not ordered by one task: its values are dealt by range and a range starts
+    at the sum of those before it.
     """
     own = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
-    edges = F.array(F.lit(0.5 - 4 / GROUP_BRACKET), F.lit(0.5 + 4 / GROUP_BRACKET))
-    bounds = own.groupBy("_k").agg(F.percentile_approx("_v", edges, F.lit(GROUP_BRACKET)).alias("_b"), F.count("_v").alias("_n"))
-    near = own.join(bounds, "_k").where(F.col("_v") <= F.col("_b")[1])
-    counts = near.groupBy("_k", F.when(F.col("_v") >= F.col("_b")[0], F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    counts = written(own.groupBy("_k", "_v").agg(F.count("_v").alias("_c")), "value-counts")
+    n = F.sum("_c").over(Window.partitionBy("_k"))
     upto = F.sum("_c").over(Window.partitionBy("_k").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto)
-    at = [F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v"))) for r in (F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2))]
-    found = ranked.groupBy("_k").agg(at[0].alias("_lo"), at[1].alias("_hi"))
-    # A rank outside its bracket would be a fault of the sketch; it must not pass as a value.
-    sure = F.when(F.col("_n") > 0, F.coalesce(F.col("_lo") + (F.col("_hi") - F.col("_lo")) / 2, F.raise_error(F.lit("a median lies outside its bracket")).cast("double")))
-    return bounds.join(found, "_k", "left").select(F.col("_k").alias(key), sure.alias(name))
+    large = _large_groups(counts)
+    small = counts if large is None else counts.join(F.broadcast(large), "_k", "left_anti")
+    found = _middle(small.withColumns({"_upto": upto, "_n": n}))
+    if large is not None:
+        found = found.unionByName(_middle(_upto_by_range(counts.join(F.broadcast(large), "_k"))))
+    return found.select(F.col("_k").alias(key), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) / 2).alias(name))
+
+
+def _large_groups(counts: DataFrame) -> DataFrame | None:
+    """(_k): the groups with more than ``GROUP_VALUES`` rows of counts, or None. Only groups of a set that has as many are counted one by one."""
+    sets = counts.withColumn("_set", F.pmod(F.xxhash64("_k"), F.lit(GROUP_SETS)))
+    many = F.count(F.lit(1)) > GROUP_VALUES
+    full = written(sets.groupBy("_set").agg(many.alias("_many")).where("_many").select("_set"), "full-sets")
+    if full.isEmpty():
+        return None
+    large = written(sets.join(F.broadcast(full), "_set").where(F.col("_k").isNotNull()).groupBy("_k").agg(many.alias("_many")).where("_many").select("_k"), "large-groups")
+    return None if large.isEmpty() else large
+
+
+def _upto_by_range(counts: DataFrame) -> DataFrame:
+    """The counts with their group's sum up to them (``_upto``) and in all (``_n``), through one row for each group and range."""
+    s = numbered(counts, ["_k", "_v"])
+    own = F.sum("_c").over(Window.partitionBy("_pid", "_k").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("_c").over(Window.partitionBy("_k").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    parts = s.groupBy("_k", "_pid").agg(F.sum("_c").alias("_c"))
+    parts = parts.select("_k", "_pid", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy("_k")).alias("_n"))
+    s = s.withColumn("_own", own).join(F.broadcast(parts), ["_k", "_pid"])  # at most a row for each range and each large group
+    return s.select("_k", "_v", "_c", (F.col("_before") + F.col("_own")).alias("_upto"), "_n")
+
+
+def _middle(ranked: DataFrame) -> DataFrame:
+    """(_k, _lo, _hi): the values at the middle ranks."""
+    at = [F.min(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v"))) for r in (F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2))]
+    return ranked.groupBy("_k").agg(at[0].alias("_lo"), at[1].alias("_hi"))
 
 
 def median_per_item(train: DataFrame, item: str = "MasterItemNo", qty: str = "QtyShipped") -> DataFrame:

@@ -300,9 +300,10 @@ def j4(spark, sf):
 @register("j2_bucketed_lookups")
 def j2_bucketed(spark, sf, buckets: int = 16):
     """J2-J4 over item tables that are bucketed once: every prediction line with its vendor, description and median; only the lines move."""
+    train = written(_train_qty(spark, sf).select("MasterItemNo", "ItemDescription", "QtyShipped"), "line-items")  # made by joins and read twice
     tables = [sk.write_bucketed(t, n, "item_key", buckets) for n, t in (
         ("item_vendor", vendors.plan_policy(_vendors(spark, sf)).select("item_key", "Vendor", "VendorContact", "VendorLeadDays")),
-        ("item_description", stats.mode_description(_li(spark, sf))), ("item_median", stats.median_per_item(_train_qty(spark, sf))))]
+        ("item_description", stats.mode_description(train)), ("item_median", stats.median_per_item(train)))]
     lines = fx.predictions(spark, sf).select(C.canonical_item_key(F.col("MasterItemNo")).alias("item_key"), "QtyShipped").repartition(buckets, "item_key")
     for t in tables:
         lines = lines.join(t.hint("merge"), "item_key", "left")
