@@ -74,16 +74,22 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat vendor table: distinct (part, supplier) pairs; parts with key % 5 = 0 have no vendor."""
-    pairs = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    return _vendor_rows(spark, sf_dir).drop("l_partkey")
+
+
+def _vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vendor table with the part's number, by which its rows are dealt: what is grouped by it needs no other shuffle."""
              .where(F.col("l_partkey") % 5 != 0).distinct())
+    pairs = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     k = F.col("l_suppkey")
-    v = pairs.join(s, pairs.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == n.n_nationkey)
-    pos = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey")) - 1
-    return v.select(
+    v = pairs.join(s, pairs.l_suppkey == s.s_suppkey)
+    v = v.withColumn("pos", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey")) - 1)
+    return v.join(n, F.col("s_nationkey") == n.n_nationkey).select(
+        "l_partkey",
         F.col("l_partkey").cast("string").alias("item_key"),
-        pos.cast("int").alias("pos"),
+        F.col("pos").cast("int").alias("pos"),
         F.col("s_name").alias("company"),
         F.when(k % 6 != 0, F.concat(F.lit("https://supplier"), k.cast("string"), F.lit(".example.com"))).alias("url"),
         F.lit("supply").alias("services"),
@@ -101,9 +107,9 @@ def vendor_catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     Keys of items divisible by 7 are written as text with a '.0' suffix to exercise
     key canonicalisation on read.
     """
-    v = vendor_rows(spark, sf_dir)
+    v = _vendor_rows(spark, sf_dir)
     vend = F.struct("company", "url", "services", "location", "contact", "lead_time_days", "min_order_qty", "source")
-    nested = v.groupBy("item_key").agg(
+    nested = v.groupBy("l_partkey", "item_key").agg(
         F.sort_array(F.collect_list(F.struct(F.col("pos"), vend.alias("v")))).alias("vs"))
     k = F.col("item_key")
     key_json = F.when(k.cast("bigint") % 7 == 0, F.concat(F.lit('"'), k, F.lit('.0"'))).otherwise(k)
