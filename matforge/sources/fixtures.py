@@ -35,10 +35,11 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))  # 25 rows
     r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))  # 5 rows
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
-    cust = c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
-    # Customers meet the orders, of which there are fewer: the lines are not dealt by customer as well.
-    o = o.join(cust, o.o_custkey == cust.c_custkey)
+    # Customers meet the orders, of which there are fewer: the lines are not dealt by customer as well. They carry the nation's number; its names
+    # come last, without a shuffle.
+    o = o.join(c, o.o_custkey == c.c_custkey)
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    j = j.join(n, j.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey)
     pk = F.col("l_partkey").cast("string")
     ln = F.col("l_linenumber")
     return j.select(
@@ -79,8 +80,8 @@ def vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vendor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vendor table with the part's number, by which its rows are dealt: what is grouped by it needs no other shuffle."""
-             .where(F.col("l_partkey") % 5 != 0).distinct())
     pairs = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+             .where(F.col("l_partkey") % 5 != 0).distinct())
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     k = F.col("l_suppkey")
