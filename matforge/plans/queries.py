@@ -611,17 +611,13 @@ def _quoted_lines(spark, sf):
 
 @register("s1_line_item_csv_scan")
 def s1(spark, sf):
-    """CSV text made field by field, not by Spark's CSV writer: one file with its own header per thousand lines or so."""
+    """CSV text made field by field, not by Spark's CSV writer: packed files with a header of their own, of a thousand lines each and fewer at a task's end."""
     path = scratch_path(spark, "line_items_csv")
     d = _quoted_lines(spark, sf)
     field = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
-    lines = d.select(F.concat_ws(",", *[field(c) for c in d.columns]).alias("line")).withColumn(
-        "file", F.pmod(F.xxhash64("line"), F.lit(max(1, fx.table(spark, sf, "lineitem").count() // 1000))))
-    head = ",".join(f'"{c}"' for c in d.columns)
-    files = lines.groupBy("file").agg(F.concat(F.lit(head + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
-    files.write.partitionBy("file").text(path)
-    out = rd.read_line_items(spark, path)
-    return out.drop("file")
+    lines = d.select(F.concat_ws(",", *[field(c) for c in d.columns]).alias("line"))
+    sk.write_line_files(lines, path, ",".join(f'"{c}"' for c in d.columns))
+    return rd.read_line_items(spark, path)
 
 
 @register("s2_pruned_item_scan")

@@ -26,6 +26,29 @@ def write_table(df: DataFrame, path: str, columns: list[str] | None = None, fmt:
     return path
 
 
+def write_line_files(lines: DataFrame, path: str, head: str, size: int = 1000) -> str:
+    """Lines of text as many files of at most ``size`` lines below the line ``head``, packed by gzip.
+
+    A task makes files of its own lines as they come, so no line is moved or sorted for it and no task holds more than a file and a batch.
+    """
+    def files(batches):
+        import pyarrow as pa
+
+        one = lambda part: pa.RecordBatch.from_pydict({"value": ["\n".join([head, *part])]})
+        held = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            full = len(held) - len(held) % size
+            for at in range(0, full, size):
+                yield one(held[at:at + size])
+            held = held[full:]
+        if held:
+            yield one(held)
+
+    lines.mapInArrow(files, "value string").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """The rows as a table bucketed and sorted by ``key`` in the shared folder, one file a bucket.
 
