@@ -34,11 +34,13 @@ def uni_bigrams(toks: Column) -> Column:
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: str | None = None) -> DataFrame:
     """(doc_id, term, tf): raw term counts per document; with ``copies``, a count of equal documents that a row stands for, this too.
 
-    The whole texts are dealt by document, which spreads the work of a file that Spark cannot split and spares a shuffle of all terms.
+    The whole texts are dealt by document, which spreads the work of a file that Spark cannot split and spares a shuffle of all terms. A text's tokens
+    are a column of their own: inside the explode they would be made anew for each of their uses.
     """
     more = ["copies"] if copies else []
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(copies).alias(c) for c in more)).repartition("doc_id")
-    e = own.select("doc_id", *more, F.explode(uni_bigrams(tokens(F.col("text")))).alias("term"))
+    own = own.select("doc_id", *more, tokens(F.col("text")).alias("toks"))
+    e = own.select("doc_id", *more, F.explode(uni_bigrams(F.col("toks"))).alias("term"))
     return e.groupBy("doc_id", *more, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

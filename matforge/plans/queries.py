@@ -816,19 +816,20 @@ def m6(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     proj, k = _doc_svd(spark, sf)
-    docs = fx.table(spark, sf, "documents").join(proj, "doc_id", "left")
+    # Of the documents only the categories go on: the texts are in the vectors.
+    docs = fx.table(spark, sf, "documents").select("doc_id", "source", "lang").join(proj, "doc_id", "left")
     docs = docs.withColumn("svd", F.coalesce("svd", F.array_repeat(F.lit(0.0), k)))
-    docs = docs.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)})
+    docs = docs.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
     lab = docs.join(fx.table(spark, sf, "labels"), "doc_id")
-    enc = md.fit_target_encoding(lab, ["source", "lang"], "quality")
+    enc = written(md.fit_target_encoding(_labelled_docs(spark, sf), ["source", "lang"], "quality"), "encodings")  # a row a category, read six times
     cols = ["source_te", "lang_te"] + [f"svd_{i}" for i in range(k)]
     va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     train = va.transform(md.apply_target_encoding(lab, enc, ["source", "lang"]))
-    train = train.withColumn("fold", md.group_fold(F.col("source"))).withColumn("label", F.col("quality").cast("double"))
-    train = train.checkpoint()  # four fold fits read it
+    train = train.select("features", md.group_fold(F.col("source")).alias("fold"), F.col("quality").cast("double").alias("label"))
+    train = written(train, "fold-rows")  # four fold fits read it
     models = [NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian").fit(train.where(F.col("fold") != f))
               for f in range(md.N_FOLDS)]
-    allf = va.transform(md.apply_target_encoding(docs, enc, ["source", "lang"])).checkpoint()
+    allf = va.transform(md.apply_target_encoding(docs, enc, ["source", "lang"])).select("doc_id", "features")
     return md.predict_fold_average(models, allf, ["doc_id"]).select("doc_id", "prediction")
 
 
