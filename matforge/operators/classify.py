@@ -6,16 +6,17 @@ once, combined map-side, and the counts of a fold's training rows are the total
 
     prior(label) - length * mass(label) + sum over the text's terms of count * weight(term, label)
 
-where weight is zero for a term that the label never had, so only (term, label) pairs that occur are stored, and a text in long
-form meets them in an equality join. No row ever holds an array of classes; items may be any number.
+where weight is zero for a term that the label never had, so only (term, label) pairs that occur are stored, and texts in long
+form meet them block by block. No row ever holds an array of classes; items may be any number.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matforge.operators.models import N_FOLDS
 from matforge.operators.text import tokens
@@ -60,22 +61,82 @@ def fit_term_classifier(rows: DataFrame, label: str, text: str, fold: Column, n_
     return TermClassifier(written(weights, "classifier-weights"), written(labels, "classifier-labels"), written(terms, "classifier-terms"))
 
 
+#: Rows of a block of weights or of terms of texts; a task holds one of each.
+BLOCK_ROWS = 50_000
+
+
 def classify_texts(model: TermClassifier, texts: DataFrame, text: str, digits: int = 6) -> DataFrame:
     """(text, label, score) for every distinct text: the best label among those that share a term with it.
 
     Scores are rounded to ``digits`` before they are compared, and ties go to the smallest label, so that the order of additions
     decides nothing. A text without a known term gets the label of the greatest prior and a null score; without labels the
-    label is null.
+    label is null. Texts of the same terms are scored once. Every block of texts meets every block of labels, and of a pair of blocks only the best
+    label of each text goes on: the pairs of texts and labels with a common term are many times the rows, and none is moved.
     """
     own = texts.select(F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
-    tf = own.select("text", F.explode(tokens(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = written(own.select("text", F.concat_ws(" ", F.sort_array(tokens(F.col("text")))).alias("bag")), "distinct-texts")
+    tf = own.select("bag").distinct().select("bag", F.explode(F.filter(F.split("bag", " "), lambda t: t != "")).alias("term"))
+    tf = tf.groupBy("bag", "term").agg(F.count(F.lit(1)).alias("tf"))
     # Spark sizes an explode like the file below it, and both sides grow with the data: merged, never broadcast.
-    known = tf.hint("merge").join(model.terms, "term")
-    length = known.groupBy("text").agg(F.sum("tf").alias("length"))
-    seen = known.join(model.weights.hint("merge"), "term").groupBy("text", "label").agg(F.sum(F.col("tf") * F.col("weight")).alias("s"))
-    scored = seen.join(length.hint("merge"), "text").join(model.labels.hint("merge"), "label")
-    scored = scored.select("text", "label", F.round(F.col("prior") - F.col("length") * F.col("mass") + F.col("s"), digits).alias("score"))
-    best = scored.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("worse"), "label")).alias("best"))
+    known = written(tf.hint("merge").join(model.terms, "term").select("bag", "term", F.col("tf").cast("double").alias("tf"),
+                                                              F.sum("tf").over(Window.partitionBy("bag")).cast("double").alias("length")), "known-terms")
+    weights = model.weights.hint("merge").join(model.labels.select("label", "prior", "mass"), "label")
+    n_texts, n_labels = (max(1, -(-t.count() // BLOCK_ROWS)) for t in (known, model.weights))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = known.select(block("bag", n_texts).alias("tb"), every(n_labels).alias("lb"), "bag", "term", "tf", "length")
+    right = weights.select(block("label", n_labels).alias("lb"), every(n_texts).alias("tb"), "label", "term", "weight", "prior", "mass")
+    kind = T.StructType([T.StructField("bag", T.StringType()), T.StructField("worse", T.DoubleType()), model.labels.schema["label"]])
+    scored = left.groupBy("tb", "lb").cogroup(right.groupBy("tb", "lb")).applyInArrow(_best_labels(digits, kind), kind)
+    best = scored.groupBy("bag").agg(F.min(F.struct("worse", "label")).alias("best"))
     common = model.labels.agg(F.min(F.struct((-F.round("prior", digits)).alias("worse"), "label")).alias("common"))  # one row
-    out = own.join(best, "text", "left").crossJoin(F.broadcast(common))
+    out = own.join(best, "bag", "left").crossJoin(F.broadcast(common))
     return out.select("text", F.coalesce("best.label", "common.label").alias("label"), (-F.col("best.worse")).alias("score"))
+
+
+def _best_labels(digits: int, kind: T.StructType):
+    """(bag, worse, label) for each text of a block that shares a term with a label of the other block: its best label there."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def runs(codes):
+        """Places of each code, by code."""
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=int(codes.max()) + 1 if len(codes) else 0))
+        return order, np.concatenate([[0], ends])
+
+    def best(texts: pa.Table, weights: pa.Table) -> pa.Table:
+        bags, worse, found = [], [], []
+        if texts.num_rows and weights.num_rows:
+            weights = weights.sort_by("label").combine_chunks()  # of equal scores the first, so the smallest label
+            label = weights["label"].combine_chunks().dictionary_encode()
+            at, names = label.indices.to_numpy(), label.dictionary
+            prior, mass, total = (np.zeros(len(names)) for _ in range(3))
+            prior[at], mass[at] = weights["prior"].to_numpy(), weights["mass"].to_numpy()
+            terms = pc.unique(weights["term"])
+            order, ends = runs(pc.index_in(weights["term"].combine_chunks(), terms).to_numpy())
+            at, weight = at[order], weights["weight"].to_numpy()[order]
+            bag = texts["bag"].combine_chunks().dictionary_encode()
+            rows, stops = runs(bag.indices.to_numpy())
+            code = pc.fill_null(pc.index_in(texts["term"].combine_chunks(), terms), -1).to_numpy()[rows]
+            tf = texts["tf"].to_numpy()[rows]
+            length = texts["length"].to_numpy()[rows]
+            for k in range(len(stops) - 1):
+                mine = [(at[ends[c]:ends[c + 1]], f, weight[ends[c]:ends[c + 1]]) for c, f in zip(code[stops[k]:stops[k + 1]], tf[stops[k]:stops[k + 1]]) if c >= 0]
+                if not mine:
+                    continue
+                for labels, f, w in mine:  # a label has a term once
+                    total[labels] += f * w
+                seen = np.concatenate([m[0] for m in mine])
+                score = prior[seen] - length[stops[k]] * mass[seen] + total[seen]
+                total[seen] = 0.0
+                score = np.sign(score) * np.floor(np.abs(score) * 10.0 ** digits + 0.5) / 10.0 ** digits
+                top = score.max()
+                bags.append(k)
+                worse.append(-top)
+                found.append(seen[score == top].min())
+            return pa.Table.from_arrays([bag.dictionary.take(pa.array(bags, pa.int64())), pa.array(worse, pa.float64()), names.take(pa.array(found, pa.int64()))], names=kind.names)
+        return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.float64()), weights["label"].slice(0, 0)], names=kind.names)
+
+    return best
