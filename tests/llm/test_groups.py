@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matforge.llm import chat, lm_score, mtree, packing, repeats, runs, simhash
+from matforge.llm import chat, grams, lm_score, mtree, packing, repeats, runs, simhash
 from matforge.llm.common import components, id_remainder, read
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -139,6 +139,18 @@ def test_repeats_equal_brute_force(spark, length, gram, crowd, per_task):
     assert got == _kept(rows, length) and sum(g[2] for g in got) > 1000
 
 
+def test_key_ranges_of_anchors_are_even(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefghij ", k=6000))) for i in range(60)]
+    own = spark.createDataFrame(rows, "doc_id long, text string").select(F.struct("doc_id").alias("carried"), "text")
+    lots = own.mapInArrow(repeats._lots(150, 32, 1 << 20), repeats._LOT)
+    asked = lots.select("lot", "gram").mapInArrow(repeats._ask_grams(3), grams.ASK).collect()
+    keys = Counter()
+    for r in asked:
+        keys[r["range"]] += len(grams.unpack(r["keys"], "<u8"))
+    assert len(keys) == 8 and max(keys.values()) < 0.2 * sum(keys.values()) and sum(keys.values()) > 4000
+
+
 @pytest.mark.parametrize("query, sql", [(repeats.op5_suffix_array_dedup, repeats.OP5_SQL), (runs.op12_periodic_runs, runs.OP12_SQL)])
 def test_queries_equal_their_sql(spark, query, sql):
     con = duckdb.connect()
