@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matforge.operators.term_lots import TermLots
 from matforge.session import written
 
 # Token rule (two or more word characters) and the vocabulary size of the decomposition.
@@ -31,6 +32,14 @@ def uni_bigrams(toks: Column) -> Column:
     return F.concat(toks, bi)
 
 
+def _dealt(docs: DataFrame, doc_id: str, text: str, copies: str | None = None, neighbours: bool = False) -> DataFrame:
+    """(doc_id, copies if named, toks): the tokens of whole texts, dealt by document; with ``neighbours`` rows of one id are neighbours."""
+    more = ["copies"] if copies else []
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(copies).alias(c) for c in more)).repartition("doc_id")
+    own = own.sortWithinPartitions("doc_id") if neighbours else own
+    return own.select("doc_id", *more, tokens(F.col("text")).alias("toks"))
+
+
 def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", copies: str | None = None) -> DataFrame:
     """(doc_id, term, tf): raw term counts per document; with ``copies``, a count of equal documents that a row stands for, this too.
 
@@ -38,9 +47,7 @@ def term_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cop
     are a column of their own: inside the explode they would be made anew for each of their uses.
     """
     more = ["copies"] if copies else []
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(copies).alias(c) for c in more)).repartition("doc_id")
-    own = own.select("doc_id", *more, tokens(F.col("text")).alias("toks"))
-    e = own.select("doc_id", *more, F.explode(uni_bigrams(F.col("toks"))).alias("term"))
+    e = _dealt(docs, doc_id, text, copies).select("doc_id", *more, F.explode(uni_bigrams(F.col("toks"))).alias("term"))
     return e.groupBy("doc_id", *more, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -73,16 +80,22 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def fit_tfidf(docs: DataFrame, max_features: int | None = None, doc_id: str = "doc_id",
-              text: str = "text", copies: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """M1: (vocabulary table, long weight table). The counts are written once, as both tables read them."""
+              text: str = "text", copies: str | None = None) -> tuple[DataFrame | TermLots, DataFrame]:
+    """M1: (vocabulary table, long weight table). The counts are written once, as both tables read them. A vocabulary of every term
+    grows with the texts and stays in lots of documents: ``TermLots``, whose ``vocabulary()`` is the table."""
+    if max_features is None and copies is None:
+        lots = TermLots(_dealt(docs, doc_id, text, neighbours=True))
+        return lots, lots.weights()
     tf = written(term_counts(docs, doc_id, text, copies), "term-counts")
     n_docs = docs.agg((F.coalesce(F.sum(copies), F.lit(0)) if copies else F.count(F.lit(1))).alias("n_docs"))
     vocab = fit_vocabulary(tf, n_docs, max_features)
     return vocab, tfidf_weights(tf, vocab)
 
 
-def transform_tfidf(docs: DataFrame, vocab: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """M3 (first half): weights of new documents under a stored vocabulary."""
+def transform_tfidf(docs: DataFrame, vocab: DataFrame | TermLots, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """M3 (first half): weights of new documents under a stored vocabulary, or one that stays in lots."""
+    if isinstance(vocab, TermLots):
+        return vocab.weights(TermLots(_dealt(docs, doc_id, text, neighbours=True)))
     return tfidf_weights(term_counts(docs, doc_id, text), vocab)
 
 
