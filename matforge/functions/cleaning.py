@@ -123,11 +123,12 @@ def canonical_item_key(c: Column) -> Column:
     trimmed, so that '007', '1E5' and '12 34' stay different from '7', '100000' and '1234'.
     """
     t = F.trim(c.cast("string"))
+    formatted = t.contains(".") | t.contains(",")  # all that is taken off has one of them; a plain number meets no pattern
     bare = F.when(t.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.0*)?$"), F.regexp_replace(t, ",", "")).otherwise(t)
     bare = F.when(bare.rlike(r"^[+-]?\d+\.0*$"), F.regexp_replace(bare, r"\.0*$", "")).when(
         bare.rlike(r"^-?\d\.\d+E\d+$") & (bare.try_cast("double") == F.rint(bare.try_cast("double"))),
         F.coalesce(bare.try_cast("double").try_cast("bigint").cast("string"), bare)).otherwise(bare)
-    return F.when(t != "", bare)
+    return F.when(t != "", F.when(formatted, bare).otherwise(t))
 
 
 def _shape(fmt: str) -> str:

@@ -185,53 +185,72 @@ def item_statistics(df: DataFrame, item: str, feature_cols: list[str], target: s
     The rows are dealt by item with few numbers each (a row of sums is many times as wide), where a partition that one item makes too large is split
     by AQE, and added up in arrays; the sums of an item's parts are added after a second shuffle of one row for each item and part.
     """
-    d = len(feature_cols) + 1
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    pairs = _pairs(len(feature_cols) + 1)
+    s = F.col("_sums")
+    xy = [F.when(s[1] > 0, s[2 + len(pairs) + i]).alias(f"xy_{i}") for i in range(len(feature_cols) + 1)]
+    sums = _item_sums(df, item, feature_cols, target)
+    return sums.select(F.col("_item").alias(item), s[0].cast("bigint").alias("n"), *(s[2 + k].alias(f"xx_{i}_{j}") for k, (i, j) in enumerate(pairs)), *xy)
+
+
+def _pairs(d: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(d) for j in range(i, d)]
+
+
+def _item_sums(df: DataFrame, item: str, feature_cols: list[str], target: str) -> DataFrame:
+    """(_item, _sums): an item's rows, those with a target, X'X and X'y, in one array."""
+    pairs = _pairs(len(feature_cols) + 1)
     own = df.select(F.col(item).alias("_item"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(feature_cols, 1)),
                     F.col(target).cast("double").alias("_y"))
     kind = T.StructType([T.StructField("_item", df.schema[item].dataType), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
 
     def products(batch):
-        """n, rows with a target, X'X and X'y of single rows."""
+        """n, rows with a target, X'X and X'y of single rows, which are the columns here."""
         x = [np.ones(batch.num_rows)] + [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:-1]]
         y = batch.columns[-1]
         has = y.is_valid().to_numpy(zero_copy_only=False)
         y = np.where(has, y.to_numpy(zero_copy_only=False), 0.0)
-        return np.column_stack([x[0], has, *(x[i] * x[j] for i, j in pairs), *(np.where(has, v, 0.0) * y for v in x)])
+        out = np.empty((2 + len(pairs) + len(x), batch.num_rows))
+        out[0], out[1] = x[0], has
+        for k, (i, j) in enumerate(pairs, 2):
+            np.multiply(x[i], x[j], out=out[k])
+        for k, v in enumerate(x, 2 + len(pairs)):
+            np.multiply(np.where(has, v, 0.0), y, out=out[k])
+        return out
 
     def stored(batch):
-        return batch.columns[1].flatten().to_numpy().reshape(batch.num_rows, -1)
+        return batch.columns[1].flatten().to_numpy().reshape(batch.num_rows, -1).T
 
-    parts = own.hint("rebalance", "_item").sortWithinPartitions("_item").mapInArrow(_added(products), kind)
-    sums = parts.repartition("_item").sortWithinPartitions("_item").mapInArrow(_added(stored), kind)
-    s = F.col("_sums")
-    xy = [F.when(s[1] > 0, s[2 + len(pairs) + i]).alias(f"xy_{i}") for i in range(d)]
-    return sums.select(F.col("_item").alias(item), s[0].cast("bigint").alias("n"), *(s[2 + k].alias(f"xx_{i}_{j}") for k, (i, j) in enumerate(pairs)), *xy)
+    # By a number, which sorts several times as fast as text; items of one hash may alternate, and their parts are added up below.
+    parts = own.hint("rebalance", "_item").sortWithinPartitions(F.xxhash64("_item")).mapInArrow(_added(products), kind)
+    return parts.repartition("_item").sortWithinPartitions("_item").mapInArrow(_added(stored), kind)
 
 
 def _added(numbers):
-    """A task that adds up ``numbers`` (one array row for each row of a batch) of equal neighbours in the first column, across batches too."""
+    """A task that adds up ``numbers`` (one array column for each row of a batch) of equal neighbours in the first column, across batches too."""
     import pyarrow as pa
 
     def rows(keys, sums):
-        ends = pa.array(np.arange(0, sums.size + 1, sums.shape[1]), pa.int32())
-        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))], names=["_item", "_sums"])
+        ends = pa.array(np.arange(0, sums.size + 1, sums.shape[0]), pa.int32())
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(sums.T.ravel()))], names=["_item", "_sums"])
 
     def task(batches):
         last = None  # the last item of the batches so far and its sums: the next batch may go on with it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, values = batch.column(0), numbers(batch)
-            if last is not None:
-                keys, values = pa.concat_arrays([last[0], keys]), np.vstack([last[1], values])
+            keys = batch.column(0)
             code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
             first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            sums = np.add.reduceat(values, first, axis=0)
+            sums = np.add.reduceat(numbers(batch), first, axis=1)
             keys = keys.take(pa.array(first))
-            last = keys[-1:], sums[-1:]
+            if last is not None:
+                if last[0][0].as_py() == keys[0].as_py():
+                    sums[:, 0] += last[1][:, 0]
+                else:
+                    yield rows(*last)
+            last = keys[-1:], sums[:, -1:]
             if len(first) > 1:
-                yield rows(keys[:-1], sums[:-1])
+                yield rows(keys[:-1], sums[:, :-1])
         if last is not None:
             yield rows(*last)
 
@@ -242,22 +261,24 @@ def fit_item_regressors(df: DataFrame, item: str, feature_cols: list[str], targe
                         k: int | None = None, min_rows: int = MIN_ITEM_ROWS) -> DataFrame:
     """(item, coef array) ridge fits for every item with ``min_rows`` rows (with ``k``: the k most frequent).
 
-    X'X and X'y come from ``item_statistics``; only the d x d solves run in pandas, those of a batch of items at once. The fits are written: what
-    they are joined with meets a table of known size.
+    X'X and X'y are those of ``item_statistics``, left in their arrays: as columns they make a method too large for the JVM to compile. Only the
+    d x d solves run in pandas, those of a batch of items at once. The fits are written: what they are joined with meets a table of known size.
     """
     d = len(feature_cols) + 1
-    stats = item_statistics(df, item, feature_cols, target).where(F.col("n") >= min_rows)
+    n = F.col("_sums")[0]
+    stats = _item_sums(df, item, feature_cols, target).where(n >= min_rows)
     if k is not None:
-        stats = stats.orderBy(F.col("n").desc(), F.col(item).asc()).limit(k)
+        stats = stats.orderBy(n.desc(), F.col("_item").asc()).limit(k)
     upper = np.triu_indices(d)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.vstack(pdf["_sums"])
         a = np.zeros((len(pdf), d, d))
-        a[:, upper[0], upper[1]] = pdf[[f"xx_{i}_{j}" for i, j in zip(*upper)]].to_numpy(dtype=float)
+        a[:, upper[0], upper[1]] = s[:, 2:-d]
         a[:, upper[1], upper[0]] = a[:, upper[0], upper[1]]
-        b = pdf[[f"xy_{i}" for i in range(d)]].to_numpy(dtype=float)
+        b = np.where(s[:, 1:2] > 0, s[:, -d:], np.nan)  # an item without a target has no model
         coef = np.linalg.solve(a + ridge * np.eye(d), b[:, :, None])[:, :, 0]
-        return pd.DataFrame({item: pdf[item], "coef": list(coef)})
+        return pd.DataFrame({item: pdf["_item"], "coef": list(coef)})
 
     schema = T.StructType([T.StructField(item, df.schema[item].dataType), T.StructField("coef", T.ArrayType(T.DoubleType()))])
     return written(stats.mapInPandas(lambda it: (solve(p) for p in it if len(p)), schema), "item-models")
@@ -265,9 +286,11 @@ def fit_item_regressors(df: DataFrame, item: str, feature_cols: list[str], targe
 
 def score_linear(df: DataFrame, coefs: DataFrame, item: str, feature_cols: list[str], name: str = "q_item") -> DataFrame:
     """Dot product with the item's coefficients (null when the item has no model)."""
-    xs = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols])
+    xs = [F.lit(1.0), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feature_cols)]
     j = df.join(coefs.withColumnRenamed(item, "_ci"), df[item] == F.col("_ci"), "left")
-    dot = F.aggregate(F.zip_with(F.col("coef"), xs, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    dot = F.lit(0.0)
+    for i, x in enumerate(xs):  # written out: Spark compiles no lambdas
+        dot = dot + F.get("coef", F.lit(i)) * x
     return j.withColumn(name, F.when(F.col("coef").isNotNull(), dot)).drop("_ci", "coef")
 
 

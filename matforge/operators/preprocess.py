@@ -48,14 +48,14 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def preprocess(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
+def preprocess(df: DataFrame, cfg: PlanConfig = PlanConfig(), drop: tuple[str, ...] = ()) -> DataFrame:
     """C1-C12 + A6 + A7: clean, derive, flag large projects, impute ``*_clean`` medians.
 
-    The 75th percentile and every median come from ONE distributed exact quantile pass over
-    the cleaned rows (computed before imputation, as the reference does), joined back as a
-    single row.
+    The rows are cleaned once and written, without the raw columns ``drop``: all that follows reads numbers. The 75th percentile
+    and every median come from ONE distributed exact quantile pass over them (computed before imputation, as the reference does),
+    joined back as a single row.
     """
-    df = clean_columns(df)
+    df = written(clean_columns(df).drop(*drop), "cleaned-lines")
     num_clean = [c for c in df.columns if c.endswith("_clean") and is_numeric_type(df, c)]
     specs = [(f"_med_{i}", F.col(c), 0.5) for i, c in enumerate(num_clean)]
     has_size = "SIZE_BUILDINGSIZE_clean" in df.columns
@@ -72,12 +72,14 @@ def preprocess(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     return out.drop(*[f"_med_{i}" for i in range(len(num_clean))], *(["_p75"] if has_size else []))
 
 
-def basic_features(df: DataFrame) -> DataFrame:
-    """C13 + A8: categoricals (null -> 'missing'), numeric size (unparsable -> 0), project frequency."""
+def basic_features(df: DataFrame, frequency: bool = True) -> DataFrame:
+    """C13 + A8: categoricals (null -> 'missing'), numeric size (unparsable -> 0), project frequency (not if it is left to the caller)."""
     cols = {c: F.coalesce(col_or_null(df, c).cast("string"), F.lit("missing")) for c in CATEGORICAL_COLUMNS}
     size = to_numeric(col_or_null(df, "SIZE_BUILDINGSIZE"), is_numeric_type(df, "SIZE_BUILDINGSIZE"))
     cols["SIZE_BUILDINGSIZE_num"] = F.coalesce(size, F.lit(0.0))
     out = df.withColumns(cols)
+    if not frequency:
+        return out
     if "PROJECTNUMBER" in df.columns:
         out = project_frequency(out)
     else:

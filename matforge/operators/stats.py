@@ -136,8 +136,14 @@ def large_project_flag(df: DataFrame, size_col: str, q: float = 0.75) -> DataFra
     return out.drop("_th")
 
 
-def project_frequency(df: DataFrame, project: str = "PROJECTNUMBER", name: str = "PROJECT_FREQ") -> DataFrame:
-    """Rows per project on every row (missing project counted as 'NA').
+def project_counts(df: DataFrame, project: str = "PROJECTNUMBER", name: str = "PROJECT_FREQ") -> DataFrame:
+    """(_proj, name): the rows of each project, written."""
+    key = F.coalesce(F.col(project).cast("string"), F.lit("NA"))
+    return written(df.groupBy(key.alias("_proj")).agg(F.count(F.lit(1)).alias(name)), "project-counts")
+
+
+def project_frequency(df: DataFrame, project: str = "PROJECTNUMBER", name: str = "PROJECT_FREQ", counts: DataFrame | None = None) -> DataFrame:
+    """Rows per project on every row (missing project counted as 'NA'); ``counts`` are those of ``project_counts``, if they are there.
 
     Aggregate-then-join rather than a window: the count is combined map-side, and written,
     so that its size is known: a small table is broadcast and the rows stay where they are. With a large one
@@ -145,9 +151,8 @@ def project_frequency(df: DataFrame, project: str = "PROJECTNUMBER", name: str =
     only if both sides come to the join straight from a shuffle, not from an aggregate.
     """
     key = F.coalesce(F.col(project).cast("string"), F.lit("NA"))
-    keyed = df.withColumn("_proj", key)
-    counts = written(keyed.groupBy("_proj").agg(F.count(F.lit(1)).alias(name)), "project-counts")
-    return keyed.join(counts, "_proj").drop("_proj")
+    counts = project_counts(df, project, name) if counts is None else counts
+    return df.withColumn("_proj", key).join(counts, "_proj").drop("_proj")
 
 
 def count_distinct(df: DataFrame, col: str, name: str = "n_distinct") -> DataFrame:
@@ -189,17 +194,18 @@ def quantile_row(df: DataFrame, specs: list[tuple[str, Column, float]]) -> DataF
     edges = [F.when(f, F.array(F.lit(float("-inf")), F.lit(float("inf")))).otherwise(F.col(f"b{k}")).alias(f"b{k}") for k, f in enumerate(few)]
     bounds = bounds.select(*edges, *(f"n{k}" for k in range(len(specs))))
     rows = held.crossJoin(F.broadcast(bounds))  # one row
-    inside = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v"), F.col(f"b{k}")[0].alias("lo"), F.col(f"b{k}")[1].alias("hi"))
-                       for k in range(len(specs))))
-    part = rows.select(F.explode(F.filter(inside, lambda x: x["v"] <= x["hi"])).alias("x"))
-    counts = part.groupBy(F.col("x.k").alias("k"), F.when(F.col("x.v") >= F.col("x.lo"), F.col("x.v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    each = [x for k in range(len(specs)) for x in (F.lit(k), F.col(f"v{k}"), F.col(f"b{k}")[0], F.col(f"b{k}")[1], F.col(f"n{k}"))]
+    part = rows.select(F.stack(F.lit(len(specs)), *each)).toDF("k", "v", "lo", "hi", "n").where(F.col("v") <= F.col("hi"))
+    # The number of values goes along with the counts: the bounds are read in one place, or the rows would be read once more for it.
+    counts = part.groupBy("k", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     upto = F.sum("c").over(Window.partitionBy("k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).crossJoin(F.broadcast(bounds))  # one row
+    ranked = counts.withColumn("upto", upto)
     out = []
     for k, (name, _, q) in enumerate(specs):
-        pos = (F.col(f"n{k}") - 1) * F.lit(float(q))
-        lo, hi = (F.min(F.when((F.col("k") == k) & F.col("v").isNotNull() & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v"))) for r in (F.floor(pos), F.ceil(pos)))
-        value = lo + (hi - lo) * F.max(pos - F.floor(pos))
+        own = F.col("k") == k
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        lo, hi = (F.min(F.when(own & F.col("v").isNotNull() & (F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("v"))) for r in (F.floor(pos), F.ceil(pos)))
+        value = lo + (hi - lo) * F.max(F.when(own, pos - F.floor(pos)))
         # A rank outside its bracket would be a fault of the sketch; it must not pass as a value.
-        out.append(F.when(F.max(F.col(f"n{k}")) > 0, F.coalesce(value, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))).alias(name))
+        out.append(F.when(F.max(F.when(own, F.col("n"))) > 0, F.coalesce(value, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))).alias(name))
     return ranked.agg(*out)

@@ -239,10 +239,9 @@ def a6(spark, sf):
 
 @register("a7_median_imputation")
 def a7(spark, sf):
-    # Line items come as a table; here they are made by joins, so they are written before they are read three times.
     d = _li(spark, sf)
     raw = d.select(*(c for c in (*CURRENCY_COLUMNS, *QUANTITY_COLUMNS) if c in d.columns))
-    out = pp.preprocess(written(raw, "line-items"), CFG)
+    out = pp.preprocess(raw, CFG, drop=tuple(raw.columns))
     return out.select(*[c for c in out.columns if c.endswith("_clean") and c != "ItemDescription_clean"],
                       "is_large_project")
 
@@ -851,15 +850,17 @@ CODED = ("PROJECT_CITY", "PROJECT_TYPE", "CORE_MARKET", "UOM")
 
 
 def _reg_features(spark, sf):
-    """The features and their names. The line items are made by joins, so what the features are made of is written once and read by each pass."""
+    """The features and their names. What the features are made of is written once, and so are they: each pass reads numbers."""
     raw = _li(spark, sf).select("PROJECTNUMBER", "MasterItemNo", "QtyShipped", "NUMFLOORS", "UnitPrice", "SIZE_BUILDINGSIZE", *CODED)
-    t = pp.basic_features(pp.preprocess(written(raw, "line-items"), CFG))
-    own = ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean"]
-    t = t.select("MasterItemNo", "PROJECTNUMBER", "QtyShipped_clean", *own, *CODED)
-    # Cleaned once for the codes and the features; one generated method of all steps would be too large for the JVM to compile.
-    t = written(t, "cleaned-rows")
+    t = pp.preprocess(raw, CFG, drop=("QtyShipped", "NUMFLOORS", "UnitPrice"))
+    t = pp.basic_features(t, frequency=False)
+    counts = stats.project_counts(t)
     t = en.apply_category_codes(t, en.fit_category_codes(t, list(CODED)), list(CODED)).withColumn("item_key", C.canonical_item_key(F.col("MasterItemNo")))
-    return t, [*own, *(f"{c}_code" for c in CODED)]
+    own = ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ", "is_large_project", "NUMFLOORS_clean", "UnitPrice_clean"]
+    cols = [*own, *(f"{c}_code" for c in CODED)]
+    # Where the projects are many, the join with their counts deals all rows by project: by then they are numbers.
+    t = stats.project_frequency(t.select("item_key", "PROJECTNUMBER", "QtyShipped_clean", *(c for c in cols if c != "PROJECT_FREQ")), counts=counts)
+    return written(t, "feature-rows"), cols
 
 
 @register("m7_global_regressor")

@@ -34,7 +34,8 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))  # 25 rows
     r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))  # 5 rows
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    # A part's texts are made once for the part, not for each of its lines.
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.col("p_size").cast("string").alias("p_size"), _money(F.col("p_retailprice")).alias("p_price"))
     # Customers meet the orders, of which there are fewer: the lines are not dealt by customer as well. They carry the nation's number; its names
     # come last, without a shuffle.
     o = o.join(c, o.o_custkey == c.c_custkey)
@@ -55,12 +56,12 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(" EA")).alias("QtyShipped"),
         F.when(ln == 1, F.lit("0")).otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("ExtendedQuantity"),
         _money(F.col("l_extendedprice")).alias("ExtendedPrice"),
-        _money(F.col("p_retailprice")).alias("UnitPrice"),
+        F.col("p_price").alias("UnitPrice"),
         _money(F.col("o_totalprice"), "$").alias("invoiceTotal"),
         F.when(F.col("l_returnflag") == "R", F.lit("-"))
          .otherwise(F.concat(F.col("l_tax").cast("decimal(18,2)").cast("string"), F.lit(" %"))).alias("REVISED_ESTIMATE"),
         (ln - 1).cast("string").alias("NUMFLOORS"),
-        F.col("p_size").cast("string").alias("SIZE_BUILDINGSIZE"),
+        F.col("p_size").alias("SIZE_BUILDINGSIZE"),
         F.when(F.col("l_partkey") % 50 == 0, F.lit("not a date")).otherwise(_mdy(F.col("l_shipdate"))).alias("invoiceDate"),
         _mdy(F.col("o_orderdate")).alias("CONSTRUCTION_START_DATE"),
         _mdy(F.col("end_ts")).alias("SUBSTANTIAL_COMPLETION_DATE"),
