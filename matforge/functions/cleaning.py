@@ -139,9 +139,13 @@ def _shape(fmt: str) -> str:
 
 
 def parse_timestamp(c: Column, formats=DATE_FORMATS) -> Column:
-    """Month-first or ISO date text (or a timestamp) with its time of day; bad input -> null."""
-    s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in formats])
+    """Month-first or ISO date text (or a timestamp) with its time of day; bad input -> null.
+
+    The formats are tried inside a lambda, of which Spark makes no code: written out for a few columns they make a method of all columns too large
+    for the JVM to compile, and every column beside them slow.
+    """
+    read = lambda s: F.coalesce(*[F.when(s.rlike(_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in formats])
+    return F.get(F.transform(F.array(F.trim(c.cast("string"))), read), F.lit(0))
 
 
 def parse_date(c: Column, formats=DATE_FORMATS) -> Column:

@@ -153,20 +153,22 @@ MAX_ROUNDS, LEAST_GAIN, DEPTH = 400, 0.01, 5
 
 
 def fit_global_regressor(df: DataFrame, feature_cols: list[str], target: str, held_out: str | None = None, max_iter: int = MAX_ROUNDS,
-                         depth: int = DEPTH, max_bins: int = 32, seed: int = 42):
-    """Gradient-boosted trees on assembled numeric features and category codes (missing target -> median upstream).
+                         depth: int = DEPTH, max_bins: int = 32, seed: int = 42, vectors: dict[str, int] | None = None):
+    """Gradient-boosted trees on assembled numeric features and category codes (missing target -> median upstream). ``vectors`` names the features
+    that are vector columns, with their lengths.
 
     With ``held_out``, a boolean column, those rows only measure the error, and boosting ends when a round no longer lowers it by
     ``LEAST_GAIN``; without it all ``max_iter`` rounds are run on all rows.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
     from pyspark.ml.regression import GBTRegressor
 
     trees = GBTRegressor(featuresCol="_x", labelCol=target, maxIter=max_iter, maxDepth=depth, maxBins=max_bins, seed=seed, lossType="squared")
     if held_out:
         trees = trees.setValidationIndicatorCol(held_out).setParams(validationTol=LEAST_GAIN)
-    return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="_x", handleInvalid="keep"), trees]).fit(df)
+    sizes = [VectorSizeHint(inputCol=c, size=n, handleInvalid="optimistic") for c, n in (vectors or {}).items()]
+    return Pipeline(stages=[*sizes, VectorAssembler(inputCols=feature_cols, outputCol="_x", handleInvalid="keep"), trees]).fit(df)
 
 
 # ---------------------------------------------------------------------------

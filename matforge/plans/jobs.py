@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matforge.config import CATEGORICAL_COLUMNS, PlanConfig
+from matforge.config import CATEGORICAL_COLUMNS, CURRENCY_COLUMNS, DATE_COLUMNS, QUANTITY_COLUMNS, PlanConfig
 from matforge.functions.cleaning import canonical_item_key
 from matforge.operators import classify as cl
 from matforge.operators import encode as en
@@ -27,6 +28,8 @@ from matforge.session import path_exists, written
 
 NUMERIC_FEATURES = ["SIZE_BUILDINGSIZE_num", "PROJECT_FREQ"]
 ITEM_FEATURES = [f"{c}_code" for c in CATEGORICAL_COLUMNS] + NUMERIC_FEATURES
+#: Raw columns that nothing reads once they are cleaned.
+RAW = tuple(c for c in (*CURRENCY_COLUMNS, *QUANTITY_COLUMNS, *DATE_COLUMNS) if c != "SIZE_BUILDINGSIZE")
 TABLES = ("weights", "labels", "terms", "codes", "categories", "vocab", "components", "item_coefs", "medians", "typical")
 
 
@@ -54,7 +57,13 @@ class TrainedModels:
 
     @property
     def features(self) -> list[str]:
-        return ITEM_FEATURES + [f"svd_{i}" for i in range(self.k)]
+        return [*ITEM_FEATURES, "svd"]
+
+
+def _read(df: DataFrame, *more: str) -> DataFrame:
+    """The columns of preprocessed rows that codes, classifier and features read, and ``more``, of those that are there: no other goes on."""
+    names = ["MasterItemNo", "ItemDescription", "PROJECTNUMBER", *CATEGORICAL_COLUMNS, "SIZE_BUILDINGSIZE", *more]
+    return df.select(*(c for c in dict.fromkeys(names) if c in df.columns))
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -64,13 +73,14 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def _features(df: DataFrame, texts: DataFrame, categories: DataFrame, vocab: DataFrame, comps: DataFrame, k: int) -> DataFrame:
-    """Category codes, size, project frequency and text components of rows, the latter by ``texts``, the distinct descriptions."""
+    """Category codes, size, project frequency and the text components (``svd``, a vector) of rows, the latter by ``texts``, the distinct
+    descriptions. The vectors are made once a text and stay whole: as columns they are a struct of k numbers to put together again for every row and pass."""
     base = en.apply_category_codes(pp.basic_features(df), categories, list(CATEGORICAL_COLUMNS))
     vectors = tx.project(tx.transform_tfidf(texts, vocab), comps, k)
+    svd = array_to_vector(F.coalesce("svd", F.array_repeat(F.lit(0.0), k)))  # no known term
     # Written, so that the join knows its size.
-    vectors = written(vectors.join(texts, "doc_id").select(F.col("text").alias("_text"), "svd"), "text-vectors")
-    out = base.join(vectors, F.coalesce("ItemDescription", F.lit("")) == F.col("_text"), "left").drop("_text").withColumn("svd", F.coalesce(F.col("svd"), F.array_repeat(F.lit(0.0), k)))  # no known term
-    return out.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
+    vectors = written(texts.join(vectors, "doc_id", "left").select(F.col("text").alias("_text"), svd.alias("svd")), "text-vectors")
+    return base.join(vectors, F.coalesce("ItemDescription", F.lit("")) == F.col("_text")).drop("_text")
 
 
 def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: int = tx.SVD_COMPONENTS, max_rounds: int = md.MAX_ROUNDS) -> TrainedModels:
@@ -78,9 +88,9 @@ def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: in
 
     The projects of fold 0 measure when boosting of the global trees ends.
     """
-    t = pp.preprocess(train_raw, cfg).where(F.col("MasterItemNo").isNotNull())
+    t = pp.preprocess(train_raw, cfg, drop=RAW).where(F.col("MasterItemNo").isNotNull())
     t = t.withColumn("item_key", canonical_item_key(F.col("MasterItemNo"))).where(F.col("item_key").isNotNull())
-    t = written(t.withColumn("row_id", F.monotonically_increasing_id()), "train-rows")  # read by every fit
+    t = written(_read(t, "item_key", "QtyShipped_clean"), "train-rows")  # read by every fit
     codes = label_codes(t.select(F.col("item_key").alias("MasterItemNo"))).select("label", "code", "code1")
     fold = md.group_fold(F.col("PROJECTNUMBER"))
     items = cl.fit_term_classifier(t, "item_key", "ItemDescription", fold)
@@ -92,9 +102,9 @@ def train_models(train_raw: DataFrame, cfg: PlanConfig = PlanConfig(), svd_k: in
     size = vocab.count()
     k = max(1, min(svd_k, size - 1))
     comps, _ = tx.fit_svd(w, size, k)
-    feats = written(_features(t, texts, categories, vocab, comps, k).withColumn("held_out", fold == 0), "train-features")
-    cols = ITEM_FEATURES + [f"svd_{i}" for i in range(k)]
-    reg = md.fit_global_regressor(feats.where(F.col("QtyShipped_clean").isNotNull()), cols, "QtyShipped_clean", "held_out", max_rounds)
+    feats = _features(t, texts, categories, vocab, comps, k).select("item_key", "QtyShipped_clean", *ITEM_FEATURES, "svd", (fold == 0).alias("held_out"))
+    feats = written(feats, "train-features")
+    reg = md.fit_global_regressor(feats.where(F.col("QtyShipped_clean").isNotNull()), [*ITEM_FEATURES, "svd"], "QtyShipped_clean", "held_out", max_rounds, vectors={"svd": k})
     coefs = md.fit_item_regressors(feats, "item_key", ITEM_FEATURES, "QtyShipped_clean")
     qty = t.select("MasterItemNo", F.col("QtyShipped_clean").cast("string").alias("QtyShipped"))
     return TrainedModels(items.weights, items.labels, items.terms, codes, categories, vocab, comps, coefs,
@@ -138,11 +148,11 @@ def load_models(spark: SparkSession, root: str, version: int | None = None) -> T
 
 def predict(m: TrainedModels, test_raw: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     """(id, MasterItemNo, QtyShipped) for every test row; the item is its 1-based code."""
-    t = pp.preprocess(test_raw, cfg)
+    order = ["MasterItemNo", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped"]
+    t = pp.preprocess(test_raw, cfg, drop=tuple(c for c in RAW if c not in order))  # which writes the rows: what follows reads them from there
     if "id" not in t.columns or t.select("id").where(F.col("id").isNotNull()).limit(1).count() == 0:
-        t = sequential_ids(t.drop("id") if "id" in t.columns else t,
-                           ["MasterItemNo", "ItemDescription", "PROJECTNUMBER", "invoiceDate", "QtyShipped"], name="id")
-    t = written(t.withColumn("row_id", F.monotonically_increasing_id()), "test-rows")  # ids may be null or repeat; rows are not
+        t = sequential_ids(_read(t, *order), order, name="id")
+    t = _read(t, "id")
     best = cl.classify_texts(m.classifier, t, "ItemDescription").select(F.col("text").alias("_text"), F.col("label").alias("item_key"))
     best = written(best, "text-items")
     feats = _features(t, _texts(t), m.categories, m.vocab, m.components, m.k)
