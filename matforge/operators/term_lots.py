@@ -116,12 +116,13 @@ def _blob(words: pa.Array) -> bytes:
 def _open(row: dict) -> dict:
     """What a lot sent to a range: its words as Arrow, and first, second and df."""
     words = pa.ipc.open_stream(row["words"]).read_all()["word"].combine_chunks()
-    return {"words": words, **{c: _unpack(row[c]) for c in ("first", "second", "df")}}
+    return {"words": words, **{c: _unpack(row[c]) for c in ("first", "second", "df", "cf") if c in row}}
 
 
-def _ask(ranges: int, counted: bool):
-    """Rows of ASK; not ``counted``: the lots only ask, and their documents do not add to the totals."""
-    names = [c.split()[0] for c in ASK.split(", ")]
+def _ask(ranges: int, counted: bool, times: bool = False):
+    """Rows of ASK; not ``counted``: the lots only ask, and their documents do not add to the totals; with ``times`` a further column ``cf``, how often
+    the lot has each term."""
+    names = [c.split()[0] for c in ASK.split(", ")] + ["cf"] * times
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +130,7 @@ def _ask(ranges: int, counted: bool):
                 own = _row(batch, i)
                 part = _ranges(own, ranges)
                 order = np.argsort(part, kind="stable")
+                cf = np.bincount(own["term"], own["tf"], len(part)) if times else None
                 for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                     if not len(at):
                         continue
@@ -136,20 +138,23 @@ def _ask(ranges: int, counted: bool):
                     used = np.unique(np.concatenate([first, second[second >= 0]]))
                     second = np.where(second < 0, -1, np.searchsorted(used, second))
                     cols = (_blob(own["words"].take(pa.array(used))), _pack(np.searchsorted(used, first)), _pack(second), _pack(own["df"][at] * counted))
+                    cols += (_pack(cf[at]),) if times else ()
                     yield pa.RecordBatch.from_arrays([pa.array([part[at[0]]], pa.int32()), pa.array([lot], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names)
     return run
 
 
 def _added(answer):
     """A task that adds up each range, whose rows are neighbours, and gives ``answer`` (range, lots, how many terms each sent, which these are, distinct
-    terms, totals)."""
+    terms, totals, and those of ``cf`` if it was sent)."""
     def close(part: int, rows: list[dict]) -> pa.RecordBatch:
         own = [_open(r) for r in rows]
         coded = pa.concat_arrays([_texts(o, np.arange(len(o["df"]))) for o in own]).dictionary_encode()
-        where, df = coded.indices.to_numpy(), np.concatenate([o["df"] for o in own])
-        total = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(total, where, df)
-        return answer(part, [r["lot"] for r in rows], [len(o["df"]) for o in own], where, coded.dictionary, total)
+        where, totals = coded.indices.to_numpy(), []
+        for c in ("df", "cf"):
+            if c in own[0]:
+                totals.append(np.zeros(len(coded.dictionary), np.int64))
+                np.add.at(totals[-1], where, np.concatenate([o[c] for o in own]))
+        return answer(part, [r["lot"] for r in rows], [len(o["df"]) for o in own], where, coded.dictionary, *totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -174,6 +179,56 @@ def _vocabulary(part, lots, sent, where, terms, total) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([terms, pa.array(total)], names=["term", "df"])
 
 
+def _most_frequent(size: int):
+    """The ``size`` terms of the range that occur most often, ties by term."""
+    def answer(part, lots, sent, where, terms, df, cf) -> pa.RecordBatch:
+        least = np.partition(cf, -size)[-size] if len(cf) > size else 0
+        ties = np.flatnonzero(cf == least)
+        ties = ties[pc.sort_indices(terms.take(pa.array(ties))).to_numpy()]
+        more = np.flatnonzero(cf > least)
+        own = np.concatenate([more, ties[:size - len(more)]])
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(own)), pa.array(df[own]), pa.array(cf[own])], names=["term", "df", "cf"])
+    return answer
+
+
+#: Documents of a block, and what a block is.
+BLOCK_DOCS = 64
+BLOCK = "ids array<{kind}>, sizes binary, idx binary, weight binary"
+
+
+def _packed_blocks(held):
+    """Rows of BLOCK: the weights of documents over a vocabulary of numbered terms, ``held`` as (terms, idf) by number.
+
+    Documents whose most frequent terms are the same are neighbours: a block then has fewer different terms, and products with it are smaller.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = held.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, ids = _row(batch, i), batch["ids"][i].values
+                place = pc.fill_null(pc.index_in(_texts(own, np.arange(len(own["first"]))), value_set=terms), -1).to_numpy()
+                idx, doc = place[own["term"]], np.repeat(np.arange(len(ids)), own["sizes"])
+                has = idx >= 0
+                idx, doc, tf = idx[has], doc[has], own["tf"][has]
+                weight = tf * idf[idx]
+                weight /= np.sqrt(np.bincount(doc, weight * weight, len(ids)))[doc]
+                size = np.bincount(doc, minlength=len(ids))
+                ends = np.cumsum(size)
+                top = np.append(idx[np.lexsort((tf, doc))], -1)  # of each document by frequency, and what is no term
+                first, second = (np.where(size > k, top[np.maximum(ends - 1 - k, -1)], -1) for k in (0, 1))
+                docs = np.lexsort((second, first))
+                docs = docs[size[docs] > 0]
+                take = np.repeat((ends - size)[docs] - np.cumsum(size[docs]) + size[docs], size[docs]) + np.arange(len(idx))
+                idx, weight, size, ids = idx[take].astype("<i4"), weight[take], size[docs].astype("<i4"), ids.take(pa.array(docs))
+                starts = list(range(0, len(docs), BLOCK_DOCS))
+                stops = [*starts[1:], len(docs)]
+                cuts = np.concatenate([[0], np.cumsum(size)])
+                cols = [pa.ListArray.from_arrays(pa.array([*starts, len(docs)], pa.int32()), ids), pa.array([size[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()),
+                        *(pa.array([c[cuts[a]:cuts[b]].tobytes() for a, b in zip(starts, stops)], pa.binary()) for c in (idx, weight))]
+                yield pa.RecordBatch.from_arrays(cols, names=["ids", "sizes", "idx", "weight"])
+    return run
+
+
 def _weigh(ranges: int, n_docs: int, kind: str):
     """(doc_id, term, weight) of each lot, whose totals come before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +271,28 @@ class TermLots:
         self.count, self.n_docs, terms = one
         self.ranges = max(1, -(-terms // range_terms))
 
-    def _asked(self, ranges: int, counted: bool = True) -> DataFrame:
-        return self.lots.select("lot", "words", "first", "second", "df").mapInArrow(_ask(ranges, counted), ASK)
+    def _asked(self, ranges: int, counted: bool = True, times: bool = False) -> DataFrame:
+        own = self.lots.select("lot", "words", "first", "second", "df", *(["term", "tf"] if times else []))
+        return own.mapInArrow(_ask(ranges, counted, times), ASK + ", cf binary" * times)
 
     def vocabulary(self) -> DataFrame:
         """(term, df, idf): every term with smooth idf ln((1 + n) / (1 + df)) + 1."""
         found = _dealt(self._asked(self.ranges), self.ranges).mapInArrow(_added(_vocabulary), "term string, df long")
         return found.withColumn("idf", F.log((1.0 + self.n_docs) / (1.0 + F.col("df"))) + 1.0)
 
+    def most_frequent(self, size: int) -> DataFrame:
+        """(term, df, cf): the ``size`` terms that occur most often, ties by term; a range gives no more of them."""
+        found = _dealt(self._asked(self.ranges, times=True), self.ranges).mapInArrow(_added(_most_frequent(size)), "term string, df long, cf long")
+        return found.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(size)
+
+    def blocks(self, vocab: DataFrame) -> DataFrame:
+        """The documents' weights in rows of BLOCK, tf * idf, L2-normalised over the terms of ``vocab`` (term, idf, idx), which every task holds; a
+        document without any of them is left out. No lot is shuffled."""
+        table = vocab.select("term", "idf", "idx").toArrow().sort_by("idx").combine_chunks()
+        terms = table["term"].combine_chunks() if table.num_rows else pa.array([], pa.string())
+        held = self.lots.sparkSession.sparkContext.broadcast((terms, table["idf"].to_numpy()))
+        return self.lots.select("ids", "words", "first", "second", "sizes", "term", "tf").mapInArrow(_packed_blocks(held), BLOCK.format(kind=self.kind))
+
     def weights(self, of: TermLots | None = None) -> DataFrame:
         """(doc_id, term, weight): tf * idf, L2-normalised per document over the terms of these lots; with ``of``, for the documents of those."""
         of, ranges, asked = of or self, self.ranges, self._asked(self.ranges)

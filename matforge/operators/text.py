@@ -57,11 +57,16 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None =
     copies = F.col("copies") if "copies" in tf.columns else F.lit(1)
     stats = tf.groupBy("term").agg(F.sum(F.col("tf") * copies).alias("cf"), F.sum(copies).alias("df"))
     top = stats if max_features is None else stats.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max_features)
-    vocab = top.crossJoin(F.broadcast(n_docs)).select(
-        "term", "df", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    if max_features is None:
-        return vocab
-    # the vocabulary has at most max_features rows, so one ordered window over it is bounded
+    vocab = _with_idf(top.crossJoin(F.broadcast(n_docs)), F.col("n_docs"))
+    return vocab if max_features is None else _numbered(vocab)
+
+
+def _with_idf(stats: DataFrame, n_docs: Column) -> DataFrame:
+    return stats.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def _numbered(vocab: DataFrame) -> DataFrame:
+    """A vocabulary of a given size, over which one ordered window is bounded, with ``idx``."""
     return vocab.withColumn("idx", (F.dense_rank().over(Window.orderBy("term")) - 1).cast("int"))
 
 
@@ -92,6 +97,14 @@ def fit_tfidf(docs: DataFrame, max_features: int | None = None, doc_id: str = "d
     return vocab, tfidf_weights(tf, vocab)
 
 
+def fit_tfidf_blocks(docs: DataFrame, max_features: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """M1 for a decomposition: (vocabulary of ``max_features`` terms, written; weights in blocks of documents). The counts stay in lots of
+    documents, of which only the distinct terms are shuffled."""
+    lots = TermLots(_dealt(docs, doc_id, text, neighbours=True))
+    vocab = written(_numbered(_with_idf(lots.most_frequent(max_features), F.lit(lots.n_docs))), "vocabulary")
+    return vocab, lots.blocks(vocab)
+
+
 def transform_tfidf(docs: DataFrame, vocab: DataFrame | TermLots, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """M3 (first half): weights of new documents under a stored vocabulary, or one that stays in lots."""
     if isinstance(vocab, TermLots):
@@ -99,17 +112,27 @@ def transform_tfidf(docs: DataFrame, vocab: DataFrame | TermLots, doc_id: str =
     return tfidf_weights(term_counts(docs, doc_id, text), vocab)
 
 
+def _is_packed(weights: DataFrame) -> bool:
+    return "e" in weights.columns or "sizes" in weights.columns
+
+
 def packed(weights: DataFrame) -> DataFrame:
-    """(doc_id, e): one row per document with its entries (idx, weight) by idx; a frame that is packed already stays as it is."""
-    if "e" in weights.columns:
+    """(doc_id, e): one row per document with its entries (idx, weight) by idx; a frame that is packed already, or in blocks, stays as it is."""
+    if _is_packed(weights):
         return weights
     return weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
 
 
-def _blocks(column, docs: int = 128):
-    """(document number, idx, weight) arrays of at most ``docs`` documents of an Arrow column of packed entries, and how many they are."""
+def _blocks(batch, docs: int = 64):
+    """(document number, idx, weight) arrays of at most ``docs`` documents of an Arrow batch of packed entries, or of its blocks, and how many they are."""
     import numpy as np
 
+    if "sizes" in batch.schema.names:
+        for row in zip(*(batch[c] for c in ("sizes", "idx", "weight"))):
+            size, idx, weight = (np.frombuffer(x.as_buffer(), t) for x, t in zip(row, ("<i4", "<i4", "<f8")))
+            yield np.repeat(np.arange(len(size)), size), idx, weight, len(size)
+        return
+    column = batch["e"]
     ends = column.offsets.to_numpy()
     flat = column.values.slice(ends[0], ends[-1] - ends[0])
     idx, weight, ends = flat.field("idx").to_numpy(), flat.field("weight").to_numpy(), ends - ends[0]
@@ -142,7 +165,7 @@ def _gram_product(rows: DataFrame, q, piece: int = 1000):
     def multiply(batches):
         out, mine = np.zeros((n, b)), held.value
         for batch in batches:
-            for doc, idx, weight, n_docs in _blocks(batch.column(0)):
+            for doc, idx, weight, n_docs in _blocks(batch):
                 d, terms = _dense(doc, idx, weight, n_docs, n)
                 out[terms] += d.T @ (d @ mine[terms])
         starts = range(0, n, piece)
@@ -153,7 +176,7 @@ def _gram_product(rows: DataFrame, q, piece: int = 1000):
 
     try:
         # A task's sums are as large as q, so there are no more tasks than run at once.
-        parts = rows.select("e").coalesce(max(1, sc.defaultParallelism)).mapInArrow(multiply, "at int, sums binary")
+        parts = rows.select(*(c for c in ("e", "sizes", "idx", "weight") if c in rows.columns)).coalesce(max(1, sc.defaultParallelism)).mapInArrow(multiply, "at int, sums binary")
         got = parts.groupBy("at").applyInPandas(total, "at int, sums binary").collect()
     finally:
         held.destroy()
@@ -181,7 +204,7 @@ def fit_svd(weights: DataFrame, vocab_size: int, k: int = SVD_COMPONENTS) -> tup
     k = max(1, min(k, n - 1))
     b = min(n, k + MORE)
     rows = packed(weights)
-    rows = rows if "e" in weights.columns else written(rows, "svd-rows")  # read in every round
+    rows = rows if _is_packed(weights) else written(rows, "svd-rows")  # read in every round
     block = np.random.default_rng(0).standard_normal((n, b))
     q = w = np.zeros((n, 0))  # the orthonormal columns so far, and A'A of them
     while True:
@@ -229,18 +252,19 @@ def project(weights: DataFrame, comps: DataFrame, k: int) -> DataFrame:
     v = np.zeros((n, k))
     v[idx, comp] = value
     held = comps.sparkSession.sparkContext.broadcast(v)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = (rows.schema["doc_id"].dataType if "e" in rows.columns else rows.schema["ids"].dataType.elementType).simpleString()
 
     def vectors(batches):
         mine = held.value
         for batch in batches:
             out = []
-            for doc, at, weight, n_docs in _blocks(batch.column(1)):
+            for doc, at, weight, n_docs in _blocks(batch):
                 has = at < n  # a term beyond the components has none
                 d, terms = _dense(doc[has], at[has], weight[has], n_docs, n)
                 out.append(d @ mine[terms])
             flat = pa.array(np.concatenate(out).ravel() if out else np.zeros(0))
             svd = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, k), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), svd], names=["doc_id", "svd"])
+            ids = batch["doc_id"] if "doc_id" in batch.schema.names else batch["ids"].flatten()
+            yield pa.RecordBatch.from_arrays([ids, svd], names=["doc_id", "svd"])
 
-    return rows.select("doc_id", "e").mapInArrow(vectors, f"doc_id {kind}, svd array<double>")
+    return rows.mapInArrow(vectors, f"doc_id {kind}, svd array<double>")

@@ -795,8 +795,8 @@ def m14(spark, sf):
 
 
 def _doc_svd(spark, sf, k: int = tx.SVD_COMPONENTS):
-    vocab, w = tx.fit_tfidf(fx.table(spark, sf, "documents"), tx.TRAIN_MAX_FEATURES)
-    w = written(tx.packed(w), "document-weights")  # read by the decomposition and the projection
+    vocab, w = tx.fit_tfidf_blocks(fx.table(spark, sf, "documents"), tx.TRAIN_MAX_FEATURES)
+    w = written(w, "document-weights")  # read by the decomposition and the projection
     vsize = vocab.count()
     k = max(1, min(k, vsize - 1))
     comps, _ = tx.fit_svd(w, vsize, k)
