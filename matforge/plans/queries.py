@@ -811,18 +811,20 @@ def m2(spark, sf):
 
 @register("m6_fold_classifier")
 def m6(spark, sf):
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
+    from pyspark.ml.functions import array_to_vector
 
     proj, k = _doc_svd(spark, sf)
     # Of the documents only the categories go on: the texts are in the vectors.
     docs = fx.table(spark, sf, "documents").select("doc_id", "source", "lang").join(proj, "doc_id", "left")
-    docs = docs.withColumn("svd", F.coalesce("svd", F.array_repeat(F.lit(0.0), k)))
-    docs = docs.withColumns({f"svd_{i}": F.col("svd")[i] for i in range(k)}).drop("svd")
+    # The components stay one vector, not k columns to put together again for every row and pass.
+    docs = docs.withColumn("svd", array_to_vector(F.coalesce("svd", F.array_repeat(F.lit(0.0), k))))
     lab = docs.join(fx.table(spark, sf, "labels"), "doc_id")
     enc = written(md.fit_target_encoding(_labelled_docs(spark, sf), ["source", "lang"], "quality"), "encodings")  # a row a category, read six times
-    cols = ["source_te", "lang_te"] + [f"svd_{i}" for i in range(k)]
-    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    sized = VectorSizeHint(inputCol="svd", size=k, handleInvalid="optimistic")
+    va = PipelineModel([sized, VectorAssembler(inputCols=["source_te", "lang_te", "svd"], outputCol="features", handleInvalid="keep")])
     train = va.transform(md.apply_target_encoding(lab, enc, ["source", "lang"]))
     train = train.select("features", md.group_fold(F.col("source")).alias("fold"), F.col("quality").cast("double").alias("label"))
     train = written(train, "fold-rows")  # four fold fits read it
