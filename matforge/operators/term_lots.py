@@ -12,15 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matforge.session import written
+from matforge.session import written_in_buckets
 
 #: Tokens of a lot, and distinct terms that a range gets from the lots, about.
-LOT_TOKENS, RANGE_TERMS = 1 << 20, 2_000_000
-_INTS = ["first", "second", "df", "sizes", "term", "tf"]
-LOT = "lot long, docs long, terms long, ids array<{kind}>, words array<string>, " + ", ".join(f"{c} binary" for c in _INTS)
+LOT_TOKENS, RANGE_TERMS = 1 << 21, 2_000_000
+_INTS = ["first", "second", "sizes", "term", "tf"]
+LOT = "lot long, docs long, terms long, ids array<{kind}>, words binary, " + ", ".join(f"{c} binary" for c in _INTS)
 ASK = "range int, lot long, words binary, first binary, second binary, df binary"
 ANSWER = "lot long, range int, totals binary"
 
@@ -58,9 +59,9 @@ def _lot(lot: int, ids: pa.Array, toks: pa.ListArray) -> pa.RecordBatch:
     terms, term = np.unique(np.concatenate([word * width, word[pair] * width + word[pair + 1] + 1]), return_inverse=True)
     entry, tf = np.unique(np.concatenate([doc, doc[pair]]) * max(1, len(terms)) + term, return_counts=True)
     doc, term = np.divmod(entry, max(1, len(terms)))
-    cols = (terms // width, terms % width - 1, np.bincount(term, minlength=len(terms)), np.bincount(doc, minlength=len(coded.dictionary)), term, tf)
+    cols = (terms // width, terms % width - 1, np.bincount(doc, minlength=len(coded.dictionary)), term, tf)
     return pa.RecordBatch.from_arrays(
-        [*(pa.array([n], pa.int64()) for n in (lot, len(ids), len(terms))), _one(coded.dictionary), _one(words), *(pa.array([_pack(c)], pa.binary()) for c in cols)],
+        [*(pa.array([n], pa.int64()) for n in (lot, len(ids), len(terms))), _one(coded.dictionary), pa.array([_blob(words)], pa.binary()), *(pa.array([_pack(c)], pa.binary()) for c in cols)],
         ["lot", "docs", "terms", "ids", "words", *_INTS])
 
 
@@ -86,7 +87,7 @@ def _lots(lot_tokens: int):
 
 def _row(batch: pa.RecordBatch, i: int) -> dict:
     """Row i with its integers as numpy, words as Arrow."""
-    return {"words": batch["words"][i].values, **{c: _unpack(batch[c][i].as_py()) for c in _INTS if c in batch.schema.names}}
+    return {"words": _words(batch["words"][i].as_py()), **{c: _unpack(batch[c][i].as_py()) for c in _INTS if c in batch.schema.names}}
 
 
 def _ranges(lot: dict, ranges: int) -> np.ndarray:
@@ -106,17 +107,19 @@ def _texts(lot: dict, at: np.ndarray) -> pa.Array:
 
 
 def _blob(words: pa.Array) -> bytes:
+    """Sorted words, each by what it does not share with the one before."""
     sink = pa.BufferOutputStream()
-    table = pa.RecordBatch.from_arrays([words], names=["word"])
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(table)
+    pq.write_table(pa.table({"word": words}), sink, compression="zstd", use_dictionary=False, column_encoding={"word": "DELTA_BYTE_ARRAY"}, write_statistics=False, store_schema=False)
     return sink.getvalue().to_pybytes()
 
 
+def _words(blob: bytes) -> pa.Array:
+    return pq.read_table(pa.BufferReader(blob))["word"].combine_chunks()
+
+
 def _open(row: dict) -> dict:
     """What a lot sent to a range: its words as Arrow, and first, second and df."""
-    words = pa.ipc.open_stream(row["words"]).read_all()["word"].combine_chunks()
-    return {"words": words, **{c: _unpack(row[c]) for c in ("first", "second", "df", "cf") if c in row}}
+    return {"words": _words(row["words"]), **{c: _unpack(row[c]) for c in ("first", "second", "df", "cf") if c in row}}
 
 
 def _ask(ranges: int, counted: bool, times: bool = False):
@@ -130,6 +133,7 @@ def _ask(ranges: int, counted: bool, times: bool = False):
                 own = _row(batch, i)
                 part = _ranges(own, ranges)
                 order = np.argsort(part, kind="stable")
+                df = np.bincount(own["term"], minlength=len(part))  # a document has a term once
                 cf = np.bincount(own["term"], own["tf"], len(part)) if times else None
                 for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                     if not len(at):
@@ -137,7 +141,7 @@ def _ask(ranges: int, counted: bool, times: bool = False):
                     first, second = own["first"][at], own["second"][at]
                     used = np.unique(np.concatenate([first, second[second >= 0]]))
                     second = np.where(second < 0, -1, np.searchsorted(used, second))
-                    cols = (_blob(own["words"].take(pa.array(used))), _pack(np.searchsorted(used, first)), _pack(second), _pack(own["df"][at] * counted))
+                    cols = (_blob(own["words"].take(pa.array(used))), _pack(np.searchsorted(used, first)), _pack(second), _pack(df[at] * counted))
                     cols += (_pack(cf[at]),) if times else ()
                     yield pa.RecordBatch.from_arrays([pa.array([part[at[0]]], pa.int32()), pa.array([lot], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], names)
     return run
@@ -230,19 +234,14 @@ def _packed_blocks(held):
 
 
 def _weigh(ranges: int, n_docs: int, kind: str):
-    """(doc_id, term, weight) of each lot, whose totals come before it."""
+    """(doc_id, term, weight) of each lot, which has its totals with it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, bytes] = {}
         for batch in batches:
-            for i, (part, blob) in enumerate(zip(batch["range"].to_pylist(), batch["totals"].to_pylist())):
-                if blob is not None:
-                    answers[part] = blob
-                    continue
-                own = _row(batch, i)
+            for i in range(batch.num_rows):
+                own, answers = _row(batch, i), {a["range"]: a["totals"] for a in batch["answers"][i].as_py()}
                 part = _ranges(own, ranges)
                 order, df = np.argsort(part, kind="stable"), np.zeros(len(part), np.int64)
                 df[order] = np.concatenate([np.zeros(0, np.int64), *(_unpack(answers[p]) for p in sorted(answers))])
-                answers = {}
                 known = df > 0
                 ids, ends = batch["ids"][i].values, np.concatenate([[0], np.cumsum(own["sizes"])])
                 idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1.0
@@ -266,13 +265,14 @@ class TermLots:
     def __init__(self, docs: DataFrame, lot_tokens: int = LOT_TOKENS, range_terms: int = RANGE_TERMS):
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         dealt = docs.select(F.col("doc_id").alias("id"), "toks")
-        self.lots = written(dealt.mapInArrow(_lots(lot_tokens), LOT.format(kind=self.kind)), "term-lots")
+        # In buckets of lots: their totals come to them, and no lot is shuffled.
+        self.lots = written_in_buckets(dealt.mapInArrow(_lots(lot_tokens), LOT.format(kind=self.kind)), "term-lots", "lot")
         one = self.lots.agg(F.count(F.lit(1)), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
         self.count, self.n_docs, terms = one
         self.ranges = max(1, -(-terms // range_terms))
 
     def _asked(self, ranges: int, counted: bool = True, times: bool = False) -> DataFrame:
-        own = self.lots.select("lot", "words", "first", "second", "df", *(["term", "tf"] if times else []))
+        own = self.lots.select("lot", "words", "first", "second", "term", *(["tf"] if times else []))
         return own.mapInArrow(_ask(ranges, counted, times), ASK + ", cf binary" * times)
 
     def vocabulary(self) -> DataFrame:
@@ -299,9 +299,8 @@ class TermLots:
         if of is not self:
             asked = asked.drop("lot").withColumn("lot", F.lit(None).cast("long")).select(*asked.columns).unionByName(of._asked(ranges, False))
         totals = _dealt(asked, ranges).mapInArrow(_added(_totals), ANSWER).where(F.col("lot").isNotNull())
-        rows = totals.unionByName(of.lots.select("lot", "ids", "words", *(c for c in _INTS if c != "df")), allowMissingColumns=True)
-        # A lot's totals have a range and come before the lot.
-        rows = rows.repartition(max(1, of.count), "lot").sortWithinPartitions("lot", F.col("range").asc_nulls_last())
+        answers = totals.groupBy("lot").agg(F.collect_list(F.struct("range", "totals")).alias("answers"))
+        rows = of.lots.select("lot", "ids", "words", *_INTS).join(answers.hint("shuffle_hash"), "lot").drop("lot")  # the lots pass by, unsorted
         return rows.mapInArrow(_weigh(ranges, self.n_docs, of.kind), f"doc_id {of.kind}, term string, weight double")
 
 
